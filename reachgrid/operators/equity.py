@@ -109,12 +109,16 @@ def terciles(df: DataFrame, value: str, weight: str, name: str = "tercile") -> D
     return df.withColumn(name, F.when(v.isNull(), None).when(v <= low, "low").when(v <= high, "mid").otherwise("high"))
 
 
+def _pattern(c: Column, pattern: str) -> Column:
+    return F.call_function("format_number", c, F.lit(pattern))
+
+
 def _shown(c: Column, percent: bool = False) -> Column:
     """Number as report text: blank-grouped thousands, 2 decimals unless whole."""
     if percent:
-        return F.coalesce(F.concat(F.format_number(100 * c, "0.0"), F.lit("%")), F.lit("–"))
+        return F.coalesce(F.concat(_pattern(100 * c, "0.0"), F.lit("%")), F.lit("–"))
     is_whole = (F.abs(c - F.round(c)) < 1e-9) & (F.abs(c) >= 1)
-    text = F.when(is_whole, F.format_number(c, "#,##0")).otherwise(F.format_number(c, "#,##0.00"))
+    text = F.when(is_whole, _pattern(c, "#,##0")).otherwise(_pattern(c, "#,##0.00"))
     return F.coalesce(F.replace(text, F.lit(","), F.lit(" ")), F.lit("–"))
 
 

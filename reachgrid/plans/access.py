@@ -118,10 +118,10 @@ def competitive_access_decay(d):
 @query("d06_thin_supply", _fca_sql("""
 SELECT to_id, round(ratio / fair, 6) AS factor
 FROM ratios CROSS JOIN (SELECT (SELECT sum(capacity) FROM v_dests) / (SELECT sum(pop) FROM v_people)::DOUBLE AS fair)
-WHERE capacity > 0 AND demand > 0 AND ratio > 1.02 * fair"""))
+WHERE capacity > 0 AND demand > 0 AND ratio > 0.02 * fair"""))
 def thin_supply(d):
     people, ratios = _ratios(d)
-    return fca.thin_supply(ratios, people, factor=1.02).select("to_id", F.round(F.col("ratio") / F.col("fair"), 6).alias("factor"))
+    return fca.thin_supply(ratios, people, factor=0.02).select("to_id", F.round(F.col("ratio") / F.col("fair"), 6).alias("factor"))
 
 
 @query("d07_supply_conservation", _fca_sql("""
