@@ -16,22 +16,20 @@ from pyspark.sql import functions as F
 from reachgrid.session import checkpoint
 
 MAX_RANGES = 512
+# Rows one sorted window may hold. Larger tables are split into value ranges.
+WINDOW_ROWS = 1_000_000
 
 
-def _range_count(df: DataFrame) -> int:
+def _range_count(df: DataFrame, rows: int) -> int:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return max(8, min(MAX_RANGES, n))
+    return min(MAX_RANGES, max(8, n, 2 * rows // WINDOW_ROWS))
 
 
-def _with_range(df: DataFrame, order: str, name: str) -> DataFrame:
-    """Adds the number of the value range each row falls in; ranges hold similar row counts."""
-    n = _range_count(df)
-    # Naming every column keeps this branch's input identical to the main one, so the shuffle
-    # that feeds both is computed once.
-    same = df.where(F.xxhash64(*df.columns) != 0)
-    cuts = same.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000).alias("cuts")).scalar()
-    placed = df.withColumn("_cuts", cuts)
-    return placed.withColumn(name, F.size(F.filter("_cuts", lambda c: c < F.col(order)))).drop("_cuts")
+def _one_window(df: DataFrame, groups: list[str], order: str, sums: Mapping[str, Column]) -> DataFrame:
+    run = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*groups)
+    return df.select("*", *[F.sum(c).over(run).alias(k) for k, c in sums.items()],
+                     *[F.sum(c).over(whole).alias(f"{k}_all") for k, c in sums.items()])
 
 
 def running_totals(df: DataFrame, groups: Sequence[str], order: str,
@@ -41,16 +39,23 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: str,
     Rows must be unique per (groups, order) — aggregate equal values first. Every name
     in ``sums`` becomes a running column, and ``<name>_all`` holds the group's total.
     ``small_domain`` marks an order column with a fixed small set of values (minutes,
-    shares in whole percent); then a group is already bounded and one window suffices.
+    seconds of a day, counts); then a group is already bounded and one window suffices.
+    Otherwise the table is checkpointed and counted: beyond ``WINDOW_ROWS`` rows every
+    group is cut at approximate quantiles of ``order``, running sums are taken inside the
+    ranges, and the totals of earlier ranges are added back.
     """
     groups = list(groups)
     df = df.where(F.col(order).isNotNull())
     if small_domain:
-        run = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        whole = Window.partitionBy(*groups)
-        return df.select("*", *[F.sum(c).over(run).alias(k) for k, c in sums.items()],
-                         *[F.sum(c).over(whole).alias(f"{k}_all") for k, c in sums.items()])
-    cut = _with_range(df, order, "_range").select("*", *[c.alias(f"_v_{k}") for k, c in sums.items()])
+        return _one_window(df, groups, order, sums)
+    df = checkpoint(df)
+    rows = df.count()
+    if rows <= WINDOW_ROWS:
+        return _one_window(df, groups, order, sums)
+    n = _range_count(df, rows)
+    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000)).first()[0]
+    placed = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order)))
+    cut = df.select("*", placed.alias("_range"), *[c.alias(f"_v_{k}") for k, c in sums.items()])
     totals = cut.groupBy(*groups, "_range").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
     before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
@@ -60,11 +65,12 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: str,
         *[F.sum(f"_t_{k}").over(whole).alias(f"{k}_all") for k in sums])
     inside = Window.partitionBy(*groups, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.select("*", *[F.sum(f"_v_{k}").over(inside).alias(k) for k in sums])
-    joined = local.join(offsets, [*groups, "_range"])
+    same = [local[c].eqNullSafe(offsets[c]) for c in groups]
+    joined = local.join(offsets, [local["_range"] == offsets["_range"], *same])
     return joined.select(
-        *df.columns,
-        *[(F.col(k) + F.col(f"_o_{k}")).alias(k) for k in sums],
-        *[F.col(f"{k}_all") for k in sums])
+        *[local[c] for c in df.columns],
+        *[(local[k] + offsets[f"_o_{k}"]).alias(k) for k in sums],
+        *[offsets[f"{k}_all"] for k in sums])
 
 
 Position = Callable[[Column], Column]

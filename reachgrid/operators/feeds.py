@@ -279,7 +279,7 @@ def shifts(static: DataFrame, realized: DataFrame, keys: Sequence[str] = ("feed"
 
 def shift_distribution(pairs: DataFrame, keys: Sequence[str] = ("feed",)) -> DataFrame:
     """Median, mean, 5 % quantile, share over 5 minutes early, and whether the feed looks wrong."""
-    marks = group_quantiles(pairs, keys, "shift", {"median": linear(0.5), "p05": fraction(1, 20)})
+    marks = group_quantiles(pairs, keys, "shift", {"median": linear(0.5), "p05": fraction(1, 20)}, small_domain=True)
     means = pairs.groupBy(*keys).agg(F.avg("shift").alias("mean"),
                                      F.avg((F.col("shift") < -300).cast("double")).alias("early_share"))
     bad = (F.col("median") < -120) | (F.col("early_share") > 0.02) | (F.col("p05") < -300)

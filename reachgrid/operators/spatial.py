@@ -68,49 +68,62 @@ def sum_within(left: DataFrame, right: DataFrame, radius: float, sums: dict[str,
     return joined.select(*left.columns, *[F.coalesce(k, F.lit(0)).alias(k) for k in sums])
 
 
-def nearest_k(left: DataFrame, right: DataFrame, k: int, *, by: Sequence[str] = (), base: float = 250.0,
-              extent: float | None = None, left_key: str = "id", right_key: str = "poi_id",
-              skip_same: bool = False) -> DataFrame:
-    """The k nearest right points per left row and category ``by``; ties go to the smaller key.
-
-    left: key, x, y. right: key, px, py and the ``by`` columns. Exact for any density: cell
-    counts on a pyramid of cell sizes give, per location, the finest level whose 3×3 block
-    already holds k points; the k-th nearest is then at most the block's diagonal away, which
-    bounds the candidate search two levels up. ``skip_same`` leaves a row's own key out.
-    """
-    by = list(by)
-    need = k + 1 if skip_same else k
+def _pyramid_sizes(left: DataFrame, right: DataFrame, base: float, extent: float | None) -> list[float]:
+    """Cell sizes doubling from ``base`` until one cell spans everything."""
     if extent is None:
         spans = [df.agg(F.min(a), F.max(a), F.min(b), F.max(b)).first()
                  for df, a, b in ((left, "x", "y"), (right, "px", "py"))]
-        if any(v is None for s in spans for v in s):
-            extent = base
-        else:
-            extent = max(max(s[1] for s in spans) - min(s[0] for s in spans),
-                         max(s[3] for s in spans) - min(s[2] for s in spans))
+        known = [s for s in spans if s[0] is not None]
+        extent = max([base] + [max(s[i + 1] for s in known) - min(s[i] for s in known) for i in (0, 2) if known])
     top = max(0, math.ceil(math.log2(max(extent, base) / base)))
-    sizes = [base * 2**j for j in range(top + 1)]
-    size_of = F.get(F.array(*[F.lit(s) for s in sizes]), F.col("_level"))
+    return [base * 2**j for j in range(top + 1)]
 
-    at_spot = Window.partitionBy(*by, "px", "py").orderBy(right_key)
-    kept = right.withColumn("_n", F.row_number().over(at_spot)).where(F.col("_n") <= need).drop("_n")
+
+def _candidates(spots: DataFrame, points: DataFrame, by: Sequence[str], sizes: Sequence[float],
+                need: Column, weight: Column) -> DataFrame:
+    """Per spot (x, y, need columns): every point that can be among its ``need`` nearest.
+
+    Cell counts on a pyramid of cell sizes give, per spot, the finest level whose 3×3 block
+    already holds enough points; the farthest needed point is then at most the block's diagonal
+    away, which bounds the candidate search two levels up. Exact for any density.
+    """
+    by, top = list(by), len(sizes) - 1
+    table = F.array(*[F.lit(float(s)) for s in sizes])
+    size_of = F.get(table, F.col("_level"))
     levels = F.explode(F.array(*[F.lit(j) for j in range(top + 1)])).alias("_level")
     cx, cy = _cell("px", "py", size_of)
-    tiled = kept.select("*", levels).withColumn("_cx", cx).withColumn("_cy", cy)
-    counts = tiled.groupBy(*by, "_level", "_cx", "_cy").agg(F.count("*").alias("_n"))
-
-    spots = left.select("x", "y").distinct()
-    blocks = spots.select("x", "y", levels).select("x", "y", "_level", F.inline(_block(F.col("x"), F.col("y"), size_of)))
-    filled = blocks.join(counts, ["_level", "_cx", "_cy"]).groupBy("x", "y", *by, "_level").agg(F.sum("_n").alias("_n"))
-    level = filled.groupBy("x", "y", *by).agg(
+    tiled = points.select("*", levels).withColumn("_cx", cx).withColumn("_cy", cy)
+    counts = tiled.groupBy(*by, "_level", "_cx", "_cy").agg(F.sum(weight).alias("_n"))
+    given = spots.columns
+    blocks = spots.select("*", levels).select("*", F.inline(_block(F.col("x"), F.col("y"), size_of)))
+    shared = [c for c in by if c in given]
+    keys = [*given, *[c for c in by if c not in given]]
+    filled = blocks.join(counts, ["_level", "_cx", "_cy", *shared]).groupBy(*keys, "_level").agg(F.sum("_n").alias("_n"))
+    level = filled.groupBy(*keys).agg(
         F.coalesce(F.min(F.when(F.col("_n") >= need, F.col("_level"))), F.lit(top)).alias("_found"))
-    reach = F.when(F.col("_found") < top, 2 * math.sqrt(2) * F.get(F.array(*[F.lit(s) for s in sizes]), F.col("_found")))
-    search = (level.withColumn("_reach", reach)
-              .withColumn("_level", F.least(F.col("_found") + 2, F.lit(top)))
-              .select("x", "y", *by, "_reach", "_level", F.inline(_block(F.col("x"), F.col("y"), size_of))))
+    reach = F.when(F.col("_found") < top, 2 * math.sqrt(2) * F.get(table, F.col("_found")))
+    search = (level.withColumn("_reach", reach).withColumn("_level", F.least(F.col("_found") + 2, F.lit(top)))
+              .select(*keys, "_reach", "_level", F.inline(_block(F.col("x"), F.col("y"), size_of))))
     found = search.join(tiled, [*by, "_level", "_cx", "_cy"]).withColumn(
         "distance", flat_distance(F.col("x"), F.col("y"), F.col("px"), F.col("py")))
-    found = found.where(F.col("_reach").isNull() | (F.col("distance") <= F.col("_reach") + 1e-6))
+    return found.where(F.col("_reach").isNull() | (F.col("distance") <= F.col("_reach") + 1e-6)).drop(
+        "_reach", "_level", "_cx", "_cy", "_found")
+
+
+def nearest_k(left: DataFrame, right: DataFrame, k: int, *, by: Sequence[str] = (), base: float = 250.0,
+              extent: float | None = None, left_key: str = "id", right_key: str = "poi_id",
+              skip_same: bool = False) -> DataFrame:
+    """The k nearest right points per left row and category ``by``; ties go to the smaller key.
+
+    left: key, x, y. right: key, px, py and the ``by`` columns. Of points at one location only
+    the first k can matter. ``skip_same`` leaves a row's own key out.
+    """
+    by = list(by)
+    need = k + 1 if skip_same else k
+    sizes = _pyramid_sizes(left, right, base, extent)
+    at_spot = Window.partitionBy(*by, "px", "py").orderBy(right_key)
+    kept = right.withColumn("_n", F.row_number().over(at_spot)).where(F.col("_n") <= need).drop("_n")
+    found = _candidates(left.select("x", "y").distinct(), kept, by, sizes, F.lit(need), F.lit(1))
     ranked = Window.partitionBy("x", "y", *by).orderBy("distance", right_key)
     best = (found.withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= need)
             .select("x", "y", *by, "rank", right_key, "distance"))
@@ -122,6 +135,25 @@ def nearest_k(left: DataFrame, right: DataFrame, k: int, *, by: Sequence[str] =
     return out.select(left_key, *by, "rank", right_key, "distance")
 
 
+def nth_distance(left: DataFrame, right: DataFrame, *, by: Sequence[str], base: float = 250.0,
+                 extent: float | None = None, left_key: str = "id") -> DataFrame:
+    """Distance to the n-th nearest right point, n given per left row and category (column ``n``).
+
+    n is capped at the points there are; rows with n < 1 have no distance and are left out.
+    """
+    by = list(by)
+    sizes = _pyramid_sizes(left, right, base, extent)
+    held = right.groupBy(*by, "px", "py").agg(F.count("*").alias("_w"))
+    total = held.groupBy(*by).agg(F.sum("_w").alias("_total"))
+    asked = left.where("n >= 1").join(total, by).withColumn("n", F.least("n", "_total"))
+    spots = asked.select("x", "y", *by, "n").distinct()
+    found = _candidates(spots, held, by, sizes, F.col("n"), F.col("_w"))
+    run = Window.partitionBy("x", "y", *by, "n").orderBy("distance").rangeBetween(Window.unboundedPreceding, 0)
+    reached = found.withColumn("_cum", F.sum("_w").over(run)).where(F.col("_cum") >= F.col("n"))
+    best = reached.groupBy("x", "y", *by, "n").agg(F.min("distance").alias("distance"))
+    return asked.join(best, ["x", "y", *by, "n"]).select(left_key, *by, "n", "distance")
+
+
 def nearest_centre(points: DataFrame, centres: DataFrame, max_distance: float, *,
                    point_key: str = "id", centre_key: str = "hex_id") -> DataFrame:
     """(point, centre, distance) of the nearest centre within ``max_distance``; NULL centre when none.
