@@ -174,3 +174,22 @@ def row_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     starts = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     return (placed.withColumn("_pid", pid).join(starts, "_pid")
             .select(*df.columns, (F.col("_start") + F.col("_mid").bitwiseAND((1 << 33) - 1)).alias(name)))
+
+
+def forward_fill(df: DataFrame, part: Sequence[str], order: str, column: str, name: str,
+                 *, chunk: int = 65_536) -> DataFrame:
+    """Adds ``name``: the last non-NULL ``column`` up to and including each row along ``order``.
+
+    Rows are filled inside chunks of ``chunk`` order units; the value to start a chunk with is
+    carried over from the one-row-per-chunk table, so long sequences spread over tasks.
+    """
+    part = list(part)
+    cut = df.withColumn("_chunk", F.floor(F.col(order) / chunk))
+    ends = cut.where(F.col(column).isNotNull()).groupBy(*part, "_chunk").agg(F.max_by(column, order).alias("_last"))
+    chunks = cut.select(*part, "_chunk").distinct().join(ends, [*part, "_chunk"], "left")
+    earlier = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carry = chunks.select(*part, "_chunk", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    inside = Window.partitionBy(*part, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    filled = cut.withColumn("_here", F.last(column, ignorenulls=True).over(inside))
+    out = filled.join(carry, [*part, "_chunk"])
+    return out.select(*df.columns, F.coalesce("_here", "_carry").alias(name))
