@@ -1 +1,175 @@
-"""Placeholder."""
+"""Timetable travel time, scenario, isochrone and headway queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from reachgrid.operators import access, scenario, timetable
+from reachgrid.plans.feeds import line_stops, line_times, line_trips
+from reachgrid.plans.registry import query
+from reachgrid.plans.views import SQL_VIEWS
+
+STARTS = (25200, 25800, 26400)
+LIMITS = timetable.Limits(walk_speed=1.0, max_walk=1800, max_transfer=900, max_trip=3600, max_rides=2)
+SQL_VIEWS["v_places"] = "SELECT n_nationkey::BIGINT AS id, (n_nationkey::BIGINT * 7919 % 1000) * 30 AS x, (n_nationkey::BIGINT * 104729 % 1000) * 30 AS y FROM nation"
+
+
+def places(d):
+    k = F.col("n_nationkey").cast("bigint")
+    return d.table("nation").select(k.alias("id"), (k * 7919 % 1000 * 30).alias("x"), (k * 104729 % 1000 * 30).alias("y"))
+
+
+_DIST = "sqrt(pow({a}.x - {b}.x, 2) + pow({a}.y - {b}.y, 2))"
+
+
+@query("k02_walk_matrix", f"""
+SELECT p.id AS from_id, t.id AS to_id, ceil({_DIST.format(a='p', b='t')} / 1.0 / 60)::BIGINT AS minutes FROM v_origins p JOIN v_dests t ON {_DIST.format(a='p', b='t')} <= 1800""")
+def walk_matrix(d):
+    out = timetable.walk_matrix(d.origins, d.dests, 1.0, 30)
+    return out.withColumn("minutes", F.col("minutes").cast("bigint"))
+
+
+_ROUND = """
+board{i} AS (SELECT s.id, s.start, c.trip_id, min(c.seq) AS seq FROM state{i} s JOIN v_line_times c ON c.stop_id = s.stop_id AND c.dep >= s.arrival AND c.dep <= s.start + 3600 GROUP BY ALL),
+ride{i} AS (SELECT b.id, b.start, c.stop_id, min(c.arr) AS arrival FROM board{i} b JOIN v_line_times c ON c.trip_id = b.trip_id AND c.seq > b.seq AND c.arr <= b.start + 3600 GROUP BY ALL)"""
+_TIMES = f"""
+starts AS (SELECT unnest([{', '.join(map(str, STARTS))}]) AS start),
+state0 AS (SELECT p.id, start, s.stop_id, start + ceil({_DIST.format(a='p', b='s')}) AS arrival FROM v_places p JOIN v_line_stops s ON {_DIST.format(a='p', b='s')} <= 1800 CROSS JOIN starts),
+{_ROUND.format(i=0).strip()},
+transfer AS (SELECT a.stop_id, b.stop_id AS to_stop, ceil({_DIST.format(a='a', b='b')}) AS walk FROM v_line_stops a JOIN v_line_stops b ON {_DIST.format(a='a', b='b')} <= 900),
+state1 AS (SELECT id, start, stop_id, min(arrival) AS arrival FROM (SELECT * FROM state0 UNION ALL SELECT id, start, to_stop, arrival + walk FROM ride0 JOIN transfer USING (stop_id)) GROUP BY ALL),
+{_ROUND.format(i=1).strip()},
+egress AS (SELECT s.stop_id, p.id AS to_id, ceil({_DIST.format(a='s', b='p')}) AS walk FROM v_line_stops s JOIN v_places p ON {_DIST.format(a='s', b='p')} <= 1800),
+done AS (SELECT id AS from_id, to_id, start, arrival + walk - start AS secs FROM (SELECT * FROM ride0 UNION ALL SELECT * FROM ride1) JOIN egress USING (stop_id)
+         UNION ALL SELECT a.id, b.id, start, ceil({_DIST.format(a='a', b='b')}) FROM v_places a JOIN v_places b ON {_DIST.format(a='a', b='b')} <= 1800 CROSS JOIN starts),
+times AS (SELECT from_id, to_id, start, floor(min(secs) / 60)::BIGINT AS minutes FROM done GROUP BY ALL HAVING min(secs) <= 3600)"""
+
+
+def times(d):
+    stops = line_stops(d).select("stop_id", "x", "y")
+    return timetable.travel_times(places(d), places(d), line_times(d), stops, STARTS, LIMITS)
+
+
+@query("k01_timetable_times", f"WITH {_TIMES.strip()} SELECT from_id, to_id, start::BIGINT AS start, minutes FROM times")
+def timetable_times(d):
+    return times(d).select("from_id", "to_id", F.col("start").cast("bigint").alias("start"), F.col("minutes").cast("bigint").alias("minutes"))
+
+
+@query("k01_timetable_percentiles", f"""
+WITH {_TIMES.strip()}, f AS (SELECT p.from_id, p.to_id, s.start, coalesce(t.minutes, 9999) AS m FROM (SELECT DISTINCT from_id, to_id FROM times) p CROSS JOIN starts s LEFT JOIN times t USING (from_id, to_id, start)),
+l AS (SELECT from_id, to_id, list_sort(list(m)) AS m FROM f GROUP BY ALL)
+SELECT from_id, to_id, CASE WHEN m[2] <= 60 THEN m[2] END AS travel_time_p50, CASE WHEN m[3] <= 60 THEN m[3] END AS travel_time_p85 FROM l""")
+def timetable_percentiles(d):
+    window = timetable.all_departures(times(d), STARTS)
+    out = access.percentile_matrix(window.select("from_id", "to_id", "minutes"), [50, 85], max_trip=60)
+    return out.select("from_id", "to_id", *[F.col(c).cast("bigint").alias(c) for c in out.columns[2:]])
+
+
+# --- scenario ----------------------------------------------------------------------------------
+
+SQL_VIEWS["v_hop_times"] = """
+    SELECT trip_id, seq, stop_id, sum(hop + 20) OVER (PARTITION BY trip_id ORDER BY seq) - 20 AS arr FROM (
+      SELECT trip_id, seq, stop_id, coalesce(round((arr - lag(dep) OVER w) / 0.8)::BIGINT, arr) AS hop FROM v_line_times JOIN v_trips USING (trip_id) WHERE route_id < 10 WINDOW w AS (PARTITION BY trip_id ORDER BY seq))"""
+
+
+@query("k03_scale_speed", """
+SELECT trip_id, seq, stop_id, arr::BIGINT AS arr, (arr + 20)::BIGINT AS dep FROM v_hop_times
+UNION ALL SELECT trip_id, seq, stop_id, arr, dep FROM v_line_times JOIN v_trips USING (trip_id) WHERE route_id >= 10""")
+def scale_speed(d):
+    slow = line_trips(d).where("route_id < 10").select("route_id").distinct()
+    return scenario.scale_speed(line_times(d), line_trips(d), slow, 0.8)
+
+
+@query("k03_remove_routes", "SELECT route_id, count(*) AS trips FROM v_trips WHERE route_id % 3 <> 0 GROUP BY route_id")
+def remove_routes(d):
+    gone = line_trips(d).where("route_id % 3 = 0").select("route_id").distinct()
+    return scenario.remove_routes(line_trips(d), gone).groupBy("route_id").agg(F.count("*").alias("trips"))
+
+
+# Routes of this query serve stops by position only, so trips with equally many stops share a pattern.
+_HEAD = """
+st AS (SELECT trip_id, seq, seq AS stop_id, arr, arr + 20 AS dep FROM v_stop_times),
+p AS (SELECT trip_id, count(*) AS n, arg_min(dep, seq) AS start FROM st GROUP BY trip_id),
+m AS (SELECT t.route_id, t.direction_id, t.trip_id, p.n, p.start FROM v_trips t JOIN p USING (trip_id) WHERE route_id < 8),
+sz AS (SELECT route_id, direction_id, n, count(*) AS k, min(start * 10000000 + trip_id) AS f FROM m GROUP BY ALL)"""
+
+
+@query("k03_set_headway", f"""
+WITH {_HEAD.strip()},
+kept AS (SELECT t.route_id, t.trip_id FROM v_trips t LEFT JOIN m USING (trip_id) WHERE m.trip_id IS NULL OR NOT (m.start >= 25200 AND m.start < 32400)),
+lines AS (SELECT route_id, direction_id, max(k) AS top FROM sz GROUP BY ALL)
+SELECT route_id, sum(n)::BIGINT AS trips FROM (SELECT route_id, 1 AS n FROM kept UNION ALL SELECT route_id, 12 FROM lines) GROUP BY route_id""")
+def set_headway(d):
+    """Ten-minute headway from 07:00 to 09:00 on the first eight routes: trips per route afterwards."""
+    by_position = line_times(d).withColumn("stop_id", F.col("seq"))
+    routes = line_trips(d).where("route_id < 8").select("route_id").distinct()
+    trips, _ = scenario.set_headway(by_position, line_trips(d), routes, 600, "07:00", "09:00")
+    return trips.groupBy("route_id").agg(F.count("*").alias("trips"))
+
+
+_HAV = "2 * 6371008.8 * asin(sqrt(pow(sin(radians(lat2 - lat1) / 2), 2) + cos(radians(lat1)) * cos(radians(lat2)) * pow(sin(radians(lon2 - lon1) / 2), 2)))"
+
+
+@query("k03_add_lines", f"""
+WITH l AS (SELECT s_suppkey AS line_id, s_nationkey, lon AS lon1, lat AS lat1, lon + 0.01 AS lon2, lat + 0.005 AS lat2 FROM supplier JOIN v_dests ON id = s_suppkey),
+h AS (SELECT *, greatest(1, round_even({_HAV} / (25.0 / 3.6), 0))::BIGINT AS hop FROM l),
+r AS (SELECT h.*, unnest(range(21600, 25200, 900)) AS t FROM h)
+SELECT line_id, dir AS direction_id, seq, line_id || '#' || CASE WHEN dir = 0 THEN seq - 1 ELSE 2 - seq END AS stop_id, count(*) AS runs, min(t + (seq - 1) * (hop + 30))::BIGINT AS first_arr, max(t + (seq - 1) * (hop + 30) + 30)::BIGINT AS last_dep
+FROM r CROSS JOIN (VALUES (0), (1)) dd(dir) CROSS JOIN (VALUES (1), (2)) ss(seq) GROUP BY ALL""")
+def add_lines(d):
+    """A two-stop line from every facility, a repeated vertex merged, every 15 minutes for an hour."""
+    def at(dx, dy):
+        return F.struct((F.col("lon") + dx).alias("lon"), (F.col("lat") + dy).alias("lat"))
+    lines = d.dests.select(F.col("id").alias("line_id"), F.array(at(0.0, 0.0), at(0.0, 0.0), at(0.01, 0.005)).alias("vertices"),
+                           F.lit(25.0).alias("speed_kmh"), F.lit(30).alias("dwell"), F.lit(900).alias("headway"),
+                           F.lit(21600).alias("start"), F.lit(25200).alias("end"))
+    _, calls = scenario.add_lines(lines)
+    return calls.groupBy("line_id", "direction_id", "seq", "stop_id").agg(
+        F.count("*").alias("runs"), F.min("arr").cast("bigint").alias("first_arr"), F.max("dep").cast("bigint").alias("last_dep"))
+
+
+@query("a13_a14_scenario_modifications", """
+WITH f AS (SELECT s_suppkey, CASE s_suppkey % 4 WHEN 0 THEN 'easy-remove-routes' WHEN 1 THEN 'easy-adjust-speed' WHEN 2 THEN 'teleport' END AS type,
+  '{"id": "' || s_name || '", "modifications": [' || CASE s_suppkey % 4 WHEN 0 THEN '{"type": "easy-remove-routes", "routes": ["' || s_nationkey || '"]}' WHEN 1 THEN '{"type": "easy-adjust-speed", "scale": 0.8}' WHEN 2 THEN '{"type": "teleport"}' ELSE '' END || ']}' AS body FROM supplier)
+SELECT s_suppkey || '.json:' || substr(sha256(body), 1, 8) AS label, type, CASE WHEN type IS NULL THEN 'no modifications' WHEN type = 'teleport' THEN 'unknown type' END AS problem FROM f""")
+def scenario_modifications(d):
+    k = F.col("s_suppkey")
+    part = (F.when(k % 4 == 0, F.concat(F.lit('{"type": "easy-remove-routes", "routes": ["'), F.col("s_nationkey").cast("string"), F.lit('"]}')))
+            .when(k % 4 == 1, '{"type": "easy-adjust-speed", "scale": 0.8}').when(k % 4 == 2, '{"type": "teleport"}').otherwise(""))
+    body = F.concat(F.lit('{"id": "'), "s_name", F.lit('", "modifications": ['), part, F.lit("]}"))
+    files = d.table("supplier").select(F.concat(k.cast("string"), F.lit(".json")).alias("file"), body.alias("body"))
+    files = files.withColumn("label", scenario.run_label(F.col("file"), F.col("body").cast("binary")))
+    return scenario.modifications(files).select("label", "type", "problem")
+
+
+# --- isochrones, headways, sweeps ---------------------------------------------------------------
+
+@query("k05_isochrones", f"""
+WITH b AS (SELECT min(x) - 9000 AS x0, min(y) - 9000 AS y0, max(x) + 9000 AS x1, max(y) + 9000 AS y1 FROM v_places),
+c AS (SELECT x0 + i * 500 AS x, y0 + j * 500 AS y FROM b, LATERAL (SELECT unnest(range(0, floor((x1 - x0) / 500)::BIGINT + 1)) AS i), LATERAL (SELECT unnest(range(0, floor((y1 - y0) / 500)::BIGINT + 1)) AS j)),
+t AS (SELECT p.id AS from_id, ceil({_DIST.format(a='p', b='c')} / 2.0 / 60) AS minutes FROM v_places p JOIN c ON {_DIST.format(a='p', b='c')} <= 1200)
+SELECT from_id, cutoff::BIGINT AS cutoff, count(*) AS cells, count(*) * 250000.0::DOUBLE AS area FROM t JOIN (VALUES (3), (6), (10)) k(cutoff) ON minutes <= cutoff GROUP BY ALL""")
+def isochrones(d):
+    """Walking isochrones of every nation centre on a 500 m grid."""
+    cells = timetable.isochrone_cells(places(d), 500.0, [3, 6, 10])
+    minutes = timetable.walk_matrix(places(d), cells.withColumnRenamed("cell", "id"), 2.0, 10)
+    out = timetable.isochrones(minutes, [3, 6, 10], 500.0 * 500.0)
+    return out.withColumn("cutoff", F.col("cutoff").cast("bigint"))
+
+
+@query("k06_headway_draws", """
+WITH f AS (SELECT o_orderkey AS trip_id, 25200 AS a, 25200 + 1800 + o_custkey % 1800 AS b, 300 + o_custkey % 600 AS h FROM orders),
+g AS (SELECT f.*, unnest([1, 2, 3]) AS draw FROM f), s AS (SELECT *, a + ('0x' || substr(md5(trip_id || '/' || draw), 1, 8))::BIGINT % h AS first FROM g)
+SELECT draw, count(*) AS departures, sum(dep)::BIGINT AS dep_sum, count(DISTINCT trip_id) AS trips FROM (SELECT trip_id, draw, unnest(range(first, b, h)) AS dep FROM s WHERE first < b) GROUP BY draw""")
+def headway_draws(d):
+    k = F.col("o_custkey")
+    freq = d.table("orders").select(F.col("o_orderkey").alias("trip_id"), F.lit(25200).cast("bigint").alias("start"),
+                                    (25200 + 1800 + k % 1800).alias("end"), (300 + k % 600).alias("headway"))
+    out = timetable.headway_draws(freq, 3)
+    return out.groupBy("draw").agg(F.count("*").alias("departures"), F.sum("dep").alias("dep_sum"), F.count_distinct("trip_id").alias("trips"))
+
+
+@query("k07_case_sweep", "SELECT case_id, opportunity, cutoff, sum(acc)::BIGINT AS reached, count(*) AS cells FROM v_acc GROUP BY ALL")
+def case_sweep(d):
+    """Every case in one job: the case is a key column of matrix and origins."""
+    return d.acc.groupBy("case_id", "opportunity", "cutoff").agg(F.sum("acc").alias("reached"), F.count("*").alias("cells"))
