@@ -60,7 +60,7 @@ def scale_speed(stop_times: DataFrame, trips: DataFrame, routes: DataFrame, scal
     hop = F.when(F.col("dep_before").isNull(), F.col("arr")).otherwise(F.round((F.col("arr") - F.col("dep_before")) / scale))
     dwell = F.col("dep") - F.col("arr")
     moved = running_totals(prev.select("trip_id", "seq", "stop_id", hop.cast("bigint").alias("hop"), dwell.alias("dwell")),
-                           ["trip_id"], "seq", {"end": F.col("hop") + F.col("dwell")}, small_domain=True)
+                           ["trip_id"], "seq", {"end": F.col("hop") + F.col("dwell")})
     changed = moved.select("trip_id", "seq", "stop_id", (F.col("end") - F.col("dwell")).alias("arr"), F.col("end").alias("dep"))
     kept = stop_times.join(chosen, "trip_id", "left_anti").select("trip_id", "seq", "stop_id", F.col("arr").cast("bigint").alias("arr"),
                                                                   F.col("dep").cast("bigint").alias("dep"))
