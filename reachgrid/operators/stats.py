@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import math
-import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -218,29 +217,51 @@ def morans_i(values: DataFrame, graph: DataFrame, k: int, by: Sequence[str] = ()
     return out.drop("_one")
 
 
+def _shuffled(i: Column, perm: Column, n: int, seed: int, rounds: int = 6) -> Column:
+    """Position of row ``i`` in shuffle ``perm``: a bijection of 0..n-1 computed from the row alone.
+
+    The index is split into two digits that are shifted in turn by a hash of the other one. Digit
+    pairs beyond n are shuffled again until they fall inside (rare: fewer than √n of n pairs).
+    """
+    a = math.isqrt(n - 1) + 1
+    b = -(-n // a)
+    def once(x: Column) -> Column:
+        left, right = F.floor(x / b), x % b
+        for r in range(rounds):
+            if r % 2 == 0:
+                left = F.pmod(left + F.pmod(F.xxhash64(F.lit(seed), perm, F.lit(r), right), F.lit(a)), F.lit(a))
+            else:
+                right = F.pmod(right + F.pmod(F.xxhash64(F.lit(seed), perm, F.lit(r), left), F.lit(b)), F.lit(b))
+        return left * b + right
+    tries = F.sequence(F.lit(1), F.lit(24))
+    found = F.aggregate(tries, once(i).cast("bigint"), lambda x, _: F.when(x < n, x).otherwise(once(x).cast("bigint")))
+    return F.when(found < n, found).otherwise(F.raise_error(F.lit("shuffle did not settle")).cast("bigint"))
+
+
 def moran_p_value(values: DataFrame, graph: DataFrame, k: int, permutations: int = 299, seed: int = 42) -> DataFrame:
     """One row (i, p): share of shuffled maps with |I| at least the observed one.
 
-    A shuffle maps row index j to (a·j + b) mod n with a coprime to n, so every permutation is a
-    plain equi-join on the index: nothing is sorted per permutation.
+    Each shuffle is a plain equi-join on the row index; nothing is sorted per permutation. A row's
+    shuffled values then travel as one array, so the graph is joined once for all permutations.
     """
-    indexed = row_index(values.select("id", "v"), "id")
+    mean = values.agg(F.avg("v")).scalar()
+    indexed = row_index(values.select("id", (F.col("v") - mean).alias("z")), "id")
     n = indexed.count()
-    rng = random.Random(seed)
-    shuffles = []
-    while n > 2 and len(shuffles) < permutations:
-        a = rng.randrange(1, n)
-        if math.gcd(a, n) == 1:
-            shuffles.append((a, rng.randrange(n)))
-    spec = F.array(*[F.struct(F.lit(p).alias("perm"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-                     for p, (a, b) in enumerate(shuffles)])
-    aimed = indexed.select("id", "idx", F.inline(spec)).select(
-        "perm", "id", ((F.col("a") * F.col("idx") + F.col("b")) % n).alias("idx"))
-    shuffled = aimed.join(indexed.select("idx", "v"), "idx").select("perm", "id", "v")
-    drawn = morans_i(shuffled, graph, k, ["perm"])
-    observed = morans_i(values, graph, k)
-    at_least = F.count_if(F.abs("i") >= F.abs(observed.select("i").scalar()))
-    return drawn.agg(((at_least + 1) / (F.count("*") + 1)).alias("p")).withColumn("i", observed.select("i").scalar())
+    perms = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")
+    aimed = indexed.select("id", "idx", perms).select("perm", "id", _shuffled(F.col("idx"), F.col("perm"), n, seed).alias("idx"))
+    drawn = aimed.join(indexed.select("idx", "z"), "idx").groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("perm", "z"))).alias("_d"))
+    arrays = drawn.join(indexed.select("id", "z"), "id").select(
+        "id", F.concat(F.array("z"), F.transform("_d", lambda s: s["z"])).alias("zs"))
+    near = graph.select("id", "other").join(arrays, "id").join(
+        arrays.select(F.col("id").alias("other"), F.col("zs").alias("zo")), "other")
+    products = near.select(F.posexplode(F.zip_with("zs", "zo", lambda a, b: a * b)).alias("perm", "cross"))
+    square = indexed.agg(F.sum(F.col("z") * F.col("z"))).scalar()
+    each = products.groupBy("perm").agg((F.sum("cross") / k / square).alias("i"))
+    observed = F.max(F.when(F.col("perm") == 0, F.col("i")))
+    drawn_i = each.agg(observed.alias("i"), F.collect_list(F.when(F.col("perm") > 0, F.abs("i"))).alias("_all"))
+    at_least = F.size(F.filter("_all", lambda x: x >= F.abs("i")))
+    return drawn_i.select("i", ((at_least + 1) / (permutations + 1)).alias("p"))
 
 
 # --- distance profiles ---------------------------------------------------------------------
