@@ -87,34 +87,38 @@ def adaptive_median(cells: DataFrame, points: DataFrame, *, value: str, distinct
     """
     by = list(by)
     start, step = radii[0], radii[1] - radii[0] if len(radii) > 1 else 1
-    extra = [c for c in (distinct, flag) if c]
-    held = points.groupBy(*by, "px", "py", value, *extra).agg(F.count("*").alias("_m"))
-    near = pairs_within(cells.select("hex_id", "x", "y"), held, radii[-1])
-    ring = F.greatest(F.lit(0), F.ceil((F.col("distance") - start) / step)).cast("int")
-    near = near.withColumn("_ring", ring)
-    keys = [*by, "hex_id"]
-    per_ring = near.groupBy(*keys, "_ring").agg(F.sum("_m").alias("_n"))
+    place = [*by, "px", "py"]
+    spots = cells.select(F.col("x").alias("_x"), F.col("y").alias("_y")).distinct()
+    spot = ["_x", "_y", *by]
+    # The radius is settled on places and their counts; values join only inside the radius used.
+    places = points.groupBy(*place).agg(F.count("*").alias("_m"))
+    near = pairs_within(spots, places, radii[-1], left_xy=("_x", "_y"))
+    near = near.withColumn("_ring", F.greatest(F.lit(0), F.ceil((F.col("distance") - start) / step)).cast("int"))
+    per_ring = near.groupBy(*spot, "_ring").agg(F.sum("_m").alias("_n"))
     if distinct:
-        first = near.groupBy(*keys, distinct).agg(F.min("_ring").alias("_ring"))
-        kinds = first.groupBy(*keys, "_ring").agg(F.count("*").alias("_d"))
-        per_ring = per_ring.join(kinds, [*keys, "_ring"], "left").fillna(0)
+        kinds = points.select(*place, distinct).distinct()
+        first = near.select(*spot, "px", "py", "_ring").join(kinds, place).groupBy(*spot, distinct).agg(F.min("_ring").alias("_ring"))
+        per_ring = per_ring.join(first.groupBy(*spot, "_ring").agg(F.count("*").alias("_d")), [*spot, "_ring"], "left").fillna(0)
     else:
         per_ring = per_ring.withColumn("_d", F.col("_n"))
-    run = Window.partitionBy(*keys).orderBy("_ring").rowsBetween(Window.unboundedPreceding, 0)  # one row per radius
-    filled = per_ring.select(*keys, "_ring", F.sum("_n").over(run).alias("n"), F.sum("_d").over(run).alias("n_distinct"))
+    run = Window.partitionBy(*spot).orderBy("_ring").rowsBetween(Window.unboundedPreceding, 0)  # one row per radius
+    filled = per_ring.select(*spot, "_ring", F.sum("_n").over(run).alias("n"), F.sum("_d").over(run).alias("n_distinct"))
     enough = filled.where((F.col("n") >= min_n) & (F.col("n_distinct") >= min_distinct))
-    chosen = enough.groupBy(*keys).agg(F.min(F.struct("_ring", "n", "n_distinct")).alias("c")).select(
-        *keys, F.col("c._ring").alias("_used"), F.col("c.n").alias("n"), F.col("c.n_distinct").alias("n_distinct"))
+    chosen = enough.groupBy(*spot).agg(F.min(F.struct("_ring", "n", "n_distinct")).alias("c")).select(
+        *spot, F.col("c._ring").alias("_used"), F.col("c.n").alias("n"), F.col("c.n_distinct").alias("n_distinct"))
     chosen = chosen.withColumn("radius", F.lit(start) + F.col("_used") * step)
-    used = near.join(chosen.select(*keys, "_used", "radius"), keys).where("_ring <= _used").withColumn(
-        "_w", F.col("_m") * (1 - (1 - edge_weight) * F.col("distance") / F.col("radius")))
-    median = weighted_quantiles(used, keys, value, "_w", {"median": 0.5}, slack=1e-9, total="_weight")
-    out = chosen.join(median.select(*keys, "median"), keys)
-    columns = [*keys, "median", "radius", "n", "n_distinct"]
+    inside = near.join(chosen.select(*spot, "_used", "radius"), spot).where("_ring <= _used").select(
+        *spot, "px", "py", (1 - (1 - edge_weight) * F.col("distance") / F.col("radius")).alias("_share"))
+    held = points.groupBy(*place, value, *([flag] if flag else [])).agg(F.count("*").alias("_m"))
+    used = inside.join(held, place).withColumn("_w", F.col("_m") * F.col("_share"))
+    median = weighted_quantiles(used, spot, value, "_w", {"median": 0.5}, slack=1e-9, total="_weight")
+    out = chosen.join(median.select(*spot, "median"), spot)
+    columns = ["median", "radius", "n", "n_distinct"]
     if flag:
-        marked = used.groupBy(*keys).agg((F.sum(F.when(F.col(flag), F.col("_w")).otherwise(0)) > F.sum("_w") / 2).alias("flagged"))
-        out, columns = out.join(marked, keys), [*columns, "flagged"]
-    return out.select(*columns)
+        marked = used.groupBy(*spot).agg((F.sum(F.when(F.col(flag), F.col("_w")).otherwise(0)) > F.sum("_w") / 2).alias("flagged"))
+        out, columns = out.join(marked, spot), [*columns, "flagged"]
+    at = cells.select("hex_id", F.col("x").alias("_x"), F.col("y").alias("_y"))
+    return at.join(out, ["_x", "_y"]).select(*by, "hex_id", *columns)
 
 
 def hide_uninhabited(prices: DataFrame, footprint: DataFrame, min_footprint: float) -> DataFrame:

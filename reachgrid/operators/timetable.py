@@ -122,10 +122,9 @@ def travel_times(origins: DataFrame, destinations: DataFrame, stop_times: DataFr
     near = pairs_within(stops.select("stop_id", "x", "y"), stops.select(F.col("stop_id").alias("to_stop"), F.col("x").alias("px"), F.col("y").alias("py")),
                         limits.walk_speed * limits.max_transfer)
     transfers = near.select("stop_id", "to_stop", walk_seconds(F.col("distance"), limits.walk_speed).alias("walk"))
-    calls = stop_times.select("trip_id", "seq", "stop_id", "arr", "dep")
-    boarding = (calls.join(boarding_lanes(calls), "trip_id").select("trip_id", "lane", "seq", "stop_id", "dep")
-                .withColumn("_bucket", F.floor(F.col("dep") / BUCKET)))
-    boarding = checkpoint(boarding)
+    calls = checkpoint(stop_times.select("trip_id", "seq", "stop_id", "arr", "dep"))
+    boarding = checkpoint(calls.join(boarding_lanes(calls), "trip_id").select("trip_id", "lane", "seq", "stop_id", "dep")
+                          .withColumn("_bucket", F.floor(F.col("dep") / BUCKET)))
 
     known = checkpoint(known)
     frontier, alighted = known, None
