@@ -12,6 +12,7 @@ from reachgrid.functions.geo import flat_distance
 from reachgrid.functions.scale import (
     fraction, group_quantiles, half_even, linear, row_index, running_totals)
 from reachgrid.operators.lines import weighted_centroid
+from reachgrid.session import checkpoint
 
 
 def has_access(c: Column) -> Column:
@@ -217,25 +218,33 @@ def morans_i(values: DataFrame, graph: DataFrame, k: int, by: Sequence[str] = ()
     return out.drop("_one")
 
 
-def _shuffled(i: Column, perm: Column, n: int, seed: int, rounds: int = 6) -> Column:
-    """Position of row ``i`` in shuffle ``perm``: a bijection of 0..n-1 computed from the row alone.
+def shuffle_positions(df: DataFrame, index: str, perm: str, n: int, name: str, seed: int = 42, rounds: int = 6) -> DataFrame:
+    """Adds ``name``: the row's position in shuffle ``perm``, a bijection of 0..n-1 computed from the row alone.
 
     The index is split into two digits that are shifted in turn by a hash of the other one. Digit
     pairs beyond n are shuffled again until they fall inside (rare: fewer than √n of n pairs).
     """
     a = math.isqrt(n - 1) + 1
     b = -(-n // a)
+    def shifted(r: int, left: Column, right: Column) -> tuple[Column, Column]:
+        fixed, moved, size = (right, left, a) if r % 2 == 0 else (left, right, b)
+        drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(perm), F.lit(r), fixed), F.lit(size))
+        out = F.pmod(moved + drawn, F.lit(size)).cast("bigint")
+        return (out, right) if r % 2 == 0 else (left, out)
+    step = df.select("*", F.floor(F.col(index) / b).alias("_l"), (F.col(index) % b).cast("bigint").alias("_r"))
+    for r in range(rounds):  # one projection per round keeps each hash evaluated once
+        left, right = shifted(r, F.col("_l"), F.col("_r"))
+        step = step.withColumn("_l" if r % 2 == 0 else "_r", left if r % 2 == 0 else right)
     def once(x: Column) -> Column:
-        left, right = F.floor(x / b), x % b
+        left, right = F.floor(x / b), (x % b).cast("bigint")
         for r in range(rounds):
-            if r % 2 == 0:
-                left = F.pmod(left + F.pmod(F.xxhash64(F.lit(seed), perm, F.lit(r), right), F.lit(a)), F.lit(a))
-            else:
-                right = F.pmod(right + F.pmod(F.xxhash64(F.lit(seed), perm, F.lit(r), left), F.lit(b)), F.lit(b))
-        return left * b + right
-    tries = F.sequence(F.lit(1), F.lit(24))
-    found = F.aggregate(tries, once(i).cast("bigint"), lambda x, _: F.when(x < n, x).otherwise(once(x).cast("bigint")))
-    return F.when(found < n, found).otherwise(F.raise_error(F.lit("shuffle did not settle")).cast("bigint"))
+            left, right = shifted(r, left, right)
+        return (left * b + right).cast("bigint")
+    x = F.col("_l") * b + F.col("_r")
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(24)), x, lambda v, _: F.when(v < n, v).otherwise(once(v)))
+    settled = F.when(x < n, x).otherwise(again)
+    return step.withColumn(name, settled).withColumn(name, F.when(F.col(name) < n, F.col(name)).otherwise(
+        F.raise_error(F.lit("shuffle did not settle")).cast("bigint"))).drop("_l", "_r")
 
 
 def moran_p_value(values: DataFrame, graph: DataFrame, k: int, permutations: int = 299, seed: int = 42) -> DataFrame:
@@ -248,11 +257,11 @@ def moran_p_value(values: DataFrame, graph: DataFrame, k: int, permutations: int
     indexed = row_index(values.select("id", (F.col("v") - mean).alias("z")), "id")
     n = indexed.count()
     perms = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")
-    aimed = indexed.select("id", "idx", perms).select("perm", "id", _shuffled(F.col("idx"), F.col("perm"), n, seed).alias("idx"))
-    drawn = aimed.join(indexed.select("idx", "z"), "idx").groupBy("id").agg(
+    aimed = shuffle_positions(indexed.select("id", F.col("idx").alias("from"), perms), "from", "perm", n, "idx", seed)
+    drawn = aimed.select("perm", "id", "idx").join(indexed.select("idx", "z"), "idx").groupBy("id").agg(
         F.sort_array(F.collect_list(F.struct("perm", "z"))).alias("_d"))
-    arrays = drawn.join(indexed.select("id", "z"), "id").select(
-        "id", F.concat(F.array("z"), F.transform("_d", lambda s: s["z"])).alias("zs"))
+    arrays = checkpoint(drawn.join(indexed.select("id", "z"), "id").select(
+        "id", F.concat(F.array("z"), F.transform("_d", lambda s: s["z"])).alias("zs")))
     near = graph.select("id", "other").join(arrays, "id").join(
         arrays.select(F.col("id").alias("other"), F.col("zs").alias("zo")), "other")
     products = near.select(F.posexplode(F.zip_with("zs", "zo", lambda a, b: a * b)).alias("perm", "cross"))

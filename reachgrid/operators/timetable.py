@@ -10,7 +10,8 @@ import math
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reachgrid.functions.scale import neighbour
@@ -51,11 +52,10 @@ def walk_matrix(origins: DataFrame, destinations: DataFrame, speed: float, max_m
 def trip_patterns(stop_times: DataFrame) -> DataFrame:
     """(trip_id, pattern, start): trips visiting the same stops in the same order share a pattern.
 
-    The key adds up hashes of (position, stop), so no stop list is ever collected.
+    The key combines hashes of (position, stop), so no stop list is ever collected.
     """
-    # Hashes are cut to 52 bits so that sums of long trips cannot overflow.
-    piece = lambda seed: F.shiftrightunsigned(F.xxhash64(F.lit(seed), "seq", "stop_id"), 12)
-    parts = stop_times.groupBy("trip_id").agg(F.count("*").alias("n"), F.sum(piece(1)).alias("a"), F.sum(piece(2)).alias("b"),
+    piece = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "seq", "stop_id"))
+    parts = stop_times.groupBy("trip_id").agg(F.count("*").alias("n"), piece(1).alias("a"), piece(2).alias("b"),
                                               F.min_by("dep", "seq").alias("start"))
     return parts.select("trip_id", F.concat_ws("-", "n", "a", "b").alias("pattern"), "start")
 
@@ -201,12 +201,11 @@ def headway_draws(frequencies: DataFrame, draws: int) -> DataFrame:
 
 # --- case sweeps ---------------------------------------------------------------------------------
 
-def finished_cases(spark: SparkSession, folder: str, column: str = "scenario") -> set[str]:
-    """Cases already written under ``folder``; the partition column is read from the folder names."""
+def finished_cases(spark: SparkSession, folder: str) -> set[str]:
+    """Cases recorded as complete beside ``folder``: one short name per case."""
     try:
-        found = spark.read.parquet(folder).select(F.col(column).cast("string").alias("c")).distinct()
-        return {r["c"] for r in found.collect()}
-    except Exception:  # nothing written yet
+        return {r["value"] for r in spark.read.text(folder.rstrip("/") + ".done").collect()}
+    except AnalysisException:  # nothing written yet
         return set()
 
 
@@ -214,9 +213,14 @@ def run_cases(spark: SparkSession, cases: Sequence[str], compute: Callable[[list
               column: str = "scenario") -> list[str]:
     """Compute the missing cases in one job and add them as partitions; returns what was computed.
 
-    ``compute`` gets the missing case names and returns one table with the case as a column.
+    ``compute`` gets the missing case names and returns one table with the case as a column. A case
+    counts as finished only after its rows are committed; a broken run is replaced, not added to.
     """
-    missing = [c for c in cases if c not in finished_cases(spark, folder, column)]
+    done = finished_cases(spark, folder)
+    missing = [c for c in cases if c not in done]
     if missing:
-        compute(missing).write.mode("append").partitionBy(column).parquet(folder)
+        (compute(missing).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy(column).parquet(folder))
+        names = spark.createDataFrame([(c,) for c in missing], "value string")
+        names.coalesce(1).write.mode("append").text(folder.rstrip("/") + ".done")
     return missing

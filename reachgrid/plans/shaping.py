@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reachgrid.functions import values
-from reachgrid.functions.values import whole
+from reachgrid.functions.scale import running_totals
 from reachgrid.operators import access
 from reachgrid.plans.registry import query
 from reachgrid.plans.views import CATEGORIES, SERVICES, SQL_VIEWS
@@ -243,12 +243,10 @@ SELECT c_mktsegment AS segment, c_custkey AS id, row_number() OVER w1 AS rn, ran
 FROM customer WINDOW w1 AS (PARTITION BY c_mktsegment ORDER BY c_nationkey, c_custkey), w2 AS (PARTITION BY c_mktsegment ORDER BY c_nationkey)""")
 def average_ranks(d):
     """Ranks from counts per value: rows before the value, plus the place among its ties by id."""
-    from pyspark.sql import Window
-    from reachgrid.functions.scale import running_totals
     people = d.table("customer").select(F.col("c_mktsegment").alias("segment"), F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("v"))
     ties = running_totals(people.groupBy("segment", "v").agg(F.count("*").alias("k")), ["segment"], "v", {"upto": F.col("k")}, small_domain=True)
-    inside = Window.partitionBy("segment", "v").orderBy("id")
-    out = people.join(ties, ["segment", "v"]).withColumn("place", F.row_number().over(inside))
+    placed = running_totals(people, ["segment", "v"], "id", {"place": F.lit(1)}).drop("place_all")
+    out = placed.join(ties, ["segment", "v"])
     before = F.col("upto") - F.col("k")
     return out.select("segment", "id", (before + F.col("place")).alias("rn"), (before + 1).alias("rk"), (before + (F.col("k") + 1) / 2).alias("avg_rank"))
 

@@ -100,7 +100,7 @@ def test_moran_of_a_gradient(spark):
 @pytest.mark.parametrize("n", [2, 3, 7, 100, 1013])
 def test_shuffles_are_permutations(spark, n):
     rows = spark.range(n).select("id", F.explode(F.array(F.lit(1), F.lit(2))).alias("perm"))
-    got = rows.select("perm", "id", stats._shuffled(F.col("id"), F.col("perm"), n, 5).alias("to")).collect()
+    got = stats.shuffle_positions(rows, "id", "perm", n, "to", seed=5).collect()
     for p in (1, 2):
         assert sorted(r.to for r in got if r.perm == p) == list(range(n))
     if n > 100:
