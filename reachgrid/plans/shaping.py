@@ -9,7 +9,7 @@ from reachgrid.functions.scale import running_totals
 from reachgrid.operators import access
 from reachgrid.plans.registry import query
 from reachgrid.plans.views import CATEGORIES, SERVICES, SQL_VIEWS
-from reachgrid.sources import catalogue, tables
+from reachgrid.sources import catalogue, feeds, tables
 
 
 def _text(c):
@@ -91,6 +91,39 @@ def service_lines(d):
     return out.select("from_id", "to_id", "svc_min_c15", "svc_min_c45", lat.alias("lat1"))
 
 
+@query("a06_merge_batches", "SELECT from_id, to_id, tt::BIGINT AS minutes FROM v_matrix")
+def merge_batches(d):
+    """Three batches of origins back into one matrix."""
+    batches = [d.matrix.where(F.col("from_id") % 3 == i) for i in range(3)]
+    return tables.merge_batches(batches).withColumn("minutes", F.col("minutes").cast("bigint"))
+
+
+@query("a01_feed_table", """
+SELECT 'f' || (o_orderkey % 3) AS feed, o_orderkey::VARCHAR AS trip_id, o_orderpriority AS service_id, CASE WHEN o_orderkey % 3 > 0 THEN (o_custkey % 40)::VARCHAR END AS route_id, NULL::VARCHAR AS shape_id FROM orders WHERE o_orderkey % 3 < 2""")
+def feed_table(d):
+    """Decoded archive rows: padded cells, a feed without the route column, another file in between."""
+    k = F.col("o_orderkey")
+    cells = F.create_map(F.lit("service_id"), F.concat(F.lit(" "), "o_orderpriority"), F.lit("trip_id"), F.concat(_text(k), F.lit(" ")))
+    route = F.create_map(F.lit("route_id"), _text(F.col("o_custkey") % 40))
+    rows = d.table("orders").select(F.concat(F.lit("f"), _text(k % 3)).alias("feed"), F.when(k % 3 < 2, "trips.txt").otherwise("stops.txt").alias("file"),
+                                    (k + 1).alias("row_no"), F.when(k % 3 > 0, F.map_concat(cells, route)).otherwise(cells).alias("fields"))
+    return feeds.feed_table(rows, "trips.txt", ["trip_id", "service_id", "route_id", "shape_id"]).drop("row_no")
+
+
+@query("b01_b02_b04_checked_access", """
+SELECT o.id, p.percentile, c.cutoff, count(m.to_id) AS accessibility FROM v_origins o CROSS JOIN (VALUES (50), (85)) p(percentile) CROSS JOIN (VALUES (30), (60)) c(cutoff)
+LEFT JOIN (SELECT from_id, to_id, percentile, tt FROM v_matrix_long JOIN v_dests ON id = to_id WHERE category = 'mall' AND tt <= 60) m ON m.from_id = o.id AND m.percentile = p.percentile AND m.tt < c.cutoff GROUP BY ALL""")
+def checked_access(d):
+    """Arguments as a user types them: percentiles as text, cutoffs unsorted, the trip cap raised to the largest cutoff."""
+    percentiles, cutoffs = values.parse_percentiles("50, 85"), values.check_cutoffs([60, 30, 30])
+    cap = values.trip_cap(45, cutoffs)
+    values.require_columns(d.matrix_wide, [f"travel_time_p{p}" for p in percentiles], "matrix")
+    long = access.matrix_long(d.matrix_wide).where(F.col("minutes") <= cap)
+    malls = d.opps.where("opportunity = 'srv_mall'")
+    out = access.accessibility(long, malls, d.table("customer").select(F.col("c_custkey").alias("id")), ["srv_mall"], percentiles, cutoffs)
+    return out.select("id", "percentile", "cutoff", F.col("accessibility").cast("bigint").alias("accessibility"))
+
+
 # --- catalogue -----------------------------------------------------------------------------------
 
 SQL_VIEWS["v_catalogue"] = """
@@ -238,6 +271,15 @@ def one_hot(d):
 
 # --- scalars, sorts and sets ---------------------------------------------------------------------------
 
+@query("h01_running_population", """
+SELECT opportunity, acc, pop, sum(pop) OVER (PARTITION BY opportunity ORDER BY acc)::BIGINT AS running, sum(pop) OVER (PARTITION BY opportunity)::BIGINT AS total
+FROM (SELECT opportunity, acc, sum(pop)::BIGINT AS pop FROM v_static30 JOIN v_people USING (id) GROUP BY ALL)""")
+def running_population(d):
+    held = (d.acc.where("case_id = 'base' and cutoff = 30").join(d.people.select("id", "pop"), "id")
+            .groupBy("opportunity", "acc").agg(F.sum("pop").alias("pop")))
+    return running_totals(held, ["opportunity"], "acc", {"running": F.col("pop")}).withColumnRenamed("running_all", "total")
+
+
 @query("h03_average_ranks", """
 SELECT c_mktsegment AS segment, c_custkey AS id, row_number() OVER w1 AS rn, rank() OVER w2 AS rk, rank() OVER w2 + (count(*) OVER (PARTITION BY c_mktsegment, c_nationkey) - 1) / 2.0::DOUBLE AS avg_rank
 FROM customer WINDOW w1 AS (PARTITION BY c_mktsegment ORDER BY c_nationkey, c_custkey), w2 AS (PARTITION BY c_mktsegment ORDER BY c_nationkey)""")

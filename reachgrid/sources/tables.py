@@ -60,6 +60,16 @@ def read_batches(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.option("ignoreMissingFiles", "true").csv(pattern, header=True, enforceSchema=False)
 
 
+def merge_batches(batches: Sequence[DataFrame]) -> DataFrame:
+    """Batch tables of one run under each other; every batch must have the same columns."""
+    first, *rest = batches
+    for other in rest:
+        if set(other.columns) != set(first.columns):
+            raise ValueError(f"batch columns differ: {first.columns} and {other.columns}")
+        first = first.unionByName(other)
+    return first
+
+
 def od_lines(pairs: DataFrame, origins: DataFrame, destinations: DataFrame, fields: Sequence[str],
              method: Mapping[str, str] | None = None) -> DataFrame:
     """Straight lines between the ends of each pair as WKT; a pair with an unknown end is left out."""
