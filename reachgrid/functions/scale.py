@@ -40,7 +40,7 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: str,
     in ``sums`` becomes a running column, and ``<name>_all`` holds the group's total.
     ``small_domain`` marks an order column with a fixed small set of values (minutes,
     seconds of a day, counts); then a group is already bounded and one window suffices.
-    Otherwise the table is checkpointed and counted: beyond ``WINDOW_ROWS`` rows every
+    Otherwise the table is written out and counted: beyond ``WINDOW_ROWS`` rows every
     group is cut at approximate quantiles of ``order``, running sums are taken inside the
     ranges, and the totals of earlier ranges are added back.
     """
@@ -153,10 +153,11 @@ def neighbour(df: DataFrame, part: Sequence[str], order: str, columns: Mapping[s
         (F.min_by if step > 0 else F.max_by)("_row", order).alias("_end"))
     across = Window.partitionBy(*part).orderBy("_chunk")
     shift = F.lead if step > 0 else F.lag
-    ends = ends.select(*part, "_chunk", shift("_end").over(across).alias("_end"))
+    # Only chunks that have a neighbouring chunk are kept: for short sequences that is none.
+    ends = ends.select(*part, "_chunk", shift("_end").over(across).alias("_end")).where("_end is not null")
     inside = Window.partitionBy(*part, "_chunk").orderBy(order)
     near = cut.select("*", shift("_row").over(inside).alias("_near"))
-    out = near.join(ends, [*part, "_chunk"])
+    out = near.join(ends, [*part, "_chunk"], "left")
     return out.select(*df.columns, *[
         F.coalesce(F.col("_near")[k], F.col("_end")[k]).alias(k) for k in columns])
 
@@ -188,8 +189,8 @@ def forward_fill(df: DataFrame, part: Sequence[str], order: str, column: str, na
     ends = cut.where(F.col(column).isNotNull()).groupBy(*part, "_chunk").agg(F.max_by(column, order).alias("_last"))
     chunks = cut.select(*part, "_chunk").distinct().join(ends, [*part, "_chunk"], "left")
     earlier = Window.partitionBy(*part).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
-    carry = chunks.select(*part, "_chunk", F.last("_last", ignorenulls=True).over(earlier).alias("_carry"))
+    carry = chunks.select(*part, "_chunk", F.last("_last", ignorenulls=True).over(earlier).alias("_carry")).where("_carry is not null")
     inside = Window.partitionBy(*part, "_chunk").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     filled = cut.withColumn("_here", F.last(column, ignorenulls=True).over(inside))
-    out = filled.join(carry, [*part, "_chunk"])
+    out = filled.join(carry, [*part, "_chunk"], "left")
     return out.select(*df.columns, F.coalesce("_here", "_carry").alias(name))

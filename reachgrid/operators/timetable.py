@@ -110,7 +110,7 @@ def travel_times(origins: DataFrame, destinations: DataFrame, stop_times: DataFr
     """(from_id, to_id, start, minutes) of every reached pair and departure, whole minutes.
 
     Each round is one more ride: board, ride, alight, walk to nearby stops. Only states that got
-    better go on; the state is checkpointed per round, so the plan does not grow.
+    better go on; the state is written out per round, so the plan does not grow.
     """
     starts = F.explode(F.array(*[F.lit(int(t)) for t in departures])).alias("start")
     access = pairs_within(origins.select(F.col("id").alias("from_id"), "x", "y"),

@@ -10,6 +10,7 @@ from reachgrid.operators import feeds, lines, spatial
 from reachgrid.plans.registry import query
 from reachgrid.plans.spatial import matches, polygons
 from reachgrid.plans.views import SQL_VIEWS
+from reachgrid.session import checkpoint
 
 DATE = "2026-01-25"
 
@@ -367,8 +368,8 @@ SQL_VIEWS["v_line_metrics"] = """
     LEFT JOIN (SELECT route_id, count(*) FILTER (f >= 25200 AND f < 32400) / 2.0 AS per_hour FROM v_trips LEFT JOIN (SELECT trip_id, arg_min(dep, seq) AS f FROM v_line_times GROUP BY trip_id) USING (trip_id) GROUP BY route_id) p USING (route_id)"""
 
 
-def line_metrics(d):
-    times, trips, stops = line_times(d), line_trips(d), line_stops(d)
+def line_metrics(d, times=None):
+    times, trips, stops = times or line_times(d), line_trips(d), line_stops(d)
     return (lines.line_length_km(times, trips, stops).join(lines.vehicle_km(times, trips, stops), "route_id", "right")
             .fillna(0, subset=["length_km"]).join(lines.peak_departures(times, trips), "route_id"))
 
@@ -407,9 +408,9 @@ SQL_VIEWS["v_profile"] = f"""
       FROM v_segs JOIN v_trips USING (trip_id) CROSS JOIN v_centre) USING (route_id) GROUP BY r.route_id"""
 
 
-def speed_profile_df(d):
+def speed_profile_df(d, times=None):
     centre = lines.weighted_centroid(d.people, "pop")
-    return lines.speed_profile(lines.segments(line_times(d), line_stops(d)), line_trips(d),
+    return lines.speed_profile(checkpoint(lines.segments(times or line_times(d), line_stops(d))), line_trips(d),
                                (centre.select("lon").scalar(), centre.select("lat").scalar()))
 
 
@@ -430,12 +431,12 @@ SQL_VIEWS["v_line_pop"] = f"""
     LEFT JOIN {_NEAR_POP.format(s='(SELECT * FROM v_served WHERE stop_id IN (SELECT stop_id FROM v_served GROUP BY stop_id HAVING count(*) <= 1))')} b USING (route_id)"""
 
 
-def served(d):
-    return lines.route_stops(line_times(d), line_trips(d)).where("(stop_id * 7 + route_id) % 23 < 5")
+def served(d, times=None):
+    return lines.route_stops(times or line_times(d), line_trips(d)).where("(stop_id * 7 + route_id) % 23 < 5")
 
 
-def line_population(d):
-    stops, near = line_stops(d), served(d)
+def line_population(d, times=None):
+    stops, near = line_stops(d), served(d, times)
     a = lines.population_near(near, stops, d.people)
     b = lines.population_near(lines.exclusive_stops(near), stops, d.people).withColumnRenamed("pop", "pop_exclusive")
     routes = line_trips(d).select("route_id").distinct()
@@ -457,8 +458,8 @@ SQL_VIEWS["v_ranked"] = """
                   FROM (SELECT length_km, row_number() OVER (ORDER BY length_km) - 1 AS i, 3 * (count(*) OVER () + 1) / 4.0 - 1 AS pos FROM v_line_metrics) GROUP BY pos))"""
 
 
-def ranked_lines(d):
-    rows = (line_metrics(d).join(line_population(d), "route_id").join(speed_profile_df(d), "route_id")
+def ranked_lines(d, times):
+    rows = (line_metrics(d, times).join(line_population(d, times), "route_id").join(speed_profile_df(d, times), "route_id")
             .withColumn("slowdown", F.col("outer_kmh") - F.col("inner_kmh")))
     return lines.rank_lines(rows.select("route_id", "length_km", "vehicle_km", "pop", "slowdown"))
 
@@ -467,7 +468,7 @@ def ranked_lines(d):
 SELECT route_id, meets_length::BIGINT AS meets_length, round(p75, 4) AS p75, rank_pop, rank_vehicle_km, rank_slowdown, score::DOUBLE AS score FROM v_ranked""")
 def rank_lines(d):
     long = lambda c: F.col(c).cast("bigint").alias(c)
-    return ranked_lines(d).select("route_id", long("meets_length"), F.round("p75", 4).alias("p75"), long("rank_pop"),
+    return ranked_lines(d, checkpoint(line_times(d))).select("route_id", long("meets_length"), F.round("p75", 4).alias("p75"), long("rank_pop"),
                                   long("rank_vehicle_km"), long("rank_slowdown"), "score")
 
 
@@ -475,8 +476,9 @@ def rank_lines(d):
 WITH p AS (SELECT route_id AS pick FROM v_ranked WHERE meets_length = 1), m AS (SELECT pick, stop_id, count(*) OVER (PARTITION BY pick) AS k FROM p JOIN v_served ON route_id = pick)
 SELECT pick, s.route_id, round(count(*) / any_value(k), 6) AS share FROM m JOIN v_served s ON s.stop_id = m.stop_id AND s.route_id <> pick GROUP BY ALL HAVING count(*) / any_value(k) >= 0.6""")
 def corridor(d):
-    picks = ranked_lines(d).where("meets_length = 1")
-    out = lines.corridor(picks, served(d))
+    times = checkpoint(line_times(d))  # read by every line measure below
+    picks = ranked_lines(d, times).where("meets_length = 1")
+    out = lines.corridor(picks, served(d, times))
     return out.withColumn("share", F.round("share", 6))
 
 
