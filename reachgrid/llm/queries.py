@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachgrid.llm import chat, quality, repeats, secrets
+from reachgrid.llm import chat, index, mixing, quality, repeats, secrets, transducer
 from reachgrid.llm.words import documents
 
 
@@ -15,10 +16,23 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
 
 
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return transducer.token_counts(documents(spark, sf_dir), public_tokenizers.path(transducer.VOCABULARY))
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("_row")
 
 
+def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = index.write_index(documents(spark, sf_dir), public_tokenizers.path(index.VOCABULARY))
+    return index.read_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "copy")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -31,5 +45,5 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_substring_dedup, op6_quality_rules, op9_secret_scan, op10_chat_windows)}
+    op2_substring_dedup, op3_token_counts, op4_source_mixing, op6_quality_rules, op7_token_index, op9_secret_scan, op10_chat_windows)}
 SQL: dict[str, str] = {}
