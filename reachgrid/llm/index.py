@@ -9,6 +9,7 @@ shard's size, and foreign keys are refused by their fingerprint.
 
 from __future__ import annotations
 
+import itertools
 import os
 import uuid
 import zlib
@@ -31,8 +32,11 @@ SHARD_IDS = 2_000_000
 #: Keys that share a seed, on average.
 BUCKET_KEYS = 4
 #: Pieces of text whose ids a worker keeps from block to block.
-CACHED = 400_000
+CACHED = 2_000_000
 #: White space in front of a space: there a cut before the space could part what the tokenizer joins.
+MARK = "\x01"
+#: Places where a distinct piece is cut: behind a word in front of white space, around a line end, and between a letter and punctuation.
+PARTS = (r"([!-~\p{L}])([ \n\t\r])", r"(\n)([!-~\p{L}])", r"(\p{L})([.,;:!?|)\"\]])")
 JOINED_SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 
@@ -98,58 +102,78 @@ class Encoder:
     """Ids of texts by the tokenizers library, each distinct piece of text encoded once.
 
     A text is cut in front of its spaces, where the tokenizer's own first cut lies too, unless white space
-    stands in front of a space; such texts are encoded whole.
+    stands in front of a space; such texts are encoded whole. Distinct pieces are cut once more, between
+    letters and punctuation and around line ends, which the tokenizer never joins either.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        #: Strings that the tokenizer takes as one token wherever they stand; a text or piece with one is not cut inside.
+        self.special = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.known = pa.array([], pa.string())
-        self.ids, self.at = np.zeros(0, np.uint16), np.zeros(1, np.int64)
+        self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
         at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))))
-        return np.fromiter((i for x in ids for i in x), np.uint32, at[-1]), at
+        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, at[-1]), at
+
+    def _parts(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pieces by way of their parts, and where each piece's begin."""
+        marked = pieces
+        for pattern in PARTS:
+            marked = pc.replace_substring_regex(marked, pattern, r"\1" + MARK + r"\2")
+        whole = pc.match_substring(pieces, MARK)
+        for x in self.special:
+            whole = pc.or_(whole, pc.match_substring(pieces, x))
+        marked = pc.if_else(whole, pa.array([None], pa.string())[0], marked)
+        parts = pc.split_pattern(marked, MARK)
+        parts = pc.if_else(pc.is_null(parts), pa.ListArray.from_arrays(np.arange(len(pieces) + 1, dtype=np.int32), pieces), parts) if parts.null_count else parts
+        count = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = parts.flatten().dictionary_encode()
+        vocabulary = coded.dictionary
+        place = pc.index_in(vocabulary, self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        missing = np.flatnonzero(place < 0)
+        new = vocabulary.take(pa.array(missing))
+        ids, at = self._encode(new)
+        known, pool, pool_at = pa.concat_arrays([self.known, new]), np.concatenate((self.ids, ids)), np.concatenate((self.at, at[1:] + self.at[-1]))
+        place[missing] = len(self.known) + np.arange(len(missing))
+        if len(known) <= CACHED:
+            self.known, self.ids, self.at = known, pool, pool_at
+        place = place[coded.indices.to_numpy()]
+        out, out_at = _gathered(pool, pool_at[place], pool_at[place + 1] - pool_at[place])
+        return out, out_at[np.concatenate(([0], np.cumsum(count)))]
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, END_ID behind each, and where each text's begin."""
-        hard = pc.or_(pc.match_substring_regex(texts, JOINED_SPACE), pc.equal(texts, "")).to_numpy(zero_copy_only=False)
+        hard = pc.or_(pc.match_substring_regex(texts, JOINED_SPACE), pc.equal(texts, ""))
+        for x in self.special:
+            if " " in x:
+                hard = pc.or_(hard, pc.match_substring(texts, x))
+        hard = hard.to_numpy(zero_copy_only=False)
         pieces = pc.split_pattern(pc.if_else(pa.array(hard), "", texts), " ")
-        count = pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64)
-        first = np.concatenate(([0], np.cumsum(count)))
-        flat = pieces.flatten()
-        spaced = np.ones(len(flat), bool)
+        first = np.concatenate(([0], np.cumsum(pc.list_value_length(pieces).to_numpy(zero_copy_only=False).astype(np.int64))))
+        spaced = np.ones(first[-1], bool)
         spaced[first[:-1]] = False
-        # A text's first piece has no space in front; a mark that no text piece can hold keeps it apart.
-        coded = pc.binary_join_element_wise(pc.if_else(pa.array(spaced), "", " "), flat, "").dictionary_encode()
-        vocabulary, codes = coded.dictionary, coded.indices.to_numpy()
-        old = pc.index_in(vocabulary, self.known).to_numpy(zero_copy_only=False) if len(self.known) else np.full(len(vocabulary), np.nan)
-        missing = np.flatnonzero(np.isnan(old.astype(float)))
-        words = [x[1:] if x[:1] == " " else " " + x for x in vocabulary.take(pa.array(missing)).to_pylist()]
-        ids, at = self._encode(words)
-        start = np.empty(len(vocabulary), np.int64)
-        size = np.empty(len(vocabulary), np.int64)
-        held = np.flatnonzero(~np.isnan(old.astype(float)))
-        place = old[held].astype(np.int64)
-        start[held], size[held] = self.at[place], self.at[place + 1] - self.at[place]
-        start[missing], size[missing] = at[:-1] + len(self.ids), np.diff(at)
-        pool = np.concatenate((self.ids, ids))
-        if len(self.known) < CACHED:
-            self.known = pa.concat_arrays([self.known, vocabulary.take(pa.array(missing)).cast(pa.string())])
-            self.ids, self.at = pool, np.concatenate((self.at, at[1:] + self.at[-1]))
-        whole, whole_at = self._encode(texts.filter(pa.array(hard)).to_pylist())
-        # Piece by piece: texts encoded whole have one empty piece, which is put in from ``whole`` instead.
-        where, many = start[codes], size[codes]
-        pool = np.concatenate((pool, whole, np.array([END_ID], np.uint32)))
-        easy_pool = len(pool) - len(whole) - 1
-        where[first[:-1][hard]], many[first[:-1][hard]] = whole_at[:-1] + easy_pool, np.diff(whole_at)
-        # An end id behind each text.
+        coded = pc.binary_join_element_wise(pc.if_else(pa.array(spaced), " ", ""), pieces.flatten(), "").dictionary_encode()
+        codes = coded.indices.to_numpy()
+        ids, at = self._parts(coded.dictionary)
+        whole, whole_at = self._encode(texts.filter(pa.array(hard)))
+        pool = np.concatenate((ids, whole, np.array([END_ID], np.uint32)))
+        where, many = at[codes], (at[1:] - at[:-1])[codes]
+        # A text encoded whole has one empty piece, whose place its ids take.
+        where[first[:-1][hard]], many[first[:-1][hard]] = whole_at[:-1] + len(ids), np.diff(whole_at)
         where, many = np.insert(where, first[1:], len(pool) - 1), np.insert(many, first[1:], 1)
-        out_at = np.concatenate(([0], np.cumsum(many)))
-        take = np.repeat(where - out_at[:-1], many) + np.arange(out_at[-1])
-        return pool[take], out_at[first + np.arange(len(first))]
+        out, out_at = _gathered(pool, where, many)
+        return out, out_at[first + np.arange(len(first))]
+
+
+def _gathered(pool: np.ndarray, where: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The slices ``pool[where:where + many]`` one after another, and where each begins."""
+    at = np.concatenate(([0], np.cumsum(many)))
+    return pool[np.repeat(where - at[:-1], many) + np.arange(at[-1])], at
 
 
 _ENCODERS: dict[str, Encoder] = {}
