@@ -25,10 +25,10 @@ from reachgrid.llm.words import (NO_ID, Words, blocks, id_and_text, mixed, pack,
                                  text_ids, unpack, unpack_plain, words_of)
 
 WIDTH = 50
-#: Cells of a sketch row: 2 to this power. Two rows of one bit per cell are 64 MB, the size of the broadcast.
-CELL_BITS = 28
+#: Cells of a sketch row: 2 to this power. Two rows of one bit per cell are 128 MB, the size of the broadcast.
+CELL_BITS = 29
 #: Windows that a task holds before it sends them on.
-HELD = 3_000_000
+HELD = 1_500_000
 BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1342543DE82EF95))
 MASK = (1 << 64) - 1
 
@@ -113,11 +113,11 @@ def _candidates(width: int, buckets: int, estimate):
     return send
 
 
-FOUND = "doc_id long, _key long, starts binary"
+FOUND = pa.schema([("slice", pa.int64()), ("docs", pa.binary()), ("tags", pa.binary()), ("doc", pa.binary()), ("pos", pa.binary())])
 
 
-def _grouped(key: tuple, parts: pa.Table) -> pa.Table:
-    """Windows of one bucket that start in a smaller document too, by document."""
+def _grouped(key: tuple, parts: pa.Table, slices: int) -> pa.Table:
+    """Windows of one bucket that start in a smaller document too, packed into one row per slice of documents."""
     docs, tags, keys, mores, doc, pos = [], [], [], [], [], []
     n = 0
     for row in parts.to_pylist():
@@ -138,22 +138,43 @@ def _grouped(key: tuple, parts: pa.Table) -> pa.Table:
         least = np.repeat(np.minimum.reduceat(docs[doc], first), np.diff(np.append(first, len(keys))))
         keep = docs[doc] > least
         doc, pos = doc[keep], pos[keep]
-    order = np.lexsort((pos, tags[doc], docs[doc]))
-    doc, pos = doc[order], pos[order]
-    ids, marks = docs[doc], tags[doc]
-    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (marks[1:] != marks[:-1])))) if len(ids) else np.zeros(0, np.int64)
-    return pa.table({"doc_id": pa.array(ids[first], pa.int64()), "_key": pa.array(marks[first], pa.int64()),
-                     "starts": pa.array([pack(p) for p in np.split(pos, first[1:])] if len(ids) else [], pa.binary())})
+    out = []
+    of = (mixed(docs[doc].view(np.uint64)) % np.uint64(slices)).astype(np.int64)
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(slices + 1))
+    for k in range(slices):
+        at = order[cuts[k]:cuts[k + 1]]
+        if len(at):
+            used, own = np.unique(doc[at], return_inverse=True)
+            out.append((k, pack(docs[used]), pack_plain(tags[used]), pack_plain(own.astype(np.uint32)), pack_plain(pos[at])))
+    return pa.table([pa.array([r[i] for r in out], f.type) for i, f in enumerate(FOUND)], schema=FOUND)
+
+
+def _by_document(key: tuple, parts: pa.Table) -> pa.Table:
+    """One row per document of a slice: the sorted start positions of its repeated windows."""
+    ids, tags, pos = [], [], []
+    for row in parts.to_pylist():
+        doc = unpack_plain(row["doc"], "u4")
+        ids.append(unpack(row["docs"], "i8")[doc])
+        tags.append(unpack_plain(row["tags"], "i8")[doc])
+        pos.append(unpack_plain(row["pos"], "u4"))
+    ids, tags, pos = map(np.concatenate, (ids, tags, pos))
+    order = np.lexsort((pos, tags, ids))
+    ids, tags, pos = ids[order], tags[order], pos[order]
+    first = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]) | (tags[1:] != tags[:-1]))))
+    return pa.table({"doc_id": pa.array(ids[first], pa.int64()), "_key": pa.array(tags[first], pa.int64()),
+                     "starts": pa.array([pack(p) for p in np.split(pos, first[1:])], pa.binary())})
 
 
 def repeated_windows(docs: DataFrame, *, width: int = WIDTH, cell_bits: int = CELL_BITS) -> DataFrame:
-    """doc_id, _key and packed start positions of the windows that a smaller doc_id has too; several rows per document."""
+    """doc_id, _key and packed start positions of the windows that a smaller doc_id has too; one row per document that has any."""
     source = id_and_text(docs)
-    buckets = 8 * shuffle_partitions(docs.sparkSession)
+    buckets = slices = 2 * shuffle_partitions(docs.sparkSession)
     seen = sketch.merged(source.select("text"), _sketched(width), bits=cell_bits, rows=2, thresholds=(2,))
     names = ", ".join(f"{f.name} {'long' if f.name == 'bucket' else 'binary'}" for f in PART)
     sent = source.mapInArrow(_candidates(width, buckets, lambda keys: seen.value.reaches(keys)), names)
-    return sent.groupBy("bucket").applyInArrow(_grouped, FOUND)
+    found = sent.groupBy("bucket").applyInArrow(lambda key, parts: _grouped(key, parts, slices), "slice long, docs binary, tags binary, doc binary, pos binary")
+    return found.groupBy("slice").applyInArrow(_by_document, "doc_id long, _key long, starts binary")
 
 
 def _cut(width: int):
@@ -163,8 +184,8 @@ def _cut(width: int):
             for row in batch.to_pylist():
                 words = row["text"].encode().split()
                 gone = np.zeros(len(words) + 1, np.int64)
-                for data in row["found"] or ():
-                    start = unpack(data, "u4")
+                if row["starts"]:
+                    start = unpack(row["starts"], "u4")
                     np.add.at(gone, start, 1)
                     np.add.at(gone, np.minimum(start + np.uint32(width), len(words)), -1)
                 covered = np.cumsum(gone)[:-1] > 0
@@ -182,8 +203,8 @@ def remove_repeats(docs: DataFrame, *, width: int = WIDTH, cell_bits: int = CELL
     repeat a doc_id are one document as to "smaller doc_id" and are each returned; a NULL doc_id
     counts as larger than every other and comes back NULL. Other columns are ignored.
     """
-    found = repeated_windows(docs, width=width, cell_bits=cell_bits).groupBy("doc_id", "_key").agg(F.collect_list("starts").alias("found"))
+    found = repeated_windows(docs, width=width, cell_bits=cell_bits)
     source = id_and_text(docs)
-    joined = source.join(found, ["doc_id", "_key"], "left").select("doc_id", "text", "found")
+    joined = source.join(found, ["doc_id", "_key"], "left").select("doc_id", "text", "starts")
     out = joined.mapInArrow(_cut(width), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")
     return out.select(real_id().alias("doc_id"), "n_words", "n_removed", "kept_sha256", "kept_text")

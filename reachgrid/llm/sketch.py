@@ -19,7 +19,7 @@ from reachgrid.llm.words import mixed, pack, runs, unpack
 
 RANGES = 64
 #: Keys that a task holds before it lets its cell lists go.
-HELD = 6_000_000
+HELD = 5_000_000
 SALTS = (np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x3C6EF372FE94F82A))
 
 
