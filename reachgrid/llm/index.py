@@ -35,8 +35,8 @@ BUCKET_KEYS = 4
 CACHED = 2_000_000
 #: White space in front of a space: there a cut before the space could part what the tokenizer joins.
 MARK = "\x01"
-#: Places where a distinct piece is cut: behind a word in front of white space, around a line end, and between a letter and punctuation.
-PARTS = (r"([!-~\p{L}])([ \n\t\r])", r"(\n)([!-~\p{L}])", r"(\p{L})([.,;:!?|)\"\]])")
+#: Places where a distinct piece is cut: behind a single line end, in front of white space, and between a letter and punctuation.
+PARTS = (r"([!-~\p{L}]\n)([!-~\p{L}])", r"([!-~\p{L}])([ \n\t\r])", r"(\p{L})([.,;:!?|)\"\]])")
 JOINED_SPACE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] "
 
 
