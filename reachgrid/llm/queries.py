@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachgrid.llm import chat, index, mixing, quality, repeats, secrets, transducer
+from reachgrid.llm import chat, index, jaccard, mixing, quality, repeats, secrets, transducer
 from reachgrid.llm.words import documents
 
 
@@ -33,6 +33,10 @@ def op7_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return index.read_digests(spark, path).select("doc_id", "start", "n_tokens", "ids_crc32", "copy")
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(documents(spark, sf_dir))
 
@@ -45,5 +49,5 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_substring_dedup, op3_token_counts, op4_source_mixing, op6_quality_rules, op7_token_index, op9_secret_scan, op10_chat_windows)}
+    op2_substring_dedup, op3_token_counts, op4_source_mixing, op6_quality_rules, op7_token_index, op8_jaccard_join, op9_secret_scan, op10_chat_windows)}
 SQL: dict[str, str] = {}
