@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachgrid.llm import chat, index, jaccard, mixing, quality, repeats, secrets, transducer
+from reachgrid.llm import chat, decontaminate, index, jaccard, mixing, quality, repeats, secrets, transducer
 from reachgrid.llm.words import documents
 
 
@@ -24,6 +24,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source", "epochs")
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("_key")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(documents(spark, sf_dir)).drop("_row")
 
@@ -49,5 +53,5 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_substring_dedup, op3_token_counts, op4_source_mixing, op6_quality_rules, op7_token_index, op8_jaccard_join, op9_secret_scan, op10_chat_windows)}
+    op2_substring_dedup, op3_token_counts, op4_source_mixing, op5_decontamination, op6_quality_rules, op7_token_index, op8_jaccard_join, op9_secret_scan, op10_chat_windows)}
 SQL: dict[str, str] = {}
