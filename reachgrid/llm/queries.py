@@ -8,10 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachgrid.llm import chat, decontaminate, index, jaccard, mixing, quality, repeats, secrets, transducer
+from reachgrid.llm import chat, decontaminate, index, jaccard, katz, mixing, quality, repeats, secrets, transducer
 from reachgrid.llm.words import documents
 
 
+def op1_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score(documents(spark, sf_dir))
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(documents(spark, sf_dir)).drop("kept_text")
 
@@ -53,5 +57,5 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op2_substring_dedup, op3_token_counts, op4_source_mixing, op5_decontamination, op6_quality_rules, op7_token_index, op8_jaccard_join, op9_secret_scan, op10_chat_windows)}
+    op1_katz_scores, op2_substring_dedup, op3_token_counts, op4_source_mixing, op5_decontamination, op6_quality_rules, op7_token_index, op8_jaccard_join, op9_secret_scan, op10_chat_windows)}
 SQL: dict[str, str] = {}
