@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from reachgrid.llm.words import blocks, id_and_text, mixed, pack, pack_plain, real_id, runs, shuffle_partitions, text_ids, unpack, unpack_plain, words_of
 from reachgrid.session import checkpoint_folder
 
-CHUNK_TOKENS = 3_000_000
+CHUNK_TOKENS = 1_500_000
 #: Counts up to this are discounted.
 DISCOUNTED = 5
 BEGIN, END = np.uint64(0xB5297A4D3F84D5B5), np.uint64(0x68E31DA4E1A2C3B7)
@@ -120,10 +120,16 @@ def _cuts(keys: np.ndarray, ranges: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array([(i << 64) // ranges for i in range(ranges)], np.uint64)), len(keys))
 
 
+def _each(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time, for rows of many megabytes."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
+
+
 def _asked(ranges: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 chunk = Chunk(row)
                 train = ~chunk.held[chunk.text]
                 _, keys, at = chunk.pairs()
@@ -234,16 +240,19 @@ def _scored(ranges: int, known: Constants):
     """Second look at a chunk: what is known of each text's score, and what the contexts still have to say."""
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in _each(batch):
                 chunk = Chunk(row)
-                answers = sorted(row["answers"], key=lambda a: (a["kind"], a["range"]))
-                words, pairs = (np.concatenate([unpack_plain(a["counts"], "i8") for a in answers if a["kind"] == kind]) for kind in (WORD, PAIR))
-                pair, _, at = chunk.pairs()
+                number, answers = row["chunk"], sorted(row["answers"], key=lambda a: (a["kind"], a["range"]))
+                got: tuple[list, list] = ([], [])
                 owned, base = [], len(chunk.words) + 1
                 for a in answers:
+                    got[a["kind"]].append(unpack_plain(a["counts"], "i8"))
                     if a["kind"] == PAIR:
-                        owned.append(np.unpackbits(np.frombuffer(a["owned"], np.uint8), count=len(unpack_plain(a["counts"], "i8"))).astype(bool))
+                        owned.append(np.unpackbits(np.frombuffer(a["owned"], np.uint8), count=len(got[PAIR][-1])).astype(bool))
+                words, pairs = map(np.concatenate, got)
                 owned = np.concatenate(owned) & (pairs > 0)
+                del row, answers, got
+                pair, _, at = chunk.pairs()
                 # Training occurrences of each context; the beginning has one per text.
                 context = np.append(words, known.texts)
                 context[np.searchsorted(chunk.words, END)] = 0
@@ -277,10 +286,10 @@ def _scored(ranges: int, known: Constants):
                     later += [code[first] // max(len(asked), 1), code[first] % max(len(asked), 1), count]
                 state = _packed(chunk.docs, chunk.held, np.diff(chunk.starts), np.bincount(chunk.text, words[chunk.codes] > 0, texts).astype(np.int64),
                                 np.bincount(chunk.text, base_score, texts), np.bincount(chunk.text, score, texts), *(x.astype(np.uint32) for x in later))
-                yield _row(STATE, "state", None, row["chunk"], None, None, state, None)
+                yield _row(STATE, "state", None, number, None, None, state, None)
                 for i in np.flatnonzero(np.diff(cuts)):
                     part = some[cuts[i]:cuts[i + 1]]
-                    yield _row(STATE, "ask", i, row["chunk"], pack(hashes[part]), pack_plain(context[part]), _packed(freed[part], below[part]), np.packbits(wanted[part]).tobytes())
+                    yield _row(STATE, "ask", i, number, pack(hashes[part]), pack_plain(context[part]), _packed(freed[part], below[part]), np.packbits(wanted[part]).tobytes())
     return score
 
 
