@@ -86,7 +86,9 @@ def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
         F.when(F.size(words) < (1 << POSITION_BITS), _repeated_starts(F.col("order"), words, False))
         .otherwise(_repeated_starts(F.col("pairs"), words, True)).alias("starts"))
     covered = F.array_union(F.array_union(F.col("starts"), F.transform("starts", lambda p: p + 1)), F.transform("starts", lambda p: p + 2))
-    return third.select("doc_id", "_row", "n_words", "word_chars", "n_symbols", "n_dup_lines", F.size(covered).cast("long").alias("n_repeat_words"))
+    # Filters on the counts stop at the generator; pushed below it, they would evaluate the arrays over and over.
+    counts = F.struct("n_words", "word_chars", "n_symbols", "n_dup_lines", F.size(covered).cast("long").alias("n_repeat_words"))
+    return third.select("doc_id", "_row", F.explode(F.array(counts)).alias("counts")).select("doc_id", "_row", "counts.*")
 
 
 def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
@@ -140,17 +142,18 @@ def judge(docs: DataFrame, host: str = "source", *, limit: int = LINE_LIMIT, lea
 def clean(docs: DataFrame, host: str = "source", *, limit: int = LINE_LIMIT, least_words: int = LEAST_WORDS,
           least_share: float = LEAST_SHARE) -> DataFrame:
     """The kept documents with their columns, common lines taken out of ``text`` (and ``n_chars`` counted anew, if there)."""
-    verdict = judge(docs, host, limit=limit, least_words=least_words, least_share=least_share).where("kept")
-    verdict = verdict.select(F.col("_row").alias("_kept_row")).distinct()
-    gone = removed_lines(docs, host, limit=limit).select(F.col("_row").alias("_gone_row"), F.col("lines").alias("_gone_lines"))
+    # The aggregation also keeps the filter from being pushed into the array expressions, which would evaluate them many times.
+    verdict = judge(docs, host, limit=limit, least_words=least_words, least_share=least_share)
+    verdict = verdict.groupBy(F.col("_row").alias("_llm_kept_row")).agg(F.max("kept").alias("kept")).where("kept")
+    gone = removed_lines(docs, host, limit=limit).select(F.col("_row").alias("_llm_gone_row"), F.col("lines").alias("_llm_gone_lines"))
     text = F.coalesce(F.col("text"), F.lit(""))
     row = F.xxhash64("doc_id", host, text)
-    rows = docs.withColumn("_row", row).join(verdict, F.col("_row") == F.col("_kept_row"), "left_semi")
-    rows = rows.join(gone, F.col("_row") == F.col("_gone_row"), "left")
+    rows = docs.withColumn("_llm_row", row).join(verdict, F.col("_llm_row") == F.col("_llm_kept_row"), "left_semi")
+    rows = rows.join(gone, F.col("_llm_row") == F.col("_llm_gone_row"), "left")
     kept = F.array_join(F.filter(F.split(text, "\n"), lambda x: ~F.array_contains(
-        F.col("_gone_lines"), F.xxhash64(host, F.xxhash64(_normal(x))))), "\n")
-    new = F.when(F.col("_gone_lines").isNull(), F.col("text")).otherwise(kept)
+        F.col("_llm_gone_lines"), F.xxhash64(host, F.xxhash64(_normal(x))))), "\n")
+    new = F.when(F.col("_llm_gone_lines").isNull(), F.col("text")).otherwise(kept)
     out = rows.withColumn("text", new)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+        out = out.withColumn("n_chars", F.when(F.col("_llm_gone_lines").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)
