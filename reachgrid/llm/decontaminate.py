@@ -35,6 +35,10 @@ KEPT = 3
 SEED = 20_26
 LEAST_COSINE = 0.08
 LEAST_ORDER, LEAST_RARE = 0.6, 0.5
+#: Words that must stand in order whatever the shares are; shorter items must be there in full.
+LEAST_MATCHED = 8
+#: Items of fewer words say nothing and are not looked for.
+LEAST_WORDS = 6
 PARAPHRASE_ORDER, LEAST_ANSWER = 0.4, 0.9
 TERM_BLOCK = 64
 
@@ -63,7 +67,7 @@ def _parts(rows: list) -> Benchmark:
     parts, item, answer = [], [], []
     for i, r in enumerate(rows):
         x = coded[words.starts[i]:words.starts[i + 1]]
-        if len(x):
+        if len(x) >= LEAST_WORDS:
             n = -(-len(x) // PART)
             for p in np.array_split(x, n):
                 parts.append(p)
@@ -238,8 +242,9 @@ class _Reader:
         best = (0.0, 0.0, False)
         for at in range(0, max(1, len(words) - stretch + len(part) // 2 + 1), max(1, len(part) // 2)):
             piece = words[at:at + stretch]
-            order = _order_share(part, self.masks[i], piece) / len(part)
-            if order < PARAPHRASE_ORDER or order < best[0]:
+            matched = _order_share(part, self.masks[i], piece)
+            order = matched / len(part)
+            if order < PARAPHRASE_ORDER or order < best[0] or matched < min(len(part), LEAST_MATCHED):
                 continue
             answer, masks = self.answers[i]
             said = _order_share(answer, masks, piece) / len(answer)
@@ -292,7 +297,7 @@ NAMES = "doc_id long, _key long, item_id long, cosine double, order_share double
 def leaks(docs: DataFrame, benchmark: DataFrame, *, items: int = ITEMS, rank: int = RANK) -> DataFrame:
     """doc_id, item_id, cosine, order_share, answer_share and _key: one row per document and benchmark item found in it.
 
-    NULL or empty texts hold nothing, items without words are found nowhere, and an empty benchmark gives no
+    NULL or empty texts hold nothing, items of fewer than LEAST_WORDS words are found nowhere, and an empty benchmark gives no
     rows. Rows that repeat are one pair; a NULL doc_id comes back NULL. Other columns are ignored. The
     benchmark is worked off in blocks of ``items`` by item_id, against all documents each time.
     """
@@ -322,7 +327,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, items: int = ITEMS, rank: in
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` in which no benchmark item is found."""
-    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_bad_id"), F.col("_key").alias("_bad_key")).distinct()
-    keyed = docs.withColumn("_text_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    out = keyed.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_bad_id")) & (F.col("_text_key") == F.col("_bad_key")), "left_anti")
+    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("_llm_bad_id"), F.col("_key").alias("_llm_bad_key")).distinct()
+    keyed = docs.withColumn("_llm_key", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    out = keyed.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_bad_id")) & (F.col("_llm_key") == F.col("_llm_bad_key")), "left_anti")
     return out.select(*docs.columns)

@@ -320,11 +320,9 @@ def read_documents(spark: SparkSession, path: str, keys: list[int]) -> DataFrame
         for batch in batches:
             for row in batch.to_pylist():
                 near = wanted[(wanted >= row["first_key"]) & (wanted <= row["last_key"])]
-                copy = 0
-                while len(near):  # copies are numbered without gaps
+                ids = np.frombuffer(row["payload"], "<u4")
+                for copy in np.unique(np.frombuffer(row["copies"], np.uint32)).tolist() if len(near) else ():
                     hit, at, many = _lookup(row, near, np.full(len(near), copy, np.uint32))
-                    ids = np.frombuffer(row["payload"], "<u4")
                     yield pa.RecordBatch.from_arrays([pa.array(near[hit]), pa.array([copy] * len(hit), pa.int64()), pa.array(
                         [ids[a:a + n].astype(np.int64) for a, n in zip(at, many, strict=True)], pa.list_(pa.int64()))], names=["doc_id", "copy", "ids"])
-                    near, copy = near[hit], copy + 1
     return shards.mapInArrow(fetch, "doc_id long, copy long, ids array<long>")

@@ -382,8 +382,8 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     groups = near_groups(docs, **options)
     first = Window.partitionBy("doc_id").orderBy("_key")
     stay = groups.where(F.coalesce(F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(True)) | (F.col("n_shingles") == 0))
-    stay = stay.withColumn("_at", F.row_number().over(first)).where("_at = 1 or n_shingles = 0").select(F.col("doc_id").alias("_stay_id"), F.col("_key").alias("_stay_key")).distinct()
+    stay = stay.withColumn("_at", F.row_number().over(first)).where("_at = 1 or n_shingles = 0").select(F.col("doc_id").alias("_llm_stay_id"), F.col("_key").alias("_llm_stay_key")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    keyed = docs.withColumn("_key", F.xxhash64(text))
-    out = keyed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_stay_id")) & (F.col("_key") == F.col("_stay_key")), "left_semi")
+    keyed = docs.withColumn("_llm_key", F.xxhash64(text))
+    out = keyed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_stay_id")) & (F.col("_llm_key") == F.col("_llm_stay_key")), "left_semi")
     return out.select(*docs.columns)

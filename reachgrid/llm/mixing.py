@@ -95,7 +95,7 @@ def repeated(docs: DataFrame, source: str = "source", **options) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     plan = mix(docs, source, whole_documents=True, **options)
     times = F.when(F.col("size") > 0, F.round(F.col("taken") / F.col("size"))).otherwise(F.greatest("epochs", F.lit(1))).cast("int")
-    plan = plan.groupBy(F.col("_row").alias("_taken_row")).agg(F.max(times).alias("_times")).where("_times > 0")
-    keyed = docs.withColumn("_row", F.xxhash64("doc_id", source, text))
-    copies = keyed.join(plan, F.col("_row") == F.col("_taken_row")).withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    plan = plan.groupBy(F.col("_row").alias("_llm_taken_row")).agg(F.max(times).alias("_llm_times")).where("_llm_times > 0")
+    keyed = docs.withColumn("_llm_row", F.xxhash64("doc_id", source, text))
+    copies = keyed.join(plan, F.col("_llm_row") == F.col("_llm_taken_row")).withColumn("_llm_copy", F.explode(F.sequence(F.lit(1), F.col("_llm_times"))))
     return copies.select(*docs.columns)

@@ -56,6 +56,8 @@ class Sketch:
 def merged(docs: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]], *, bits: int, rows: int,
            thresholds: tuple[int, ...]) -> Broadcast:
     """The sketch of all keys that ``keys_of`` yields from the batches of ``docs``, as a broadcast of fixed size."""
+    if bits < RANGES.bit_length() + 2:
+        raise ValueError("a cell range must fill whole bytes")
     most = max(thresholds)
     shift = bits - (RANGES.bit_length() - 1)
     part = pa.schema([("row", pa.int32()), ("cells", pa.int32()), ("list", pa.binary())])
