@@ -12,24 +12,25 @@ from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from reachgrid.session import checkpoint
 
-MAX_RANGES = 512
-# Rows one sorted window may hold. Larger tables are split into value ranges.
-WINDOW_ROWS = 1_000_000
+#: Value stretches per unit of ln(1 + |x|): a stretch holds values within about 0.3 % of each other.
+STRETCHES = 370
 
 
-def _range_count(df: DataFrame, rows: int) -> int:
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(MAX_RANGES, max(8, n, 2 * rows // WINDOW_ROWS))
-
-
-def _one_window(df: DataFrame, groups: list[str], order: str, sums: Mapping[str, Column]) -> DataFrame:
-    run = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*groups)
-    return df.select("*", *[F.sum(c).over(run).alias(k) for k, c in sums.items()],
-                     *[F.sum(c).over(whole).alias(f"{k}_all") for k, c in sums.items()])
+def stretch(order: Column, kind: T.DataType) -> Column:
+    """A whole number that never falls along ``order``: rows are cut by it, whatever their number."""
+    if isinstance(kind, T.NumericType):
+        x = order.cast("double")
+        cut = F.signum(x) * F.floor(F.log1p(F.abs(x)) * STRETCHES)
+        return F.when(F.isnan(x), F.lit(float(1 << 40))).otherwise(cut).cast("bigint")
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.date_diff(order.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
+    if isinstance(kind, T.StringType):
+        return F.conv(F.rpad(F.hex(F.substring(order.cast("binary"), 1, 4)), 8, "0"), 16, 10).cast("bigint")
+    return F.lit(0).cast("bigint")
 
 
 def running_totals(df: DataFrame, groups: Sequence[str], order: str,
@@ -40,33 +41,30 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: str,
     in ``sums`` becomes a running column, and ``<name>_all`` holds the group's total.
     ``small_domain`` marks an order column with a fixed small set of values (minutes,
     seconds of a day, counts); then a group is already bounded and one window suffices.
-    Otherwise the table is written out and counted: beyond ``WINDOW_ROWS`` rows every
-    group is cut at approximate quantiles of ``order``, running sums are taken inside the
-    ranges, and the totals of earlier ranges are added back.
+    Otherwise groups are cut into stretches of near values: a window inside each stretch,
+    and the totals of the group's earlier stretches in front. The cut depends on a row's
+    value alone, so tables of every size go the same way and give the same sums.
     """
     groups = list(groups)
     df = df.where(F.col(order).isNotNull())
     if small_domain:
-        return _one_window(df, groups, order, sums)
-    df = checkpoint(df)
-    rows = df.count()
-    if rows <= WINDOW_ROWS:
-        return _one_window(df, groups, order, sums)
-    n = _range_count(df, rows)
-    cuts = df.agg(F.percentile_approx(order, [i / n for i in range(1, n)], 10_000)).first()[0]
-    placed = F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col(order)))
-    cut = df.select("*", placed.alias("_range"), *[c.alias(f"_v_{k}") for k, c in sums.items()])
-    totals = cut.groupBy(*groups, "_range").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
-    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        run = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        whole = Window.partitionBy(*groups)
+        return df.select("*", *[F.sum(c).over(run).alias(k) for k, c in sums.items()],
+                         *[F.sum(c).over(whole).alias(f"{k}_all") for k, c in sums.items()])
+    cut = df.select("*", stretch(F.col(order), df.schema[order].dataType).alias("_stretch"),
+                    *[c.alias(f"_v_{k}") for k, c in sums.items()])
+    totals = cut.groupBy(*groups, "_stretch").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    before = Window.partitionBy(*groups).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
     offsets = totals.select(
-        *groups, "_range",
+        *groups, "_stretch",
         *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums],
         *[F.sum(f"_t_{k}").over(whole).alias(f"{k}_all") for k in sums])
-    inside = Window.partitionBy(*groups, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    inside = Window.partitionBy(*groups, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.select("*", *[F.sum(f"_v_{k}").over(inside).alias(k) for k in sums])
     same = [local[c].eqNullSafe(offsets[c]) for c in groups]
-    joined = local.join(offsets, [local["_range"] == offsets["_range"], *same])
+    joined = local.join(offsets, [local["_stretch"] == offsets["_stretch"], *same])
     return joined.select(
         *[local[c] for c in df.columns],
         *[(local[k] + offsets[f"_o_{k}"]).alias(k) for k in sums],
@@ -103,8 +101,11 @@ def quartile_exclusive(i: int) -> Position:
 
 def group_quantiles(df: DataFrame, groups: Sequence[str], value: str,
                     picks: Mapping[str, Position], *, count: str = "n",
-                    small_domain: bool = False) -> DataFrame:
-    """Exact order statistics per group; a fractional position interpolates linearly."""
+                    small_domain: bool = False, more: Sequence[Column] = ()) -> DataFrame:
+    """Exact order statistics per group; a fractional position interpolates linearly.
+
+    ``more`` are further aggregates over the same pass, in terms of the value and of ``_k``, how often it occurs.
+    """
     groups = list(groups)
     held = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_k"))
     run = running_totals(held, groups, value, {"_cum": F.col("_k")}, small_domain=small_domain)
@@ -117,8 +118,9 @@ def group_quantiles(df: DataFrame, groups: Sequence[str], value: str,
         aggs += [F.min(F.when(F.col("_cum") > low, v)).alias(f"_lo_{name}"),
                  F.min(F.when(F.col("_cum") > high, v)).alias(f"_hi_{name}"),
                  F.max(p - low).alias(f"_f_{name}")]
-    out = run.groupBy(*groups).agg(*aggs)
-    return out.select(*groups, count, *[
+    out = run.groupBy(*groups).agg(*aggs, *more)
+    own = [c for c in out.columns if c not in groups and c != count and not c.startswith("_")]
+    return out.select(*groups, count, *own, *[
         F.when(F.col(f"_f_{k}") == 0, F.col(f"_lo_{k}"))
         .otherwise(F.col(f"_lo_{k}") + F.col(f"_f_{k}") * (F.col(f"_hi_{k}") - F.col(f"_lo_{k}")))
         .cast("double").alias(k) for k in picks])

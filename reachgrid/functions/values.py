@@ -38,7 +38,9 @@ def whole(c: Column, dtype: str = "bigint") -> Column:
 def id_key(c: Column) -> Column:
     """Comparable id text: 12, 12.0 and '12' agree; blank and 'NULL' are dropped."""
     text = F.trim(c.cast("string"))
-    text = F.regexp_replace(text, r"^(-?\d+)\.0+$", "$1")
+    # A whole number held as double would read 1.2345678E7.
+    held = F.when(F.typeof(c).isin("double", "float") & (text.try_cast("double") == F.floor(text.try_cast("double"))), text.try_cast("double").try_cast("bigint").cast("string"))
+    text = F.coalesce(held, F.regexp_replace(text, r"^(-?\d+)\.0+$", "$1"))
     return F.when(text.isin("", "NULL"), None).otherwise(text)
 
 

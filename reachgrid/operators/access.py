@@ -96,15 +96,26 @@ def accessibility_wide(long: DataFrame, origins: DataFrame, names: Sequence[str]
     return origins.join(wide, "id", "left").fillna(0, subset=keys)
 
 
+def reachable_destinations(matrix: DataFrame, origins: DataFrame, max_minutes: int | None = None) -> DataFrame:
+    """(id, reachable): destinations that a cell reaches at all (or within ``max_minutes``); 0 where there is none.
+
+    matrix: (from_id, to_id, minutes), NULL minutes for unreached pairs.
+    """
+    hit = F.col("minutes").isNotNull() if max_minutes is None else F.col("minutes") <= max_minutes
+    found = matrix.where(hit).groupBy(F.col("from_id").alias("id"), "to_id").agg(F.lit(1)).groupBy("id").agg(F.count("*").alias("reachable"))
+    return origins.select("id").join(found, "id", "left").fillna(0, subset=["reachable"])
+
+
 def departure_counts(departures: DataFrame, keys: Sequence[str] = ("from_id", "to_id")) -> DataFrame:
     """Departures per pair and travel minute: at most one row per minute, however many draws."""
     return departures.groupBy(*keys, "minutes").agg(F.count("*").alias("n"))
 
 
-def percentile_matrix(departures: DataFrame, percentiles: Sequence[int], max_trip: int) -> DataFrame:
+def percentile_matrix(departures: DataFrame, percentiles: Sequence[int], max_trip: int, *, keep_unreached: bool = False) -> DataFrame:
     """Nearest-rank percentiles of travel time over the departure window.
 
-    A departure without a trip (NULL) ranks last; a percentile over the trip budget is NULL.
+    A departure without a trip (NULL) ranks last; a percentile over the trip budget is NULL. Pairs
+    without any percentile inside the budget are left out unless ``keep_unreached``.
     """
     counts = departure_counts(departures).withColumn("minutes", F.coalesce("minutes", F.lit(2**31 - 1)))
     run = running_totals(counts, ["from_id", "to_id"], "minutes", {"cum": F.col("n")}, small_domain=True)
@@ -113,6 +124,8 @@ def percentile_matrix(departures: DataFrame, percentiles: Sequence[int], max_tri
         rank = F.ceil(F.col("cum_all") * p / 100)
         picks.append(F.min(F.when(F.col("cum") >= rank, F.col("minutes"))).alias(f"p{p}"))
     found = run.groupBy("from_id", "to_id").agg(*picks)
+    if not keep_unreached:
+        found = found.where(F.col(f"p{min(percentiles)}") <= max_trip)
     return found.select("from_id", "to_id", *[
         F.when(F.col(f"p{p}") <= max_trip, F.col(f"p{p}")).cast("int").alias(f"{TIME_PREFIX}{p}")
         for p in percentiles])
@@ -130,14 +143,15 @@ def service_minutes(departures: DataFrame, cutoffs: Sequence[int], draws_per_min
 
 
 def service_minutes_from_histogram(histograms: DataFrame, cutoffs: Sequence[int],
-                                   draws_per_minute: int = 1) -> DataFrame:
+                                   draws_per_minute: int = 1, *, keep_unreached: bool = False) -> DataFrame:
     """Same from an ``array<int>`` of departures per travel minute (0..119)."""
     cuts = check_cutoffs(cutoffs, service_minutes=True)
     def total(c: int) -> Column:
         summed = F.aggregate(F.slice("histogram", 1, c + 1), F.lit(0).cast("bigint"), lambda a, v: a + v)
         return F.floor(summed / draws_per_minute + 0.5)
-    return histograms.select("from_id", "to_id", *[
-        F.coalesce(total(c), F.lit(0)).alias(f"svc_min_c{c}") for c in cuts])
+    cols = [f"svc_min_c{c}" for c in cuts]
+    out = histograms.select("from_id", "to_id", *[F.coalesce(total(c), F.lit(0)).alias(k) for c, k in zip(cuts, cols)])
+    return out if keep_unreached else out.where(F.greatest(*cols, F.lit(0)) > 0)
 
 
 def transit_used(transit: DataFrame, walk: DataFrame) -> DataFrame:

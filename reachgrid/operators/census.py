@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from reachgrid.functions.scale import forward_fill
 
-HEADER_ROWS = 30
 # Labels of the census workbook.
 SYMBOL, STRUCTURE = "Symbol", "Struktura"
 REGION_ROW, TRACT_ROW = "rejon statystyczny", "obwód spisowy"
@@ -22,12 +21,13 @@ def _position(cells: str, hit) -> Column:
 
 
 def find_header(rows: DataFrame, population_label: str) -> DataFrame:
-    """(sheet, header_row, symbol_col, structure_col, population_col) from the first 30 rows.
+    """(sheet, header_row, symbol_col, structure_col, population_col) ; the header may start in any row.
 
     rows: (sheet, row_no, cells). The structure labels and the population label may sit on
-    different rows; the header ends at the later one. A sheet without both has no row.
+    different rows; the header ends at the later one. A sheet without both has no row:
+    :func:`sheets_without_header` names it.
     """
-    head = rows.where(F.col("row_no") < HEADER_ROWS).select(
+    head = rows.select(
         "sheet", "row_no",
         _position("cells", lambda c: F.coalesce((c == SYMBOL) | c.startswith(SYMBOL + " "), F.lit(False))).alias("sym"),
         _position("cells", lambda c: F.coalesce(c == STRUCTURE, F.lit(False))).alias("str"),
@@ -41,6 +41,11 @@ def find_header(rows: DataFrame, population_label: str) -> DataFrame:
         F.col("a.str").alias("structure_col"), F.col("b.pop").alias("population_col"))
 
 
+def sheets_without_header(rows: DataFrame, header: DataFrame) -> DataFrame:
+    """(sheet): sheets whose labels are not found, to be reported rather than left out in silence."""
+    return rows.select("sheet").distinct().join(header.select("sheet"), "sheet", "left_anti")
+
+
 def sheet_records(rows: DataFrame, header: DataFrame) -> DataFrame:
     """(sheet, row_no, symbol, structure, population) of the rows below the header."""
     below = rows.join(header, "sheet").where(F.col("row_no") > F.col("header_row"))

@@ -21,7 +21,7 @@ def pack_minutes(c: Column) -> Column:
 
 
 def facility_counts(matrix: DataFrame, types: DataFrame, cells: DataFrame, names: Sequence[str],
-                    levels: Sequence[int], by: Sequence[str] = (), clip: int | None = 255) -> DataFrame:
+                    levels: Sequence[int], by: Sequence[str] = (), clip: int | None = None) -> DataFrame:
     """(by, id, type, level, n): facilities within each time level, inclusive, optionally clipped.
 
     matrix: (by, from_id, to_id, minutes). types: (to_id, type). cells: (by, id).
@@ -37,7 +37,7 @@ def facility_counts(matrix: DataFrame, types: DataFrame, cells: DataFrame, names
         F.struct(F.lit(v).alias("level"), n(F.col(f"l{v}")).alias("n")) for v in levels])))
 
 
-def meta_counts(counts: DataFrame, groups: DataFrame, keys: Sequence[str], clip: int | None = 255) -> DataFrame:
+def meta_counts(counts: DataFrame, groups: DataFrame, keys: Sequence[str], clip: int | None = None) -> DataFrame:
     """Fine types summed to the meta-category of ``groups`` (type, meta), then clipped."""
     out = counts.join(groups, "type").groupBy(*keys, "meta").agg(F.sum("n").alias("n"))
     return out if clip is None else out.withColumn("n", F.least("n", F.lit(clip)))

@@ -17,22 +17,18 @@ from reachgrid.functions.values import (
 
 # Files every feed must hold.
 REQUIRED_FILES = ("stops.txt", "routes.txt", "trips.txt", "stop_times.txt")
-SPAN_CAP_DAYS = 400
 FINDING = ("feed", "level", "code", "n", "detail")
 
 
 # --- calendar ---------------------------------------------------------------
 
 def services(calendar: DataFrame) -> DataFrame:
-    """(feed, service_id, flags, start, end); rows without usable dates are dropped, the last duplicate wins."""
+    """(feed, service_id, flags, start, end); rows without usable dates are dropped, of repeated services the last file row wins."""
     flags = F.array(*[F.trim(F.col(d).cast("string")) == "1" for d in WEEKDAYS])
-    ordered = "row_no" if "row_no" in calendar.columns else None
     rows = calendar.select("feed", F.trim("service_id").alias("service_id"), flags.alias("flags"),
                            feed_date(F.col("start_date")).alias("start"), feed_date(F.col("end_date")).alias("end"),
-                           *([ordered] if ordered else []))
+                           "row_no")
     rows = rows.where("service_id <> '' and start is not null and end is not null")
-    if ordered is None:
-        return rows
     last = rows.groupBy("feed", "service_id").agg(F.max_by(F.struct("flags", "start", "end"), "row_no").alias("r"))
     return last.select("feed", "service_id", "r.*")
 
@@ -47,15 +43,21 @@ def exceptions(calendar_dates: DataFrame) -> DataFrame:
     return last.select("feed", "service_id", "date", (F.col("kind") == 1).alias("added"))
 
 
-def feed_spans(calendar: DataFrame, calendar_dates: DataFrame, cap_days: int = SPAN_CAP_DAYS) -> DataFrame:
-    """(feed, first, last): each feed's own span, capped from its own first day."""
+def feed_spans(calendar: DataFrame, calendar_dates: DataFrame, cap_days: int | None = None) -> DataFrame:
+    """(feed, first, last): each feed's own span; ``cap_days`` cuts it that many days from its own first day."""
     dates = (services(calendar).select("feed", F.explode(F.array("start", "end")).alias("date"))
              .unionByName(exceptions(calendar_dates).select("feed", "date")))
-    return dates.groupBy("feed").agg(F.min("date").alias("first"), F.max("date").alias("last")).select(
-        "feed", "first", F.least("last", F.date_add("first", cap_days - 1)).alias("last"))
+    spans = dates.groupBy("feed").agg(F.min("date").alias("first"), F.max("date").alias("last"))
+    return spans if cap_days is None else spans.withColumn("last", F.least("last", F.date_add("first", cap_days - 1)))
 
 
-def active_service_days(calendar: DataFrame, calendar_dates: DataFrame, cap_days: int = SPAN_CAP_DAYS) -> DataFrame:
+def cut_days(calendar: DataFrame, calendar_dates: DataFrame, cap_days: int) -> DataFrame:
+    """Findings SPAN_CUT: days of a feed's span that a cap of ``cap_days`` leaves out."""
+    spans = feed_spans(calendar, calendar_dates).withColumn("n", F.date_diff("last", "first") + 1 - cap_days)
+    return findings(spans.where("n > 0"), "WARN", "SPAN_CUT")
+
+
+def active_service_days(calendar: DataFrame, calendar_dates: DataFrame, cap_days: int | None = None) -> DataFrame:
     """(feed, service_id, date) in service; an exception row overrides the calendar entirely."""
     spans = feed_spans(calendar, calendar_dates, cap_days)
     exc = exceptions(calendar_dates)
@@ -71,7 +73,7 @@ def active_service_days(calendar: DataFrame, calendar_dates: DataFrame, cap_days
 
 
 def service_days(calendar: DataFrame, calendar_dates: DataFrame, trips: DataFrame,
-                 cap_days: int = SPAN_CAP_DAYS) -> DataFrame:
+                 cap_days: int | None = None) -> DataFrame:
     """(date, trips): active trips per day summed over feeds; a day in any feed's span is present."""
     runs = (trips.where(F.coalesce(F.trim("service_id"), F.lit("")) != "")
             .groupBy("feed", F.trim("service_id").alias("service_id")).agg(F.count("*").alias("trips")))
@@ -263,10 +265,12 @@ def service_findings(days: DataFrame, date: str | None = None) -> DataFrame:
 # --- static against realized ---------------------------------------------------
 
 def decreasing_trips(stop_times: DataFrame, keys: Sequence[str] = ("feed",)) -> DataFrame:
-    """Per feed: trips whose arrivals go back in time, and all trips with arrivals."""
+    """Per feed: trips whose arrivals go back in time, and all trips, with or without arrivals."""
     timed = stop_times.where("arr is not null")
     prev = neighbour(timed, [*keys, "trip_id"], "seq", {"before": "arr"}, step=-1)
-    per_trip = prev.groupBy(*keys, "trip_id").agg(F.max((F.col("arr") < F.col("before")).cast("int")).alias("bad"))
+    marked = prev.select(*keys, "trip_id", (F.col("arr") < F.col("before")).cast("int").alias("bad")).unionByName(
+        stop_times.where("arr is null").select(*keys, "trip_id", F.lit(0).alias("bad")))
+    per_trip = marked.groupBy(*keys, "trip_id").agg(F.max("bad").alias("bad"))
     return per_trip.groupBy(*keys).agg(F.count_if(F.col("bad") == 1).alias("bad"), F.count("*").alias("trips"))
 
 
@@ -294,24 +298,45 @@ def trip_id_differences(static: DataFrame, realized: DataFrame) -> DataFrame:
                                     F.count_if(F.col("s").isNull()).alias("only_realized"))
 
 
+def pair_findings(static: DataFrame, realized: DataFrame, trips_on_date: DataFrame | None = None, min_trips: int = 1) -> DataFrame:
+    """Findings on a static and a realized feed that should belong together.
+
+    NO_OVERLAP: no common (trip, sequence), also where one side lacks the feed. STOPS_DIFFER: stop ids on one
+    side only. FEW_TRIPS: fewer than ``min_trips`` trips in ``trips_on_date`` (feed, trips).
+    """
+    def side(df: DataFrame, name: str) -> DataFrame:
+        return df.select("feed", "trip_id", "seq", "stop_id", F.lit(1).alias("a" if name == "a" else "b"))
+    both = side(static, "a").unionByName(side(realized, "b"), allowMissingColumns=True)
+    calls = both.groupBy("feed", "trip_id", "seq").agg(F.max("a").alias("a"), F.max("b").alias("b")).groupBy("feed").agg(
+        F.count_if(F.col("a").isNotNull() & F.col("b").isNotNull()).alias("common"))
+    stops = both.groupBy("feed", "stop_id").agg(F.max("a").alias("a"), F.max("b").alias("b")).groupBy("feed").agg(
+        F.count_if(F.col("a").isNull() | F.col("b").isNull()).alias("n"))
+    out = findings(calls.where("common = 0").select("feed", F.lit(1).alias("n")), "ERROR", "NO_OVERLAP").unionByName(
+        findings(stops.where("n > 0"), "WARN", "STOPS_DIFFER"))
+    if trips_on_date is not None:
+        feeds = calls.select("feed").join(trips_on_date, "feed", "left").select("feed", F.coalesce("trips", F.lit(0)).alias("n"))
+        out = out.unionByName(findings(feeds.where(F.col("n") < min_trips), "WARN", "FEW_TRIPS"))
+    return out
+
+
 def trip_shifts(pairs: DataFrame, trips: DataFrame, routes: DataFrame, *, threshold: int = 30,
                 peak: tuple[int, int] = (25200, 32400)) -> DataFrame:
     """Late, early and unchanged trips per window and traction, from trips with two or more common stops.
 
-    The peak window is closed on both sides and looks at the first common stop.
+    Trips and routes belong to a feed; equal ids in two feeds are different trips. The peak window is
+    closed on both sides and looks at the first common stop.
     """
-    per_trip = pairs.groupBy("trip_id").agg(
+    per_trip = pairs.groupBy("feed", "trip_id").agg(
         F.count("*").alias("stops"), F.avg("shift").alias("mean"), F.min_by("arr", "seq").alias("first")).where("stops >= 2")
-    kinds = trips.select("trip_id", "route_id").join(
-        routes.select("route_id", traction(F.col("route_type")).alias("traction")), "route_id", "left")
-    placed = per_trip.join(kinds.select("trip_id", F.coalesce("traction", F.lit("other")).alias("traction")), "trip_id")
+    kinds = trips.select("feed", "trip_id", "route_id").join(
+        routes.select("feed", "route_id", traction(F.col("route_type")).alias("traction")), ["feed", "route_id"], "left")
+    placed = per_trip.join(kinds.select("feed", "trip_id", F.coalesce("traction", F.lit("other")).alias("traction")), ["feed", "trip_id"])
     windows = F.filter(F.array(F.lit("day"), F.when(F.col("first").between(*peak), "peak")), lambda w: w.isNotNull())
-    placed = placed.select("trip_id", "traction", "mean", F.explode(windows).alias("window"))
-    middle = group_quantiles(placed, ["window", "traction"], "mean", {"median_shift": linear(0.5)}, count="trips")
-    counts = placed.groupBy("window", "traction").agg(
-        F.count_if(F.col("mean") > threshold).alias("late"), F.count_if(F.col("mean") < -threshold).alias("early"),
-        F.count_if(F.abs("mean") <= threshold).alias("unchanged"), F.avg("mean").alias("mean_shift"))
-    out = middle.join(counts, ["window", "traction"])
+    placed = placed.select("traction", "mean", F.explode(windows).alias("window"))
+    times = lambda hit: F.sum(F.when(hit, F.col("_k")).otherwise(0))
+    out = group_quantiles(placed, ["window", "traction"], "mean", {"median_shift": linear(0.5)}, count="trips", more=[
+        times(F.col("mean") > threshold).alias("late"), times(F.col("mean") < -threshold).alias("early"),
+        times(F.abs("mean") <= threshold).alias("unchanged"), (F.sum(F.col("mean") * F.col("_k")) / F.sum("_k")).alias("mean_shift")])
     return out.select("window", "traction", "trips", "late", "early", "unchanged",
                       *[F.round(100 * F.col(c) / F.col("trips"), 1).alias(f"{c}_pct") for c in ("late", "early", "unchanged")],
                       F.round("median_shift").alias("median_shift_s"), F.round("mean_shift").alias("mean_shift_s"))

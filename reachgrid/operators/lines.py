@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -125,6 +125,17 @@ def population_near(served: DataFrame, stops: DataFrame, people: DataFrame, radi
     return near.groupBy("route_id").agg(F.sum("pop").alias("pop"))
 
 
+def eligible_lines(trips: DataFrame, routes: DataFrame, stop_times: DataFrame, kinds: Sequence[str], min_trips: int) -> DataFrame:
+    """(route_id, trips): lines of the wanted route types with at least ``min_trips`` trips and a trip of more than one stop.
+
+    Only these are ranked; others would shift the length quartile and every rank.
+    """
+    wanted = trips.join(routes.where(F.col("route_type").cast("string").isin(*kinds)).select("route_id").distinct(), "route_id", "left_semi")
+    stops = stop_times.groupBy("trip_id").agg(F.count("*").alias("stops"))
+    per = wanted.join(stops, "trip_id", "left").groupBy("route_id").agg(F.count("*").alias("trips"), F.max("stops").alias("stops"))
+    return per.where((F.col("trips") >= min_trips) & (F.col("stops") > 1)).select("route_id", "trips")
+
+
 def rank_lines(lines: DataFrame) -> DataFrame:
     """Length gate at the upper quartile (exclusive method), ranks and the composite score.
 

@@ -150,17 +150,24 @@ def footprint_coverage(footprint: DataFrame, prices: DataFrame, min_footprint: f
                       F.round(100 * F.count_if(priced) / F.nullif(F.count_if(lived), F.lit(0)), 1).alias("coverage_pct"))
 
 
-def noise_shares(cells: DataFrame, sources: Mapping[str, Column], thresholds: Sequence[int], outside: DataFrame) -> DataFrame:
+def noise_shares(cells: DataFrame, sources: Mapping[str, Column], thresholds: Sequence[int], outside: DataFrame,
+                 lowest: Mapping[str, float], combined: Mapping[str, Sequence[str]] | None = None) -> DataFrame:
     """(hex_id, source, threshold, share) of raster cells at or above each noise level.
 
-    ``sources`` maps a name to its level column (0 = below the mapped range). A threshold below the
-    lowest mapped level of a source, and cells outside the modelled area, have no value.
+    ``sources`` maps a name to its level column (0 = below the mapped range), ``lowest`` a name to the
+    lowest level of its layer. ``combined`` names the sources of which a further one is the loudest; it is
+    mapped from the highest of their lowest levels. A threshold below the lowest mapped level of a source, and
+    cells outside the modelled area, have no value.
     """
-    lowest = {n: cells.select(F.min(F.when(c > 0, c)).alias("v")).scalar() for n, c in sources.items()}
+    lowest = dict(lowest)
+    sources = dict(sources)
+    for n, parts in (combined or {}).items():
+        sources[n] = F.greatest(*[sources[x] for x in parts])
+        lowest[n] = max(lowest[x] for x in parts)
     aggs = [F.avg((c >= t).cast("double")).alias(f"{n}_{t}") for n, c in sources.items() for t in thresholds]
     wide = cells.groupBy("hex_id").agg(*aggs).join(outside.select("hex_id", F.lit(True).alias("_out")), "hex_id", "left")
     for n in sources:
-        wide = wide.withColumn(f"_low_{n}", lowest[n])
+        wide = wide.withColumn(f"_low_{n}", F.lit(lowest[n]))
     rows = F.array(*[F.struct(F.lit(n).alias("source"), F.lit(t).alias("threshold"), F.when(
         F.col("_out").isNull() & (F.lit(t) >= F.col(f"_low_{n}")), F.round(f"{n}_{t}", 4)).alias("share"))
         for n in sources for t in thresholds])

@@ -198,6 +198,13 @@ def stability_summary(stable: DataFrame) -> DataFrame:
     return out.drop("all")
 
 
+def relative_to_first(means: DataFrame, keys: Sequence[str], bin_column: str, value: str, name: str = "relative") -> DataFrame:
+    """Adds ``name``: the value over that of the key's own first bin; NULL where that is missing or 0."""
+    keys = list(keys)
+    first = means.groupBy(*keys).agg(F.min_by(value, bin_column).alias("_first"))
+    return means.join(first, keys).withColumn(name, F.col(value) / F.nullif("_first", F.lit(0.0))).drop("_first")
+
+
 # --- spatial autocorrelation -------------------------------------------------------------
 
 def morans_i(values: DataFrame, graph: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
@@ -206,16 +213,19 @@ def morans_i(values: DataFrame, graph: DataFrame, k: int, by: Sequence[str] = ()
     values: (by, id, v). graph: (id, other), k rows per id.
     """
     by = list(by)
-    keyed = values if by else values.withColumn("_one", F.lit(0))
-    keys = by or ["_one"]
+    if not by:  # one map: totals are scalar subqueries
+        z = values.select("id", (F.col("v") - values.agg(F.avg("v")).scalar()).alias("z"))
+        near = graph.select("id", "other").join(z, "id").join(z.select(F.col("id").alias("other"), F.col("z").alias("zo")), "other")
+        square = z.agg(F.sum(F.col("z") * F.col("z"))).scalar()
+        return near.agg(z.agg(F.count("*")).scalar().alias("n"), (F.sum(F.col("z") * F.col("zo")) / k / square).alias("i"))
+    keyed, keys = values, by
     means = keyed.groupBy(*keys).agg(F.avg("v").alias("_mean"))
     z = keyed.join(means, keys).select(*keys, "id", (F.col("v") - F.col("_mean")).alias("z"))
     near = graph.select("id", "other").join(z, "id").join(
         z.select(*keys, F.col("id").alias("other"), F.col("z").alias("zo")), [*keys, "other"])
     cross = near.groupBy(*keys).agg(F.sum(F.col("z") * F.col("zo")).alias("_cross"))
     square = z.groupBy(*keys).agg(F.sum(F.col("z") * F.col("z")).alias("_square"), F.count("*").alias("n"))
-    out = cross.join(square, keys).select(*keys, "n", (F.col("_cross") / k / F.col("_square")).alias("i"))
-    return out.drop("_one")
+    return cross.join(square, keys).select(*keys, "n", (F.col("_cross") / k / F.col("_square")).alias("i"))
 
 
 def shuffle_positions(df: DataFrame, index: str, perm: str, n: int, name: str, seed: int = 42, rounds: int = 6) -> DataFrame:
@@ -294,12 +304,12 @@ def ring_verdict(bands: DataFrame, by: Sequence[str] = (), min_cells: int = 20)
     by = list(by)
     keyed = bands if by else bands.withColumn("_one", F.lit(0))
     keys = by or ["_one"]
-    usable = keyed.where((F.col("cells") >= min_cells) & F.col("mean").isNotNull())
+    usable = keyed.where((F.col("cells") >= min_cells) & F.col("mean").isNotNull() & ~F.isnan("mean"))
     ring = F.struct("mean", "bin_lo")
     per = usable.groupBy(*keys).agg(
         F.count("*").alias("rings"), F.min_by("mean", "bin_lo").alias("inner_mean"), F.min(ring).alias("w"),
         F.sort_array(F.collect_list("mean")).alias("means")).where("rings >= 3")
-    others = F.slice("means", 2, 10_000)  # the smallest mean is the worst ring
+    others = F.slice("means", F.lit(2), F.size("means") - 1)  # the smallest mean is the worst ring
     middle = F.get(others, F.floor(F.size(others) / 2).cast("int"))
     out = per.select(*keys, F.col("w.bin_lo").alias("worst_ring_km"), F.col("w.mean").alias("worst_mean"), "inner_mean",
                      middle.alias("median_other"))

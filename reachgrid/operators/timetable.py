@@ -1,4 +1,4 @@
-"""Travel times from timetables: walking, rides in rounds, isochrones, headway draws, case sweeps.
+"""Walking times, stop patterns of trips, isochrones, case sweeps.
 
 Straight-line walking stands in for street routing. Times are whole seconds after midnight.
 stop_times: trip_id, seq, stop_id, arr, dep. stops: stop_id, x, y in metres.
@@ -6,37 +6,16 @@ stop_times: trip_id, seq, stop_id, arr, dep. stops: stop_id, x, y in metres.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachgrid.functions.scale import neighbour
 from reachgrid.functions.values import check_cutoffs
-from reachgrid.operators.spatial import exists_within, pairs_within
-from reachgrid.session import checkpoint
+from reachgrid.operators.spatial import pairs_within
 
-BUCKET = 900
 REACH_PER_MINUTE = 900.0
-MAX_CELLS = 400_000
-
-
-@dataclass(frozen=True)
-class Limits:
-    """Search limits: walking speed in m/s, the rest in seconds and rides."""
-
-    walk_speed: float = 1.0
-    max_walk: int = 1200
-    max_transfer: int = 600
-    max_trip: int = 5400
-    max_rides: int = 3
-
-
-def walk_seconds(distance: Column, speed: float) -> Column:
-    return F.ceil(distance / speed).cast("int")
 
 
 def walk_matrix(origins: DataFrame, destinations: DataFrame, speed: float, max_minutes: int) -> DataFrame:
@@ -60,120 +39,22 @@ def trip_patterns(stop_times: DataFrame) -> DataFrame:
     return parts.select("trip_id", F.concat_ws("-", "n", "a", "b").alias("pattern"), "start")
 
 
-def boarding_lanes(stop_times: DataFrame) -> DataFrame:
-    """(trip_id, lane): trips of one lane never overtake, so only the first to leave matters.
-
-    A pattern is one lane when, ordered by start, arrivals and departures grow along every stop;
-    trips of other patterns are lanes of their own.
-    """
-    patterns = trip_patterns(stop_times)
-    rank = patterns.groupBy("pattern", "start").agg(F.count("*").alias("n"))
-    timed = stop_times.join(patterns, "trip_id")
-    crowded = rank.where("n > 1").select("pattern").distinct()
-    back = neighbour(timed.select("pattern", "seq", "start", "arr", "dep"), ["pattern", "seq"], "start",
-                     {"arr_before": "arr", "dep_before": "dep"}, step=-1)
-    overtaking = back.where((F.col("arr") < F.col("arr_before")) | (F.col("dep") < F.col("dep_before"))).select("pattern").distinct()
-    loose = crowded.unionByName(overtaking).distinct().withColumn("_loose", F.lit(True))
-    out = patterns.join(loose, "pattern", "left")
-    return out.select("trip_id", F.when(F.col("_loose"), F.concat(F.lit("t"), F.col("trip_id").cast("string")))
-                      .otherwise(F.col("pattern")).alias("lane"))
-
-
-# --- rides in rounds ---------------------------------------------------------------------------
-
-STATE = ("from_id", "start", "stop_id")
-
-
-def _board(state: DataFrame, departures: DataFrame, limits: Limits) -> DataFrame:
-    """(from_id, start, trip_id, seq): earliest useful boarding position per trip.
-
-    The condition 'departs between arrival and the end of the budget' becomes an equality on
-    (stop, quarter of an hour), so a busy stop is spread over its day.
-    """
-    end = F.col("start") + limits.max_trip
-    spans = F.sequence(F.floor(F.col("arrival") / BUCKET), F.floor(end / BUCKET))
-    waiting = state.where(F.col("arrival") <= end).withColumn("_bucket", F.explode(spans))
-    legs = waiting.join(departures, ["stop_id", "_bucket"]).where((F.col("dep") >= F.col("arrival")) & (F.col("dep") <= end))
-    first = legs.groupBy("from_id", "start", "lane", "seq").agg(F.min_by("trip_id", "dep").alias("trip_id"))
-    return first.groupBy("from_id", "start", "trip_id").agg(F.min("seq").alias("seq"))
-
-
-def _ride(boarded: DataFrame, calls: DataFrame, limits: Limits) -> DataFrame:
-    """(from_id, start, stop_id, arrival): earliest alighting at every later stop of the boarded trips."""
-    onward = boarded.join(calls.select("trip_id", F.col("seq").alias("at"), "stop_id", "arr"), "trip_id")
-    onward = onward.where((F.col("at") > F.col("seq")) & (F.col("arr") <= F.col("start") + limits.max_trip))
-    return onward.groupBy(*STATE).agg(F.min("arr").alias("arrival"))
-
+# --- isochrones --------------------------------------------------------------------------------
 
-def travel_times(origins: DataFrame, destinations: DataFrame, stop_times: DataFrame, stops: DataFrame,
-                 departures: Sequence[int], limits: Limits = Limits()) -> DataFrame:
-    """(from_id, to_id, start, minutes) of every reached pair and departure, whole minutes.
+def isochrone_cells(origins: DataFrame, spacing: float, cutoffs: Sequence[int], corner: tuple[float, float] = (0.0, 0.0)) -> DataFrame:
+    """(cell, x, y): points of a square grid through ``corner`` that some origin could reach; ``cell`` is their place, "column:row".
 
-    Each round is one more ride: board, ride, alight, walk to nearby stops. Only states that got
-    better go on; the state is written out per round, so the plan does not grow.
+    Points are made around each origin, so their number follows the origins and not the box around them.
     """
-    starts = F.explode(F.array(*[F.lit(int(t)) for t in departures])).alias("start")
-    access = pairs_within(origins.select(F.col("id").alias("from_id"), "x", "y"),
-                          stops.select("stop_id", F.col("x").alias("px"), F.col("y").alias("py")),
-                          limits.walk_speed * limits.max_walk)
-    access = access.select("from_id", "stop_id", walk_seconds(F.col("distance"), limits.walk_speed).alias("walk"), starts)
-    known = access.groupBy(*STATE).agg(F.min(F.col("start") + F.col("walk")).alias("arrival"))
-
-    near = pairs_within(stops.select("stop_id", "x", "y"), stops.select(F.col("stop_id").alias("to_stop"), F.col("x").alias("px"), F.col("y").alias("py")),
-                        limits.walk_speed * limits.max_transfer)
-    transfers = near.select("stop_id", "to_stop", walk_seconds(F.col("distance"), limits.walk_speed).alias("walk"))
-    calls = checkpoint(stop_times.select("trip_id", "seq", "stop_id", "arr", "dep"))
-    boarding = checkpoint(calls.join(boarding_lanes(calls), "trip_id").select("trip_id", "lane", "seq", "stop_id", "dep")
-                          .withColumn("_bucket", F.floor(F.col("dep") / BUCKET)))
-
-    known = checkpoint(known)
-    frontier, alighted = known, None
-    for _ in range(limits.max_rides):
-        arrived = checkpoint(_ride(_board(frontier, boarding, limits), calls, limits))
-        alighted = arrived if alighted is None else alighted.unionByName(arrived)
-        walked = arrived.join(transfers, "stop_id").select(
-            "from_id", "start", F.col("to_stop").alias("stop_id"), (F.col("arrival") + F.col("walk")).alias("arrival"))
-        new = walked.groupBy(*STATE).agg(F.min("arrival").alias("new"))
-        merged = checkpoint(known.join(new, list(STATE), "full").select(
-            *STATE, F.least("arrival", "new").alias("arrival"),
-            (F.col("new") < F.coalesce("arrival", F.lit(2**31 - 1))).alias("_better")))
-        known = merged.select(*STATE, "arrival")
-        frontier = merged.where("_better").select(*STATE, "arrival")
-        if not frontier.take(1):
-            break
-
-    egress = pairs_within(stops.select("stop_id", "x", "y"), destinations.select(F.col("id").alias("to_id"), F.col("x").alias("px"), F.col("y").alias("py")),
-                          limits.walk_speed * limits.max_walk)
-    egress = egress.select("stop_id", "to_id", walk_seconds(F.col("distance"), limits.walk_speed).alias("walk"))
-    by_ride = alighted.groupBy(*STATE).agg(F.min("arrival").alias("arrival")).join(egress, "stop_id").select(
-        "from_id", "to_id", "start", (F.col("arrival") + F.col("walk") - F.col("start")).alias("seconds"))
-    direct = pairs_within(origins.select(F.col("id").alias("from_id"), "x", "y"), destinations.select(F.col("id").alias("to_id"), F.col("x").alias("px"), F.col("y").alias("py")),
-                          limits.walk_speed * limits.max_walk)
-    on_foot = direct.select("from_id", "to_id", starts, walk_seconds(F.col("distance"), limits.walk_speed).alias("seconds"))
-    best = by_ride.unionByName(on_foot).groupBy("from_id", "to_id", "start").agg(F.min("seconds").alias("seconds"))
-    return best.where(F.col("seconds") <= limits.max_trip).select(
-        "from_id", "to_id", "start", F.floor(F.col("seconds") / 60).cast("int").alias("minutes"))
-
-
-def all_departures(times: DataFrame, departures: Sequence[int]) -> DataFrame:
-    """Every departure of every pair reached at least once; departures without a trip are NULL."""
-    frame = times.select("from_id", "to_id").distinct().withColumn("start", F.explode(F.array(*[F.lit(int(t)) for t in departures])))
-    return frame.join(times, ["from_id", "to_id", "start"], "left")
-
-
-# --- isochrones --------------------------------------------------------------------------------
-
-def isochrone_cells(origins: DataFrame, spacing: float, cutoffs: Sequence[int], max_cells: int = MAX_CELLS) -> DataFrame:
-    """(cell, x, y): a square grid over everything the origins could reach, clipped to their reach."""
     pad = max(check_cutoffs(cutoffs)) * REACH_PER_MINUTE
-    x0, y0, x1, y1 = origins.agg(F.min("x") - pad, F.min("y") - pad, F.max("x") + pad, F.max("y") + pad).first()
-    columns, rows = math.floor((x1 - x0) / spacing) + 1, math.floor((y1 - y0) / spacing) + 1
-    if (x1 - x0) / spacing * ((y1 - y0) / spacing) > max_cells:
-        raise ValueError(f"about {columns * rows} cells: use a larger spacing or fewer, closer origins")
-    cells = origins.sparkSession.range(columns * rows).select(
-        F.col("id").alias("cell"), (x0 + F.col("id") % columns * spacing).alias("x"),
-        (y0 + F.floor(F.col("id") / columns) * spacing).alias("y"))
-    return exists_within(cells, origins, pad, right_xy=("x", "y"))
+    x0, y0 = corner
+
+    def steps(c: Column, start: float) -> Column:
+        return F.sequence(F.ceil((c - pad - start) / spacing).cast("bigint"), F.floor((c + pad - start) / spacing).cast("bigint"))
+    near = origins.select("x", "y", F.explode(steps(F.col("x"), x0)).alias("i")).select("x", "y", "i", F.explode(steps(F.col("y"), y0)).alias("j"))
+    cx, cy = x0 + F.col("i") * spacing, y0 + F.col("j") * spacing
+    near = near.where(F.pow(cx - F.col("x"), 2) + F.pow(cy - F.col("y"), 2) <= pad * pad)
+    return near.select("i", "j").distinct().select(F.concat_ws(":", "i", "j").alias("cell"), cx.alias("x"), cy.alias("y"))
 
 
 def isochrones(times: DataFrame, cutoffs: Sequence[int], cell_area: float) -> DataFrame:
@@ -185,20 +66,6 @@ def isochrones(times: DataFrame, cutoffs: Sequence[int], cell_area: float) -> Da
     return sums.select("from_id", F.inline(rows)).where("cells > 0").withColumn("area", F.col("cells") * cell_area)
 
 
-# --- headways ------------------------------------------------------------------------------------
-
-def headway_draws(frequencies: DataFrame, draws: int) -> DataFrame:
-    """(trip_id, draw, dep): departures of headway trips under ``draws`` deterministic offsets each.
-
-    frequencies: trip_id, start, end, headway (seconds). Every draw is one possible timetable.
-    """
-    drawn = frequencies.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    seed = F.conv(F.substring(F.md5(F.concat_ws("/", F.col("trip_id").cast("string"), F.col("draw").cast("string"))), 1, 8), 16, 10)
-    first = F.col("start") + F.pmod(seed.cast("bigint"), F.col("headway"))
-    timed = drawn.withColumn("first", first).where(F.col("first") < F.col("end"))
-    return timed.select("trip_id", "draw", F.explode(F.sequence("first", F.col("end") - 1, F.col("headway"))).alias("dep"))
-
-
 # --- case sweeps ---------------------------------------------------------------------------------
 
 def finished_cases(spark: SparkSession, folder: str) -> set[str]:

@@ -63,20 +63,20 @@ _AREAS_SQL = "SELECT c_custkey AS area, CASE WHEN c_custkey % 5 = 0 THEN c_custk
 def attached(d):
     k = F.col("c_custkey")
     key = F.when(k % 5 == 0, k.cast("string")).otherwise(F.concat(F.lit("0"), (100000 + k).cast("string")))
-    one = tracts(d).where("sheet = 'F'")
-    return census.attach_population(d.table("customer").select(k.alias("area"), key.alias("k")), one, "k"), one
+    every = tracts(d).groupBy("key").agg(F.sum("population").alias("population"))
+    return census.attach_population(d.table("customer").select(k.alias("area"), key.alias("k")), every, "k"), every
 
 
 @query("c05_attach_population", f"""
-SELECT area, k, population FROM ({_AREAS_SQL}) LEFT JOIN (SELECT key AS k, population FROM v_tracts WHERE sheet = 'F') USING (k)""")
+SELECT area, k, population FROM ({_AREAS_SQL}) LEFT JOIN (SELECT key AS k, sum(population) AS population FROM v_tracts GROUP BY key) USING (k)""")
 def attach_population(d):
     return attached(d)[0]
 
 
 @query("c05_match_report", f"""
-WITH j AS (SELECT area, k, population FROM ({_AREAS_SQL}) LEFT JOIN (SELECT key AS k, population FROM v_tracts WHERE sheet = 'F') USING (k))
+WITH j AS (SELECT area, k, population FROM ({_AREAS_SQL}) LEFT JOIN (SELECT key AS k, sum(population) AS population FROM v_tracts GROUP BY key) USING (k))
 SELECT count(population) AS matched, count(*) - count(population) AS unmatched, count(*) FILTER (regexp_matches(k, '^[0-9]{{1,6}}$')) AS short_keys, 'OK' AS level,
-       (SELECT count(*) FROM v_tracts WHERE sheet = 'F') - count(population) AS sheet_only FROM j""")
+       (SELECT count(DISTINCT key) FROM v_tracts) - count(population) AS sheet_only FROM j""")
 def match_report(d):
     rows, one = attached(d)
     return census.match_report(rows, one, "k")

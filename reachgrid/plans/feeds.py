@@ -10,7 +10,6 @@ from reachgrid.operators import feeds, lines, spatial
 from reachgrid.plans.registry import query
 from reachgrid.plans.spatial import matches, polygons
 from reachgrid.plans.views import SQL_VIEWS
-from reachgrid.session import checkpoint
 
 DATE = "2026-01-25"
 
@@ -30,8 +29,8 @@ SQL_VIEWS["v_feed_times"] = "SELECT 'f' || (trip_id % 3) AS feed, trip_id, seq,
 SQL_VIEWS["v_realized"] = "SELECT 'f' || (trip_id % 3) AS feed, trip_id, seq, stop_id, arr + shift AS arr FROM v_stop_times WHERE (trip_id + seq) % 23 <> 0 AND trip_id % 89 <> 0"
 # Calendar in force: exceptions (last row wins) override the weekly calendar.
 SQL_VIEWS["v_exc"] = "SELECT feed, service_id, strptime(date, '%Y%m%d')::DATE AS d, arg_max(exception_type, row_no) AS kind FROM v_exceptions GROUP BY ALL"
-SQL_VIEWS["v_cal"] = "SELECT *, strptime(start_date, '%Y%m%d')::DATE AS s, strptime(end_date, '%Y%m%d')::DATE AS e, [monday, tuesday, wednesday, thursday, friday, saturday, sunday] AS flags FROM v_calendar"
-SQL_VIEWS["v_span"] = """SELECT feed, min(d) AS first, least(max(d), min(d) + 399) AS last FROM (
+SQL_VIEWS["v_cal"] = "SELECT * EXCLUDE (k), strptime(start_date, '%Y%m%d')::DATE AS s, strptime(end_date, '%Y%m%d')::DATE AS e, [monday, tuesday, wednesday, thursday, friday, saturday, sunday] AS flags FROM (SELECT *, row_number() OVER (PARTITION BY feed, service_id ORDER BY row_no DESC) AS k FROM v_calendar) WHERE k = 1"
+SQL_VIEWS["v_span"] = """SELECT feed, min(d) AS first, max(d) AS last FROM (
     SELECT feed, s AS d FROM v_cal UNION ALL SELECT feed, e FROM v_cal UNION ALL SELECT feed, d FROM v_exc) GROUP BY feed"""
 SQL_VIEWS["v_span_days"] = "SELECT feed, unnest(generate_series(first::TIMESTAMP, last::TIMESTAMP, INTERVAL 1 DAY))::DATE AS d FROM v_span"
 SQL_VIEWS["v_active"] = """
@@ -41,7 +40,7 @@ SQL_VIEWS["v_active"] = """
 SQL_VIEWS["v_days"] = """SELECT d, coalesce(sum(n), 0)::BIGINT AS trips FROM (
     SELECT d, 0 AS n FROM v_span_days UNION ALL
     SELECT a.d, t.n FROM v_active a JOIN (SELECT feed, service_id, count(*) AS n FROM v_trips GROUP BY ALL) t USING (feed, service_id)) GROUP BY d"""
-SQL_VIEWS["v_line_stops"] = "SELECT id AS stop_id, lon, lat, x, y, CASE id % 2 WHEN 0 THEN 'tram' ELSE 'bus' END AS mode FROM v_dests WHERE id % 10 <> 3"
+SQL_VIEWS["v_line_stops"] = "SELECT id AS stop_id, lon, lat, x, y, CASE id % 2 WHEN 0 THEN 'tram' ELSE 'bus' END AS mode FROM v_dests"
 SQL_VIEWS["v_line_times"] = "SELECT trip_id, seq, stop_id, arr, arr + 20 AS dep FROM v_stop_times"
 
 
@@ -269,18 +268,36 @@ def shift_distribution(d):
 
 @query("e08_trip_shifts", f"""
 WITH {_SHIFTS},
-p AS (SELECT trip_id, count(*) AS c, avg(shift) AS m, arg_min(arr, seq) AS first FROM x GROUP BY trip_id HAVING count(*) >= 2),
-k AS (SELECT trip_id, m, first, {_TRACTION.format(c="coalesce(route_type, '')")} AS traction FROM p JOIN v_trips USING (trip_id)
-      LEFT JOIN (SELECT DISTINCT route_id, route_type FROM v_feed_routes) r USING (route_id)),
+p AS (SELECT feed, trip_id, avg(shift) AS m, arg_min(arr, seq) AS first FROM (SELECT feed, trip_id % 500 AS trip_id, seq, avg(shift) AS shift, min(arr) AS arr FROM x GROUP BY ALL) GROUP BY ALL HAVING count(*) >= 2),
+k AS (SELECT m, first, {_TRACTION.format(c="coalesce(route_type, '')")} AS traction FROM p JOIN (SELECT DISTINCT feed, trip_id % 500 AS trip_id, trip_id % 40 AS route_id FROM v_feed_times) t USING (feed, trip_id)
+      LEFT JOIN v_feed_routes r USING (feed, route_id)),
 w AS (SELECT 'day' AS window_, * FROM k UNION ALL SELECT 'peak', * FROM k WHERE first BETWEEN 25200 AND 32400)
 SELECT window_ AS "window", traction, count(*) AS trips, count(*) FILTER (m > 30) AS late, count(*) FILTER (m < -30) AS early, count(*) FILTER (abs(m) <= 30) AS unchanged,
        round(100 * count(*) FILTER (m > 30) / count(*), 1) AS late_pct, round(100 * count(*) FILTER (m < -30) / count(*), 1) AS early_pct,
        round(100 * count(*) FILTER (abs(m) <= 30) / count(*), 1) AS unchanged_pct, round(median(m)) AS median_shift_s, round(avg(m)) AS mean_shift_s
 FROM w GROUP BY ALL""")
 def trip_shifts(d):
-    pairs = feeds.shifts(feed_times(d), realized(d))
-    routes = feed_routes(d).select("route_id", "route_type").distinct()
-    return feeds.trip_shifts(pairs, d.trips, routes)
+    """Trip ids run from 0 to 499 in every feed, so most of them are in several feeds."""
+    short = (F.col("trip_id") % 500).alias("trip_id")
+    pairs = feeds.shifts(feed_times(d), realized(d)).groupBy("feed", short, "seq").agg(F.avg("shift").alias("shift"), F.min("arr").alias("arr"))
+    trips = feed_times(d).select("feed", short, (F.col("trip_id") % 40).alias("route_id")).distinct()
+    return feeds.trip_shifts(pairs, trips, feed_routes(d))
+
+
+@query("c09_pair_findings", f"""
+WITH s AS (SELECT feed, trip_id, seq, stop_id FROM v_feed_times),
+r AS (SELECT feed, trip_id, seq, CASE WHEN feed = 'f1' AND seq = 1 THEN stop_id + 1000000 ELSE stop_id END AS stop_id FROM v_realized WHERE feed <> 'f2'),
+f AS (SELECT DISTINCT feed FROM s),
+n AS (SELECT feed, count(*) AS trips FROM v_trips JOIN (SELECT DISTINCT feed, service_id FROM v_active WHERE d = DATE '{DATE}') USING (feed, service_id) GROUP BY feed)
+SELECT feed, 'ERROR' AS level, 'NO_OVERLAP' AS code, 1 AS n, NULL::VARCHAR AS detail FROM f WHERE feed NOT IN (SELECT feed FROM s JOIN r USING (feed, trip_id, seq))
+UNION ALL SELECT feed, 'WARN', 'STOPS_DIFFER', count(*), NULL FROM (SELECT DISTINCT feed, stop_id, 1 AS a FROM s) FULL JOIN (SELECT DISTINCT feed, stop_id, 1 AS b FROM r) USING (feed, stop_id) WHERE a IS NULL OR b IS NULL GROUP BY feed
+UNION ALL SELECT feed, 'WARN', 'FEW_TRIPS', coalesce(trips, 0), NULL FROM f LEFT JOIN n USING (feed) WHERE coalesce(trips, 0) < 4000""")
+def pair_findings(d):
+    """The realized side has other stop ids in feed f1 and lacks feed f2."""
+    moved = F.when((F.col("feed") == "f1") & (F.col("seq") == 1), F.col("stop_id") + 1000000).otherwise(F.col("stop_id"))
+    real = realized(d).where("feed <> 'f2'").withColumn("stop_id", moved)
+    on_date = feeds.active_trips(d.trips, d.calendar, d.exceptions, DATE).groupBy("feed").agg(F.count("*").alias("trips"))
+    return feeds.pair_findings(feed_times(d), real, on_date, min_trips=4000)
 
 
 @query("c19_trip_id_differences", """
@@ -345,7 +362,7 @@ def municipality_inventory(d):
 
 def line_stops(d):
     mode = F.when(F.col("id") % 2 == 0, "tram").otherwise("bus")
-    return d.dests.where("id % 10 <> 3").select(F.col("id").alias("stop_id"), "lon", "lat", "x", "y", mode.alias("mode"))
+    return d.dests.select(F.col("id").alias("stop_id"), "lon", "lat", "x", "y", mode.alias("mode"))
 
 
 def line_times(d):
@@ -410,7 +427,7 @@ SQL_VIEWS["v_profile"] = f"""
 
 def speed_profile_df(d, times=None):
     centre = lines.weighted_centroid(d.people, "pop")
-    return lines.speed_profile(checkpoint(lines.segments(times or line_times(d), line_stops(d))), line_trips(d),
+    return lines.speed_profile(lines.segments(times or line_times(d), line_stops(d)), line_trips(d),
                                (centre.select("lon").scalar(), centre.select("lat").scalar()))
 
 
@@ -448,6 +465,13 @@ def line_population_query(d):
     return line_population(d)
 
 
+@query("e17_eligible_lines", """
+SELECT route_id, count(*) AS trips FROM v_trips JOIN (SELECT DISTINCT route_id FROM v_feed_routes WHERE feed = 'f2' AND route_type IN ('0', '3')) USING (route_id)
+LEFT JOIN (SELECT trip_id, count(*) AS stops FROM v_line_times GROUP BY trip_id) USING (trip_id) GROUP BY route_id HAVING count(*) >= 30 AND max(stops) > 1""")
+def eligible_lines(d):
+    return lines.eligible_lines(line_trips(d), feed_routes(d).where("feed = 'f2'"), line_times(d), ["0", "3"], 30)
+
+
 SQL_VIEWS["v_ranked"] = """
     SELECT *, round((rank_pop + rank_vehicle_km) / 2.0, 1) AS score FROM (
       SELECT route_id, length_km, vehicle_km, pop, slowdown, (length_km >= p75)::INT AS meets_length, p75, row_number() OVER (ORDER BY pop DESC, route_id) AS rank_pop,
@@ -468,7 +492,7 @@ def ranked_lines(d, times):
 SELECT route_id, meets_length::BIGINT AS meets_length, round(p75, 4) AS p75, rank_pop, rank_vehicle_km, rank_slowdown, score::DOUBLE AS score FROM v_ranked""")
 def rank_lines(d):
     long = lambda c: F.col(c).cast("bigint").alias(c)
-    return ranked_lines(d, checkpoint(line_times(d))).select("route_id", long("meets_length"), F.round("p75", 4).alias("p75"), long("rank_pop"),
+    return ranked_lines(d, line_times(d)).select("route_id", long("meets_length"), F.round("p75", 4).alias("p75"), long("rank_pop"),
                                   long("rank_vehicle_km"), long("rank_slowdown"), "score")
 
 
@@ -476,7 +500,7 @@ def rank_lines(d):
 WITH p AS (SELECT route_id AS pick FROM v_ranked WHERE meets_length = 1), m AS (SELECT pick, stop_id, count(*) OVER (PARTITION BY pick) AS k FROM p JOIN v_served ON route_id = pick)
 SELECT pick, s.route_id, round(count(*) / any_value(k), 6) AS share FROM m JOIN v_served s ON s.stop_id = m.stop_id AND s.route_id <> pick GROUP BY ALL HAVING count(*) / any_value(k) >= 0.6""")
 def corridor(d):
-    times = checkpoint(line_times(d))  # read by every line measure below
+    times = line_times(d)
     picks = ranked_lines(d, times).where("meets_length = 1")
     out = lines.corridor(picks, served(d, times))
     return out.withColumn("share", F.round("share", 6))

@@ -188,12 +188,12 @@ def raster(d):
 
 @query("g20_noise_shares", "SELECT h.hex_id, s.source, t.threshold, CASE WHEN h.hex_id % 17 <> 0 AND t.threshold >= s.low THEN round(CASE s.source "
        + " ".join(f"WHEN '{n}' THEN avg((({e}) >= t.threshold)::INT)" for n, e in (("tram", "tram"), ("rail", "rail"), ("both", "greatest(tram, rail)")))
-       + """ END, 4) END AS share FROM v_raster h CROSS JOIN (VALUES ('tram', 55), ('rail', 55), ('both', 55)) s(source, low) CROSS JOIN (VALUES (50), (60), (70)) t(threshold) GROUP BY h.hex_id, s.source, s.low, t.threshold""")
+       + """ END, 4) END AS share FROM v_raster h CROSS JOIN (VALUES ('tram', 50), ('rail', 55), ('both', 55)) s(source, low) CROSS JOIN (VALUES (50), (60), (70)) t(threshold) GROUP BY h.hex_id, s.source, s.low, t.threshold""")
 def noise_shares(d):
     cells = raster(d)
     outside = cells.where("hex_id % 17 = 0").select("hex_id").distinct()
-    levels = {"tram": F.col("tram"), "rail": F.col("rail"), "both": F.greatest("tram", "rail")}
-    return prices.noise_shares(cells, levels, [50, 60, 70], outside)
+    levels = {"tram": F.col("tram"), "rail": F.col("rail")}
+    return prices.noise_shares(cells, levels, [50, 60, 70], outside, {"tram": 50, "rail": 55}, {"both": ("tram", "rail")})
 
 
 @query("g21_canopy_shares", "SELECT hex_id, round(avg(canopy), 4) AS canopy, round(count(canopy) * 0.25 / 54126.0, 4) AS cover FROM v_raster GROUP BY hex_id")

@@ -306,13 +306,13 @@ def top_orders(d):
 
 
 @query("h07_set_operations", """
-WITH a AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey % 90 = 0), b AS (SELECT DISTINCT l_suppkey FROM lineitem WHERE l_partkey % 110 = 7)
+WITH a AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'A'), b AS (SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'R')
 SELECT 'both' AS kind, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'one', count(*) FROM ((SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT SELECT * FROM a))
 UNION ALL SELECT 'any', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)""")
 def set_operations(d):
     """Ids in both sets, in exactly one, in any — from one pass that marks membership."""
-    a, b = F.col("l_partkey") % 90 == 0, F.col("l_partkey") % 110 == 7
-    seen = d.table("lineitem").where(a | b).groupBy("l_suppkey").agg(F.max(a.cast("int")).alias("a"), F.max(b.cast("int")).alias("b"))
+    a, b = F.col("l_returnflag") == "A", F.col("l_returnflag") == "R"
+    seen = d.table("lineitem").groupBy("l_orderkey").agg(F.max(a.cast("int")).alias("a"), F.max(b.cast("int")).alias("b")).where("a + b > 0")
     kinds = F.filter(F.array(F.lit("any"), F.when((F.col("a") == 1) & (F.col("b") == 1), "both").otherwise("one")), lambda k: k.isNotNull())
     return seen.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
 

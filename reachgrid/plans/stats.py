@@ -111,6 +111,16 @@ def income_deciles(d):
     return out.withColumn("bin", F.col("bin").cast("bigint"))
 
 
+@query("f26_relative_means", """
+WITH m AS (SELECT region, (id % 10)::BIGINT AS bin, avg(acc) AS mean FROM v_people JOIN v_total30 USING (id) GROUP BY ALL)
+SELECT region, bin, round(mean, 6) AS mean, round(mean / nullif(first_value(mean) OVER (PARTITION BY region ORDER BY bin), 0), 6) AS relative FROM m""")
+def relative_means(d):
+    """Means per city and bin against the city's first bin."""
+    rows = total30(d).select("id", "acc").join(d.people.select("id", "region"), "id")
+    means = rows.groupBy("region", (F.col("id") % 10).cast("bigint").alias("bin")).agg(F.avg("acc").alias("mean"))
+    return _r(stats.relative_to_first(means, ["region"], "bin", "mean"), "mean", "relative")
+
+
 @query("f27_f28_correlations", """
 WITH p AS (SELECT 'pop' AS hypothesis, region AS city, pop::DOUBLE AS x, acc::DOUBLE AS y FROM v_people JOIN v_total30 USING (id) UNION ALL SELECT 'east', region, x::DOUBLE, acc::DOUBLE FROM v_people JOIN v_total30 USING (id)),
 q AS (SELECT * FROM p UNION ALL SELECT hypothesis, 'ALL', x, y FROM p)

@@ -1,23 +1,16 @@
-"""Timetable travel time, scenario, isochrone and headway queries."""
+"""Walking, scenario, isochrone and case sweep queries."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from reachgrid.operators import access, scenario, timetable
-from reachgrid.plans.feeds import line_stops, line_times, line_trips
+from reachgrid.operators import scenario, timetable
+from reachgrid.plans.feeds import line_times, line_trips
 from reachgrid.plans.registry import query
-from reachgrid.plans.views import SQL_VIEWS
-
-STARTS = (25200, 25800, 26400)
-LIMITS = timetable.Limits(walk_speed=1.0, max_walk=1800, max_transfer=900, max_trip=3600, max_rides=2)
-SQL_VIEWS["v_places"] = "SELECT n_nationkey::BIGINT AS id, (n_nationkey::BIGINT * 7919 % 1000) * 30 AS x, (n_nationkey::BIGINT * 104729 % 1000) * 30 AS y FROM nation"
-
-
-def places(d):
-    k = F.col("n_nationkey").cast("bigint")
-    return d.table("nation").select(k.alias("id"), (k * 7919 % 1000 * 30).alias("x"), (k * 104729 % 1000 * 30).alias("y"))
-
+from reachgrid.plans.views import CASES, SQL_VIEWS
+from reachgrid.session import checkpoint_folder
 
 _DIST = "sqrt(pow({a}.x - {b}.x, 2) + pow({a}.y - {b}.y, 2))"
 
@@ -29,42 +22,6 @@ def walk_matrix(d):
     return out.withColumn("minutes", F.col("minutes").cast("bigint"))
 
 
-_ROUND = """
-board{i} AS (SELECT s.id, s.start, c.trip_id, min(c.seq) AS seq FROM state{i} s JOIN v_line_times c ON c.stop_id = s.stop_id AND c.dep >= s.arrival AND c.dep <= s.start + 3600 GROUP BY ALL),
-ride{i} AS (SELECT b.id, b.start, c.stop_id, min(c.arr) AS arrival FROM board{i} b JOIN v_line_times c ON c.trip_id = b.trip_id AND c.seq > b.seq AND c.arr <= b.start + 3600 GROUP BY ALL)"""
-_TIMES = f"""
-starts AS (SELECT unnest([{', '.join(map(str, STARTS))}]) AS start),
-state0 AS (SELECT p.id, start, s.stop_id, start + ceil({_DIST.format(a='p', b='s')}) AS arrival FROM v_places p JOIN v_line_stops s ON {_DIST.format(a='p', b='s')} <= 1800 CROSS JOIN starts),
-{_ROUND.format(i=0).strip()},
-transfer AS (SELECT a.stop_id, b.stop_id AS to_stop, ceil({_DIST.format(a='a', b='b')}) AS walk FROM v_line_stops a JOIN v_line_stops b ON {_DIST.format(a='a', b='b')} <= 900),
-state1 AS (SELECT id, start, stop_id, min(arrival) AS arrival FROM (SELECT * FROM state0 UNION ALL SELECT id, start, to_stop, arrival + walk FROM ride0 JOIN transfer USING (stop_id)) GROUP BY ALL),
-{_ROUND.format(i=1).strip()},
-egress AS (SELECT s.stop_id, p.id AS to_id, ceil({_DIST.format(a='s', b='p')}) AS walk FROM v_line_stops s JOIN v_places p ON {_DIST.format(a='s', b='p')} <= 1800),
-done AS (SELECT id AS from_id, to_id, start, arrival + walk - start AS secs FROM (SELECT * FROM ride0 UNION ALL SELECT * FROM ride1) JOIN egress USING (stop_id)
-         UNION ALL SELECT a.id, b.id, start, ceil({_DIST.format(a='a', b='b')}) FROM v_places a JOIN v_places b ON {_DIST.format(a='a', b='b')} <= 1800 CROSS JOIN starts),
-times AS (SELECT from_id, to_id, start, floor(min(secs) / 60)::BIGINT AS minutes FROM done GROUP BY ALL HAVING min(secs) <= 3600)"""
-
-
-def times(d):
-    stops = line_stops(d).select("stop_id", "x", "y")
-    return timetable.travel_times(places(d), places(d), line_times(d), stops, STARTS, LIMITS)
-
-
-@query("k01_timetable_times", f"WITH {_TIMES.strip()} SELECT from_id, to_id, start::BIGINT AS start, minutes FROM times")
-def timetable_times(d):
-    return times(d).select("from_id", "to_id", F.col("start").cast("bigint").alias("start"), F.col("minutes").cast("bigint").alias("minutes"))
-
-
-@query("k01_timetable_percentiles", f"""
-WITH {_TIMES.strip()}, f AS (SELECT p.from_id, p.to_id, s.start, coalesce(t.minutes, 9999) AS m FROM (SELECT DISTINCT from_id, to_id FROM times) p CROSS JOIN starts s LEFT JOIN times t USING (from_id, to_id, start)),
-l AS (SELECT from_id, to_id, list_sort(list(m)) AS m FROM f GROUP BY ALL)
-SELECT from_id, to_id, CASE WHEN m[2] <= 60 THEN m[2] END AS travel_time_p50, CASE WHEN m[3] <= 60 THEN m[3] END AS travel_time_p85 FROM l""")
-def timetable_percentiles(d):
-    window = timetable.all_departures(times(d), STARTS)
-    out = access.percentile_matrix(window.select("from_id", "to_id", "minutes"), [50, 85], max_trip=60)
-    return out.select("from_id", "to_id", *[F.col(c).cast("bigint").alias(c) for c in out.columns[2:]])
-
-
 # --- scenario ----------------------------------------------------------------------------------
 
 SQL_VIEWS["v_hop_times"] = """
@@ -142,34 +99,29 @@ def scenario_modifications(d):
     return scenario.modifications(files).select("label", "type", "problem")
 
 
-# --- isochrones, headways, sweeps ---------------------------------------------------------------
+# --- isochrones, sweeps ---------------------------------------------------------------
 
 @query("k05_isochrones", f"""
-WITH b AS (SELECT min(x) - 9000 AS x0, min(y) - 9000 AS y0, max(x) + 9000 AS x1, max(y) + 9000 AS y1 FROM v_places),
-c AS (SELECT x0 + i * 500 AS x, y0 + j * 500 AS y FROM b, LATERAL (SELECT unnest(range(0, floor((x1 - x0) / 500)::BIGINT + 1)) AS i), LATERAL (SELECT unnest(range(0, floor((y1 - y0) / 500)::BIGINT + 1)) AS j)),
-t AS (SELECT p.id AS from_id, ceil({_DIST.format(a='p', b='c')} / 2.0 / 60) AS minutes FROM v_places p JOIN c ON {_DIST.format(a='p', b='c')} <= 1200)
+WITH b AS (SELECT floor((min(x) - 9000) / 500)::BIGINT AS i0, floor((min(y) - 9000) / 500)::BIGINT AS j0, ceil((max(x) + 9000) / 500)::BIGINT AS i1, ceil((max(y) + 9000) / 500)::BIGINT AS j1 FROM v_origins),
+c AS (SELECT i * 500 AS x, j * 500 AS y FROM b, LATERAL (SELECT unnest(range(i0, i1 + 1)) AS i), LATERAL (SELECT unnest(range(j0, j1 + 1)) AS j)),
+t AS (SELECT p.id AS from_id, ceil({_DIST.format(a='p', b='c')} / 2.0 / 60) AS minutes FROM v_origins p JOIN c ON abs(p.x - c.x) <= 1200 AND abs(p.y - c.y) <= 1200 AND {_DIST.format(a='p', b='c')} <= 1200)
 SELECT from_id, cutoff::BIGINT AS cutoff, count(*) AS cells, count(*) * 250000.0::DOUBLE AS area FROM t JOIN (VALUES (3), (6), (10)) k(cutoff) ON minutes <= cutoff GROUP BY ALL""")
 def isochrones(d):
-    """Walking isochrones of every nation centre on a 500 m grid."""
-    cells = timetable.isochrone_cells(places(d), 500.0, [3, 6, 10])
-    minutes = timetable.walk_matrix(places(d), cells.withColumnRenamed("cell", "id"), 2.0, 10)
+    """Walking isochrones of every origin on a 500 m grid."""
+    cells = timetable.isochrone_cells(d.origins, 500.0, [3, 6, 10])
+    minutes = timetable.walk_matrix(d.origins, cells.withColumnRenamed("cell", "id"), 2.0, 10)
     out = timetable.isochrones(minutes, [3, 6, 10], 500.0 * 500.0)
     return out.withColumn("cutoff", F.col("cutoff").cast("bigint"))
 
 
-@query("k06_headway_draws", """
-WITH f AS (SELECT o_orderkey AS trip_id, 25200 AS a, 25200 + 1800 + o_custkey % 1800 AS b, 300 + o_custkey % 600 AS h FROM orders),
-g AS (SELECT f.*, unnest([1, 2, 3]) AS draw FROM f), s AS (SELECT *, a + ('0x' || substr(md5(trip_id || '/' || draw), 1, 8))::BIGINT % h AS first FROM g)
-SELECT draw, count(*) AS departures, sum(dep)::BIGINT AS dep_sum, count(DISTINCT trip_id) AS trips FROM (SELECT trip_id, draw, unnest(range(first, b, h)) AS dep FROM s WHERE first < b) GROUP BY draw""")
-def headway_draws(d):
-    k = F.col("o_custkey")
-    freq = d.table("orders").select(F.col("o_orderkey").alias("trip_id"), F.lit(25200).cast("bigint").alias("start"),
-                                    (25200 + 1800 + k % 1800).alias("end"), (300 + k % 600).alias("headway"))
-    out = timetable.headway_draws(freq, 3)
-    return out.groupBy("draw").agg(F.count("*").alias("departures"), F.sum("dep").alias("dep_sum"), F.count_distinct("trip_id").alias("trips"))
-
-
 @query("k07_case_sweep", "SELECT case_id, opportunity, cutoff, sum(acc)::BIGINT AS reached, count(*) AS cells FROM v_acc GROUP BY ALL")
 def case_sweep(d):
-    """Every case in one job: the case is a key column of matrix and origins."""
-    return d.acc.groupBy("case_id", "opportunity", "cutoff").agg(F.sum("acc").alias("reached"), F.count("*").alias("cells"))
+    """A sweep broken off after two cases and taken up again: the second run computes the missing ones only."""
+    folder = f"{checkpoint_folder(d.spark)}/sweep-{uuid.uuid4().hex}"
+
+    def compute(cases):
+        return (d.acc.where(F.col("case_id").isin(cases)).groupBy("case_id", "opportunity", "cutoff")
+                .agg(F.sum("acc").alias("reached"), F.count("*").alias("cells")))
+    timetable.run_cases(d.spark, CASES[:2], compute, folder, "case_id")
+    timetable.run_cases(d.spark, CASES, compute, folder, "case_id")
+    return d.spark.read.parquet(folder).select(F.col("case_id").cast("string").alias("case_id"), "opportunity", "cutoff", "reached", "cells")

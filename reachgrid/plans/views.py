@@ -35,7 +35,9 @@ def _calendar_rows() -> list[tuple]:
             mask = [1 if (d + i + f) % (2 + i) != 0 else 0 for d in range(7)]
             start = datetime.date(2026, 1, 1 + 3 * f + i)
             end = datetime.date(2099, 12, 31) if (f, i) == (1, 2) else start + datetime.timedelta(40 + 20 * f)
-            rows.append((f"f{f}", service, *mask, start.strftime("%Y%m%d"), end.strftime("%Y%m%d")))
+            rows.append((len(rows), f"f{f}", service, *mask, start.strftime("%Y%m%d"), end.strftime("%Y%m%d")))
+            if (f, i) == (0, 1):  # a repeated service with other days; the later row is the one above in reverse order
+                rows.append((-1, f"f{f}", service, *[1 - m for m in mask], "20251201", "20270401"))
     return rows
 
 
@@ -47,7 +49,7 @@ _EXCEPTIONS = [
     (7, "f2", "5-LOW", "20260120", 1), (8, "f2", "5-LOW", "20260121", 1),
     (9, "f2", "5-LOW", "20260121", 2), (10, "f2", "2-HIGH", "20260125", 1),
 ]
-CALENDAR_COLUMNS = ("feed", "service_id", "monday", "tuesday", "wednesday", "thursday", "friday",
+CALENDAR_COLUMNS = ("row_no", "feed", "service_id", "monday", "tuesday", "wednesday", "thursday", "friday",
                     "saturday", "sunday", "start_date", "end_date")
 
 

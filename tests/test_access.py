@@ -78,7 +78,9 @@ def test_percentiles_and_service_minutes(spark):
     dep = spark.createDataFrame(rows, "from_id string, to_id string, minutes int")
     got = {r.from_id: r for r in access.percentile_matrix(dep, [20, 60, 95], 35).collect()}
     assert (got["a"].travel_time_p20, got["a"].travel_time_p60, got["a"].travel_time_p95) == (10, 30, None)
-    assert got["b"].travel_time_p20 is None
+    assert "b" not in got
+    kept = {r.from_id: r for r in access.percentile_matrix(dep, [20, 60, 95], 35, keep_unreached=True).collect()}
+    assert kept["b"].travel_time_p20 is None and kept["a"] == got["a"]
     svc = access.service_minutes(dep, [20, 30]).collect()
     assert [(r.from_id, r.svc_min_c20, r.svc_min_c30) for r in svc] == [("a", 2, 3)]
     hist = spark.createDataFrame([("a", "x", [1, 0, 4] + [0] * 117), ("b", "x", None)], "from_id string, to_id string, histogram array<int>")

@@ -17,28 +17,39 @@ def skewed(spark):
     return spark.createDataFrame(rows, "g string, x double, w int").repartition(5)
 
 
-def test_running_totals_split(skewed, monkeypatch):
-    held = skewed.groupBy("g", "x").agg(F.sum("w").cast("double").alias("w"))
-    plain = scale.running_totals(held, ["g"], "x", {"c": F.col("w")})
-    monkeypatch.setattr(scale, "WINDOW_ROWS", 50)
-    split = scale.running_totals(held, ["g"], "x", {"c": F.col("w")})
-    assert split.count() == held.count() and split.exceptAll(plain).count() == 0
-
-
-def test_running_totals_without_groups(skewed, monkeypatch):
-    held = skewed.groupBy("x").agg(F.sum("w").alias("w"))
-    monkeypatch.setattr(scale, "WINDOW_ROWS", 50)
-    got = [(r.x, r.c, r.c_all) for r in scale.running_totals(held, [], "x", {"c": F.col("w")}).orderBy("x").collect()]
-    total, run = sum(r.w for r in held.collect()), 0
-    for (x, c, whole), r in zip(got, held.orderBy("x").collect()):
-        run += r.w
-        assert (x, c, whole) == (r.x, run, total)
-
-
-@pytest.mark.parametrize("rows", [10**6, 50])
-def test_group_quantiles(skewed, monkeypatch, rows):
-    monkeypatch.setattr(scale, "WINDOW_ROWS", rows)
-    out = scale.group_quantiles(skewed, ["g"], "x", {"median": scale.linear(0.5), "q": scale.linear(0.15), "i": scale.fraction(1, 3)})
+def plain_totals(df, groups, order, value):
+    run = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return df.select("*", F.sum(value).over(run).alias("c"), F.sum(value).over(Window.partitionBy(*groups)).alias("c_all"))
+
+
+@pytest.mark.parametrize("groups", [["g"], [], ["g", "w"]])
+def test_running_totals(skewed, groups):
+    """A hot group, no group at all, and many small groups."""
+    held = skewed.groupBy(*groups, "x").agg(F.sum(F.lit(1)).alias("k"))
+    got = scale.running_totals(held, groups, "x", {"c": F.col("k")})
+    assert got.columns == [*held.columns, "c", "c_all"]
+    assert got.count() == held.count() and got.exceptAll(plain_totals(held, groups, "x", "k")).count() == 0
+
+
+@pytest.mark.parametrize("kind", ["bigint", "decimal(12,3)", "float", "string", "date", "timestamp"])
+def test_running_totals_of_any_order(skewed, kind):
+    x = F.col("x")
+    order = {"date": F.date_add(F.lit("2026-01-01"), F.floor(x * 40).cast("int")), "timestamp": F.timestamp_seconds(x * 100000)}.get(kind, (x * 7).cast(kind))
+    held = skewed.select("g", order.alias("o")).groupBy("g", "o").agg(F.count("*").alias("k"))
+    got = scale.running_totals(held, ["g"], "o", {"c": F.col("k")})
+    assert got.exceptAll(plain_totals(held, ["g"], "o", "k")).count() == 0
+
+
+def test_running_totals_starts_no_job(skewed):
+    held, tracker = skewed.groupBy("g", "x").agg(F.count("*").alias("k")), skewed.sparkSession.sparkContext.statusTracker()
+    before = len(tracker.getJobIdsForGroup(None))
+    scale.running_totals(held, ["g"], "x", {"c": F.col("k")})
+    assert len(tracker.getJobIdsForGroup(None)) == before
+
+
+def test_group_quantiles(skewed):
+    out = scale.group_quantiles(skewed, ["g"], "x", {"median": scale.linear(0.5), "q": scale.linear(0.15), "i": scale.fraction(1, 3)},
+                                more=[F.sum(F.when(F.col("x") > 0, F.col("_k"))).alias("above")])
     for r in out.collect():
         xs = sorted(v.x for v in skewed.where(F.col("g") == r.g).collect())
         n = len(xs)
@@ -46,6 +57,7 @@ def test_group_quantiles(skewed, monkeypatch, rows):
             lo = int(p)
             return xs[lo] + (p - lo) * (xs[min(lo + 1, n - 1)] - xs[lo])
         assert r.n == n and r.median == pytest.approx(at(0.5 * (n - 1))) and r.q == pytest.approx(at(0.15 * (n - 1))) and r.i == xs[n // 3]
+        assert r.above == sum(x > 0 for x in xs)
 
 
 def test_position_rules(spark):

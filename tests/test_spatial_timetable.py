@@ -109,83 +109,12 @@ def test_shuffles_are_permutations(spark, n):
 
 # --- timetable -------------------------------------------------------------------------------
 
-STOPS = [(i, float(i % 5 * 1000), float(i // 5 * 1000)) for i in range(20)]
-
-
-def make_times(seed):
-    rng = random.Random(seed)
-    out = []
-    for t in range(60):
-        if t % 3 == 0:  # a third of the trips run the same line at a headway
-            path, start = [0, 1, 2, 3, 4], 25000 + t * 60
-        else:
-            path, start = rng.sample(range(20), 4), rng.randint(25000, 29000)
-        clock = start
-        for seq, s in enumerate(path):
-            out.append((t, seq, s, clock, clock + 20))
-            clock += 20 + rng.randint(120, 400) if t % 3 else 200
-    return out
-
-
-def search(origins, dests, calls, starts, lim):
-    """Label-setting by rounds, in plain Python."""
-    trips = {}
-    for t, seq, s, arr, dep in calls:
-        trips.setdefault(t, []).append((seq, s, arr, dep))
-    walk = lambda a, b: math.ceil(math.hypot(a[0] - b[0], a[1] - b[1]) / lim.walk_speed)
-    near = lambda a, b, cap: math.hypot(a[0] - b[0], a[1] - b[1]) <= lim.walk_speed * cap
-    place = {s: (x, y) for s, x, y in STOPS}
-    out = {}
-    for o, ox, oy in origins:
-        for start in starts:
-            best = {s: start + walk((ox, oy), p) for s, p in place.items() if near((ox, oy), p, lim.max_walk)}
-            end, landed = start + lim.max_trip, {}
-            for _ in range(lim.max_rides):
-                arrived = {}
-                for rows in trips.values():
-                    rows = sorted(rows)
-                    on = False
-                    for seq, s, arr, dep in rows:
-                        if on and arr <= end:
-                            arrived[s] = min(arrived.get(s, 10**9), arr)
-                        if not on and s in best and best[s] <= dep <= end:
-                            on = True
-                for s, a in arrived.items():
-                    landed[s] = min(landed.get(s, 10**9), a)
-                for s, a in arrived.items():
-                    for s2, p in place.items():
-                        if near(place[s], p, lim.max_transfer):
-                            best[s2] = min(best.get(s2, 10**9), a + walk(place[s], p))
-            for d, dx, dy in dests:
-                options = [a + walk(place[s], (dx, dy)) - start for s, a in landed.items() if near(place[s], (dx, dy), lim.max_walk)]
-                if near((ox, oy), (dx, dy), lim.max_walk):
-                    options.append(walk((ox, oy), (dx, dy)))
-                if options and min(options) <= lim.max_trip:
-                    out[o, d, start] = min(options) // 60
-    return out
-
-
-@pytest.mark.parametrize("rides", [1, 3])
-def test_travel_times(spark, rides):
-    calls = make_times(rides)
-    origins, dests = [(1, 0.0, 100.0), (2, 2500.0, 2500.0)], [(7, 4000.0, 0.0), (8, 1000.0, 3000.0), (9, 90000.0, 0.0)]
-    lim = timetable.Limits(walk_speed=1.5, max_walk=900, max_transfer=800, max_trip=3600, max_rides=rides)
-    frame = lambda rows: spark.createDataFrame(rows, "id int, x double, y double")
-    got = timetable.travel_times(frame(origins), frame(dests), spark.createDataFrame(calls, "trip_id int, seq int, stop_id int, arr int, dep int"),
-                                 spark.createDataFrame(STOPS, "stop_id int, x double, y double"), [25200, 26100], lim)
-    assert {(r.from_id, r.to_id, r.start): r.minutes for r in got.collect()} == search(origins, dests, calls, [25200, 26100], lim)
-
-
-def test_lanes_split_overtaking(spark):
-    calls = [(1, 0, 0, 100, 100), (1, 1, 1, 300, 300), (2, 0, 0, 150, 150), (2, 1, 1, 250, 250), (3, 0, 5, 10, 10), (3, 1, 6, 20, 20), (4, 0, 5, 30, 30), (4, 1, 6, 40, 40)]
-    lanes = {r.trip_id: r.lane for r in timetable.boarding_lanes(spark.createDataFrame(calls, "trip_id int, seq int, stop_id int, arr int, dep int")).collect()}
-    assert lanes[1] != lanes[2] and lanes[3] == lanes[4]
-
-
-def test_isochrone_budget(spark):
-    origins = spark.createDataFrame([(1, 0.0, 0.0)], "id int, x double, y double")
-    with pytest.raises(ValueError):
-        timetable.isochrone_cells(origins, 10.0, [60])
+def test_isochrones_follow_the_origins(spark):
+    origins = spark.createDataFrame([(1, 0.0, 0.0), (2, 500_000.0, 300_000.0), (3, 500_100.0, 300_000.0)], "id int, x double, y double")
+    cells = {(r.x, r.y) for r in timetable.isochrone_cells(origins, 250.0, [1]).collect()}
+    want = {(i * 250.0, j * 250.0) for ox, oy in ((0, 0), (500_000, 300_000), (500_100, 300_000)) for i in range(int(ox // 250) - 5, int(ox // 250) + 6)
+            for j in range(int(oy // 250) - 5, int(oy // 250) + 6) if (i * 250 - ox) ** 2 + (j * 250 - oy) ** 2 <= 900 ** 2}
+    assert cells == want
     times = spark.createDataFrame([(1, 5), (1, 10), (1, 30)], "from_id int, minutes int")
     assert [(r.cutoff, r.cells, r.area) for r in timetable.isochrones(times, [5, 10, 15], 4.0).orderBy("cutoff").collect()] == [(5, 1, 4.0), (10, 2, 8.0), (15, 2, 8.0)]
 
