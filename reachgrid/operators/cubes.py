@@ -172,16 +172,19 @@ def eligible(rows: DataFrame) -> DataFrame:
 def change_statistics(rows: DataFrame, keys: Sequence[str], weight: str = "w", *, whole_minutes: bool = True) -> DataFrame:
     """Shares shorter, longer, same, weighted medians and means of comparable pairs, lost and gained pairs.
 
-    rows: keys, later, earlier, ok_later, ok_earlier, weight.
+    rows: keys, later, earlier, ok_later, ok_earlier, weight. Equal minutes are added up first, so
+    what follows works on at most one row per key and pair of minutes.
     """
     keys = list(keys)
+    rows = rows.groupBy(*keys, "ok_later", "ok_earlier", "later", "earlier").agg(F.count("*").alias("_k"), F.sum(weight).alias(weight))
+    times = lambda hit: F.sum(F.when(hit, F.col("_k")).otherwise(0))
     both = rows.where("ok_later and ok_earlier").withColumn("delta", F.col("later") - F.col("earlier"))
     w, d = F.col(weight), F.col("delta")
     share = lambda hit: F.sum(F.when(hit, w).otherwise(0)) / F.sum(w)
-    out = rows.groupBy(*keys).agg(F.count("*").alias("n_total"), F.count_if(F.col("ok_earlier") & ~F.col("ok_later")).alias("n_lost"),
-                                  F.count_if(F.col("ok_later") & ~F.col("ok_earlier")).alias("n_gained"))
+    out = rows.groupBy(*keys).agg(F.sum("_k").alias("n_total"), times(F.col("ok_earlier") & ~F.col("ok_later")).alias("n_lost"),
+                                  times(F.col("ok_later") & ~F.col("ok_earlier")).alias("n_gained"))
     means = both.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.sum(w).alias("weight"), share(d < 0).alias("share_shorter"), share(d > 0).alias("share_longer"),
+        F.sum("_k").alias("n"), F.sum(w).alias("weight"), share(d < 0).alias("share_shorter"), share(d > 0).alias("share_longer"),
         share(d == 0).alias("share_same"), (F.sum(w * F.col("later")) / F.sum(w)).alias("mean_later"),
         (F.sum(w * F.col("earlier")) / F.sum(w)).alias("mean_earlier"), (F.sum(w * d) / F.sum(w)).alias("mean_delta"))
     out = out.join(means, keys, "left")
