@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachgrid.functions.geo import angle_gap, bearing180, flat_distance, hex_centre, point_segment_distance
+from reachgrid.functions.geo import angle_gap, bearing180, flat_distance, hex_axial, hex_centre, point_segment_distance
 
 
 def _cell(x: Column | str, y: Column | str, size: Column | float) -> tuple[Column, Column]:
@@ -166,6 +166,17 @@ def nearest_centre(points: DataFrame, centres: DataFrame, max_distance: float, *
     return out.select(point_key, F.col("_b")[centre_key].alias(centre_key), F.col("_b")["distance"].alias("distance"))
 
 
+def nearest_lattice_centre(points: DataFrame, spacing: float, max_distance: float, *, offset: tuple[float, float] = (0.0, 0.0),
+                           point_key: str = "id") -> DataFrame:
+    """:func:`nearest_centre` on a hexagon lattice: the cell follows from the coordinates, so nothing is joined and no lattice is built."""
+    x, y = F.col("x"), F.col("y")
+    q, r = hex_axial(x, y, spacing, offset)
+    cx, cy = hex_centre(q, r, spacing, offset)
+    found = points.select(point_key, F.concat_ws("_", q, r).alias("hex_id"), flat_distance(x, y, cx, cy).alias("distance"))
+    near = F.col("distance") <= max_distance
+    return found.select(point_key, *[F.when(near, F.col(c)).alias(c) for c in ("hex_id", "distance")])
+
+
 def _inside(px: Column, py: Column, ring: Column) -> Column:
     """Even-odd rule over the ring's edges (array<struct<x,y>>, not closed)."""
     n = F.size(ring)

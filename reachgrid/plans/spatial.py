@@ -96,11 +96,8 @@ WITH b AS ({hex_sql('v_origins', extra='id, x, y')}),
 c AS (SELECT b.id, b.q || '_' || b.r AS hex_id, sqrt(pow(b.x - {_SIZE} * sqrt(3) * (b.q + b.r / 2), 2) + pow(b.y - {_SIZE} * 1.5 * b.r, 2)) AS dist FROM b)
 SELECT id, CASE WHEN dist <= 400 THEN hex_id END AS hex_id, CASE WHEN dist <= 400 THEN round(dist, 4) END AS distance FROM c""")
 def nearest_centre(d):
-    """Origins to hexagon centres of the cells that hold customers, at most 400 m away."""
-    cells = spatial.hex_lattice(d.spark, (-1000, -1000, 31000, 31000), SPACING)
-    x, y = geo.hex_centre(F.col("q"), F.col("r"), SPACING)
-    centres = cells.select(F.concat_ws("_", "q", "r").alias("hex_id"), x.alias("px"), y.alias("py"))
-    out = spatial.nearest_centre(d.origins.select("id", "x", "y"), centres, 400)
+    """Origins to the hexagon centres next to them, at most 400 m away."""
+    out = spatial.nearest_lattice_centre(d.origins.select("id", "x", "y"), SPACING, 400)
     return out.select("id", "hex_id", F.round("distance", 4).alias("distance"))
 
 
