@@ -124,6 +124,7 @@ def _frequencies(docs: DataFrame, bench: Benchmark) -> tuple[np.ndarray, int]:
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(found[at], halves), pa.int64())], names=["term", "n"])
     rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per benchmark term
+    hashes.destroy()
     out = {r["term"]: r["n"] for r in rows}
     return np.array([out.get(i, 0) for i in range(n)], np.int64), out.get(-1, 0)
 
@@ -176,6 +177,7 @@ def _product(docs: DataFrame, bench: Benchmark, narrow: np.ndarray) -> np.ndarra
     sums = docs.select("text").mapInArrow(multiply, "first long, data binary").groupBy("first").applyInArrow(add, "first long, data binary")
     for r in sums.toLocalIterator():  # benchmark terms x rank, whatever the corpus
         out[r["first"]:r["first"] + TERM_BLOCK] = np.frombuffer(bytes(r["data"]), np.float64).reshape(-1, k)
+    held.destroy()
     return out
 
 

@@ -351,6 +351,7 @@ def near_groups(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, cell
     seen = sketch.merged(source.select("text"), _sketched(k), bits=cell_bits, rows=1, thresholds=LEVELS)
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     source.mapInArrow(_first_pass(k, percent, buckets, seen), OUT_NAMES).write.partitionBy("kind").parquet(path)
+    seen.destroy()  # what needed it is written
     schema = spark.createDataFrame([], OUT_NAMES).schema
     rows = spark.read.schema(schema).parquet(path)
     nodes = rows.where("kind = 'doc'").select("doc_id", "_key", "a", "b", "n")

@@ -95,10 +95,9 @@ def merged(docs: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterat
 
     found = docs.mapInArrow(lists, "row int, cells int, list binary").groupBy("row", "cells").applyInArrow(
         added, "row int, cells int, planes array<binary>")
-    empty = bytes(size // 8)
-    got = [[[empty] * RANGES for _ in thresholds] for _ in range(rows)]
+    planes = [[np.zeros(RANGES * size // 8, np.uint8) for _ in thresholds] for _ in range(rows)]
     for r in found.toLocalIterator():  # rows * RANGES results of fixed size
+        at = r["cells"] * size // 8
         for level, plane in enumerate(r["planes"]):
-            got[r["row"]][level][r["cells"]] = bytes(plane)
-    planes = [[np.frombuffer(b"".join(level), np.uint8) for level in row] for row in got]
+            planes[r["row"]][level][at:at + size // 8] = np.frombuffer(plane, np.uint8)
     return docs.sparkSession.sparkContext.broadcast(Sketch(planes, bits))
