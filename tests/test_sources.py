@@ -116,9 +116,11 @@ def test_logs(spark, tmp_path):
     assert row.s_per_origin_hour == pytest.approx(0.06) and row.eta_s == pytest.approx(90.0)
 
 
-def test_sample_indices():
-    assert tables.sample_indices(0) == [] and tables.sample_indices(3, 5) == [0, 1, 2] and tables.sample_indices(9, 1) == [0]
-    assert tables.sample_indices(10, 4) == [0, 3, 6, 9] and tables.sample_indices(6, 3) == [0, 2, 5]
+def test_systematic_sample(spark):
+    def taken(n, k):
+        return sorted(r.idx for r in tables.systematic_sample(spark.range(n), ["id"], k).collect())
+    assert taken(0, 4) == [] and taken(3, 5) == [0, 1, 2] and taken(9, 1) == [0] and taken(10, 4) == [0, 3, 6, 9] and taken(6, 3) == [0, 2, 5]
+    assert taken(100, 15) == sorted({round(i * 99 / 14) for i in range(15)})
 
 
 def test_catalogue(spark):
