@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 
@@ -19,7 +20,7 @@ from reachgrid.llm.words import mixed, pack, runs, unpack
 
 RANGES = 64
 #: Keys that a task holds before it lets its cell lists go.
-HELD = 5_000_000
+HELD = 2_500_000
 SALTS = (np.uint64(0), np.uint64(0x9E3779B97F4A7C15), np.uint64(0x3C6EF372FE94F82A))
 
 
@@ -44,6 +45,15 @@ class Sketch:
     planes: list[list[np.ndarray]]
     bits: int
 
+    def __getstate__(self) -> tuple:
+        """Planes travel compressed; few bits are set until the cells fill up."""
+        squeeze = zstandard.ZstdCompressor(1)
+        return self.bits, [[squeeze.compress(p) for p in row] for row in self.planes]
+
+    def __setstate__(self, state: tuple) -> None:
+        self.bits, packed = state
+        self.planes = [[np.frombuffer(zstandard.ZstdDecompressor().decompress(p), np.uint8) for p in row] for row in packed]
+
     def reaches(self, keys: np.ndarray, level: int = 0) -> np.ndarray:
         """Whether the estimate, the least count over the rows, reaches the level's threshold."""
         out = np.ones(len(keys), bool)
