@@ -85,6 +85,8 @@ def test_percentiles_and_service_minutes(spark):
     assert [(r.from_id, r.svc_min_c20, r.svc_min_c30) for r in svc] == [("a", 2, 3)]
     hist = spark.createDataFrame([("a", "x", [1, 0, 4] + [0] * 117), ("b", "x", None)], "from_id string, to_id string, histogram array<int>")
     got = {r.from_id: r.svc_min_c2 for r in access.service_minutes_from_histogram(hist, [2], 2).collect()}
+    assert got == {"a": 3}
+    got = {r.from_id: r.svc_min_c2 for r in access.service_minutes_from_histogram(hist, [2], 2, keep_unreached=True).collect()}
     assert got == {"a": 3, "b": 0}
 
 

@@ -55,12 +55,12 @@ def test_archives(spark, folder):
     assert missing["one"] == ["agency.txt", "routes.txt", "stop_times.txt"]
 
 
-def test_span_is_capped_per_feed(spark):
-    columns = "feed string, service_id string, monday int, tuesday int, wednesday int, thursday int, friday int, saturday int, sunday int, start_date string, end_date string"
-    calendar = spark.createDataFrame([("old", "A", *[1] * 7, "20200101", "20991231"), ("new", "B", *[1] * 7, "20260101", "20260103")], columns)
+def test_a_cap_counts_from_each_feeds_own_first_day(spark):
+    columns = "row_no int, feed string, service_id string, monday int, tuesday int, wednesday int, thursday int, friday int, saturday int, sunday int, start_date string, end_date string"
+    calendar = spark.createDataFrame([(0, "old", "A", *[1] * 7, "20200101", "20991231"), (1, "new", "B", *[1] * 7, "20260101", "20260103")], columns)
     none = spark.createDataFrame([], "feed string, service_id string, date string, exception_type string, row_no int")
     trips = spark.createDataFrame([("old", "A", "t"), ("new", "B", "t")], "feed string, service_id string, trip_id string")
-    days = {str(r.date): r.trips for r in feeds.service_days(calendar, none, trips).collect()}
+    days = {str(r.date): r.trips for r in feeds.service_days(calendar, none, trips, cap_days=400).collect()}
     assert len(days) == 403 and days["2026-01-02"] == 1 and "2021-02-04" not in days
 
 
