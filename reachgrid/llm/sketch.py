@@ -99,7 +99,8 @@ def merged(docs: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterat
             first, k = runs(cells)
             at = cells[first]
             counts[at] = np.minimum(counts[at] + k, most)
-        planes = [np.packbits(counts >= t, bitorder="little").tobytes() for t in thresholds]
+        squeeze = zstandard.ZstdCompressor(1)
+        planes = [squeeze.compress(np.packbits(counts >= t, bitorder="little").tobytes()) for t in thresholds]
         return pa.table({"row": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([key[1].as_py()], pa.int32()),
                          "planes": pa.array([planes], pa.list_(pa.binary()))})
 
@@ -109,5 +110,5 @@ def merged(docs: DataFrame, keys_of: Callable[[Iterator[pa.RecordBatch]], Iterat
     for r in found.toLocalIterator():  # rows * RANGES results of fixed size
         at = r["cells"] * size // 8
         for level, plane in enumerate(r["planes"]):
-            planes[r["row"]][level][at:at + size // 8] = np.frombuffer(plane, np.uint8)
+            planes[r["row"]][level][at:at + size // 8] = np.frombuffer(zstandard.ZstdDecompressor().decompress(bytes(plane)), np.uint8)
     return docs.sparkSession.sparkContext.broadcast(Sketch(planes, bits))
