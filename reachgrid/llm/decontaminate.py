@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +46,9 @@ TERM_BLOCK = 64
 
 @dataclass
 class Benchmark:
-    """Parts of items as term numbers; terms are sorted hashes."""
+    """Parts of items as term numbers."""
 
-    hashes: np.ndarray
+    terms: pa.Array
     parts: list[np.ndarray]
     item: list[int]
     answer: list[np.ndarray]
@@ -61,9 +62,7 @@ class Benchmark:
 
 def _parts(rows: list) -> Benchmark:
     words = words_of(pa.array([r["text"] or "" for r in rows], pa.string()), lower=True)
-    hashes = words.hashes()[words.codes] if len(words.codes) else np.zeros(0, np.uint64)
-    terms = np.sort(np.unique(hashes))
-    coded = np.searchsorted(terms, hashes)
+    coded = words.codes.astype(np.int64)
     parts, item, answer = [], [], []
     for i, r in enumerate(rows):
         x = coded[words.starts[i]:words.starts[i + 1]]
@@ -73,7 +72,7 @@ def _parts(rows: list) -> Benchmark:
                 parts.append(p)
                 item.append(r["item_id"])
                 answer.append(p[-max(3, len(p) // 5):])
-    return Benchmark(terms, parts, item, answer)
+    return Benchmark(words.vocabulary, parts, item, answer)
 
 
 @dataclass
@@ -95,14 +94,13 @@ class Tokens:
         return key[first] // terms, key[first] % terms, count
 
 
-def _tokens(texts: pa.Array, hashes: np.ndarray) -> Tokens:
+def _tokens(texts: pa.Array, terms: pa.Array) -> Tokens:
     words = words_of(texts, lower=True)
     if not len(words.codes):
         none = np.zeros(0, np.int64)
         return Tokens(none, none, words.starts, none)
-    own = words.hashes()
-    place = np.minimum(np.searchsorted(hashes, own), len(hashes) - 1)
-    term = np.where(hashes[place] == own, place, -1)[words.codes]
+    place = pc.index_in(words.vocabulary, terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+    term = place[words.codes]
     size = np.diff(words.starts)
     halves = -(-size // HALF)
     before = np.concatenate(([0], np.cumsum(halves)))
@@ -112,19 +110,19 @@ def _tokens(texts: pa.Array, hashes: np.ndarray) -> Tokens:
 
 def _frequencies(docs: DataFrame, bench: Benchmark) -> tuple[np.ndarray, int]:
     """Half passages of all texts that hold each term, and their number."""
-    n = len(bench.hashes)
-    hashes = docs.sparkSession.sparkContext.broadcast(bench.hashes)
+    n = len(bench.terms)
+    terms = docs.sparkSession.sparkContext.broadcast(bench.terms)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, halves = np.zeros(n, np.int64), 0
         for block in blocks(batches):
-            tokens = _tokens(block.column("text"), hashes.value)
+            tokens = _tokens(block.column("text"), terms.value)
             found += np.bincount(tokens.entries(None, n)[1], minlength=n)
             halves += len(tokens.text_of)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(found[at], halves), pa.int64())], names=["term", "n"])
     rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per benchmark term
-    hashes.destroy()
+    terms.destroy()
     out = {r["term"]: r["n"] for r in rows}
     return np.array([out.get(i, 0) for i in range(n)], np.int64), out.get(-1, 0)
 
@@ -157,13 +155,13 @@ def _rows(entries, weight: np.ndarray, space: np.ndarray, size: int = 20_000):
 def _product(docs: DataFrame, bench: Benchmark, narrow: np.ndarray) -> np.ndarray:
     """Term-by-term product of all half passages times a narrow matrix, summed over partitions."""
     n, k = narrow.shape
-    held = docs.sparkSession.sparkContext.broadcast((bench.hashes, bench.weight, narrow.astype(np.float32)))
+    held = docs.sparkSession.sparkContext.broadcast((bench.terms, bench.weight, narrow.astype(np.float32)))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, weight, space = held.value
+        terms, weight, space = held.value
         total = np.zeros((n, k), np.float32)
         for block in blocks(batches):
-            for _, rows, at, term, value in _rows(_tokens(block.column("text"), hashes).entries(weight, n), weight, space):
+            for _, rows, at, term, value in _rows(_tokens(block.column("text"), terms).entries(weight, n), weight, space):
                 order = np.argsort(term, kind="stable")
                 first, _ = runs(term[order])
                 total[term[order][first]] += np.add.reduceat(value[order][:, None] * rows[at[order]], first, axis=0)
@@ -183,7 +181,7 @@ def _product(docs: DataFrame, bench: Benchmark, narrow: np.ndarray) -> np.ndarra
 
 def _items(bench: Benchmark) -> np.ndarray:
     """Unit TF-IDF rows of the item parts."""
-    rows = np.zeros((len(bench.parts), len(bench.hashes)))
+    rows = np.zeros((len(bench.parts), len(bench.terms)))
     for i, p in enumerate(bench.parts):
         np.add.at(rows[i], p, bench.weight[p])
     bench.length = np.linalg.norm(rows, axis=1)
@@ -195,7 +193,7 @@ def fit(docs: DataFrame, bench: Benchmark, *, rank: int = RANK, seed: int = SEED
     found, halves = _frequencies(docs, bench)
     _weigh(bench, found, halves)
     items = _items(bench)
-    n = len(bench.hashes)
+    n = len(bench.terms)
     k = min(rank, n, len(items) + 32)
     share = float((found * bench.weight ** 2).sum()) / len(items)
     narrow = np.random.default_rng(seed).standard_normal((n, k))
@@ -259,9 +257,9 @@ class _Reader:
 def _search(held):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = held.value
-        reader, n = _Reader(bench), len(bench.hashes)
+        reader, n = _Reader(bench), len(bench.terms)
         for block in blocks(batches):
-            tokens = _tokens(block.column("text"), bench.hashes)
+            tokens = _tokens(block.column("text"), bench.terms)
             halves = len(tokens.text_of)
             if not halves:
                 continue
