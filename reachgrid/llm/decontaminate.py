@@ -3,8 +3,9 @@
 Every text is a row of passages of ``2 * HALF`` words that overlap by half. Passages are TF-IDF vectors over
 the benchmark's terms, with document frequencies counted over all passages. A randomised SVD of all passages
 stacked with the benchmark's items, whose weight is that of the whole corpus, gives the latent space:
-each round multiplies a narrow matrix with the term-by-term product, summed over all partitions. Passages and
-items are compared by cosine there; what a passage says outside the benchmark's terms only lengthens it.
+each round multiplies a narrow matrix with the term-by-term product, summed over all partitions. The space has
+room for every item of a run and always holds them whole. Passages and items are compared by cosine there; what
+a passage says outside the benchmark's terms only lengthens it.
 
 Candidates are then read word by word: the longest common subsequence with the item inside a stretch of
 about the item's length, the share of the item's rare words that stand there, and for paraphrases, which
@@ -13,7 +14,8 @@ keep less of the order, whether the item's answer (its last words) is there in f
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reachgrid.llm.words import blocks, id_and_text, real_id, runs, words_of
+from reachgrid.session import checkpoint_folder
 
 HALF = 64
 #: Words of an item that are matched at once; longer items are cut, and each part is looked for.
@@ -30,6 +33,8 @@ PART = HALF
 #: Items that one run holds on every executor; a longer benchmark is worked off in blocks of so many.
 ITEMS = 1000
 RANK = 256
+#: Directions of the latent space beside those of the parts; a block has at most RANK - SPARE parts.
+SPARE = 32
 #: Terms in more than this share of the passages carry no weight, but for the rarest KEPT of each item.
 COMMON = 0.02
 KEPT = 3
@@ -60,19 +65,34 @@ class Benchmark:
     length: np.ndarray | None = None
 
 
-def _parts(rows: list) -> Benchmark:
-    words = words_of(pa.array([r["text"] or "" for r in rows], pa.string()), lower=True)
+def _cut(text: str | None) -> Iterator[str]:
+    """Words of an item in parts of at most PART; none if it is too short to be looked for."""
+    words = words_of(pa.array([text or ""], pa.string()), lower=True)
+    if len(words.codes) >= LEAST_WORDS:
+        for p in np.array_split(words.codes, -(-len(words.codes) // PART)):
+            yield " ".join(words.vocabulary.take(pa.array(p)).to_pylist())
+
+
+def _parts(block: list[tuple[int, str]]) -> Benchmark:
+    words = words_of(pa.array([text for _, text in block], pa.string()))
     coded = words.codes.astype(np.int64)
-    parts, item, answer = [], [], []
-    for i, r in enumerate(rows):
-        x = coded[words.starts[i]:words.starts[i + 1]]
-        if len(x) >= LEAST_WORDS:
-            n = -(-len(x) // PART)
-            for p in np.array_split(x, n):
-                parts.append(p)
-                item.append(r["item_id"])
-                answer.append(p[-max(3, len(p) // 5):])
-    return Benchmark(words.vocabulary, parts, item, answer)
+    parts = [coded[a:b] for a, b in zip(words.starts[:-1], words.starts[1:], strict=True)]
+    return Benchmark(words.vocabulary, parts, [i for i, _ in block], [p[-max(3, len(p) // 5):] for p in parts])
+
+
+def _benchmarks(rows: Iterable, items: int, parts: int) -> Iterator[Benchmark]:
+    """Blocks of at most ``items`` items and ``parts`` parts; an item of more parts goes on in the next block."""
+    block, held, last = [], 0, None
+    for at, r in enumerate(rows):
+        for text in _cut(r["text"]):
+            if len(block) == parts or (held == items and at != last):
+                yield _parts(block)
+                block, held, last = [], 0, None
+            if at != last:
+                held, last = held + 1, at
+            block.append((r["item_id"], text))
+    if block:
+        yield _parts(block)
 
 
 @dataclass
@@ -194,11 +214,11 @@ def fit(docs: DataFrame, bench: Benchmark, *, rank: int = RANK, seed: int = SEED
     _weigh(bench, found, halves)
     items = _items(bench)
     n = len(bench.terms)
-    k = min(rank, n, len(items) + 32)
+    k = min(max(rank, len(items)), n, len(items) + SPARE)
     share = float((found * bench.weight ** 2).sum()) / len(items)
     narrow = np.random.default_rng(seed).standard_normal((n, k))
-    for _ in range(2):  # a range finder and one power round
-        basis = np.linalg.qr(narrow)[0]
+    for first in (True, False):  # a range finder and one power round; the items' own directions are held in the space
+        basis = np.linalg.qr(narrow if first else np.hstack((items.T, narrow)))[0][:, :k]
         narrow = _product(docs, bench, basis) + share * (items.T @ (items @ basis))
     small = basis.T @ narrow
     values, vectors = np.linalg.eigh((small + small.T) / 2)
@@ -299,28 +319,20 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, items: int = ITEMS, rank: in
 
     NULL or empty texts hold nothing, items of fewer than LEAST_WORDS words are found nowhere, and an empty benchmark gives no
     rows. Rows that repeat are one pair; a NULL doc_id comes back NULL. Other columns are ignored. The
-    benchmark is worked off in blocks of ``items`` by item_id, against all documents each time.
+    benchmark is worked off in blocks by item_id, against all documents each time: of ``items`` items, or fewer
+    if their parts are more than the latent space of ``rank`` has room for.
     """
     source = id_and_text(docs)
     spark = docs.sparkSession
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").orderBy("item_id", "text")
-    found, block = None, []
-
-    def searched(rows: list) -> DataFrame | None:
-        bench = _parts(rows)
-        if not bench.parts:
-            return None
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    spark.createDataFrame([], NAMES).write.parquet(path)
+    for bench in _benchmarks((*asked.toLocalIterator(),), items, max(1, rank - SPARE)):
         fit(source, bench, rank=rank)
-        return source.mapInArrow(_search(spark.sparkContext.broadcast(bench)), NAMES)
-    for r in (*asked.toLocalIterator(), None):
-        if r is not None:
-            block.append(r)
-        if block and (r is None or len(block) == items):
-            part = searched(block)
-            found = part if found is None else found.unionByName(part) if part is not None else found
-            block = []
-    if found is None:
-        found = spark.createDataFrame([], NAMES)
+        held = spark.sparkContext.broadcast(bench)
+        source.mapInArrow(_search(held), NAMES).write.mode("append").parquet(path)
+        held.destroy()  # what needed it is written
+    found = spark.read.schema(NAMES).parquet(path)
     best = found.groupBy("doc_id", "_key", "item_id").agg(F.max(F.struct("order_share", "answer_share", "cosine")).alias("x"))
     return best.select(real_id().alias("doc_id"), "item_id", "x.cosine", "x.order_share", "x.answer_share", "_key")
 

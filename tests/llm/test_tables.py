@@ -190,3 +190,26 @@ def test_leaks(spark, table, edges):
     assert {x.doc_id for x in left.collect()} == {d for d, *_ in rows + edges} - {d for d, _ in got} and left.columns == docs.columns
     assert left.count() == len(rows) + len(edges) - len({d for d, _ in got})
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0 and decontaminate.without_leaks(table([]), bench).count() == 0
+
+
+def test_leaks_of_more_parts_than_the_latent_space_has_room_for(spark, table):
+    r = random.Random(12)
+    vocab = [f"w{i}" for i in range(8000)]
+
+    def prose(n):
+        return " ".join(r.choice(vocab) for _ in range(n))
+    items = [(i, prose(r.randint(15, 30))) for i in range(900)] + [(1000 + i, prose(640)) for i in range(20)] + [(2000, prose(64 * 300))]
+    rows, want = [], set()
+    for d in range(150):
+        planted = [items[i] for i in range(d, 920, 150)]
+        whole = [(i, t if i < 1000 else " ".join(t.split()[64 * (d % 10):64 * (d % 10 + 1)])) for i, t in planted]
+        if d % 10 == 0:  # a part far behind in the longest item
+            whole.append((2000, " ".join(items[-1][1].split()[64 * (299 - d):64 * (300 - d)])))
+        rows.append((d, " ".join(f"{prose(120)} {t}" for _, t in whole) + " " + prose(200), "s"))
+        want |= {(d, i) for i, _ in whole}
+    assert sum(-(-len(t.split()) // decontaminate.PART) for _, t in items) > 1000
+    blocks = list(decontaminate._benchmarks([{"item_id": i, "text": t} for i, t in items], 1000, 224))
+    assert max(len(b.parts) for b in blocks) == 224 and sum(len(b.parts) for b in blocks) == 900 + 200 + 300
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(table(rows), bench).collect()}
+    assert want <= got and len(got - want) <= 5
