@@ -1,5 +1,6 @@
 """The pipeline's stages one after another, each held against brute force on what the one before kept."""
 
+import random
 import zlib
 
 import numpy as np
@@ -50,3 +51,27 @@ def test_run_on_an_empty_table(spark, tmp_path):
     for name in ("documents", "benchmark"):
         spark.read.parquet(f"{SF_DIR}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_copies_by_five_words_and_four_fifths(spark, table):
+    r, rows = random.Random(15), []
+    for g in range(30):
+        base = [r.choice("abcdefgh") + str(r.randrange(500)) for _ in range(r.randint(50, 150))]
+        for i in range(4):
+            w = list(base)
+            for _ in range(i * len(w) // 100):
+                w[r.randrange(len(w))] = "changed"
+            rows.append((10 * g + i, " ".join(w), "s"))
+    r.shuffle(rows)
+
+    def kept(k, percent):
+        sets = {d: frozenset(zip(*(words(t)[i:] for i in range(k)), strict=False)) for d, t, _ in rows}
+        top = {d: d for d in sets}
+        for a in sorted(sets):
+            for b in sorted(sets):
+                if a < b and top[a] != top[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                    low, high = sorted((top[a], top[b]))
+                    top = {d: low if t == high else t for d, t in top.items()}
+        return set(top.values())
+    got = [x.doc_id for x in corpus_pipeline.jaccard_join(spark, table(rows), SF_DIR).collect()]
+    assert sorted(got) == sorted(kept(5, 80)) and kept(5, 80) != kept(4, 85)
