@@ -1,10 +1,9 @@
 """Quality rules with cross-document line frequency, in DataFrame functions only.
 
-Lines are normalised (white space collapsed, lower case) and hashed. For each host the distinct
-documents with a line are counted, together with the distinct pairs of neighbouring lines it stands
-between. A line is common when both counts reach the limit: boilerplate meets ever new neighbours,
-while the lines of copied documents keep theirs. Common lines are removed, and a document left with
-too few words, or too small a share of them, is rejected.
+Lines are normalised (white space collapsed, lower case) and hashed. For each host and line the documents
+with distinct content are counted, so that copies of a document count once. A line is common when the
+count reaches the limit, alone or in a block of lines that always stand together. Common lines are
+removed, and a document left with too few words, or too small a share of them, is rejected.
 """
 
 from __future__ import annotations
@@ -16,7 +15,7 @@ from reachgrid.llm.words import WORD
 
 GAP = r"[\x20\x09-\x0D]+"
 SYMBOLS = r"[#*$%&|<>]"
-#: Documents of a host, and distinct surroundings, from which a line is common.
+#: Documents of a host, of distinct content, from which a line is common.
 LINE_LIMIT = 12
 #: Words, and share of the words, that a document must keep.
 LEAST_WORDS = 20
@@ -92,26 +91,24 @@ def base_counts(docs: DataFrame, host: str = "source") -> DataFrame:
 
 
 def document_lines(docs: DataFrame, host: str = "source") -> DataFrame:
-    """_row, line (hash of host and normalised line), n (words) and around (hash of the lines beside its first place)."""
+    """_row, line (hash of host and normalised line), n (words) and content (hash of the document's distinct lines)."""
     cut = _rows(docs, host).select("_row", "host", F.filter(
         F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"))
     hashed = cut.select("_row", "host", F.transform("lines", lambda x: F.struct(
         F.xxhash64(_normal(x)).alias("h"), F.regexp_count(x, F.lit(WORD)).alias("n"))).alias("lines"))
-    lines = F.col("lines")
-    near = hashed.select("_row", F.explode(F.transform(lines, lambda x, i: F.struct(
-        F.xxhash64("host", x["h"]).alias("line"), i.alias("at"), x["n"].alias("n"),
-        F.xxhash64(F.coalesce(F.get(lines["h"], i - 1), F.lit(0)), F.coalesce(F.get(lines["h"], i + 1), F.lit(0))).alias("around")))).alias("x"))
+    # A row's entries carry one content; with the line itself taken out, contents differ just where they differ with it.
+    near = hashed.select("_row", F.xxhash64(F.array_sort(F.array_distinct(F.col("lines")["h"]))).alias("content"), F.explode(F.transform(
+        "lines", lambda x, i: F.struct(F.xxhash64("host", x["h"]).alias("line"), i.alias("at"), x["n"].alias("n")))).alias("x"))
     # Rows that repeat in full give the same entries; max keeps them from adding up.
     return (near.groupBy("_row", F.col("x.line").alias("line"), F.col("x.at").alias("at"))
-            .agg(F.max("x.n").alias("n"), F.max("x.around").alias("around"))
-            .groupBy("_row", "line").agg(F.sum("n").alias("n"), F.min(F.struct("at", "around"))["around"].alias("around")))
+            .agg(F.max("x.n").alias("n"), F.max("content").alias("content"))
+            .groupBy("_row", "line").agg(F.sum("n").alias("n"), F.max("content").alias("content")))
 
 
 def common_lines(lines: DataFrame, *, limit: int = LINE_LIMIT) -> DataFrame:
-    """Lines of a host found in ``limit`` documents or more, between ``limit`` different neighbours or more."""
-    return (lines.groupBy("line", "around").agg(F.count("*").alias("docs"))
-            .groupBy("line").agg(F.sum("docs").alias("docs"), F.count("*").alias("places"))
-            .where((F.col("docs") >= limit) & (F.col("places") >= limit)).select("line"))
+    """Lines of a host found in ``limit`` documents of distinct content or more."""
+    return (lines.groupBy("line", "content").agg(F.count("*").alias("docs"))
+            .groupBy("line").agg(F.count("*").alias("contents")).where(F.col("contents") >= limit).select("line"))
 
 
 def removed_lines(docs: DataFrame, host: str = "source", *, limit: int = LINE_LIMIT) -> DataFrame:

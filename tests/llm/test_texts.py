@@ -81,6 +81,21 @@ def test_common_lines_go_and_copies_stay(spark, table):
     assert cleaned[105].text == rows[25][1] and cleaned[105].size == "x"
 
 
+def test_blocks_of_common_lines_go(spark, table):
+    def body(i, n=60):
+        return " ".join(f"d{i}w{k}" for k in range(n))
+    block = "Home About Contact\nAll rights are reserved here\nWe use cookies"
+    rows = [(i, f"Top line one\nTop line two\n{body(i)}\n{block}", "h") for i in range(15)]
+    rows += [(50 + i, f"{block}\n" * 8 + body(50 + i, 15), "h") for i in range(3)]  # little but the block
+    rows += [(100 + i, f"{body(99)}\n{block}", "copies") for i in range(30)] + [(200 + i, f"{body(200 + i)}\n{block}", "few") for i in range(11)]
+    out = {r.doc_id: r for r in quality.judge(table(rows), limit=12).collect()}
+    assert all(out[i].kept and out[i].n_removed_words == 6 + 3 + 5 + 3 for i in range(15))
+    assert all(out[50 + i].n_removed_words == 8 * 11 and not out[50 + i].kept for i in range(3))
+    assert all(out[i].kept and out[i].n_removed_words == 0 for i in (*range(100, 130), *range(200, 211)))
+    cleaned = {r.doc_id: r.text for r in quality.clean(table(rows), limit=12).collect()}
+    assert cleaned[3] == body(3) and cleaned[105] == rows[23][1]
+
+
 ASSIGN = re.compile("(" + "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
                     + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 
