@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachgrid.llm import chat, decontaminate, index, jaccard, katz, mixing, quality, repeats, secrets, transducer
+from reachgrid.llm import chat, decontaminate, index, jaccard, katz, lines, mixing, quality, repeats, secrets, transducer
 from reachgrid.llm.words import documents
 
 
@@ -56,6 +56,23 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns.unionByName(forged)))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = F.sha2(F.when(F.col("n_dropped") > 0, lines.kept_text(F.col("text"), F.col("keep"))).otherwise(F.coalesce("text", F.lit(""))), 256)
+    return lines.keep_bitmaps(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_katz_scores, op2_substring_dedup, op3_token_counts, op4_source_mixing, op5_decontamination, op6_quality_rules, op7_token_index, op8_jaccard_join, op9_secret_scan, op10_chat_windows)}
-SQL: dict[str, str] = {}
+    op1_katz_scores, op2_substring_dedup, op3_token_counts, op4_source_mixing, op5_decontamination, op6_quality_rules, op7_token_index, op8_jaccard_join, op9_secret_scan, op10_chat_windows, op13_line_dedup)}
+BLANKS = r"[\x20\x09-\x0D]"
+UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+SQL: dict[str, str] = {
+    "op13_line_dedup": rf"""
+        WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+                          generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
+        k AS (SELECT *, translate(regexp_replace(regexp_replace(line, '^{BLANKS}+', ''), '{BLANKS}+$', ''), '{UPPER}', '{UPPER.lower()}') AS key FROM l),
+        c AS (SELECT key FROM k WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+        m AS (SELECT k.*, c.key IS NOT NULL AS gone FROM k LEFT JOIN c ON k.key = c.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id""",
+}
