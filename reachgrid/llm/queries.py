@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachgrid.llm import chat, decontaminate, index, jaccard, katz, lines, mixing, quality, repeats, secrets, transducer
+from reachgrid.llm import chat, decontaminate, index, jaccard, katz, lines, mixing, quality, repeats, secrets, spelling, transducer
 from reachgrid.llm.words import documents
 
 
@@ -56,13 +56,17 @@ def op10_chat_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.windows(turns.unionByName(forged)))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(documents(spark, sf_dir))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.sha2(F.when(F.col("n_dropped") > 0, lines.kept_text(F.col("text"), F.col("keep"))).otherwise(F.coalesce("text", F.lit(""))), 256)
     return lines.keep_bitmaps(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_katz_scores, op2_substring_dedup, op3_token_counts, op4_source_mixing, op5_decontamination, op6_quality_rules, op7_token_index, op8_jaccard_join, op9_secret_scan, op10_chat_windows, op13_line_dedup)}
+    op1_katz_scores, op2_substring_dedup, op3_token_counts, op4_source_mixing, op5_decontamination, op6_quality_rules, op7_token_index, op8_jaccard_join, op9_secret_scan, op10_chat_windows, op11_spelling_variants, op13_line_dedup)}
 BLANKS = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SQL: dict[str, str] = {
