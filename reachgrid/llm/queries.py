@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from reachgrid.llm import chat, decontaminate, index, jaccard, katz, lines, mixing, quality, repeats, secrets, spelling, transducer
+from reachgrid.llm import chat, collocations, decontaminate, index, jaccard, katz, lines, mixing, quality, repeats, secrets, spelling, transducer
 from reachgrid.llm.words import documents
 
 
@@ -60,16 +60,43 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(documents(spark, sf_dir))
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir)).drop("cut", "words")
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = F.sha2(F.when(F.col("n_dropped") > 0, lines.kept_text(F.col("text"), F.col("keep"))).otherwise(F.coalesce("text", F.lit(""))), 256)
     return lines.keep_bitmaps(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_lines", "n_dropped", kept.alias("kept_sha256"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_katz_scores, op2_substring_dedup, op3_token_counts, op4_source_mixing, op5_decontamination, op6_quality_rules, op7_token_index, op8_jaccard_join, op9_secret_scan, op10_chat_windows, op11_spelling_variants, op13_line_dedup)}
+    op1_katz_scores, op2_substring_dedup, op3_token_counts, op4_source_mixing, op5_decontamination, op6_quality_rules, op7_token_index, op8_jaccard_join, op9_secret_scan, op10_chat_windows, op11_spelling_variants, op12_phrase_collocations, op13_line_dedup)}
 BLANKS = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SQL: dict[str, str] = {
+    "op12_phrase_collocations": rf"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
+                                                                                     '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        s AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+        c AS (SELECT lang, unnest([{{'w1': w[i], 'w2': NULL, 'w3': NULL}}, {{'w1': w[i], 'w2': w[i + 1], 'w3': NULL}},
+                                   {{'w1': w[i], 'w2': w[i + 1], 'w3': w[i + 2]}}][1:len(w) - i + 1], recursive := true) FROM s),
+        f AS (SELECT lang, w1, w2, w3, count(*) AS f FROM c GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE w2 IS NULL GROUP BY lang),
+        f1 AS (SELECT lang, w1 AS w, f FROM f WHERE w2 IS NULL), f2 AS (SELECT lang, w1, w2, f FROM f WHERE w2 IS NOT NULL AND w3 IS NULL AND f >= 10),
+        f3 AS (SELECT lang, w1, w2, w3, f FROM f WHERE w3 IS NOT NULL AND f >= 10),
+        g AS (SELECT lang, w1, w2, max(f) AS m FROM (SELECT lang, w1, w2, f FROM f3 UNION ALL SELECT lang, w2, w3, f FROM f3) GROUP BY ALL),
+        k AS (SELECT f2.lang, f2.w1 || ' ' || f2.w2 AS phrase, f2.f AS a, x.f AS l, y.f AS r, 1 AS k
+              FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.w = f2.w1 JOIN f1 y ON y.lang = f2.lang AND y.w = f2.w2 LEFT JOIN g ON g.lang = f2.lang AND g.w1 = f2.w1 AND g.w2 = f2.w2
+              WHERE 100 * coalesce(m, 0) < 50 * f2.f
+              UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || w3, f3.f, x.f, y.f, 1
+              FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.w = f3.w1 JOIN f2 y ON y.lang = f3.lang AND y.w1 = f3.w2 AND y.w2 = f3.w3
+              UNION ALL SELECT f3.lang, f3.w1 || ' ' || f3.w2 || ' ' || w3, f3.f, x.f, y.f, 2
+              FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.w1 = f3.w1 AND x.w2 = f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.w = w3),
+        o AS (SELECT *, (1000000::HUGEINT * a * a // (l::HUGEINT * r))::BIGINT AS score FROM k),
+        b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+        t AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM b)
+        SELECT lang, rank, phrase, a, l, r, n, score FROM t JOIN n USING (lang) WHERE rank <= 2000""",
     "op13_line_dedup": rf"""
         WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
                           generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
