@@ -92,7 +92,7 @@ def adaptive_median(cells: DataFrame, points: DataFrame, *, value: str, distinct
     spot = ["_x", "_y", *by]
     # The radius is settled on places and their counts; values join only inside the radius used.
     places = points.groupBy(*place).agg(F.count("*").alias("_m"))
-    near = pairs_within(spots, places, radii[-1], left_xy=("_x", "_y"))
+    near = pairs_within(spots, places, radii[-1], left_xy=("_x", "_y"), tree=None)  # centres of a lattice, few within a radius
     near = near.withColumn("_ring", F.greatest(F.lit(0), F.ceil((F.col("distance") - start) / step)).cast("int"))
     per_ring = near.groupBy(*spot, "_ring").agg(F.sum("_m").alias("_n"))
     if distinct:

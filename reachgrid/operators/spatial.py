@@ -1,8 +1,8 @@
 """Distance, nearest-neighbour and polygon joins as equi-joins on grid cells.
 
 Spark has no spatial index. Each helper turns a distance condition into an equality on
-cell keys, so the planner can shuffle and, where a cell is crowded, split the join; the
-exact condition is checked on the candidates.
+cell keys; crowded cells are cut into quadtree leaves, so that no key holds more than a
+bounded share of the points. The exact condition is checked on the candidates.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachgrid.functions.geo import angle_gap, bearing180, flat_distance, hex_axial, hex_centre, point_segment_distance
+from reachgrid.operators import quadtree
 
 
 def _cell(x: Column | str, y: Column | str, size: Column | float) -> tuple[Column, Column]:
@@ -28,29 +29,33 @@ def _block(x: Column, y: Column, size: Column | float) -> Column:
     return F.array(*[F.struct((cx + i).alias("_cx"), (cy + j).alias("_cy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
 
 
+def _around(x: Column, y: Column, radius: float) -> tuple[Column, Column, Column, Column]:
+    """The box around a circle, a little larger, so that rounding leaves out nothing."""
+    reach = radius * (1 + 1e-9)
+    return x - reach, x + reach, y - reach, y + reach
+
+
 def pairs_within(left: DataFrame, right: DataFrame, radius: float, *,
                  left_xy: Sequence[str] = ("x", "y"), right_xy: Sequence[str] = ("px", "py"),
-                 on: Sequence[str] = ()) -> DataFrame:
-    """Pairs at most ``radius`` apart with their ``distance``; ``on`` adds plain equality keys."""
-    lx, ly = left_xy
-    rx, ry = right_xy
-    cx, cy = _cell(lx, ly, radius)
-    a = left.withColumn("_cx", cx).withColumn("_cy", cy)
-    b = right.select("*", F.inline(_block(F.col(rx), F.col(ry), radius)))
-    near = a.join(b, [*on, "_cx", "_cy"]).withColumn(
-        "distance", flat_distance(F.col(lx), F.col(ly), F.col(rx), F.col(ry)))
-    return near.where(F.col("distance") <= radius).drop("_cx", "_cy")
+                 on: Sequence[str] = (), tree: quadtree.Tree | None = quadtree.Tree()) -> DataFrame:
+    """Pairs at most ``radius`` apart with their ``distance``; ``on`` adds plain equality keys.
+
+    ``tree`` bounds the left rows of a cell; None is for left rows known to be spread, such as the centres of a lattice.
+    """
+    lx, ly, rx, ry = (F.col(c) for c in (*left_xy, *right_xy))
+    a, b = quadtree.dealt(left, lx, ly, right, _around(rx, ry, radius), radius, tree)
+    near = a.join(b, [*on, *quadtree.KEY]).withColumn("distance", flat_distance(lx, ly, rx, ry))
+    return near.where(F.col("distance") <= radius).drop(*quadtree.KEY)
 
 
 def exists_within(left: DataFrame, right: DataFrame, radius: float, *,
-                  left_xy: Sequence[str] = ("x", "y"), right_xy: Sequence[str] = ("px", "py")) -> DataFrame:
+                  left_xy: Sequence[str] = ("x", "y"), right_xy: Sequence[str] = ("px", "py"),
+                  tree: quadtree.Tree | None = quadtree.Tree()) -> DataFrame:
     """Left rows with any right point within ``radius``; equal right locations count once."""
-    lx, ly = (F.col(c) for c in left_xy)
-    b = right.select(F.col(right_xy[0]).alias("_rx"), F.col(right_xy[1]).alias("_ry")).distinct()
-    b = b.select("_rx", "_ry", F.inline(_block(F.col("_rx"), F.col("_ry"), radius)))
-    cx, cy = _cell(lx, ly, radius)
-    close = flat_distance(lx, ly, F.col("_rx"), F.col("_ry")) <= radius
-    return left.join(b, (cx == F.col("_cx")) & (cy == F.col("_cy")) & close, "left_semi")
+    lx, ly, rx, ry = (F.col(c) for c in (*left_xy, "_rx", "_ry"))
+    spots = right.select(F.col(right_xy[0]).alias("_rx"), F.col(right_xy[1]).alias("_ry")).distinct()
+    a, b = quadtree.dealt(left, lx, ly, spots, _around(rx, ry, radius), radius, tree)
+    return a.join(quadtree.renamed(b), quadtree.same_key() & (flat_distance(lx, ly, rx, ry) <= radius), "left_semi").drop(*quadtree.KEY)
 
 
 def sum_within(left: DataFrame, right: DataFrame, radius: float, sums: dict[str, Column], *,
@@ -189,43 +194,39 @@ def _inside(px: Column, py: Column, ring: Column) -> Column:
     return F.size(hits) % 2 == 1
 
 
-def points_in_polygons(points: DataFrame, polygons: DataFrame, *, cell: float,
-                       on: Sequence[str] = (), how: str = "inner") -> DataFrame:
+def points_in_polygons(points: DataFrame, polygons: DataFrame, *, cell: float, on: Sequence[str] = (), how: str = "inner",
+                       tree: quadtree.Tree | None = quadtree.Tree()) -> DataFrame:
     """Join of points (x, y) to polygons (ring) that contain them.
 
-    A polygon is tiled into the cells of its bounding box; candidates share a cell.
+    A polygon asks the cells of its bounding box, and the leaves of those that are crowded with points.
     ``how`` may be inner, left_semi or left_anti.
     """
     xs, ys = F.transform("ring", lambda v: v["x"]), F.transform("ring", lambda v: v["y"])
-    span = lambda v: F.sequence(F.floor(F.array_min(v) / cell), F.floor(F.array_max(v) / cell))
-    tiled = polygons.withColumn("_cx", F.explode(span(xs))).withColumn("_cy", F.explode(span(ys)))
-    renamed = tiled.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in tiled.columns])
-    px, py = F.col("x"), F.col("y")
-    cx, cy = _cell(px, py, cell)
-    condition = (cx == F.col("_cx")) & (cy == F.col("_cy"))
+    box = (F.array_min(xs), F.array_max(xs), F.array_min(ys), F.array_max(ys))
+    a, b = quadtree.dealt(points, F.col("x"), F.col("y"), polygons, box, cell, tree)
+    b = quadtree.renamed(b)
+    b = b.select(*[F.col(c).alias(f"_on_{c}") if c in on else F.col(c) for c in b.columns])
+    condition = quadtree.same_key()
     for c in on:
         condition = condition & (F.col(c) == F.col(f"_on_{c}"))
-    out = points.join(renamed, condition & _inside(px, py, F.col("ring")), how)
-    return out.drop("_cx", "_cy", *[f"_on_{c}" for c in on])
+    out = a.join(b, condition & _inside(F.col("x"), F.col("y"), F.col("ring")), how)
+    return out.drop(*quadtree.KEY, *[f"_on{k}" for k in quadtree.KEY], *[f"_on_{c}" for c in on])
 
 
-def match_segments(segments: DataFrame, edges: DataFrame, *, corridor: float, max_angle: float,
-                   min_length: float = 20.0, cell: float | None = None) -> DataFrame:
+def match_segments(segments: DataFrame, edges: DataFrame, *, corridor: float, max_angle: float, min_length: float = 20.0,
+                   cell: float | None = None, tree: quadtree.Tree | None = quadtree.Tree()) -> DataFrame:
     """Segments (x1,y1,x2,y2) joined to edges (ex1,ey1,ex2,ey2) whose midpoint lies in the corridor
     and whose undirected bearing differs by at most ``max_angle``."""
     cell = cell or max(4 * corridor, 100.0)
-    def span(a: str, b: str) -> Column:
-        return F.sequence(F.floor((F.least(a, b) - corridor) / cell), F.floor((F.greatest(a, b) + corridor) / cell))
     x1, y1, x2, y2 = (F.col(c) for c in ("x1", "y1", "x2", "y2"))
     long = segments.where(flat_distance(x1, y1, x2, y2) >= min_length)
-    tiled = long.withColumn("_cx", F.explode(span("x1", "x2"))).withColumn("_cy", F.explode(span("y1", "y2")))
+    box = (F.least(x1, x2) - corridor, F.greatest(x1, x2) + corridor, F.least(y1, y2) - corridor, F.greatest(y1, y2) + corridor)
     ex1, ey1, ex2, ey2 = (F.col(c) for c in ("ex1", "ey1", "ex2", "ey2"))
     mid = edges.withColumn("_mx", (ex1 + ex2) / 2).withColumn("_my", (ey1 + ey2) / 2)
-    cx, cy = _cell("_mx", "_my", cell)
-    mid = mid.withColumn("_cx", cx).withColumn("_cy", cy)
+    mid, tiled = quadtree.dealt(mid, F.col("_mx"), F.col("_my"), long, box, cell, tree)
     near = point_segment_distance(F.col("_mx"), F.col("_my"), x1, y1, x2, y2) <= corridor
     along = angle_gap(bearing180(x1, y1, x2, y2), bearing180(ex1, ey1, ex2, ey2)) <= max_angle
-    return tiled.join(mid, ["_cx", "_cy"]).where(near & along).drop("_cx", "_cy", "_mx", "_my")
+    return tiled.join(mid, [*quadtree.KEY]).where(near & along).drop(*quadtree.KEY, "_mx", "_my")
 
 
 def hex_lattice(spark, extent: tuple[float, float, float, float], spacing: float,

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from reachgrid.functions import geo
 from reachgrid.functions.values import numeric_text_key, whole
-from reachgrid.operators import spatial
+from reachgrid.operators import quadtree, spatial
 from reachgrid.plans.registry import query
 from reachgrid.plans.views import SQL_VIEWS
 
@@ -46,6 +46,18 @@ def pairs_within(d):
         "id", "poi_id", F.round("distance", 6).alias("distance"))
 
 
+# A third of the origins stand in one cell of the join.
+_MOVED = "(SELECT id, " + ", ".join(f"CASE WHEN id % 3 = 0 THEN 15000 + {c} % 700 ELSE {c} END AS {c}" for c in "xy") + " FROM v_origins)"
+
+
+@query("c11_crowded_cells", f"""
+SELECT t.id AS poi_id, count(*) AS n, sum(round(sqrt({_D2}), 3)) AS apart FROM {_MOVED} o JOIN v_dests t ON {_D2} <= 800 * 800 GROUP BY t.id""")
+def crowded_cells(d):
+    moved = [F.when(F.col("id") % 3 == 0, 15000 + F.col(c) % 700).otherwise(F.col(c)).alias(c) for c in "xy"]
+    near = spatial.pairs_within(d.origins.select("id", *moved), pois(d), 800, tree=quadtree.Tree(least=64))
+    return near.groupBy("poi_id").agg(F.count("*").alias("n"), F.sum(F.round("distance", 3)).alias("apart"))
+
+
 @query("c11_exists_within", f"""
 SELECT region, count(*) AS n, sum(pop)::BIGINT AS pop FROM v_people o
 WHERE EXISTS (SELECT 1 FROM v_dests t WHERE {_D2} <= 500 * 500) GROUP BY region""")
