@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from reachgrid.functions.scale import fraction, group_quantiles, linear, neighbour
 from reachgrid.functions.values import (
     WEEKDAYS, feed_date, number, route_type_supported, traction, weekday_flag)
+from reachgrid.operators.sets import shared_members
 
 # Files every feed must hold.
 REQUIRED_FILES = ("stops.txt", "routes.txt", "trips.txt", "stop_times.txt")
@@ -210,8 +211,7 @@ def shared_trip_ids(trips: DataFrame) -> DataFrame:
     """(feed_a, feed_b, shared, ratio, level): trip ids two feeds have in common, against the smaller one."""
     ids = trips.select("feed", "trip_id").distinct()
     sizes = ids.groupBy("feed").agg(F.count("*").alias("n"))
-    a, b = ids.withColumnRenamed("feed", "feed_a"), ids.withColumnRenamed("feed", "feed_b")
-    shared = a.join(b, "trip_id").where("feed_a < feed_b").groupBy("feed_a", "feed_b").agg(F.count("*").alias("shared"))
+    shared = shared_members(ids, "feed", "trip_id", first="feed_a", second="feed_b")
     out = (shared.join(sizes.select(F.col("feed").alias("feed_a"), F.col("n").alias("n_a")), "feed_a")
            .join(sizes.select(F.col("feed").alias("feed_b"), F.col("n").alias("n_b")), "feed_b"))
     ratio = F.col("shared") / F.least("n_a", "n_b")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from reachgrid.functions.geo import haversine_m
 from reachgrid.functions.scale import group_quantiles, linear, neighbour, quartile_exclusive
+from reachgrid.operators.sets import mostly_contained
 from reachgrid.operators.spatial import pairs_within
 
 PEAK = (7 * 3600, 9 * 3600)
@@ -154,11 +155,7 @@ def rank_lines(lines: DataFrame) -> DataFrame:
 
 def corridor(picks: DataFrame, served: DataFrame, share: float = 0.6) -> DataFrame:
     """(pick, route_id, share): other routes serving at least ``share`` of a picked route's stops."""
-    mine = served.join(picks.select("route_id"), "route_id", "left_semi").withColumnRenamed("route_id", "pick")
-    sizes = mine.groupBy("pick").agg(F.count("*").alias("stops"))
-    common = mine.join(served, "stop_id").where("pick <> route_id").groupBy("pick", "route_id").agg(F.count("*").alias("n"))
-    ratio = F.col("n") / F.col("stops")
-    return common.join(sizes, "pick").where(ratio >= share).select("pick", "route_id", ratio.alias("share"))
+    return mostly_contained(picks, served, "route_id", "stop_id", share)
 
 
 def line_frequency(cells: DataFrame, walk: DataFrame, departures: DataFrame, stop_modes: DataFrame,

@@ -192,6 +192,16 @@ def shared_trip_ids(d):
     return out.withColumn("ratio", F.round("ratio", 6))
 
 
+@query("c07_ids_in_many_feeds", """
+WITH i AS (SELECT DISTINCT o_custkey % 97 AS feed, o_orderkey % 1009 AS trip_id FROM orders), s AS (SELECT feed, count(*) AS n FROM i GROUP BY feed)
+SELECT a.feed AS feed_a, b.feed AS feed_b, count(*) AS shared, round(count(*) / least(any_value(sa.n), any_value(sb.n)), 6) AS ratio,
+       CASE WHEN count(*) / least(any_value(sa.n), any_value(sb.n)) >= 0.5 THEN 'ERROR' ELSE 'WARN' END AS level
+FROM i a JOIN i b ON a.trip_id = b.trip_id AND a.feed < b.feed JOIN s sa ON sa.feed = a.feed JOIN s sb ON sb.feed = b.feed GROUP BY a.feed, b.feed""")
+def ids_in_many_feeds(d):
+    ids = d.table("orders").select((F.col("o_custkey") % 97).alias("feed"), (F.col("o_orderkey") % 1009).alias("trip_id"))
+    return feeds.shared_trip_ids(ids).withColumn("ratio", F.round("ratio", 6))
+
+
 @query("c08_duplicate_feed_ids", """
 SELECT coalesce(nullif(fid, ''), s_name) AS id, count(*) AS n, min(s_name) AS first
 FROM (SELECT s_name, CASE WHEN s_suppkey % 3 = 0 THEN '' ELSE 'id' || (s_suppkey % 20) END AS fid FROM supplier) GROUP BY 1 HAVING count(*) > 1""")
@@ -310,14 +320,14 @@ def trip_id_differences(d):
 # --- cascades ---------------------------------------------------------------------
 
 @query("b09_keep_trips", """
-WITH t AS (SELECT * FROM v_feed_trips WHERE trip_id % 5 = 0 AND route_id < 7),
+WITH t AS (SELECT * FROM v_feed_trips WHERE service_id IN ('1-URGENT', '2-HIGH')),
 st AS (SELECT * FROM v_feed_times s WHERE EXISTS (SELECT 1 FROM t WHERE t.feed = s.feed AND t.trip_id = s.trip_id))
 SELECT 'trips' AS tbl, feed, count(*) AS n FROM t GROUP BY feed UNION ALL SELECT 'stop_times', feed, count(*) FROM st GROUP BY feed
 UNION ALL SELECT 'routes', feed, count(*) FROM v_feed_routes r WHERE EXISTS (SELECT 1 FROM t WHERE t.feed = r.feed AND t.route_id = r.route_id) GROUP BY feed
 UNION ALL SELECT 'stops', feed, count(*) FROM v_feed_stops s WHERE EXISTS (SELECT 1 FROM st WHERE st.feed = s.feed AND st.stop_id = s.stop_id) GROUP BY feed
 UNION ALL SELECT 'calendar', feed, count(*) FROM v_calendar c WHERE EXISTS (SELECT 1 FROM t WHERE t.feed = c.feed AND t.service_id = c.service_id) GROUP BY feed""")
 def keep_trips(d):
-    wanted = d.trips.where("trip_id % 5 = 0 and route_id < 7")
+    wanted = d.trips.where(F.col("service_id").isin("1-URGENT", "2-HIGH"))  # the services that stay
     kept = feeds.keep_trips(wanted, {"trips": feed_trips(d), "stop_times": feed_times(d), "routes": feed_routes(d),
                                      "stops": feed_stops(d), "calendar": d.calendar})
     out = None
@@ -438,8 +448,7 @@ def speed_profile(d):
     return out.select("route_id", *[F.round(c, 4).alias(c) for c in out.columns[1:]])
 
 
-# Stops are numerous on every route, so a route serves a stop here only when its key parity agrees.
-SQL_VIEWS["v_served"] = "SELECT DISTINCT route_id, stop_id FROM v_line_times JOIN v_trips USING (trip_id) WHERE (stop_id * 7 + route_id) % 23 < 5"
+SQL_VIEWS["v_served"] = "SELECT DISTINCT route_id, stop_id FROM v_line_times JOIN v_trips USING (trip_id)"
 _NEAR_POP = """(SELECT route_id, sum(pop) AS pop FROM (SELECT DISTINCT s.route_id, p.id, p.pop FROM {s} s JOIN v_line_stops t USING (stop_id)
     JOIN v_people p ON pow(p.x - t.x, 2) + pow(p.y - t.y, 2) <= 500 * 500) GROUP BY route_id)"""
 SQL_VIEWS["v_line_pop"] = f"""
@@ -449,7 +458,7 @@ SQL_VIEWS["v_line_pop"] = f"""
 
 
 def served(d, times=None):
-    return lines.route_stops(times or line_times(d), line_trips(d)).where("(stop_id * 7 + route_id) % 23 < 5")
+    return lines.route_stops(times or line_times(d), line_trips(d))
 
 
 def line_population(d, times=None):
@@ -506,6 +515,16 @@ def corridor(d):
     return out.withColumn("share", F.round("share", 6))
 
 
+@query("e18_corridor_of_all_lines", """
+WITH s AS (SELECT DISTINCT o_custkey AS route_id, l_suppkey AS stop_id FROM orders JOIN lineitem ON o_orderkey = l_orderkey),
+m AS (SELECT route_id AS pick, stop_id, count(*) OVER (PARTITION BY route_id) AS k FROM s)
+SELECT pick, s.route_id, round(count(*) / any_value(k), 6) AS share FROM m JOIN s ON s.stop_id = m.stop_id AND s.route_id <> pick GROUP BY ALL HAVING count(*) / any_value(k) >= 0.6""")
+def corridor_of_all_lines(d):
+    orders, items = d.table("orders"), d.table("lineitem")
+    served = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("route_id"), F.col("l_suppkey").alias("stop_id"))
+    return lines.corridor(served.select("route_id"), served).withColumn("share", F.round("share", 6))
+
+
 _WALK = """w AS (SELECT o.id AS hex_id, t.stop_id, t.mode, round(sqrt(pow(o.x - t.x, 2) + pow(o.y - t.y, 2)), 3) AS d FROM v_origins o JOIN v_line_stops t ON pow(o.x - t.x, 2) + pow(o.y - t.y, 2) <= 1500 * 1500)"""
 
 

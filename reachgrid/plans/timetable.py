@@ -47,7 +47,7 @@ def remove_routes(d):
 _HEAD = """
 st AS (SELECT trip_id, seq, seq AS stop_id, arr, arr + 20 AS dep FROM v_stop_times),
 p AS (SELECT trip_id, count(*) AS n, arg_min(dep, seq) AS start FROM st GROUP BY trip_id),
-m AS (SELECT t.route_id, t.direction_id, t.trip_id, p.n, p.start FROM v_trips t JOIN p USING (trip_id) WHERE route_id < 8),
+m AS (SELECT t.route_id, t.direction_id, t.trip_id, p.n, p.start FROM v_trips t JOIN p USING (trip_id)),
 sz AS (SELECT route_id, direction_id, n, count(*) AS k, min(start * 10000000 + trip_id) AS f FROM m GROUP BY ALL)"""
 
 
@@ -57,9 +57,9 @@ kept AS (SELECT t.route_id, t.trip_id FROM v_trips t LEFT JOIN m USING (trip_id)
 lines AS (SELECT route_id, direction_id, max(k) AS top FROM sz GROUP BY ALL)
 SELECT route_id, sum(n)::BIGINT AS trips FROM (SELECT route_id, 1 AS n FROM kept UNION ALL SELECT route_id, 12 FROM lines) GROUP BY route_id""")
 def set_headway(d):
-    """Ten-minute headway from 07:00 to 09:00 on the first eight routes: trips per route afterwards."""
+    """Ten-minute headway from 07:00 to 09:00 on every route: trips per route afterwards."""
     by_position = line_times(d).withColumn("stop_id", F.col("seq"))
-    routes = line_trips(d).where("route_id < 8").select("route_id").distinct()
+    routes = line_trips(d).select("route_id").distinct()
     trips, _ = scenario.set_headway(by_position, line_trips(d), routes, 600, "07:00", "09:00")
     return trips.groupBy("route_id").agg(F.count("*").alias("trips"))
 
