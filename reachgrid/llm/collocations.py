@@ -27,6 +27,8 @@ LEAST_COUNT = 10
 #: A phrase is dropped for a longer one that has at least this share of its occurrences, in percent.
 COVERED = 50
 TOP = 2000
+#: Parts of a language that are ranked side by side first.
+PARTS = 64
 SCALE = 1_000_000
 #: Words whose windows a task merges before it deals them, and bytes of text for a range to add up.
 CHUNK_WORDS = 2_500_000
@@ -217,7 +219,9 @@ def collocations(docs: DataFrame, *, least_count: int = LEAST_COUNT, covered: in
     triples = triples.select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), "a", F.lit(3).alias("words"), F.when(early, 1).otherwise(2).alias("cut"),
                              F.when(early, F.col("f1")).otherwise(F.col("f12")).alias("l"), F.when(early, F.col("f23")).otherwise(F.col("f3")).alias("r"),
                              F.least("s1", "s2").alias("score"))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    # The row number's limit is applied in every task before the shuffle, so a language's task sees few rows.
-    best = pairs.unionByName(triples).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), F.col("phrase"))
+    # The first of a language are among the first of its parts, so no task sees more than PARTS * top rows of a language.
+    dealt = pairs.unionByName(triples).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    first_of = dealt.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))).where(F.col("rank") <= top)
+    best = first_of.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score", "cut", "words")
