@@ -31,8 +31,12 @@ TOP = 2000
 PARTS = 64
 SCALE = 1_000_000
 #: Words whose windows a task merges before it deals them, and bytes of text for a range to add up.
-CHUNK_WORDS = 2_500_000
-RANGE_BYTES = 32 << 20
+CHUNK_WORDS = 1_500_000
+RANGE_BYTES = 8 << 20
+#: Groups of ranges that first words are dealt to.
+GROUPS = 8
+#: Windows are sorted as one number where their codes fit below this.
+WIDEST = 1 << 63
 BREAKS = b".,;:!?\n\x0b\x0c\r"
 BLANKS = b" \t"
 COLUMNS = ("lang", "w1", "w2", "w3")
@@ -65,14 +69,35 @@ def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return words, text, follows
 
 
-def _merged(lang: np.ndarray, w: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Equal windows added up, in order of language and words; ``w`` is 3 x windows, -1 for padding."""
+def _merged(lang: np.ndarray, w: np.ndarray, n: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Equal windows added up (each counts once without ``n``), in order of language and words; ``w`` is 3 x windows, -1 for padding."""
+    base = int(w.max(initial=-1)) + 2
+    if (int(lang.max(initial=0)) + 1) * base ** 3 < WIDEST:
+        key = lang.astype(np.int64)
+        for x in w:
+            key = key * base + (x + 1)
+        if n is None:
+            key, n = np.unique(key, return_counts=True)
+        else:
+            order = np.argsort(key)
+            key, n = key[order], n[order]
+            first, _ = runs(key)
+            key, n = key[first], np.add.reduceat(n, first) if len(n) else n
+        out = np.empty((3, len(key)), np.int32)
+        for i in (2, 1, 0):
+            key, out[i] = np.divmod(key, base)
+        return key.astype(np.int32), out - 1, n.astype(np.int64)
     order = np.lexsort((w[2], w[1], w[0], lang))
-    lang, w, n = lang[order], w[:, order], n[order]
-    new = np.ones(len(n), bool)
+    lang, w, n = lang[order], w[:, order], np.ones(len(lang), np.int64) if n is None else n[order]
+    first = np.flatnonzero(_starts(lang, w))
+    return lang[first], w[:, first], np.add.reduceat(n, first)
+
+
+def _starts(lang: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Where language or words differ from the row before."""
+    new = np.ones(len(lang), bool)
     new[1:] = (lang[1:] != lang[:-1]) | (w[:, 1:] != w[:, :-1]).any(axis=0)
-    first = np.flatnonzero(new)
-    return lang[first], w[:, first], np.add.reduceat(n, first) if len(first) else n
+    return new
 
 
 def _hashes(strings: pa.Array) -> np.ndarray:
@@ -90,9 +115,11 @@ def _deal(held: list[tuple[pa.Array, pa.Array, np.ndarray]], ranges: int) -> Ite
     w[1, two] = codes[two + 1]
     three = two[follows[two + 1]]
     w[2, three] = codes[three + 2]
-    lang, w, n = _merged(langs.indices.to_numpy().astype(np.int32), w, np.ones(len(codes), np.int64))
+    lang, w, n = _merged(langs.indices.to_numpy().astype(np.int32), w)
     word_hash = np.append(_hashes(coded.dictionary), np.uint64(0))  # the last one is that of the padding
-    place = mixed(mixed(mixed(_hashes(langs.dictionary)[lang]) ^ word_hash[w[0]]) + word_hash[w[1]]) % np.uint64(ranges)
+    # The first word chooses among GROUPS, the second within: a word is in one of GROUPS ranges only, and a hot one is still spread.
+    group = mixed(mixed(_hashes(langs.dictionary))[lang] ^ word_hash[w[0]]) % np.uint64(GROUPS)
+    place = group * np.uint64(ranges // GROUPS) + mixed(word_hash[w[1]] + mixed(word_hash[w[0]])) % np.uint64(ranges // GROUPS)
     order = np.argsort(place, kind="stable")
     lang, w, n, place = lang[order], w[:, order], n[order], place[order]
     squeeze = zstandard.ZstdCompressor(1)
@@ -137,28 +164,33 @@ def _added(parts: pa.Table, least_count: int) -> pa.Table:
         n.append(unpack_plain(parts.column("n")[i].as_py(), "i8"))
         at, at_lang = at + len(t), at_lang + len(k)
     lang, w, n = _merged(np.concatenate(lang), np.concatenate(w, axis=1), np.concatenate(n))
-    low = (n < least_count) & (w[2] >= 0)
-    w[2, low] = -1
-    lang, w, n = _merged(lang, w, n)
-    # What no window of three words took away is the pair's own count; the pair as a whole is in this range.
-    pair = np.ones(len(n), bool)
-    pair[1:] = (lang[1:] != lang[:-1]) | (w[:2, 1:] != w[:2, :-1]).any(axis=0)
-    whole = np.add.reduceat(n, np.flatnonzero(pair))[np.cumsum(pair) - 1]
-    w[1, (whole < least_count) & (w[1] >= 0)] = -1
-    lang, w, n = _merged(lang, w, n)
+    # All windows of a word pair are here, so what a range leaves of a pair below the count, no other range can lift above it.
+    pairs, ones = (np.flatnonzero(_starts(lang, w[:k])) for k in (2, 1))
+    triple = (n >= least_count) & (w[2] >= 0)
+    whole = np.add.reduceat(n, pairs) if len(n) else n
+    left = np.add.reduceat(np.where(triple, 0, n), pairs) if len(n) else n
+    pair = (whole >= least_count) & (w[1, pairs] >= 0)
+    rest = np.zeros(len(n), np.int64)
+    rest[pairs] = np.where(pair, 0, left)
+    rest = np.add.reduceat(rest, ones) if len(n) else rest
+    pad = np.full(len(n), -1, np.int32)
+    rows = ((np.flatnonzero(triple), 3, n[triple]), (pairs[pair], 2, left[pair]), (ones, 1, rest))
+    at, n = np.concatenate([r[0] for r in rows]), np.concatenate([r[2] for r in rows])
+    lang, w = lang[at], np.stack([np.concatenate([(w[i] if i < k else pad)[x] for x, k, _ in rows]) for i in range(3)])
+    lang, w, n = lang[n > 0], w[:, n > 0], n[n > 0]
     names = pa.concat_arrays([coded.dictionary, pa.array([""], pa.large_string())])
     columns = [names.take(pa.array(np.where(x < 0, len(names) - 1, x))).cast(pa.string()) for x in w]
     return pa.Table.from_arrays([langs.dictionary.take(pa.array(lang)).cast(pa.string()), *columns, pa.array(n)], schema=COUNTED)
 
 
-def windows(docs: DataFrame, *, least_count: int = LEAST_COUNT, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def windows(docs: DataFrame, *, least_count: int = LEAST_COUNT, range_bytes: int = RANGE_BYTES, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """lang, w1, w2, w3, n: counted windows, '' for padding and for words of windows below ``least_count``.
 
     Sums over prefixes are those of all windows for every prefix that reaches ``least_count``. A NULL lang is 'und'.
     """
     rows = docs.select(F.coalesce(F.col("lang"), F.lit("und")).alias("lang"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     size = rows.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    ranges = max(shuffle_partitions(docs.sparkSession), -(-size // range_bytes))
+    ranges = GROUPS * -(-max(shuffle_partitions(docs.sparkSession), -(-size // range_bytes)) // GROUPS)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
@@ -168,13 +200,13 @@ def windows(docs: DataFrame, *, least_count: int = LEAST_COUNT, range_bytes: int
                 continue
             held.append((words, block.column("lang").take(pa.array(text)), follows))
             n += len(words)
-            if n >= CHUNK_WORDS:
+            if n >= chunk_words:
                 yield from _deal(held, ranges)
                 held, n = [], 0
         if held:
             yield from _deal(held, ranges)
 
-    parts = rows.mapInArrow(dealt, DEALT)
+    parts = rows.mapInArrow(dealt, DEALT).repartition(ranges, "range")
     return parts.groupBy("range").applyInArrow(lambda parts: _added(parts, least_count), "lang string, w1 string, w2 string, w3 string, n long")
 
 
@@ -193,13 +225,14 @@ def cut_score(a: Column, left: Column, right: Column) -> Column:
     return F.call_function("div", F.lit(SCALE).cast("decimal(7,0)") * (a * a), left * right)
 
 
-def collocations(docs: DataFrame, *, least_count: int = LEAST_COUNT, covered: int = COVERED, top: int = TOP, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def collocations(docs: DataFrame, *, least_count: int = LEAST_COUNT, covered: int = COVERED, top: int = TOP, range_bytes: int = RANGE_BYTES,
+                 chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score, and cut (words in front of the cut) and words, the first ``top`` phrases of each language.
 
     NULL and empty texts have no words, rows that repeat count again, columns other than lang and text are ignored.
     Phrases that tie in score and count are ranked in byte order; of cuts that tie the first counts.
     """
-    f = checkpoint(phrase_counts(windows(docs, least_count=least_count, range_bytes=range_bytes), least_count=least_count))
+    f = checkpoint(phrase_counts(windows(docs, least_count=least_count, range_bytes=range_bytes, chunk_words=chunk_words), least_count=least_count))
     n = f.where("k = 0").select("lang", F.col("f").alias("n"))
     one = f.where("k = 1").select("lang", "w1", "f")
     two = f.where("k = 2").select("lang", "w1", "w2", F.col("f").alias("a"))

@@ -131,9 +131,8 @@ def phrases(rows, least=10, covered=50, top=2000):
 COLUMNS = ("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-@pytest.mark.parametrize("top,chunk", [(2000, 2_500_000), (7, 500)])
-def test_collocations(spark, table, edges, monkeypatch, top, chunk):
-    monkeypatch.setattr(collocations, "CHUNK_WORDS", chunk)
+@pytest.mark.parametrize("top,chunk,range_bytes", [(2000, 1_500_000, 8 << 20), (7, 500, 1000)])
+def test_collocations(spark, table, edges, top, chunk, range_bytes):
     r = random.Random(4)
     vocab = ["new", "York", "city", "the", "a|b", "é", "字", "it's", "\x85", "\x00z"]
     made = [(i, "".join(r.choice(vocab) + r.choice([" ", " ", " ", "\t ", ", ", ".\n", "\x0b", "  "]) for _ in range(300)) + " in New York City! " * 30, None) for i in range(12)]
@@ -141,7 +140,7 @@ def test_collocations(spark, table, edges, monkeypatch, top, chunk):
     docs = table(rows).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, None).when(F.col("doc_id") % 3 == 1, "und").otherwise("l\nx"))
     pairs = [(None if d is None or d % 3 < 2 else "l\nx", t) for d, t, _ in rows]
     pairs = [("l\nx" if d is None else p, t) for (d, _, _), (p, t) in zip(rows, pairs, strict=True)]  # NULL % 3 is neither
-    got = collocations.collocations(docs, top=top).select(*COLUMNS).orderBy("lang", "rank").collect()
+    got = collocations.collocations(docs, top=top, chunk_words=chunk, range_bytes=range_bytes).select(*COLUMNS).orderBy("lang", "rank").collect()
     want = phrases(pairs, top=top)
     assert [tuple(x) for x in got] == want and len(want) > 10
     assert collocations.collocations(table([])).count() == 0
@@ -228,6 +227,17 @@ def test_queries_over_small_tables(spark, table, tmp_path, edges, lined, misspel
     assert [tuple(x) for x in got.orderBy("rank").collect()] == phrases([("en", t) for _, t, _ in rows])
 
 
+def test_windows_that_do_not_fit_in_one_number(monkeypatch):
+    r = np.random.default_rng(3)
+    lang, w, n = r.integers(0, 3, 5000), r.integers(-1, 6, (3, 5000)).astype(np.int32), r.integers(1, 9, 5000)
+    for weights in (None, n):
+        one = collocations._merged(lang, w, weights)
+        with monkeypatch.context() as m:
+            m.setattr(collocations, "WIDEST", 1)
+            two = collocations._merged(lang, w, weights)
+        assert all((x == y).all() for x, y in zip(one, two, strict=True)) and one[2].sum() == (5000 if weights is None else n.sum())
+
+
 def test_words_by_bytes():
     import pyarrow as pa
     texts = ["", "One two", "a,b c\td", "x", " é字 y.", "", "z"]
