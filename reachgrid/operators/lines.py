@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reachgrid.functions.geo import haversine_m
-from reachgrid.functions.scale import group_quantiles, linear, neighbour, quartile_exclusive
+from reachgrid.functions.scale import group_quantiles, linear, quartile_exclusive
 from reachgrid.operators.sets import mostly_contained
 from reachgrid.operators.spatial import pairs_within
 
@@ -17,67 +17,6 @@ WALK_M, INNER_M, OUTER_M = 500, 2500, 4000
 MIN_SEGMENTS = 20
 
 
-def hops(stop_times: DataFrame, stops: DataFrame) -> DataFrame:
-    """(trip_id, seq, metres) between consecutive known stops of every trip; unknown stops are bridged."""
-    placed = stop_times.join(stops.select("stop_id", "lon", "lat"), "stop_id")
-    near = neighbour(placed.select("trip_id", "seq", "lon", "lat"), ["trip_id"], "seq", {"lon2": "lon", "lat2": "lat"})
-    return near.where("lon2 is not null").select(
-        "trip_id", "seq", haversine_m(F.col("lon"), F.col("lat"), F.col("lon2"), F.col("lat2")).alias("metres"))
-
-
-def longest_trips(stop_times: DataFrame, trips: DataFrame) -> DataFrame:
-    """(route_id, trip_id) of the trip with most stops; the smaller trip id on ties."""
-    sizes = stop_times.groupBy("trip_id").agg(F.count("*").alias("n"))
-    best = trips.join(sizes, "trip_id").groupBy("route_id").agg(
-        F.min(F.struct((-F.col("n")).alias("k"), "trip_id")).alias("b"))
-    return best.select("route_id", F.col("b.trip_id").alias("trip_id"))
-
-
-def line_length_km(stop_times: DataFrame, trips: DataFrame, stops: DataFrame) -> DataFrame:
-    pattern = longest_trips(stop_times, trips)
-    path = hops(stop_times.join(pattern, "trip_id", "left_semi"), stops)
-    total = path.groupBy("trip_id").agg(F.sum("metres").alias("m"))
-    return pattern.join(total, "trip_id", "left").select("route_id", (F.coalesce("m", F.lit(0.0)) / 1000).alias("length_km"))
-
-
-def vehicle_km(stop_times: DataFrame, trips: DataFrame, stops: DataFrame) -> DataFrame:
-    per_trip = hops(stop_times, stops).groupBy("trip_id").agg(F.sum("metres").alias("m"))
-    return trips.join(per_trip, "trip_id", "left").groupBy("route_id").agg(
-        (F.coalesce(F.sum("m"), F.lit(0.0)) / 1000).alias("vehicle_km"))
-
-
-def _first_departures(stop_times: DataFrame) -> DataFrame:
-    return stop_times.groupBy("trip_id").agg(F.min_by(F.coalesce("dep", "arr"), "seq").alias("first"))
-
-
-def peak_departures(stop_times: DataFrame, trips: DataFrame, window: tuple[int, int] = PEAK) -> DataFrame:
-    """Departures per hour from the first stop; the window is half-open."""
-    inside = (F.col("first") >= window[0]) & (F.col("first") < window[1])
-    return trips.join(_first_departures(stop_times), "trip_id", "left").groupBy("route_id").agg(
-        (F.count_if(inside) / ((window[1] - window[0]) / 3600)).alias("per_hour"))
-
-
-def segments(stop_times: DataFrame, stops: DataFrame, *, peak: tuple[int, int] | None = PEAK,
-             min_metres: float = 50) -> DataFrame:
-    """(trip_id, seq, metres, seconds, mid_lon, mid_lat) of every hop between known stops.
-
-    Seconds run from departure to arrival, so dwell is left out; hops that take no time or
-    are shorter than ``min_metres`` are dropped. ``peak`` keeps trips starting inside it.
-    """
-    if peak is not None:
-        first = _first_departures(stop_times).where((F.col("first") >= peak[0]) & (F.col("first") < peak[1]))
-        stop_times = stop_times.join(first, "trip_id", "left_semi")
-    here = stop_times.select("trip_id", "seq", "stop_id", "arr", "dep")
-    nxt = neighbour(here, ["trip_id"], "seq", {"stop2": "stop_id", "arr2": "arr"}).where("stop2 is not null")
-    a = stops.select("stop_id", F.col("lon").alias("lon1"), F.col("lat").alias("lat1"))
-    b = stops.select(F.col("stop_id").alias("stop2"), F.col("lon").alias("lon2"), F.col("lat").alias("lat2"))
-    out = nxt.join(a, "stop_id").join(b, "stop2").select(
-        "trip_id", "seq", haversine_m(F.col("lon1"), F.col("lat1"), F.col("lon2"), F.col("lat2")).alias("metres"),
-        (F.col("arr2") - F.col("dep")).alias("seconds"),
-        ((F.col("lon1") + F.col("lon2")) / 2).alias("mid_lon"), ((F.col("lat1") + F.col("lat2")) / 2).alias("mid_lat"))
-    return out.where((F.col("seconds") > 0) & (F.col("metres") >= min_metres))
-
-
 def weighted_centroid(points: DataFrame, weight: str, x: str = "lon", y: str = "lat") -> DataFrame:
     """One row with the weighted mean of the coordinates."""
     w = F.sum(weight)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reachgrid.functions.scale import row_index, running_totals
+from reachgrid.session import checkpoint
 
 #: A member is heavy when it is in more sets than this and in more than one in so many of all rows.
 LEAST, SHARE = 10_000, 1000
@@ -68,12 +69,13 @@ def mostly_contained(picks: DataFrame, members: DataFrame, group: str, member: s
     """
     if not 0 < share <= 1:
         raise ValueError("share is above 0 and at most 1")
-    known = members.select(group, member).where(F.col(group).isNotNull() & F.col(member).isNotNull()).distinct()
+    # Both are asked for several times, and behind them may stand anything.
+    known = checkpoint(members.select(group, member).where(F.col(group).isNotNull() & F.col(member).isNotNull()).distinct())
     counts = known.groupBy(member).agg(F.count("*").alias("df"))
     bound = F.greatest(F.lit(least), F.ceil(counts.agg(F.sum("df")).scalar() / heavy_share)).cast("bigint")
     heavy = counts.where(F.col("df") > bound).select(member, "df", F.ceil(F.col("df") / bound).cast("int").alias("parts"))
     light = counts.where(F.col("df") <= bound)
-    wanted = picks.select(F.col(group).alias("pick")).where("pick is not null").distinct()
+    wanted = checkpoint(picks.select(F.col(group).alias("pick")).where("pick is not null").distinct())
     mine = known.withColumnRenamed(group, "pick").join(wanted, "pick", "left_semi")
     sizes = mine.groupBy("pick").agg(F.count("*").alias("k"))
     # Rare members first; the hash breaks ties, so that a pick of equally rare members does not ask by all of them.

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from reachgrid.functions import values
 from reachgrid.functions.values import whole
-from reachgrid.operators import feeds, lines, spatial
+from reachgrid.operators import calls, feeds, lines, spatial
 from reachgrid.plans.registry import query
 from reachgrid.plans.spatial import matches, polygons
 from reachgrid.plans.views import SQL_VIEWS
@@ -276,6 +276,22 @@ def shift_distribution(d):
                       F.col("fails").cast("int").alias("fails"))
 
 
+@query("c09_e06_e08_stored_calls", f"""
+WITH {_SHIFTS}, p AS (SELECT feed, trip_id, count(*) AS k, avg(shift) AS m, arg_min(arr, seq) AS first FROM x GROUP BY ALL HAVING count(*) >= 2),
+s AS (SELECT feed, trip_id, max(CASE WHEN down THEN 1 ELSE 0 END) AS bad FROM (SELECT feed, trip_id, arr < lag(arr) OVER (PARTITION BY trip_id ORDER BY seq) AS down FROM v_realized) GROUP BY ALL)
+SELECT s.feed, sum(s.bad)::BIGINT AS bad, count(*) AS trips, count(p.trip_id) AS common, sum(p.k)::BIGINT AS calls, round(avg(p.m), 6) AS mean, min(p.first)::BIGINT AS first
+FROM s LEFT JOIN p USING (feed, trip_id) GROUP BY s.feed""")
+def stored_calls(d):
+    """Time order and shifts per feed, both read from one stored table of static and realized calls."""
+    keys = ["feed", "trip_id"]
+    pair = calls.store_pair(feed_times(d), realized(d), keys)
+    bad = calls.decreasing(pair.where("real"), keys)
+    common = calls.trip_shifts(calls.shifts(pair, keys), keys)
+    return bad.join(common, keys, "left").groupBy("feed").agg(
+        F.sum(F.col("bad").cast("long")).alias("bad"), F.count("*").alias("trips"), F.count("stops").alias("common"), F.sum("stops").alias("calls"),
+        F.round(F.avg("mean"), 6).alias("mean"), F.min("first").alias("first"))
+
+
 @query("e08_trip_shifts", f"""
 WITH {_SHIFTS},
 p AS (SELECT feed, trip_id, avg(shift) AS m, arg_min(arr, seq) AS first FROM (SELECT feed, trip_id % 500 AS trip_id, seq, avg(shift) AS shift, min(arr) AS arr FROM x GROUP BY ALL) GROUP BY ALL HAVING count(*) >= 2),
@@ -395,16 +411,19 @@ SQL_VIEWS["v_line_metrics"] = """
     LEFT JOIN (SELECT route_id, count(*) FILTER (f >= 25200 AND f < 32400) / 2.0 AS per_hour FROM v_trips LEFT JOIN (SELECT trip_id, arg_min(dep, seq) AS f FROM v_line_times GROUP BY trip_id) USING (trip_id) GROUP BY route_id) p USING (route_id)"""
 
 
-def line_metrics(d, times=None):
-    times, trips, stops = times or line_times(d), line_trips(d), line_stops(d)
-    return (lines.line_length_km(times, trips, stops).join(lines.vehicle_km(times, trips, stops), "route_id", "right")
-            .fillna(0, subset=["length_km"]).join(lines.peak_departures(times, trips), "route_id"))
+def line_calls(d):
+    """Stop times with places, stored by trip: the one shuffle of single calls behind all line metrics."""
+    return calls.store(line_times(d), stops=line_stops(d))
+
+
+def line_metrics(d, stored):
+    return calls.line_metrics(calls.trip_facts(stored), line_trips(d), lines.PEAK).fillna(0, subset=["length_km"])
 
 
 @query("e11_e12_e13_line_metrics", """
 SELECT route_id, round(length_km, 4) AS length_km, round(vehicle_km, 3) AS vehicle_km, per_hour::DOUBLE AS per_hour FROM v_line_metrics""")
 def line_metrics_query(d):
-    return line_metrics(d).select("route_id", F.round("length_km", 4).alias("length_km"), F.round("vehicle_km", 3).alias("vehicle_km"), "per_hour")
+    return line_metrics(d, line_calls(d)).select("route_id", F.round("length_km", 4).alias("length_km"), F.round("vehicle_km", 3).alias("vehicle_km"), "per_hour")
 
 
 SQL_VIEWS["v_segs"] = f"""
@@ -417,7 +436,7 @@ SQL_VIEWS["v_centre"] = "SELECT sum(pop * lon) / sum(pop) AS clon, sum(pop * lat
 
 @query("e14_h02_segments", "SELECT trip_id, seq::BIGINT AS seq, round(metres, 3) AS metres, seconds::BIGINT AS seconds FROM v_segs")
 def segments(d):
-    return lines.segments(line_times(d), line_stops(d)).select("trip_id", "seq", F.round("metres", 3).alias("metres"), "seconds")
+    return calls.segments(line_calls(d), peak=lines.PEAK).select("trip_id", "seq", F.round("metres", 3).alias("metres"), "seconds")
 
 
 @query("g25_weighted_centroid", "SELECT round(clon, 8) AS lon, round(clat, 8) AS lat FROM v_centre")
@@ -435,16 +454,16 @@ SQL_VIEWS["v_profile"] = f"""
       FROM v_segs JOIN v_trips USING (trip_id) CROSS JOIN v_centre) USING (route_id) GROUP BY r.route_id"""
 
 
-def speed_profile_df(d, times=None):
+def speed_profile_df(d, stored):
     centre = lines.weighted_centroid(d.people, "pop")
-    return lines.speed_profile(lines.segments(times or line_times(d), line_stops(d)), line_trips(d),
+    return lines.speed_profile(calls.segments(stored, peak=lines.PEAK), line_trips(d),
                                (centre.select("lon").scalar(), centre.select("lat").scalar()))
 
 
 @query("e15_speed_profile", "SELECT route_id, " + ", ".join(
     f"round({c}, 4) AS {c}" for c in ("inner_kmh", "outer_kmh", "inner_spacing_m", "outer_spacing_m")) + " FROM v_profile")
 def speed_profile(d):
-    out = speed_profile_df(d)
+    out = speed_profile_df(d, line_calls(d))
     return out.select("route_id", *[F.round(c, 4).alias(c) for c in out.columns[1:]])
 
 
@@ -491,8 +510,8 @@ SQL_VIEWS["v_ranked"] = """
                   FROM (SELECT length_km, row_number() OVER (ORDER BY length_km) - 1 AS i, 3 * (count(*) OVER () + 1) / 4.0 - 1 AS pos FROM v_line_metrics) GROUP BY pos))"""
 
 
-def ranked_lines(d, times):
-    rows = (line_metrics(d, times).join(line_population(d, times), "route_id").join(speed_profile_df(d, times), "route_id")
+def ranked_lines(d, stored):
+    rows = (line_metrics(d, stored).join(line_population(d, stored), "route_id").join(speed_profile_df(d, stored), "route_id")
             .withColumn("slowdown", F.col("outer_kmh") - F.col("inner_kmh")))
     return lines.rank_lines(rows.select("route_id", "length_km", "vehicle_km", "pop", "slowdown"))
 
@@ -501,7 +520,7 @@ def ranked_lines(d, times):
 SELECT route_id, meets_length::BIGINT AS meets_length, round(p75, 4) AS p75, rank_pop, rank_vehicle_km, rank_slowdown, score::DOUBLE AS score FROM v_ranked""")
 def rank_lines(d):
     long = lambda c: F.col(c).cast("bigint").alias(c)
-    return ranked_lines(d, line_times(d)).select("route_id", long("meets_length"), F.round("p75", 4).alias("p75"), long("rank_pop"),
+    return ranked_lines(d, line_calls(d)).select("route_id", long("meets_length"), F.round("p75", 4).alias("p75"), long("rank_pop"),
                                   long("rank_vehicle_km"), long("rank_slowdown"), "score")
 
 
@@ -509,9 +528,9 @@ def rank_lines(d):
 WITH p AS (SELECT route_id AS pick FROM v_ranked WHERE meets_length = 1), m AS (SELECT pick, stop_id, count(*) OVER (PARTITION BY pick) AS k FROM p JOIN v_served ON route_id = pick)
 SELECT pick, s.route_id, round(count(*) / any_value(k), 6) AS share FROM m JOIN v_served s ON s.stop_id = m.stop_id AND s.route_id <> pick GROUP BY ALL HAVING count(*) / any_value(k) >= 0.6""")
 def corridor(d):
-    times = line_times(d)
-    picks = ranked_lines(d, times).where("meets_length = 1")
-    out = lines.corridor(picks, served(d, times))
+    stored = line_calls(d)
+    picks = ranked_lines(d, stored).where("meets_length = 1")
+    out = lines.corridor(picks, served(d, stored))
     return out.withColumn("share", F.round("share", 6))
 
 
