@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from reachgrid.functions import geo
@@ -10,6 +12,8 @@ from reachgrid.plans.impact import _r
 from reachgrid.plans.registry import query
 from reachgrid.plans.spatial import hex_sql
 from reachgrid.plans.views import CATEGORIES, PRIORITIES, SQL_VIEWS
+from reachgrid.session import checkpoint_folder
+from reachgrid.sources import archives
 
 # A census sheet per order status: two header rows, then region and tract rows in key order.
 _STATUSES = ("F", "O", "P")
@@ -52,6 +56,20 @@ def sheet_header(d):
     return census.find_header(sheet_rows(d), "ogółem")
 
 
+#: Rows of one written workbook; a sheet of more is several workbooks of one sheet name.
+BOOK_ROWS = 200_000
+
+
+@query("a08_g26_workbook_tracts", """SELECT sheet, key, population, rows FROM v_tracts""")
+def workbook_tracts(d):
+    """The sheets written to workbook files and read back: header and tracts as from ready-made rows."""
+    folder = f"{checkpoint_folder(d.spark)}/books-{uuid.uuid4().hex}"
+    part = F.floor(F.col("row_no") / BOOK_ROWS)
+    archives.write_workbooks(sheet_rows(d).repartition("sheet", part).sortWithinPartitions("sheet", "row_no"), folder)
+    rows = archives.read_workbooks(d.spark, folder, "*").drop("workbook")
+    return census.tract_population(census.sheet_records(rows, census.find_header(rows, "ogółem")))
+
+
 @query("g26_h04_tract_population", """SELECT sheet, key, population, rows FROM v_tracts""")
 def tract_population(d):
     return tracts(d)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from reachgrid.functions import values
@@ -9,7 +11,8 @@ from reachgrid.functions.scale import running_totals
 from reachgrid.operators import access
 from reachgrid.plans.registry import query
 from reachgrid.plans.views import CATEGORIES, SERVICES, SQL_VIEWS
-from reachgrid.sources import catalogue, feeds, tables
+from reachgrid.session import checkpoint_folder
+from reachgrid.sources import archives, catalogue, feeds, tables
 
 
 def _text(c):
@@ -110,6 +113,20 @@ def feed_table(d):
     return feeds.feed_table(rows, "trips.txt", ["trip_id", "service_id", "route_id", "shape_id"]).drop("row_no")
 
 
+@query("a01_archive_scan", """
+SELECT o_orderkey::VARCHAR AS trip_id, 'L ' || o_custkey % 40 || ', "' || o_orderpriority || '"' AS name, CASE WHEN o_orderkey % 7 > 0 THEN o_orderstatus ELSE '' END AS service_id,
+       NULL::VARCHAR AS shape_id FROM orders""")
+def archive_scan(d):
+    """Trips written to archives, one for each partition, and read back from them as one table."""
+    k = F.col("o_orderkey")
+    trips = d.table("orders").select(_text(k).alias(" Trip_ID "), F.concat(F.lit(" L "), _text(F.col("o_custkey") % 40), F.lit(', "'), "o_orderpriority", F.lit('"')).alias("name"),
+                                     F.when(k % 7 > 0, F.concat("o_orderstatus", F.lit("  "))).otherwise("").alias("service_id"))
+    folder = f"{checkpoint_folder(d.spark)}/feeds-{uuid.uuid4().hex}"
+    archives.write_feeds(trips, folder, "trips.txt")
+    rows = feeds.read_table(d.spark, folder, "trips.txt", ["trip_id", "name", "service_id", "shape_id"])
+    return rows.select("trip_id", "name", "service_id", "shape_id")
+
+
 @query("b01_b02_b04_checked_access", """
 SELECT o.id, p.percentile, c.cutoff, count(m.to_id) AS accessibility FROM v_origins o CROSS JOIN (VALUES (50), (85)) p(percentile) CROSS JOIN (VALUES (30), (60)) c(cutoff)
 LEFT JOIN (SELECT from_id, to_id, percentile, tt FROM v_matrix_long JOIN v_dests ON id = to_id WHERE category = 'mall' AND tt <= 60) m ON m.from_id = o.id AND m.percentile = p.percentile AND m.tt < c.cutoff GROUP BY ALL""")

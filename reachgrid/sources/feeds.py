@@ -2,61 +2,25 @@
 
 from __future__ import annotations
 
-import csv
-import io
-import zipfile
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROW_SCHEMA = "feed string, file string, row_no bigint, fields map<string,string>"
-BATCH_ROWS = 20_000
-
-
-def _unpack(batches: Iterator) -> Iterator:
-    """Rows of every CSV in every archive, in bounded batches; an unreadable zip gives one marker row."""
-    import pandas as pd
-
-    def frame(rows):
-        return pd.DataFrame(rows, columns=["feed", "file", "row_no", "fields"])
-
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"]):
-            feed = path.rsplit("/", 1)[-1].removesuffix(".zip")
-            try:
-                archive = zipfile.ZipFile(io.BytesIO(content))
-            except zipfile.BadZipFile:
-                yield frame([(feed, "", -1, {})])
-                continue
-            for member in archive.namelist():
-                file = member.rsplit("/", 1)[-1].lower()
-                yield frame([(feed, file, 0, {})])  # the file exists, even when empty
-                if not file.endswith(".txt"):
-                    continue
-                rows = []
-                with archive.open(member) as raw:
-                    reader = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", errors="replace", newline=""))
-                    header = [h.strip().lower() for h in next(reader, [])]
-                    for number, cells in enumerate(reader, start=1):
-                        if any(c.strip() for c in cells):
-                            rows.append((feed, file, number, dict(zip(header, cells))))
-                        if len(rows) >= BATCH_ROWS:
-                            yield frame(rows)
-                            rows = []
-                if rows:
-                    yield frame(rows)
-
+from reachgrid.sources.archives import read_feeds
 
 def read_archives(spark: SparkSession, folder: str) -> DataFrame:
     """(feed, file, row_no, fields) of every zip in ``folder``.
 
-    row_no 0 marks a present file, -1 an unreadable archive. Decode once and
-    :func:`store` the result; later scans then prune to the file they need.
+    row_no 0 marks a present file, -1 an unreadable archive. Decode once and :func:`store` the result where many
+    tables are needed; for one table :func:`read_table` touches nothing else.
     """
-    zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").load(folder)
-    zips = zips.select("path", "content").repartition("path")
-    return zips.mapInPandas(_unpack, ROW_SCHEMA)
+    return read_feeds(spark, folder)
+
+
+def read_table(spark: SparkSession, folder: str, file: str, columns: Sequence[str]) -> DataFrame:
+    """(feed, row_no, columns) of one table straight from the archives: as :func:`feed_table`, the other members stay packed."""
+    return read_feeds(spark, folder, file, columns)
 
 
 def store(rows: DataFrame, folder: str) -> None:
