@@ -20,6 +20,15 @@ from reachgrid.session import checkpoint
 STRETCHES = 370
 
 
+#: Cuts of a stretch where values may lie closer still; a power of two.
+CUTS = 1 << 16
+
+
+def _bytes(order: Column, first: int, n: int) -> Column:
+    """Bytes of a text as a whole number, absent ones as 0."""
+    return F.conv(F.rpad(F.hex(F.substring(order.cast("binary"), first, n)), 2 * n, "0"), 16, 10).cast("bigint")
+
+
 def stretch(order: Column, kind: T.DataType) -> Column:
     """A whole number that never falls along ``order``: rows are cut by it, whatever their number."""
     if isinstance(kind, T.NumericType):
@@ -28,13 +37,33 @@ def stretch(order: Column, kind: T.DataType) -> Column:
         return F.when(F.isnan(x), F.lit(float(1 << 40))).otherwise(cut).cast("bigint")
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.date_diff(order.cast("date"), F.lit("1970-01-01").cast("date")).cast("bigint")
-    if isinstance(kind, T.StringType):
-        return F.conv(F.rpad(F.hex(F.substring(order.cast("binary"), 1, 4)), 8, "0"), 16, 10).cast("bigint")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return _bytes(order, 1, 4)
+    return F.lit(0).cast("bigint")
+
+
+def fine_cut(order: Column, kind: T.DataType) -> Column:
+    """A whole number within ``CUTS`` of 0 that never falls along ``order`` among the rows of one stretch.
+
+    Numbers are cut evenly between the borders of their stretch, moments by the second (65 536th of a day), texts by
+    their fifth and sixth byte; other types have no finer cut.
+    """
+    if isinstance(kind, T.NumericType):
+        x = order.cast("double")
+        at = F.log1p(F.abs(x)) * STRETCHES
+        share = (at - F.floor(at)) * CUTS
+        cut = F.when(x < 0, -F.ceil(share)).otherwise(F.floor(share))
+        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), F.lit(0)).otherwise(cut).cast("bigint")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        second = (F.hour(order) * 3600 + F.minute(order) * 60 + F.second(order)).cast("bigint")
+        return F.floor(second * CUTS / 86_400).cast("bigint")
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return _bytes(order, 5, 2)
     return F.lit(0).cast("bigint")
 
 
 def running_totals(df: DataFrame, groups: Sequence[str], order: str,
-                   sums: Mapping[str, Column], *, small_domain: bool = False) -> DataFrame:
+                   sums: Mapping[str, Column], *, small_domain: bool = False, near: bool | None = None) -> DataFrame:
     """Inclusive running sums of ``sums`` along ``order`` within ``groups``.
 
     Rows must be unique per (groups, order) — aggregate equal values first. Every name
@@ -42,35 +71,52 @@ def running_totals(df: DataFrame, groups: Sequence[str], order: str,
     ``small_domain`` marks an order column with a fixed small set of values (minutes,
     seconds of a day, counts); then a group is already bounded and one window suffices.
     Otherwise groups are cut into stretches of near values: a window inside each stretch,
-    and the totals of the group's earlier stretches in front. The cut depends on a row's
-    value alone, so tables of every size go the same way and give the same sums.
+    and the totals of the group's earlier stretches in front. ``near`` cuts each stretch
+    again into up to ``CUTS`` pieces, for values that lie close together: keys, moments,
+    amounts, texts. It is the default for every type but floating point, whose values
+    differ by more as a rule. Cuts depend on a row's value alone, so tables of every size
+    go the same way, give the same sums, and no job runs while the plan is made.
     """
     groups = list(groups)
     df = df.where(F.col(order).isNotNull())
+    kind = df.schema[order].dataType
     if small_domain:
         run = Window.partitionBy(*groups).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         whole = Window.partitionBy(*groups)
         return df.select("*", *[F.sum(c).over(run).alias(k) for k, c in sums.items()],
                          *[F.sum(c).over(whole).alias(f"{k}_all") for k, c in sums.items()])
-    cut = df.select("*", stretch(F.col(order), df.schema[order].dataType).alias("_stretch"),
+    near = not isinstance(kind, T.FractionalType) or isinstance(kind, T.DecimalType) if near is None else near
+    at = ["_stretch", "_cut"] if near else ["_stretch"]
+    cut = df.select("*", stretch(F.col(order), kind).alias("_stretch"), *([fine_cut(F.col(order), kind).alias("_cut")] if near else []),
                     *[c.alias(f"_v_{k}") for k, c in sums.items()])
-    totals = cut.groupBy(*groups, "_stretch").agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
-    before = Window.partitionBy(*groups).orderBy("_stretch").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*groups)
-    offsets = totals.select(
-        *groups, "_stretch",
-        *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in sums],
-        *[F.sum(f"_t_{k}").over(whole).alias(f"{k}_all") for k in sums])
-    inside = Window.partitionBy(*groups, "_stretch").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    totals = cut.groupBy(*groups, *at).agg(*[F.sum(f"_v_{k}").alias(f"_t_{k}") for k in sums])
+    offsets = _offsets(totals, groups, at, list(sums))
+    inside = Window.partitionBy(*groups, *at).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
     local = cut.select("*", *[F.sum(f"_v_{k}").over(inside).alias(k) for k in sums])
     same = [local[c].eqNullSafe(offsets[c]) for c in groups]
-    joined = local.join(offsets, [local["_stretch"] == offsets["_stretch"], *same])
+    joined = local.join(offsets, [*[local[c] == offsets[c] for c in at], *same])
     return joined.select(
         *[local[c] for c in df.columns],
         *[(local[k] + offsets[f"_o_{k}"]).alias(k) for k in sums],
         *[offsets[f"{k}_all"] for k in sums])
 
 
+def _offsets(totals: DataFrame, groups: list[str], at: list[str], names: list[str]) -> DataFrame:
+    """Sums in front of each piece (``_o_<name>``) and of the group; windows see the stretches of a group or the cuts of a stretch."""
+    outer, last = [*groups, *at[:-1]], at[-1]
+    before = Window.partitionBy(*outer).orderBy(last).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*outer)
+    here = totals.select(*groups, *at, *[F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_o_{k}") for k in names],
+                         *[F.sum(f"_t_{k}").over(whole).alias(f"{k}_all") for k in names])
+    if len(at) == 1:
+        return here
+    coarse = _offsets(totals.groupBy(*outer).agg(*[F.sum(f"_t_{k}").alias(f"_t_{k}") for k in names]), groups, at[:-1], names)
+    same = [here[c].eqNullSafe(coarse[c]) for c in groups]
+    joined = here.join(coarse, [*[here[c] == coarse[c] for c in at[:-1]], *same])
+    return joined.select(*[here[c] for c in [*groups, *at]], *[(here[f"_o_{k}"] + coarse[f"_o_{k}"]).alias(f"_o_{k}") for k in names],
+                         *[coarse[f"{k}_all"] for k in names])
+
+
 Position = Callable[[Column], Column]
 
 
@@ -101,14 +147,14 @@ def quartile_exclusive(i: int) -> Position:
 
 def group_quantiles(df: DataFrame, groups: Sequence[str], value: str,
                     picks: Mapping[str, Position], *, count: str = "n",
-                    small_domain: bool = False, more: Sequence[Column] = ()) -> DataFrame:
+                    small_domain: bool = False, near: bool | None = None, more: Sequence[Column] = ()) -> DataFrame:
     """Exact order statistics per group; a fractional position interpolates linearly.
 
     ``more`` are further aggregates over the same pass, in terms of the value and of ``_k``, how often it occurs.
     """
     groups = list(groups)
     held = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_k"))
-    run = running_totals(held, groups, value, {"_cum": F.col("_k")}, small_domain=small_domain)
+    run = running_totals(held, groups, value, {"_cum": F.col("_k")}, small_domain=small_domain, near=near)
     n = F.col("_cum_all")
     v = F.col(value)
     aggs = [F.max(n).alias(count)]
@@ -128,12 +174,12 @@ def group_quantiles(df: DataFrame, groups: Sequence[str], value: str,
 
 def weighted_quantiles(df: DataFrame, groups: Sequence[str], value: str, weight: str,
                        picks: Mapping[str, float], *, slack: float = 0.0, total: str = "weight",
-                       small_domain: bool = False) -> DataFrame:
+                       small_domain: bool = False, near: bool | None = None) -> DataFrame:
     """Smallest value whose running weight reaches ``q * total - slack`` (no interpolation)."""
     groups = list(groups)
     held = (df.where(F.col(value).isNotNull() & F.col(weight).isNotNull())
             .groupBy(*groups, value).agg(F.sum(weight).alias("_w")))
-    run = running_totals(held, groups, value, {"_cum": F.col("_w")}, small_domain=small_domain)
+    run = running_totals(held, groups, value, {"_cum": F.col("_w")}, small_domain=small_domain, near=near)
     all_w = F.col("_cum_all")
     return run.groupBy(*groups).agg(
         F.max(all_w).alias(total),
