@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from reachgrid.llm import sketch
 from reachgrid.llm.components import components
-from reachgrid.llm.words import NO_ID, Words, blocks, id_and_text, mixed, pack, pack_plain, runs, shuffle_partitions, text_ids, unpack, unpack_plain, words_of
+from reachgrid.llm.words import Words, blocks, mixed, pack, pack_plain, runs, shuffle_partitions, text_ids, unpack, unpack_plain, words_of
 from reachgrid.session import checkpoint_folder
 
 WORDS = 4
@@ -34,8 +34,6 @@ CELL_BITS = 27
 LEVELS = (2, 8, 64)
 #: Shingles of the sets that one task joins; a larger block is dealt over pairs of parts of half that size.
 BLOCK_SHINGLES = 6_000_000
-#: First id given to rows without one.
-NAMELESS = 1 << 62
 #: Prefix entries that a task holds.
 HELD = 2_000_000
 
@@ -327,26 +325,25 @@ def join_block(sets: list[np.ndarray], percent: int) -> list[int]:
 
 def _joined(percent: int):
     def join(key: tuple, parts: pa.Table) -> pa.Table:
-        rep = parts.column("rep").to_numpy()
-        top = join_block([unpack(x.as_py(), "u8") for x in parts.column("data")], percent)
-        v = rep[np.array(top, np.int64)]
-        keep = v != rep
-        return pa.table({"u": pa.array(rep[keep], pa.int64()), "v": pa.array(v[keep], pa.int64())})
+        top = np.array(join_block([unpack(x.as_py(), "u8") for x in parts.column("data")], percent), np.int64)
+        rows = np.flatnonzero(top != np.arange(len(top)))
+        return pa.table({"u": parts.column("rep").take(pa.array(rows)), "v": parts.column("rep").take(pa.array(top[rows])),
+                         "u_nameless": parts.column("nameless").take(pa.array(rows)), "v_nameless": parts.column("nameless").take(pa.array(top[rows]))})
     return join
 
 
 def near_groups(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, cell_bits: int = CELL_BITS) -> DataFrame:
-    """doc_id, n_shingles, component_id and _key of every row.
+    """doc_id, n_shingles, component_id, _key and _first of every row.
 
     A set is the distinct ``k``-word shingles of the text, A-Z lower-cased; a text of fewer words is one
     shingle; a NULL or empty text has an empty set and is alone. ``component_id`` is the least doc_id
     that links reach. Rows that repeat a doc_id are one document, linked by any of its texts; a row with a
-    NULL doc_id is a document of its own text and comes back NULL. Other columns are ignored.
+    NULL doc_id is a document of its own text and comes back NULL, as does the component of such rows alone. ``_first``
+    marks rows of the document that a component is named after. Other columns are ignored; every long is a doc_id.
     """
     spark = docs.sparkSession
-    plain = id_and_text(docs)
-    # A row without id gets one of its own, behind all real ones.
-    source = plain.withColumn("doc_id", F.when(F.col("doc_id") < int(NO_ID), F.col("doc_id")).otherwise(NAMELESS + F.pmod("_key", F.lit(NAMELESS // 2))))
+    text = F.coalesce(F.col("text"), F.lit(""))
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("_key"))
     buckets = 2 * shuffle_partitions(spark)
     seen = sketch.merged(source.select("text"), _sketched(k), bits=cell_bits, rows=1, thresholds=LEVELS)
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
@@ -354,8 +351,10 @@ def near_groups(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, cell
     seen.destroy()  # what needed it is written
     schema = spark.createDataFrame([], OUT_NAMES).schema
     rows = spark.read.schema(schema).parquet(path)
-    nodes = rows.where("kind = 'doc'").select("doc_id", "_key", "a", "b", "n")
-    reps = nodes.where("n > 0").groupBy("a", "b").agg(F.min("doc_id").alias("rep"))
+    # A document without id goes by its text's hash; the flag keeps it apart from ids and puts it behind them.
+    node = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", "_key").alias("id"))
+    nodes = rows.where("kind = 'doc'").select("doc_id", "_key", "a", "b", "n", node.alias("node"))
+    reps = nodes.where("n > 0").groupBy("a", "b").agg(F.min("node").alias("rep"))
     near = rows.where("kind = 'edge'").select(F.col("b").alias("u"), F.col("a").alias("v"))
     far = rows.where("kind = 'run'").select(F.col("a").alias("bucket"), "data").groupBy("bucket").applyInArrow(_sharing(percent), "u long, v long")
     block = components(near.unionByName(far)).withColumnRenamed("node", "a").withColumnRenamed("component", "block")
@@ -365,14 +364,18 @@ def near_groups(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, cell
     dealt = sets.join(sizes.drop("members"), "block").withColumn("parts", F.when(F.col("parts") > 2, F.col("parts")).otherwise(1))
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "data")
-    links = dealt.groupBy("block", "i", "j").applyInArrow(_joined(percent), "u long, v long")
-    found = components(links).withColumnRenamed("node", "rep").withColumnRenamed("component", "component_id")
-    linked = reps.join(found, "rep", "left").select("a", "b", F.coalesce("component_id", "rep").alias("component_id"))
-    out = nodes.join(linked, ["a", "b"], "left")
-    component = F.coalesce("component_id", "doc_id")
-    return out.select(*[F.when(c < NAMELESS, c).alias(name) for name, c in (("doc_id", F.col("doc_id")), ("component_id", component))],
-                      F.col("n").alias("n_shingles"), "_key")
+    dealt = dealt.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep.id", "rep.nameless", "data")
+    links = dealt.withColumnRenamed("id", "rep").groupBy("block", "i", "j").applyInArrow(_joined(percent), "u long, v long, u_nameless boolean, v_nameless boolean")
+    links = links.select(*[F.struct(F.col(f"{x}_nameless").alias("nameless"), F.col(x).alias("id")).alias(x) for x in "uv"])
+    # Texts of one id are one document: where an id has several sets, the document is tied to each.
+    several = nodes.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("a", "b")).alias("x"), F.max(F.struct("a", "b")).alias("y")).where("x <> y")
+    ties = nodes.where("n > 0").join(several.select("doc_id"), "doc_id").join(reps, ["a", "b"]).select(F.col("node").alias("u"), F.col("rep").alias("v"))
+    found = components(links.unionByName(ties))
+    linked = reps.join(found, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
+    full = nodes.where("n > 0").join(linked, ["a", "b"]).select("doc_id", "_key", "n", "node", "component")
+    empty = nodes.where("n = 0").join(found, "node", "left").select("doc_id", "_key", "n", "node", F.coalesce("component", "node").alias("component"))
+    return full.unionByName(empty).select("doc_id", F.when(~F.col("component.nameless"), F.col("component.id")).alias("component_id"),
+                                          F.col("n").alias("n_shingles"), "_key", (F.col("node") == F.col("component")).alias("_first"))
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
@@ -381,9 +384,10 @@ def one_of_each(docs: DataFrame, **options) -> DataFrame:
     Documents without words stay.
     """
     groups = near_groups(docs, **options)
-    first = Window.partitionBy("doc_id").orderBy("_key")
-    stay = groups.where(F.coalesce(F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(True)) | (F.col("n_shingles") == 0))
-    stay = stay.withColumn("_at", F.row_number().over(first)).where("_at = 1 or n_shingles = 0").select(F.col("doc_id").alias("_llm_stay_id"), F.col("_key").alias("_llm_stay_key")).distinct()
+    # An id's first text stays; rows without id are documents by their text.
+    one = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("_key"))).orderBy("_key")
+    stay = groups.where(F.col("_first") | (F.col("n_shingles") == 0)).withColumn("_at", F.row_number().over(one)).where("_at = 1 or n_shingles = 0")
+    stay = stay.select(F.col("doc_id").alias("_llm_stay_id"), F.col("_key").alias("_llm_stay_key")).distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.withColumn("_llm_key", F.xxhash64(text))
     out = keyed.join(stay, F.col("doc_id").cast("long").eqNullSafe(F.col("_llm_stay_id")) & (F.col("_llm_key") == F.col("_llm_stay_key")), "left_semi")

@@ -67,6 +67,22 @@ def test_jaccard_on_edges(spark, table, edges):
     assert jaccard.near_groups(table([]), cell_bits=16).count() == 0 and jaccard.one_of_each(table([]), cell_bits=16).count() == 0
 
 
+def test_jaccard_of_ids_at_the_borders_and_repeated_ids(spark, table, near):
+    """Ids near 2^62 and 2^63, negative ones, documents tied together by an id with two texts, rows without id that are alike."""
+    a, b, c, d = ((near[i][1] + " ") * 2 for i in (0, 20, 40, 60))
+    top, nameless = (1 << 63) - 1, " ".join(f"q{i}" for i in range(60))
+    rows = [(3, a, "s"), (10, a, "s"), (10, b, "s"), (11, b, "s"), (1 << 62, c, "s"), ((1 << 62) + 5, c, "s"), ((1 << 62) + 6, "one text that nobody else has", "s"),
+            (top, d, "s"), (-5, d + "more", "s"), (-(1 << 63), "the least of all ids stands alone", "s"), (None, nameless, "s"), (None, nameless + " x", "s"),
+            (None, "some other words here", "s"), (None, a, "s"), (77, None, "s"), (77, c, "s"), (top - 1, None, "s"), (11, "", "s")]
+    want = [(d if d < BIG else None, n, c if c < BIG else None) for d, n, c in groups(rows)]
+    got = [(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.near_groups(table(rows), cell_bits=16).collect()]
+    assert Counter(got) == Counter(want)
+    assert {c for d, _, c in want if d in (3, 10, 11)} == {3} and {c for d, _, c in want if d in (77, 1 << 62)} == {77}
+    kept = Counter((r.doc_id, r.text) for r in jaccard.one_of_each(table(rows), cell_bits=16).collect())
+    assert {d for d, _ in kept} == {None, 3, 77, -5, (1 << 62) + 6, -(1 << 63), top - 1, 11}
+    assert kept[None, "some other words here"] == 1 and kept[None, a] == 0 and sum(n for (d, t), n in kept.items() if d is None) == 2
+
+
 def test_jaccard_with_a_full_sketch_and_split_blocks(spark, monkeypatch, table, near):
     want = sorted((d, c) for d, _, c in groups(near))
     monkeypatch.setattr(jaccard, "BLOCK_SHINGLES", 400)
