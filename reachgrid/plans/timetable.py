@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from reachgrid.operators import scenario, timetable
+from reachgrid.operators import cases, scenario, timetable
 from reachgrid.plans.feeds import line_times, line_trips
 from reachgrid.plans.registry import query
 from reachgrid.plans.views import CASES, SQL_VIEWS
@@ -125,3 +125,20 @@ def case_sweep(d):
     timetable.run_cases(d.spark, CASES[:2], compute, folder, "case_id")
     timetable.run_cases(d.spark, CASES, compute, folder, "case_id")
     return d.spark.read.parquet(folder).select(F.col("case_id").cast("string").alias("case_id"), "opportunity", "cutoff", "reached", "cells")
+
+
+@query("k07_changed_inputs", f"""
+SELECT case_id, opportunity, cutoff, sum(acc + CASE WHEN case_id = '{CASES[1]}' THEN 1 ELSE 0 END)::BIGINT AS reached, CASE WHEN case_id = '{CASES[1]}' THEN 2 ELSE 1 END::BIGINT AS run FROM v_acc GROUP BY ALL""")
+def changed_inputs(d):
+    """A sweep, then the inputs of one case change: the second run computes that case only."""
+    store = cases.CaseStore(d.spark, f"{checkpoint_folder(d.spark)}/store-{uuid.uuid4().hex}", "case_id")
+
+    def sweep(inputs, run):
+        def compute(names):
+            rows = inputs.where(F.col("case_id").isin(names)).groupBy("case_id", "opportunity", "cutoff").agg(F.sum("acc").alias("reached"))
+            return rows.withColumn("run", F.lit(run).cast("bigint"))
+        return store.update(cases.prints(inputs, "case_id", CASES), compute, {"cutoffs": "all"})
+    before = d.acc.select("case_id", "id", "opportunity", "cutoff", "acc")
+    sweep(before, 1)
+    sweep(before.withColumn("acc", F.col("acc") + F.when(F.col("case_id") == CASES[1], 1).otherwise(0)), 2)
+    return store.read().select("case_id", "opportunity", "cutoff", F.col("reached").cast("bigint").alias("reached"), "run")

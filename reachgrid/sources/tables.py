@@ -142,16 +142,33 @@ def usable_observations(raw: DataFrame, routes: DataFrame, *, max_speed: float =
         minute.alias("minute"), F.substring("obs_local", 1, 10).alias("day"))
 
 
-# Fixed format of the run logs: "origins: N" once, then "[done/total] ... in SECONDS s" per step.
-TOTAL_STEPS, STEP_SECONDS = r"^\[[^/\]]*/(\d+)\]", r"^\[.* in ([\d.]+) s"
+def _step(value: Column) -> Column:
+    """struct(total, secs) of a line "[done/total] hour -> count features in seconds s", NULL for any other line.
+
+    The line is taken apart at its blanks and each word must be what its place asks for.
+    """
+    def whole(c: Column) -> Column:
+        return F.when(F.translate(c, "0123456789", "") == "", c).try_cast("int")
+    counter = F.split(F.substring_index(F.substring(value, 2, 1 << 20), "]", 1), "/")
+    words = F.split(F.ltrim(F.substring(value, F.instr(value, "]") + 1, F.length(value))), " ")
+    word = lambda i: F.coalesce(F.get(words, F.lit(i)), F.lit(""))
+    done, total = whole(F.ltrim(F.get(counter, F.lit(0)))), whole(F.get(counter, F.lit(1)))
+    hour = (F.length(word(0)) == 5) & word(0).endswith(":00") & whole(F.substring(word(0), 1, 2)).isNotNull()
+    secs = F.when(F.translate(word(5), "0123456789.", "") == "", word(5)).try_cast("double")
+    fits = (value.startswith("[") & (F.size(counter) == 2) & done.isNotNull() & total.isNotNull() & hour & (word(1) == "->") & whole(word(2)).isNotNull()
+            & (word(3) == "features") & (word(4) == "in") & secs.isNotNull() & word(6).startswith("s"))
+    return F.when(fits, F.struct(total.alias("total"), secs.alias("secs")))
+
+
+# Fixed value: the line that tells the number of origins.
 ORIGIN_COUNT = r"^origins:\s*(\d+)"
 
 
 def run_costs(lines: DataFrame) -> DataFrame:
     """Per log file: steps done, seconds, cost per origin and hour, estimated rest. lines: (file, value)."""
-    held = lambda p: F.nullif(F.regexp_extract("value", p, 1), F.lit(""))
-    parsed = lines.select("file", held(ORIGIN_COUNT).cast("bigint").alias("origins"), held(TOTAL_STEPS).cast("int").alias("steps"),
-                          held(STEP_SECONDS).cast("double").alias("secs"))
+    origins = F.nullif(F.regexp_extract("value", ORIGIN_COUNT, 1), F.lit(""))
+    parsed = lines.select("file", origins.cast("bigint").alias("origins"), _step(F.col("value")).alias("s")).select(
+        "file", "origins", F.col("s.total").alias("steps"), F.col("s.secs").alias("secs"))
     out = parsed.groupBy("file").agg(F.max("origins").alias("origins"), F.count("secs").alias("steps_done"),
                                      F.max("steps").alias("steps_total"), F.sum("secs").alias("elapsed_s"))
     out = out.where("origins is not null and steps_done > 0")
