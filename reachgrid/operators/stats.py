@@ -228,59 +228,75 @@ def morans_i(values: DataFrame, graph: DataFrame, k: int, by: Sequence[str] = ()
     return cross.join(square, keys).select(*keys, "n", (F.col("_cross") / k / F.col("_square")).alias("i"))
 
 
-def shuffle_positions(df: DataFrame, index: str, perm: str, n: int, name: str, seed: int = 42, rounds: int = 6) -> DataFrame:
+#: Permutations that travel together.
+PACK = 30
+#: Modulus and multipliers of the shuffle; all products stay below 2^63.
+PRIME, STEP, TURN, ROUND, SPREAD = 2_147_483_647, 7919, 104_729, 15_485_863, 48_271
+
+
+def _drawn(fixed: Column, perm: Column, salt: int) -> Column:
+    """A pseudo-random whole number from whole numbers by sums, products and remainders alone, so that any engine can repeat it."""
+    h = (fixed * STEP + perm * TURN + salt * ROUND) % PRIME
+    mixed = _let(h, lambda x: (x % 32_768 + 1) * (F.floor(x / 32_768) + 1) % PRIME)
+    return mixed * SPREAD % PRIME
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def shuffle_positions(df: DataFrame, index: str, perm: str, n: int | Column, name: str, seed: int = 42, rounds: int = 6) -> DataFrame:
     """Adds ``name``: the row's position in shuffle ``perm``, a bijection of 0..n-1 computed from the row alone.
 
-    The index is split into two digits that are shifted in turn by a hash of the other one. Digit
-    pairs beyond n are shuffled again until they fall inside (rare: fewer than √n of n pairs).
+    The index is split into two digits that are shifted in turn by a number drawn from the other one. Digit
+    pairs beyond n are shuffled again until they fall inside (rare: fewer than √n of n pairs). ``n`` may be
+    a scalar of the same plan.
     """
-    a = math.isqrt(n - 1) + 1
-    b = -(-n // a)
-    def shifted(r: int, left: Column, right: Column) -> tuple[Column, Column]:
-        fixed, moved, size = (right, left, a) if r % 2 == 0 else (left, right, b)
-        drawn = F.pmod(F.xxhash64(F.lit(seed), F.col(perm), F.lit(r), fixed), F.lit(size))
-        out = F.pmod(moved + drawn, F.lit(size)).cast("bigint")
-        return (out, right) if r % 2 == 0 else (left, out)
-    step = df.select("*", F.floor(F.col(index) / b).alias("_l"), (F.col(index) % b).cast("bigint").alias("_r"))
-    for r in range(rounds):  # one projection per round keeps each hash evaluated once
-        left, right = shifted(r, F.col("_l"), F.col("_r"))
-        step = step.withColumn("_l" if r % 2 == 0 else "_r", left if r % 2 == 0 else right)
+    sized = df.withColumn("_n", n.cast("bigint") if isinstance(n, Column) else F.lit(n).cast("bigint"))
+    sized = sized.withColumn("_a", F.ceil(F.sqrt("_n"))).withColumn("_b", F.ceil(F.col("_n") / F.col("_a")))
+    a, b, of = F.col("_a"), F.col("_b"), F.col(perm).cast("bigint")
+
     def once(x: Column) -> Column:
-        left, right = F.floor(x / b), (x % b).cast("bigint")
-        for r in range(rounds):
-            left, right = shifted(r, left, right)
-        return (left * b + right).cast("bigint")
-    x = F.col("_l") * b + F.col("_r")
-    again = F.aggregate(F.sequence(F.lit(1), F.lit(24)), x, lambda v, _: F.when(v < n, v).otherwise(once(v)))
-    settled = F.when(x < n, x).otherwise(again)
-    return step.withColumn(name, settled).withColumn(name, F.when(F.col(name) < n, F.col(name)).otherwise(
-        F.raise_error(F.lit("shuffle did not settle")).cast("bigint"))).drop("_l", "_r")
+        def turn(r: int, left: Column, right: Column) -> Column:
+            if r == rounds:
+                return left * b + right
+            if r % 2 == 0:
+                return _let((left + _drawn(right, of, 64 * seed + r)) % a, lambda v: turn(r + 1, v, right))
+            return _let((right + _drawn(left, of, 64 * seed + r)) % b, lambda v: turn(r + 1, left, v))
+        return _let(F.floor(x / b), lambda left: _let(x % b, lambda right: turn(0, left, right)))
+    first = sized.withColumn(name, once(F.col(index).cast("bigint")))
+    again = F.aggregate(F.sequence(F.lit(1), F.lit(24)), F.col(name), lambda v, _: F.when(v < F.col("_n"), v).otherwise(once(v)))
+    settled = first.withColumn(name, F.when(F.col(name) < F.col("_n"), F.col(name)).otherwise(again))
+    return settled.withColumn(name, F.when(F.col(name) < F.col("_n"), F.col(name)).otherwise(
+        F.raise_error(F.lit("shuffle did not settle")).cast("bigint"))).drop("_n", "_a", "_b")
 
 
 def moran_p_value(values: DataFrame, graph: DataFrame, k: int, permutations: int = 299, seed: int = 42) -> DataFrame:
     """One row (i, p): share of shuffled maps with |I| at least the observed one.
 
-    Each shuffle is a plain equi-join on the row index; nothing is sorted per permutation. A row's
-    shuffled values then travel as one array, so the graph is joined once for all permutations.
+    Each shuffle is a plain equi-join on the row index; nothing is sorted per permutation. Shuffled values of a
+    cell meet the graph's edges in packs of ``PACK`` permutations: a pack is a row, so that a cell's values are never
+    one growing array and packs are joined side by side.
     """
     mean = values.agg(F.avg("v")).scalar()
     indexed = row_index(values.select("id", (F.col("v") - mean).alias("z")), "id")
-    n = indexed.count()
+    n = indexed.agg(F.count("*")).scalar()
     perms = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")
     aimed = shuffle_positions(indexed.select("id", F.col("idx").alias("from"), perms), "from", "perm", n, "idx", seed)
-    drawn = aimed.select("perm", "id", "idx").join(indexed.select("idx", "z"), "idx").groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("perm", "z"))).alias("_d"))
-    arrays = checkpoint(drawn.join(indexed.select("id", "z"), "id").select(
-        "id", F.concat(F.array("z"), F.transform("_d", lambda s: s["z"])).alias("zs")))
-    near = graph.select("id", "other").join(arrays, "id").join(
-        arrays.select(F.col("id").alias("other"), F.col("zs").alias("zo")), "other")
-    products = near.select(F.posexplode(F.zip_with("zs", "zo", lambda a, b: a * b)).alias("perm", "cross"))
+    drawn = aimed.select("perm", "id", "idx").join(indexed.select("idx", "z"), "idx").select("perm", "id", "z")
+    every = drawn.unionByName(indexed.select(F.lit(0).alias("perm"), "id", "z"))
+    packs = checkpoint(every.groupBy("id", F.floor(F.col("perm") / PACK).alias("pack")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda s: s["z"]).alias("zs")))
+    near = graph.select("id", "other").join(packs, "id").join(
+        packs.select(F.col("id").alias("other"), "pack", F.col("zs").alias("zo")), ["other", "pack"])
+    sums = [F.sum(F.get("zs", F.lit(i)) * F.get("zo", F.lit(i))).alias(f"s{i}") for i in range(PACK)]
+    each = near.groupBy("pack").agg(*sums).select("pack", F.posexplode(F.array(*[f"s{i}" for i in range(PACK)])).alias("at", "cross"))
     square = indexed.agg(F.sum(F.col("z") * F.col("z"))).scalar()
-    each = products.groupBy("perm").agg((F.sum("cross") / k / square).alias("i"))
-    observed = F.max(F.when(F.col("perm") == 0, F.col("i")))
-    drawn_i = each.agg(observed.alias("i"), F.collect_list(F.when(F.col("perm") > 0, F.abs("i"))).alias("_all"))
-    at_least = F.size(F.filter("_all", lambda x: x >= F.abs("i")))
-    return drawn_i.select("i", ((at_least + 1) / (permutations + 1)).alias("p"))
+    each = each.where("cross is not null").select((F.col("pack") * PACK + F.col("at")).alias("perm"), (F.col("cross") / k / square).alias("i"))
+    seen = each.where("perm = 0").select("i").scalar()
+    at_least = F.count_if((F.col("perm") > 0) & (F.abs("i") >= F.abs(seen)))
+    return each.agg(F.max(F.when(F.col("perm") == 0, F.col("i"))).alias("i"), ((at_least + 1) / (permutations + 1)).alias("p"))
 
 
 # --- distance profiles ---------------------------------------------------------------------

@@ -56,6 +56,8 @@ def with_views(text: str) -> str:
     views = ",\n".join(f"{n} AS (\n{SQL_VIEWS[n].strip()}\n)" for n in needed)
     if not needed:
         return body
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return f"WITH RECURSIVE {views},\n{body[15:]}"
     if body[:5].upper() == "WITH ":
         return f"WITH {views},\n{body[5:]}"
     return f"WITH {views}\n{body}"

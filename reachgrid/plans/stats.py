@@ -215,9 +215,28 @@ def morans_i(d):
     return _r(stats.morans_i(values, neighbour_graph(d), _K), "i")
 
 
-@query("f32_moran_p_value")
+def _turns(x: str) -> str:
+    """The six turns of a shuffle as columns l6 and r6, from position ``x``; n, a and b are columns too."""
+    drawn = "((h{r} % 32768 + 1) * (h{r} // 32768 + 1) % {p} * {spread} % {p})".replace("{p}", str(stats.PRIME)).replace("{spread}", str(stats.SPREAD))
+    out = [f"{x} // b AS l0", f"{x} % b AS r0"]
+    for r in range(6):
+        fixed = f"r{r}" if r % 2 == 0 else f"l{r}"
+        out.append(f"({fixed} * {stats.STEP} + perm * {stats.TURN} + {(64 * 42 + r) * stats.ROUND}) % {stats.PRIME} AS h{r}")
+        out += [f"(l{r} + {drawn.format(r=r)}) % a AS l{r + 1}", f"r{r} AS r{r + 1}"] if r % 2 == 0 else [f"l{r} AS l{r + 1}", f"(r{r} + {drawn.format(r=r)}) % b AS r{r + 1}"]
+    return ", ".join(out)
+
+
+@query("f32_moran_p_value", f"""
+WITH RECURSIVE z AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS idx, acc - avg(acc) OVER () AS z FROM v_total30),
+d AS (SELECT n, a, ceil(n / a)::BIGINT AS b FROM (SELECT count(*) AS n, ceil(sqrt(count(*)))::BIGINT AS a FROM z)),
+w AS (SELECT id, perm, n, a, b, l6 * b + r6 AS x FROM (SELECT *, {_turns('idx')} FROM z CROSS JOIN d CROSS JOIN (SELECT unnest(range(1, 300)) AS perm))
+      UNION ALL SELECT id, perm, n, a, b, l6 * b + r6 FROM (SELECT *, {_turns('x')} FROM w WHERE x >= n)),
+p AS (SELECT w.id, perm, z.z FROM w JOIN z ON z.idx = w.x UNION ALL SELECT id, 0, z FROM z),
+e AS MATERIALIZED (SELECT g.other, x.perm, x.z FROM v_knn g JOIN p x ON x.id = g.id),
+i AS (SELECT e.perm, sum(e.z * y.z) / {_K} / (SELECT sum(z * z) FROM z) AS i FROM e JOIN p y ON y.perm = e.perm AND y.id = e.other GROUP BY e.perm)
+SELECT round((SELECT i FROM i WHERE perm = 0), 6) AS i, round((count(*) FILTER (perm > 0 AND abs(i) >= (SELECT abs(i) FROM i WHERE perm = 0)) + 1) / 300.0, 6)::DOUBLE AS p FROM i""")
 def moran_p_value(d):
-    """No SQL: the p-value depends on the permutations drawn."""
+    """Shuffles are whole-number arithmetic, so SQL draws the same ones."""
     values = total30(d).select("id", F.col("acc").cast("double").alias("v"))
     return _r(stats.moran_p_value(values, neighbour_graph(d), _K), "i", "p")
 
