@@ -314,16 +314,17 @@ def compare_summary(d):
 
 
 @query("c03_compare_accessibility", """
-WITH a AS (SELECT id::VARCHAR AS id, CASE WHEN acc > 0 THEN acc END AS v FROM v_acc WHERE case_id = 'base' AND cutoff = 30 AND opportunity = 'srv_mall'),
-b AS (SELECT id::VARCHAR AS id, acc AS v FROM v_acc WHERE case_id = 'loo_N' AND cutoff = 30 AND opportunity = 'srv_mall')
+WITH k AS (SELECT case_id, concat_ws(' ', opportunity, cutoff, id) AS id, acc FROM v_acc),
+a AS (SELECT id, CASE WHEN acc > 0 THEN acc END AS v FROM k WHERE case_id = 'base'), b AS (SELECT id, acc AS v FROM k WHERE case_id = 'loo_N')
 SELECT id, coalesce(a.v, 0)::DOUBLE AS value_a, b.v::DOUBLE AS value_b, (b.v - coalesce(a.v, 0))::DOUBLE AS diff,
        CASE WHEN coalesce(a.v, 0) <> 0 THEN round(100.0 * (b.v - a.v) / a.v, 6) END AS pct_change,
        CASE WHEN b.v = coalesce(a.v, 0) THEN 'same' WHEN b.v > coalesce(a.v, 0) THEN 'better' ELSE 'worse' END AS status
 FROM a JOIN b USING (id)""")
 def compare_accessibility(d):
-    mall = d.acc.where("cutoff = 30 and opportunity = 'srv_mall'")
-    a = mall.where("case_id = 'base'").select("id", F.when(F.col("acc") > 0, F.col("acc")).alias("value"))
-    b = mall.where("case_id = 'loo_N'").select("id", F.col("acc").alias("value"))
+    """Two cases side by side, every opportunity, cutoff and origin."""
+    rows = d.acc.withColumn("id", F.concat_ws(" ", "opportunity", "cutoff", "id"))
+    a = rows.where("case_id = 'base'").select("id", F.when(F.col("acc") > 0, F.col("acc")).alias("value"))
+    b = rows.where("case_id = 'loo_N'").select("id", F.col("acc").alias("value"))
     return _rounded(compare.compare_tables(a, b))
 
 

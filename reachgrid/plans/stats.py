@@ -296,16 +296,16 @@ def reach_bins(d):
 
 
 @query("f37_city_rollup", """
-WITH a AS (SELECT region AS city, opportunity, avg(delta) AS mean_delta, count(delta) AS comparable, count(*) FILTER (base = 0) AS zero_baseline FROM v_deltas JOIN v_people USING (id) WHERE case_id = 'loo_N' GROUP BY ALL),
-b AS (SELECT region AS city, 'net' AS opportunity, avg(net_delta) AS mean_delta, count(net_delta) AS comparable, count(*) FILTER (net_delta = 0) AS zero_baseline FROM v_net JOIN v_people USING (id) WHERE case_id = 'loo_N' GROUP BY region),
+WITH a AS (SELECT case_id, region AS city, opportunity, avg(delta) AS mean_delta, count(delta) AS comparable, count(*) FILTER (base = 0) AS zero_baseline FROM v_deltas JOIN v_people USING (id) GROUP BY ALL),
+b AS (SELECT case_id, region AS city, 'net' AS opportunity, avg(net_delta) AS mean_delta, count(net_delta) AS comparable, count(*) FILTER (net_delta = 0) AS zero_baseline FROM v_net JOIN v_people USING (id) GROUP BY case_id, region),
 s AS (SELECT region AS city, count(*) AS origins, sum(pop)::BIGINT AS pop FROM v_people GROUP BY region)
-SELECT city, opportunity, round(mean_delta, 6) AS mean_delta, comparable, zero_baseline, origins, pop FROM (SELECT * FROM a UNION ALL SELECT * FROM b) JOIN s USING (city)""")
+SELECT case_id, city, opportunity, round(mean_delta, 6) AS mean_delta, comparable, zero_baseline, origins, pop FROM (SELECT * FROM a UNION ALL SELECT * FROM b) JOIN s USING (city)""")
 def city_rollup(d):
-    """Per-city category rows and net rows in one table, joined with each city's run size."""
+    """Category rows and net rows per case and city in one table, joined with each city's run size."""
     people = d.people.select("id", "pop", F.col("region").alias("city"))
-    a = deltas(d).where("case_id = 'loo_N'").join(people, "id").groupBy("city", "opportunity").agg(
+    a = deltas(d).join(people, "id").groupBy("case_id", "city", "opportunity").agg(
         F.avg("delta").alias("mean_delta"), F.count("delta").alias("comparable"), F.count_if(F.col("base") == 0).alias("zero_baseline"))
-    b = net(d).where("case_id = 'loo_N'").join(people, "id").groupBy("city").agg(
+    b = net(d).join(people, "id").groupBy("case_id", "city").agg(
         F.lit("net").alias("opportunity"), F.avg("net_delta").alias("mean_delta"), F.count("net_delta").alias("comparable"),
         F.count_if(F.col("net_delta") == 0).alias("zero_baseline"))
     size = people.groupBy("city").agg(F.count("*").alias("origins"), F.sum("pop").alias("pop"))
