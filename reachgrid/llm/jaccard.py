@@ -34,6 +34,8 @@ CELL_BITS = 27
 LEVELS = (2, 8, 64)
 #: Shingles of the sets that one task joins; a larger block is dealt over pairs of parts of half that size.
 BLOCK_SHINGLES = 6_000_000
+#: Type of a node: holds every long and as many numbers again.
+NODE = "decimal(20,0)"
 #: Prefix entries that a task holds.
 HELD = 2_000_000
 
@@ -327,8 +329,7 @@ def _joined(percent: int):
     def join(key: tuple, parts: pa.Table) -> pa.Table:
         top = np.array(join_block([unpack(x.as_py(), "u8") for x in parts.column("data")], percent), np.int64)
         rows = np.flatnonzero(top != np.arange(len(top)))
-        return pa.table({"u": parts.column("rep").take(pa.array(rows)), "v": parts.column("rep").take(pa.array(top[rows])),
-                         "u_nameless": parts.column("nameless").take(pa.array(rows)), "v_nameless": parts.column("nameless").take(pa.array(top[rows]))})
+        return pa.table({"u": parts.column("rep").take(pa.array(rows)), "v": parts.column("rep").take(pa.array(top[rows]))})
     return join
 
 
@@ -351,8 +352,9 @@ def near_groups(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, cell
     seen.destroy()  # what needed it is written
     schema = spark.createDataFrame([], OUT_NAMES).schema
     rows = spark.read.schema(schema).parquet(path)
-    # A document without id goes by its text's hash; the flag keeps it apart from ids and puts it behind them.
-    node = F.struct(F.col("doc_id").isNull().alias("nameless"), F.coalesce("doc_id", "_key").alias("id"))
+    behind = F.lit(str(1 << 63)).cast(NODE)
+    # Nodes are numbers wider than a long: all longs are ids, and a document without id goes by its text's hash behind them.
+    node = F.coalesce(F.col("doc_id").cast(NODE), behind + F.pmod("_key", F.lit((1 << 63) - 1)).cast("decimal(19,0)")).cast(NODE)
     nodes = rows.where("kind = 'doc'").select("doc_id", "_key", "a", "b", "n", node.alias("node"))
     reps = nodes.where("n > 0").groupBy("a", "b").agg(F.min("node").alias("rep"))
     near = rows.where("kind = 'edge'").select(F.col("b").alias("u"), F.col("a").alias("v"))
@@ -364,9 +366,8 @@ def near_groups(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, cell
     dealt = sets.join(sizes.drop("members"), "block").withColumn("parts", F.when(F.col("parts") > 2, F.col("parts")).otherwise(1))
     part = F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
     dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    dealt = dealt.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep.id", "rep.nameless", "data")
-    links = dealt.withColumnRenamed("id", "rep").groupBy("block", "i", "j").applyInArrow(_joined(percent), "u long, v long, u_nameless boolean, v_nameless boolean")
-    links = links.select(*[F.struct(F.col(f"{x}_nameless").alias("nameless"), F.col(x).alias("id")).alias(x) for x in "uv"])
+    dealt = dealt.select("block", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "rep", "data")
+    links = dealt.groupBy("block", "i", "j").applyInArrow(_joined(percent), f"u {NODE}, v {NODE}")
     # Texts of one id are one document: where an id has several sets, the document is tied to each.
     several = nodes.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("a", "b")).alias("x"), F.max(F.struct("a", "b")).alias("y")).where("x <> y")
     ties = nodes.where("n > 0").join(several.select("doc_id"), "doc_id").join(reps, ["a", "b"]).select(F.col("node").alias("u"), F.col("rep").alias("v"))
@@ -374,7 +375,7 @@ def near_groups(docs: DataFrame, *, k: int = WORDS, percent: int = PERCENT, cell
     linked = reps.join(found, F.col("rep") == F.col("node"), "left").select("a", "b", F.coalesce("component", "rep").alias("component"))
     full = nodes.where("n > 0").join(linked, ["a", "b"]).select("doc_id", "_key", "n", "node", "component")
     empty = nodes.where("n = 0").join(found, "node", "left").select("doc_id", "_key", "n", "node", F.coalesce("component", "node").alias("component"))
-    return full.unionByName(empty).select("doc_id", F.when(~F.col("component.nameless"), F.col("component.id")).alias("component_id"),
+    return full.unionByName(empty).select("doc_id", F.when(F.col("component") < behind, F.col("component").cast("long")).alias("component_id"),
                                           F.col("n").alias("n_shingles"), "_key", (F.col("node") == F.col("component")).alias("_first"))
 
 
