@@ -11,6 +11,7 @@ from reachgrid.functions.geo import haversine_m
 from reachgrid.functions.scale import group_quantiles, linear, quartile_exclusive
 from reachgrid.operators.sets import mostly_contained
 from reachgrid.operators.spatial import pairs_within
+from reachgrid.session import checkpoint
 
 PEAK = (7 * 3600, 9 * 3600)
 WALK_M, INNER_M, OUTER_M = 500, 2500, 4000
@@ -97,33 +98,46 @@ def corridor(picks: DataFrame, served: DataFrame, share: float = 0.6) -> DataFra
     return mostly_contained(picks, served, "route_id", "stop_id", share)
 
 
-def line_frequency(cells: DataFrame, walk: DataFrame, departures: DataFrame, stop_modes: DataFrame,
-                   windows: Mapping[str, tuple[int, int]], radius: float) -> DataFrame:
+def _near_spots(cells: DataFrame, places: DataFrame, radius: float) -> DataFrame:
+    """(x, y, px, py, distance to three decimals) of distinct locations at most ``radius`` apart, however many rows stand on one."""
+    near = pairs_within(cells.select("x", "y").distinct(), places.select("px", "py").distinct(), radius + 0.001)
+    return near.withColumn("distance", F.round("distance", 3)).where(F.col("distance") <= radius)
+
+
+def line_frequency(cells: DataFrame, stops: DataFrame, departures: DataFrame, windows: Mapping[str, tuple[int, int]],
+                   radius: float) -> DataFrame:
     """(hex_id, mode, departures per hour in each window): a line and direction counts once, at its nearest stop.
 
-    walk: (hex_id, stop_id, distance). departures: (stop_id, route_id, direction_id, minute).
+    cells: (hex_id, x, y). stops: (stop_id, mode, px, py). departures: (stop_id, route_id, direction_id, minute).
+    A line's nearest stop is the same for all cells of one location, and of its stops at one location only that
+    of the smallest id can be it, so locations are paired, not cells and stops.
     """
     line = ["route_id", "direction_id"]
-    counts = departures.groupBy("stop_id", *line).agg(*[
+    counts = checkpoint(departures.groupBy("stop_id", *line).agg(*[  # asked for twice
         (F.count_if((F.col("minute") >= a) & (F.col("minute") < b)) / ((b - a) / 60)).alias(f"freq_{w}")
-        for w, (a, b) in windows.items()])
-    near = walk.where(F.col("distance") <= radius).join(counts.select("stop_id", *line), "stop_id")
-    best = near.groupBy("hex_id", *line).agg(F.min(F.struct("distance", "stop_id")).alias("b"))
-    best = best.select("hex_id", *line, F.col("b.stop_id").alias("stop_id"))
-    total = best.join(counts, ["stop_id", *line]).join(stop_modes, "stop_id").groupBy("hex_id", "mode").agg(
+        for w, (a, b) in windows.items()]))
+    here = counts.join(stops.select("stop_id", "px", "py"), "stop_id").groupBy("px", "py", *line).agg(F.min("stop_id").alias("stop_id"))
+    near = _near_spots(cells, here, radius).join(here, ["px", "py"])
+    best = near.groupBy("x", "y", *line).agg(F.min(F.struct("distance", "stop_id")).alias("b"))
+    best = best.select("x", "y", *line, F.col("b.stop_id").alias("stop_id"))
+    total = best.join(counts, ["stop_id", *line]).join(stops.select("stop_id", "mode"), "stop_id").groupBy("x", "y", "mode").agg(
         *[F.sum(f"freq_{w}").alias(f"freq_{w}") for w in windows])
-    modes = stop_modes.select("mode").distinct()
-    frame = cells.select("hex_id").withColumn("mode", F.explode(modes.agg(F.collect_set("mode").alias("m")).scalar()))
-    out = frame.join(total, ["hex_id", "mode"], "left")
+    modes = stops.select("mode").distinct()
+    frame = cells.select("hex_id", "x", "y", F.explode(modes.agg(F.collect_set("mode").alias("m")).scalar()).alias("mode"))
+    out = frame.join(total, ["x", "y", "mode"], "left")
     return out.select("hex_id", "mode", *[F.round(F.coalesce(f"freq_{w}", F.lit(0.0)), 2).alias(f"freq_{w}") for w in windows])
 
 
-def nearest_per_mode(cells: DataFrame, walk: DataFrame, modes: list[str], cap: float,
+def nearest_per_mode(cells: DataFrame, stops: DataFrame, modes: list[str], cap: float,
                      inside: DataFrame | None = None) -> DataFrame:
-    """Distance to the nearest stop of each mode, NULL beyond the cap; 0 for cells ``inside`` an area."""
-    best = walk.where(F.col("distance") <= cap).groupBy("hex_id").agg(
+    """Distance to the nearest stop of each mode, NULL beyond the cap; 0 for cells ``inside`` an area.
+
+    cells: (hex_id, x, y). stops: (mode, px, py). Locations are paired, not cells and stops.
+    """
+    near = _near_spots(cells, stops, cap).join(stops.select("px", "py", "mode").distinct(), ["px", "py"])
+    best = near.groupBy("x", "y").agg(
         *[F.min(F.when(F.col("mode") == m, F.col("distance"))).alias(f"d_{m}_m") for m in modes])
-    out = cells.select("hex_id").join(best, "hex_id", "left")
+    out = cells.select("hex_id", "x", "y").join(best, ["x", "y"], "left").drop("x", "y")
     if inside is None:
         return out
     out = out.join(inside.select("hex_id").distinct().withColumn("_in", F.lit(True)), "hex_id", "left")

@@ -547,10 +547,12 @@ def corridor_of_all_lines(d):
 _WALK = """w AS (SELECT o.id AS hex_id, t.stop_id, t.mode, round(sqrt(pow(o.x - t.x, 2) + pow(o.y - t.y, 2)), 3) AS d FROM v_origins o JOIN v_line_stops t ON pow(o.x - t.x, 2) + pow(o.y - t.y, 2) <= 1500 * 1500)"""
 
 
-def walk_table(d):
-    stops = line_stops(d).select("stop_id", "mode", F.col("x").alias("px"), F.col("y").alias("py"))
-    near = spatial.pairs_within(d.origins.select(F.col("id").alias("hex_id"), "x", "y"), stops, 1500)
-    return near.select("hex_id", "stop_id", "mode", F.round("distance", 3).alias("distance"))
+def hexes(d):
+    return d.origins.select(F.col("id").alias("hex_id"), "x", "y")
+
+
+def placed_stops(d):
+    return line_stops(d).select("stop_id", "mode", F.col("x").alias("px"), F.col("y").alias("py"))
 
 
 @query("e19_line_frequency", f"""
@@ -563,8 +565,7 @@ SELECT o.id AS hex_id, k.mode, round(coalesce(m, 0), 2)::DOUBLE AS freq_morning,
 FROM v_origins o CROSS JOIN (SELECT DISTINCT mode FROM v_line_stops) k LEFT JOIN f ON f.hex_id = o.id AND f.mode = k.mode""")
 def line_frequency(d):
     deps = line_times(d).join(line_trips(d), "trip_id").select("stop_id", "route_id", "direction_id", F.floor(F.col("dep") / 60).alias("minute"))
-    return lines.line_frequency(d.origins.select(F.col("id").alias("hex_id")), walk_table(d).drop("mode"), deps,
-                                line_stops(d).select("stop_id", "mode"), {"morning": (420, 540), "afternoon": (900, 1080)}, 1000)
+    return lines.line_frequency(hexes(d), placed_stops(d), deps, {"morning": (420, 540), "afternoon": (900, 1080)}, 1000)
 
 
 @query("e20_nearest_per_mode", f"""
@@ -572,9 +573,8 @@ WITH {_WALK}, f AS (SELECT hex_id, min(d) FILTER (mode = 'tram') AS t, min(d) FI
 g AS (SELECT DISTINCT o.id FROM v_origins o JOIN v_inside i ON i.x = o.x AND i.y = o.y AND i.category = 'mall')
 SELECT o.id AS hex_id, CASE WHEN g.id IS NOT NULL THEN 0 ELSE t END AS d_tram_m, CASE WHEN g.id IS NOT NULL THEN 0 ELSE b END AS d_bus_m FROM v_origins o LEFT JOIN f ON hex_id = o.id LEFT JOIN g ON g.id = o.id""")
 def nearest_per_mode(d):
-    hexes = d.origins.select(F.col("id").alias("hex_id"), "x", "y")
     areas = polygons(d).where("category = 'mall'").drop("category")
-    return lines.nearest_per_mode(hexes, walk_table(d), ["tram", "bus"], 1200, spatial.points_in_polygons(hexes, areas, cell=1000))
+    return lines.nearest_per_mode(hexes(d), placed_stops(d), ["tram", "bus"], 1200, spatial.points_in_polygons(hexes(d), areas, cell=1000))
 
 
 @query("e21_realtime_coverage", """
