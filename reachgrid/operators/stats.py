@@ -12,6 +12,7 @@ from reachgrid.functions.geo import flat_distance
 from reachgrid.functions.scale import (
     fraction, group_quantiles, half_even, linear, row_index, running_totals)
 from reachgrid.operators.lines import weighted_centroid
+from reachgrid.operators.shuffles import PRIME, ROUND, SPREAD, STEP, TURN, edge_sums
 from reachgrid.session import checkpoint
 
 
@@ -228,12 +229,6 @@ def morans_i(values: DataFrame, graph: DataFrame, k: int, by: Sequence[str] = ()
     return cross.join(square, keys).select(*keys, "n", (F.col("_cross") / k / F.col("_square")).alias("i"))
 
 
-#: Permutations that travel together.
-PACK = 30
-#: Modulus and multipliers of the shuffle; all products stay below 2^63.
-PRIME, STEP, TURN, ROUND, SPREAD = 2_147_483_647, 7919, 104_729, 15_485_863, 48_271
-
-
 def _drawn(fixed: Column, perm: Column, salt: int) -> Column:
     """A pseudo-random whole number from whole numbers by sums, products and remainders alone, so that any engine can repeat it."""
     h = (fixed * STEP + perm * TURN + salt * ROUND) % PRIME
@@ -275,25 +270,15 @@ def shuffle_positions(df: DataFrame, index: str, perm: str, n: int | Column, nam
 def moran_p_value(values: DataFrame, graph: DataFrame, k: int, permutations: int = 299, seed: int = 42) -> DataFrame:
     """One row (i, p): share of shuffled maps with |I| at least the observed one.
 
-    Each shuffle is a plain equi-join on the row index; nothing is sorted per permutation. Shuffled values of a
-    cell meet the graph's edges in packs of ``PACK`` permutations: a pack is a row, so that a cell's values are never
-    one growing array and packs are joined side by side.
+    The shuffles are those of :func:`shuffle_positions`; a cell's shuffled values meet the graph's edges in
+    blocks of cells and packs of shuffles.
     """
     mean = values.agg(F.avg("v")).scalar()
-    indexed = row_index(values.select("id", (F.col("v") - mean).alias("z")), "id")
-    n = indexed.agg(F.count("*")).scalar()
-    perms = F.explode(F.sequence(F.lit(1), F.lit(permutations))).alias("perm")
-    aimed = shuffle_positions(indexed.select("id", F.col("idx").alias("from"), perms), "from", "perm", n, "idx", seed)
-    drawn = aimed.select("perm", "id", "idx").join(indexed.select("idx", "z"), "idx").select("perm", "id", "z")
-    every = drawn.unionByName(indexed.select(F.lit(0).alias("perm"), "id", "z"))
-    packs = checkpoint(every.groupBy("id", F.floor(F.col("perm") / PACK).alias("pack")).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("perm", "z"))), lambda s: s["z"]).alias("zs")))
-    near = graph.select("id", "other").join(packs, "id").join(
-        packs.select(F.col("id").alias("other"), "pack", F.col("zs").alias("zo")), ["other", "pack"])
-    sums = [F.sum(F.get("zs", F.lit(i)) * F.get("zo", F.lit(i))).alias(f"s{i}") for i in range(PACK)]
-    each = near.groupBy("pack").agg(*sums).select("pack", F.posexplode(F.array(*[f"s{i}" for i in range(PACK)])).alias("at", "cross"))
+    indexed = checkpoint(row_index(values.select("id", (F.col("v") - mean).alias("z")), "id"))
+    edges = graph.select("id", "other").join(indexed.select("id", F.col("idx").alias("i")), "id").join(
+        indexed.select(F.col("id").alias("other"), F.col("idx").alias("o")), "other").select("i", "o")
     square = indexed.agg(F.sum(F.col("z") * F.col("z"))).scalar()
-    each = each.where("cross is not null").select((F.col("pack") * PACK + F.col("at")).alias("perm"), (F.col("cross") / k / square).alias("i"))
+    each = checkpoint(edge_sums(indexed.select("idx", "z"), edges, permutations, seed)).select("perm", (F.col("cross") / k / square).alias("i"))
     seen = each.where("perm = 0").select("i").scalar()
     at_least = F.count_if((F.col("perm") > 0) & (F.abs("i") >= F.abs(seen)))
     return each.agg(F.max(F.when(F.col("perm") == 0, F.col("i"))).alias("i"), ((at_least + 1) / (permutations + 1)).alias("p"))
