@@ -6,6 +6,11 @@ member count for nothing.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +19,10 @@ from reachgrid.session import checkpoint
 
 #: A member is heavy when it is in more sets than this and in more than one in so many of all rows.
 LEAST, SHARE = 10_000, 1000
+#: Picks whose candidates are counted in one block and memberships that meet them in one task; picks above ``LARGE`` members go alone.
+PICKS, HELD, LARGE = 8192, 2_000_000, 1000
+#: Pairs of a pick's and a set's membership that are counted at once.
+COUNTED = 4_000_000
 
 
 def set_patterns(members: DataFrame, group: str, member: str) -> tuple[DataFrame, DataFrame]:
@@ -84,11 +93,95 @@ def mostly_contained(picks: DataFrame, members: DataFrame, group: str, member: s
     run = running_totals(ranked.groupBy("pick", "order").agg(F.count("*").alias("n")), ["pick"], "order", {"run": F.col("n")})
     need = F.col("k") - F.ceil(F.col("k") * (share * (1 - 1e-12))) + 1
     limits = run.join(sizes, "pick").where(F.col("run") >= need).groupBy("pick").agg(F.min("order").alias("limit"))
-    asking = ranked.join(limits, "pick").where(F.col("order") <= F.col("limit"))
+    asked = checkpoint(ranked.join(limits, "pick").join(sizes, "pick").select(
+        "pick", member, "df", "parts", "k", (F.col("order") <= F.col("limit")).alias("asks")))
+    small = _counted_in_blocks(asked.where(F.col("k") <= LARGE), known, group, member, share)
+    asking = asked.where((F.col("k") > LARGE) & F.col("asks"))
     asking = asking.select("pick", member, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     dealt = known.join(F.broadcast(heavy.drop("df")), member, "left")
     dealt = dealt.select(group, member, F.coalesce(F.pmod(F.xxhash64(group), F.col("parts")), F.lit(0)).cast("int").alias("part"))
     found = asking.join(dealt, [member, "part"]).where(F.col("pick") != F.col(group)).select("pick", group).distinct()
-    common = found.join(mine, "pick").join(known, [group, member], "left_semi").groupBy("pick", group).agg(F.count("*").alias("n"))
+    common = found.join(asked.where(F.col("k") > LARGE).select("pick", member), "pick").join(known, [group, member], "left_semi").groupBy("pick", group).agg(F.count("*").alias("n"))
     ratio = F.col("n") / F.col("k")
-    return common.join(sizes, "pick").where(ratio >= share).select("pick", group, ratio.alias("share"))
+    return common.join(sizes, "pick").where(ratio >= share).select("pick", group, ratio.alias("share")).unionByName(small)
+
+
+def _counted_in_blocks(asked: DataFrame, known: DataFrame, group: str, member: str, share: float) -> DataFrame:
+    """(pick, group, share) of small picks: blocks of neighbouring picks meet the memberships of their members.
+
+    Most pairs of sets that share a member share too few, so the pairs are counted inside a task and only those
+    that hold enough leave it. Sets go to blocks by the members they share; a block's sets are dealt over tasks.
+    """
+    kind = asked.schema["pick"].dataType.simpleString()
+    numbers = row_index(asked.select("pick").distinct(), "pick", name="_no")
+    block = F.floor(F.col("_no") / PICKS).alias("_block")
+    mine = checkpoint(asked.join(numbers, "pick").select(block, "pick", member, "k", (F.col("asks") | F.col("parts").isNull()).alias("paired")))
+    held = known.join(mine.select("_block", member).distinct(), member)
+    shares = held.groupBy("_block").agg(F.ceil(F.count("*") / HELD).alias("_n"))
+    left = mine.join(shares, "_block").select("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_task"), "pick", member, "k", "paired")
+    right = held.join(shares, "_block").select(F.col("_block").alias("_in"), F.pmod(F.xxhash64(group), F.col("_n")).alias("_of"), group, member)
+    return left.groupBy("_block", "_task").cogroup(right.groupBy("_in", "_of")).applyInArrow(
+        _shares(group, member, share), f"pick {kind}, `{group}` {known.schema[group].dataType.simpleString()}, share double")
+
+
+def _coded(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
+    """Distinct values of the columns and their places there; -1 where a later column has others."""
+    first = columns[0].combine_chunks().dictionary_encode()
+    codes = [first.indices.to_numpy()] + [pc.fill_null(pc.index_in(c.combine_chunks(), first.dictionary), -1).to_numpy() for c in columns[1:]]
+    return first.dictionary, [c.astype(np.int64) for c in codes]
+
+
+def _shares(group: str, member: str, share: float) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
+    """Pairs of a block: every pick's paired members bring their sets, members of very many sets are only counted for pairs found."""
+    def pairs(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
+        _, (at, has) = _coded(asked.column(member), held.column(member))
+        picks, (who,) = _coded(asked.column("pick"))
+        groups, (set_of,) = _coded(held.column(group))
+        n_sets, k = max(len(groups), 1), np.zeros(len(picks), np.int64)
+        k[who] = asked.column("k").to_numpy()
+        own = pc.fill_null(pc.index_in(picks, groups), -1).to_numpy()
+        by = np.argsort(has, kind="stable")
+        sets = set_of[by]
+        paired = asked.column("paired").to_numpy()
+        marks = np.unique(at[~paired])
+        mine, theirs = _marked(who[~paired], at[~paired], len(picks), marks), _marked(set_of, has, n_sets, marks)
+        order = np.flatnonzero(paired)
+        order = order[np.argsort(who[order], kind="stable")]
+        who, starts = who[order], np.searchsorted(has[by], at[order])
+        sizes = np.searchsorted(has[by], at[order], side="right") - starts
+        done, upto = 0, np.cumsum(sizes)
+        out = []
+        while done < len(who):
+            # Whole picks, as many as make no more than so many pairs; one at least.
+            end = np.searchsorted(upto, (upto[done - 1] if done else 0) + COUNTED, side="right")
+            end = np.searchsorted(who, who[end]) if end < len(who) else end
+            end = max(end, np.searchsorted(who, who[done], side="right"))
+            n, first = sizes[done:end], who[done]
+            steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            codes = np.repeat((who[done:end] - first) * n_sets, n) + sets[np.repeat(starts[done:end], n) + steps]
+            if (who[end - 1] - first + 1) * n_sets <= 2 * COUNTED:
+                count = np.bincount(codes)
+                found = np.flatnonzero(count)
+                count = count[found]
+            else:
+                found, count = np.unique(codes, return_counts=True)
+            a, b = found // n_sets + first, found % n_sets
+            if len(marks):
+                for w in range(mine.shape[1]):
+                    count = count + np.bitwise_count(mine[a, w] & theirs[b, w])
+            enough = (count / k[a] >= share) & (own[a] != b)
+            out.append((a[enough], b[enough], count[enough] / k[a[enough]]))
+            done = end
+        a, b, ratio = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        return pa.table({"pick": picks.take(pa.array(a)), group: groups.take(pa.array(b)), "share": ratio})
+    return pairs
+
+
+def _marked(rows: np.ndarray, members: np.ndarray, n: int, marks: np.ndarray) -> np.ndarray:
+    """A bit for each of ``marks`` that a row has among its members."""
+    bits = np.zeros((n, -(-len(marks) // 64)), np.uint64)
+    if len(marks):
+        place = np.minimum(np.searchsorted(marks, members), len(marks) - 1)
+        hit = marks[place] == members
+        np.bitwise_or.at(bits, (rows[hit], place[hit] // 64), np.uint64(1) << (place[hit] % 64).astype(np.uint64))
+    return bits

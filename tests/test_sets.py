@@ -73,3 +73,15 @@ def test_a_heavy_member_is_dealt_out(spark):
     served = spark.createDataFrame([(f"r{i}", 0) for i in range(900)] + [(f"r{i}", 1 + i % 300) for i in range(900)], "route_id string, stop_id long")
     got = sets.mostly_contained(served.select("route_id"), served, "route_id", "stop_id", 1.0, least=50, heavy_share=100)
     assert got.count() == 900 * 2  # lines of one further stop: three each, two others
+
+
+def test_small_picks_in_blocks_and_large_ones_alone(spark, monkeypatch):
+    """Several blocks, several tasks of a block, pairs counted in pieces, sparse and dense, large picks by the other way."""
+    found = memberships(4, 80, 120)
+    served = table(spark, found)
+    want = {(p, s): len(found[p] & found[s]) / len(found[p]) for p in found for s in found if s != p and len(found[p] & found[s]) / len(found[p]) >= 0.4}
+    for picks, held, large, counted in ((16, 100, 30, 50), (30, 200, 1000, 5000)):
+        for name, value in (("PICKS", picks), ("HELD", held), ("LARGE", large), ("COUNTED", counted)):
+            monkeypatch.setattr(sets, name, value)
+        got = sets.mostly_contained(served, served, "route_id", "stop_id", 0.4, least=20, heavy_share=20).collect()
+        assert {(x.pick, x.route_id): x.share for x in got} == want and len(got) == len(want)
