@@ -59,10 +59,10 @@ def accessibility(matrix: DataFrame, opportunities: DataFrame, origins: DataFram
                   decay: str = STEP, by: Sequence[str] = ()) -> DataFrame:
     """Opportunities within reach; a row for every origin, name, percentile and cutoff (0 if none).
 
-    One pass over the matrix: a value per cutoff is summed side by side, so rows are not
-    multiplied by the number of cutoffs before the shuffle. The zero rows for origins ride
-    along in the same aggregation instead of a later outer join. ``by`` names further key
-    columns of matrix and origins, such as a scenario, so a sweep of cases is one job.
+    One pass over the matrix: a row per origin holds its sums for every name, percentile and cutoff side by side, so
+    neither the rows nor the groups of the aggregation are multiplied by them. Origins join the sums, and only the
+    joined rows are unfolded. ``by`` names further key columns of matrix and origins, such as a scenario, so a sweep of
+    cases is one job.
     """
     by = list(by)
     cuts = check_cutoffs(cutoffs)
@@ -71,19 +71,25 @@ def accessibility(matrix: DataFrame, opportunities: DataFrame, origins: DataFram
         reach = reach.where(F.col("minutes") < cuts[-1])
     held = opportunities.where((F.col("value") != 0) & F.col("opportunity").isin(*names))
     hits = reach.join(held, "to_id").select(
-        *by, F.col("from_id").alias("id"), "opportunity", "percentile", F.lit(0).alias("known"),
+        *by, F.col("from_id").alias("id"), "opportunity", "percentile",
         *[(F.col("value") * decay_weight(decay, F.col("minutes"), c)).alias(f"c{c}") for c in cuts])
-    frame = F.array(*[F.struct(F.lit(n).alias("opportunity"), F.lit(p).alias("percentile"))
-                      for n in names for p in percentiles])
-    zeros = origins.select(*by, "id", F.inline(frame)).select(
-        "*", F.lit(1).alias("known"), *[F.lit(0.0).alias(f"c{c}") for c in cuts])
-    sums = (hits.unionByName(zeros).groupBy(*by, "id", "opportunity", "percentile")
-            .agg(F.max("known").alias("known"), *[F.sum(f"c{c}").alias(f"c{c}") for c in cuts])
-            .where("known = 1"))
-    per_cut = F.array(*[F.struct(F.lit(c).alias("cutoff"),
-                                 _exact_or_rounded(F.col(f"c{c}"), decay).alias("accessibility"))
-                        for c in cuts])
-    return sums.select(*by, "id", "opportunity", "percentile", F.inline(per_cut))
+    cells = [(i, n, p) for i, (n, p) in enumerate((n, p) for n in dict.fromkeys(names) for p in dict.fromkeys(percentiles))]
+    mine = {i: (F.col("opportunity") == n) & (F.col("percentile") == p) for i, n, p in cells}
+    sums = hits.groupBy(*by, "id").agg(*[F.sum(F.when(mine[i], F.col(f"c{c}"))).alias(f"_s{i}_{c}") for i, _, _ in cells for c in cuts])
+    full = with_origins(origins, sums, [*by, "id"])
+    rows = F.array(*[F.struct(F.lit(n).alias("opportunity"), F.lit(p).alias("percentile"), F.lit(c).alias("cutoff"),
+                              _exact_or_rounded(F.coalesce(F.col(f"_s{i}_{c}"), F.lit(0.0)), decay).alias("accessibility"))
+                     for i, n, p in cells for c in cuts])
+    return full.select(*by, "id", F.inline(rows))
+
+
+def with_origins(origins: DataFrame, sums: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Every origin once, with its sums where there are any."""
+    named = sums.withColumnsRenamed({k: f"_k_{k}" for k in keys})
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
+    return origins.select(*keys).distinct().join(named, same, "left")
 
 
 def accessibility_wide(long: DataFrame, origins: DataFrame, names: Sequence[str],

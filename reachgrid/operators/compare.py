@@ -91,8 +91,8 @@ def same_row_sets(cases: dict[str, DataFrame], keys: list[str]) -> DataFrame:
     for name, df in cases.items():
         part = df.select(*keys, F.lit(name).alias("case"))
         tagged = part if tagged is None else tagged.unionByName(part)
-    seen = tagged.groupBy(*keys).pivot("case", names).agg(F.count(F.lit(1)))
-    has = [F.col(n) > 0 for n in names]
+    seen = tagged.groupBy(*keys).agg(*[F.bool_or(F.col("case") == n).alias(n) for n in names])
+    has = [F.col(n) for n in names]
     every = has[0]
     for h in has[1:]:
         every = every & h

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from reachgrid.functions.geo import haversine_m
 from reachgrid.functions.scale import group_quantiles, linear, weighted_quantiles
+from reachgrid.operators.access import with_origins
 
 NOT_REACHED = 255
 
@@ -28,13 +29,14 @@ def facility_counts(matrix: DataFrame, types: DataFrame, cells: DataFrame, names
     """
     by = list(by)
     near = matrix.where(F.col("minutes") <= max(levels)).join(types, "to_id")
-    hits = near.select(*by, F.col("from_id").alias("id"), "type", *[(F.col("minutes") <= v).cast("bigint").alias(f"l{v}") for v in levels])
-    zeros = cells.select(*by, "id", F.explode(F.array(*[F.lit(n) for n in names])).alias("type"),
-                         *[F.lit(0).cast("bigint").alias(f"l{v}") for v in levels])
-    sums = hits.unionByName(zeros).groupBy(*by, "id", "type").agg(*[F.sum(f"l{v}").alias(f"l{v}") for v in levels])
-    n = (lambda c: F.least(c, F.lit(clip))) if clip is not None else (lambda c: c)
-    return sums.select(*by, "id", "type", F.inline(F.array(*[
-        F.struct(F.lit(v).alias("level"), n(F.col(f"l{v}")).alias("n")) for v in levels])))
+    cols = {(n, v): f"_s{i}_{v}" for i, n in enumerate(dict.fromkeys(names)) for v in levels}
+    sums = near.where(F.col("type").isin(*names)).groupBy(*by, F.col("from_id").alias("id")).agg(
+        *[F.count_if((F.col("type") == n) & (F.col("minutes") <= v)).alias(c) for (n, v), c in cols.items()])
+    full = with_origins(cells, sums, [*by, "id"])
+    clipped = (lambda c: F.least(c, F.lit(clip))) if clip is not None else (lambda c: c)
+    return full.select(*by, "id", F.inline(F.array(*[
+        F.struct(F.lit(n).alias("type"), F.lit(v).alias("level"), clipped(F.coalesce(c, F.lit(0).cast("bigint"))).alias("n"))
+        for (n, v), c in cols.items()])))
 
 
 def meta_counts(counts: DataFrame, groups: DataFrame, keys: Sequence[str], clip: int | None = None) -> DataFrame:

@@ -19,7 +19,7 @@ SQL_VIEWS["v_meta"] = "SELECT * FROM (VALUES ('school', 'learning'), ('universit
 
 
 def day_long(d):
-    times = d.lo.groupBy(F.col("o_custkey").alias("from_id"), F.col("l_suppkey").alias("to_id")).agg(
+    times = d.pair_rows.groupBy(F.col("o_custkey").alias("from_id"), F.col("l_suppkey").alias("to_id")).agg(
         *[d._capped(F.col("l_linenumber") % 3 != x).alias(f"d{x}") for x in DAYS])
     rows = F.array(*[F.struct(F.lit(x).alias("day"), F.col(f"d{x}").alias("minutes")) for x in DAYS])
     return times.select("from_id", "to_id", F.inline(rows))

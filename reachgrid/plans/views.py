@@ -22,6 +22,9 @@ FLAGS = ("A", "N", "R")
 CUTOFFS = (30, 60)
 PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
+#: Rows of the large tables whose groups one task holds.
+TASK_ROWS = 250_000
+
 MINUTES = "(l_orderkey * 7919 + l_suppkey * 104729 + l_partkey * 31) % 120"
 
 
@@ -139,13 +142,19 @@ class Data:
         items = self.table("lineitem").withColumn("m", F.expr(MINUTES))
         return items.join(orders, items.l_orderkey == orders.o_orderkey).drop("o_orderkey")
 
+    @cached_property
+    def pair_rows(self) -> DataFrame:
+        """``lo`` dealt by origin and destination over as many tasks as its rows ask for: a task's groups are bounded."""
+        tasks = -(-self.table("lineitem").count() // TASK_ROWS) or 1  # from the file footers
+        return self.lo.repartition(tasks, "o_custkey", "l_suppkey")
+
     def _capped(self, condition) -> "F.Column":
         best = F.min(F.when(condition, F.col("m"))) if condition is not None else F.min("m")
         return F.when(best <= 90, best).cast("int")
 
     @cached_property
     def case_times(self) -> DataFrame:
-        return self.lo.groupBy(F.col("o_custkey").alias("from_id"), F.col("l_suppkey").alias("to_id")).agg(
+        return self.pair_rows.groupBy(F.col("o_custkey").alias("from_id"), F.col("l_suppkey").alias("to_id")).agg(
             *[self._capped(None if c == "base" else F.col("l_returnflag") != c[-1]).alias(c) for c in CASES])
 
     @cached_property
@@ -216,7 +225,7 @@ class Data:
     @cached_property
     def day_acc(self) -> DataFrame:
         """(day, id, opportunity, acc) of three realized days at 30 minutes."""
-        times = self.lo.groupBy(F.col("o_custkey").alias("from_id"), F.col("l_suppkey").alias("to_id")).agg(
+        times = self.pair_rows.groupBy(F.col("o_custkey").alias("from_id"), F.col("l_suppkey").alias("to_id")).agg(
             *[self._capped(F.col("l_linenumber") % 3 != d).alias(f"d{d}") for d in DAYS])
         rows = F.array(*[F.struct(F.lit(d).alias("day"), F.col(f"d{d}").alias("minutes")) for d in DAYS])
         origins = self.table("customer").select(F.col("c_custkey").alias("id"),
