@@ -9,6 +9,8 @@ be split further, because they lie on one spot, are dealt into parts, and boxes
 
 from __future__ import annotations
 
+import math
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -19,15 +21,22 @@ LEAST, SHARE = 4096, 1000
 #: How often a cell may be halved.
 DEPTH = 8
 KEY = ("_level", "_cx", "_cy", "_part")
+#: Candidates (rows of one key, multiplied) that a task of a join of pairs compares.
+TASK_PAIRS = 1 << 23
+#: Rows of one key and one side that meet in one tile.
+TILE_ROWS = 2048
+#: Tasks of one join at most; beyond that tasks grow.
+MOST_TASKS = 20_000
 
 
 @dataclass(frozen=True)
 class Tree:
-    """When a cell is split and how often, see :func:`leaves`."""
+    """When a cell is split and how often, see :func:`leaves`, and the pairs of a task, see :func:`tiled`."""
 
     least: int = LEAST
     share: int = SHARE
     depth: int = DEPTH
+    task_pairs: int = TASK_PAIRS
 
 
 def _index(value: Column, size: float, level: Column | int) -> Column:
@@ -115,6 +124,30 @@ def dealt(points: DataFrame, x: Column, y: Column, boxes: DataFrame, box: tuple[
     return point_keys(points, x, y, size, table, depth=tree.depth), box_keys(boxes, *box, size, table)
 
 
+def tiled(points: DataFrame, boxes: DataFrame, keys: Sequence[str], *, task_pairs: int = TASK_PAIRS, tile_rows: int = TILE_ROWS) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both tables and the keys on which they meet, dealt by the pairs they make, not by their rows.
+
+    A join of few rows can give very many pairs, and partitions sized by rows leave them all to a few tasks. Candidates
+    are counted per key (a job while the plan is made). If they are more than a task's, the rows of a key are dealt
+    into tiles of about ``tile_rows`` by ``tile_rows``, and tiles over one task for each ``task_pairs`` candidates: a pair of rows
+    meets in exactly one tile. Rows equal in every column share a tile.
+    """
+    keys = list(keys)
+    left, right = (t.groupBy(*keys).agg(F.count("*").alias(n)) for t, n in ((points, "_ln"), (boxes, "_rn")))
+    work = left.join(right, keys)
+    total = work.agg(F.sum(F.col("_ln").cast("double") * F.col("_rn"))).first()[0] or 0.0
+    if total <= task_pairs:
+        return points, boxes, keys
+    tasks = min(MOST_TASKS, math.ceil(total / task_pairs))
+    sizes = work.select(*keys, F.ceil(F.col("_ln") / tile_rows).alias("_ls"), F.ceil(F.col("_rn") / tile_rows).alias("_rs"))
+
+    def deal(rows: DataFrame, mine: str, other: str, held: str, every: str) -> DataFrame:
+        place = F.pmod(F.xxhash64(F.lit(mine), *rows.columns), F.col(held)).alias(mine)
+        out = rows.join(sizes, keys).select(*rows.columns, place, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(every) - 1)).alias(other))
+        return out.repartition(tasks, *keys, "_li", "_ri")
+    return deal(points, "_li", "_ri", "_ls", "_rs"), deal(boxes, "_ri", "_li", "_rs", "_ls"), [*keys, "_li", "_ri"]
+
+
 def renamed(boxes: DataFrame) -> DataFrame:
     """Keys of boxes under other names, for joins by condition."""
     return boxes.withColumnsRenamed({k: f"_on{k}" for k in KEY})

@@ -41,11 +41,15 @@ def pairs_within(left: DataFrame, right: DataFrame, radius: float, *,
     """Pairs at most ``radius`` apart with their ``distance``; ``on`` adds plain equality keys.
 
     ``tree`` bounds the left rows of a cell; None is for left rows known to be spread, such as the centres of a lattice.
+    With a tree the work is dealt by the number of pairs, which is counted while the plan is made.
     """
     lx, ly, rx, ry = (F.col(c) for c in (*left_xy, *right_xy))
     a, b = quadtree.dealt(left, lx, ly, right, _around(rx, ry, radius), radius, tree)
-    near = a.join(b, [*on, *quadtree.KEY]).withColumn("distance", flat_distance(lx, ly, rx, ry))
-    return near.where(F.col("distance") <= radius).drop(*quadtree.KEY)
+    keys = [*on, *quadtree.KEY]
+    if tree is not None:
+        a, b, keys = quadtree.tiled(a, b, keys, task_pairs=tree.task_pairs)
+    near = a.join(b, keys).withColumn("distance", flat_distance(lx, ly, rx, ry))
+    return near.where(F.col("distance") <= radius).drop(*keys[len(on):])
 
 
 def exists_within(left: DataFrame, right: DataFrame, radius: float, *,

@@ -123,3 +123,17 @@ def test_empty_tables(spark, points):
     assert spatial.exists_within(none, right, 100.0).count() == 0
     with pytest.raises(ValueError):
         leaf_table(points, Tree(depth=0))
+
+
+def test_pairs_are_dealt_by_their_number(spark):
+    """Few rows, many pairs: tasks follow the pairs, and a key with crowds on both sides is cut into tiles."""
+    left = spark.range(900).select("id", F.lit(10.0).alias("x"), (F.col("id") % 3 * 1.0).alias("y"))
+    right = spark.range(500).select(F.col("id").alias("k"), F.lit(12.0).alias("px"), F.when(F.col("id") % 50 > 0, 2.0).otherwise(500.0).alias("py"))
+    near = spatial.pairs_within(left, right, 100.0, tree=Tree(least=64, share=5, depth=2, task_pairs=20_000))
+    sizes = [r["count"] for r in near.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert sum(sizes) == 900 * 490 == near.select("id", "k").distinct().count()
+    assert max(sizes) <= 900 * 490 / 4
+    a, b = quadtree.dealt(left, F.col("x"), F.col("y"), right, spatial._around(F.col("px"), F.col("py"), 100.0), 100.0, Tree())
+    a, b, keys = quadtree.tiled(a, b, quadtree.KEY, task_pairs=1000, tile_rows=100)
+    tiles = a.join(b, keys).groupBy(*keys).count().collect()
+    assert sum(r["count"] for r in tiles) == 900 * 490 and len(tiles) >= 40 and max(r["count"] for r in tiles) <= 4 * 100 * 100
