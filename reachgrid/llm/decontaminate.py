@@ -57,6 +57,9 @@ class Benchmark:
     parts: list[np.ndarray]
     item: list[int]
     answer: list[np.ndarray]
+    #: Term of each code of the coded texts, -1 at the end, and how codes are stored.
+    place: np.ndarray | None = None
+    kind: str = ""
     weight: np.ndarray | None = None
     #: Squared weight of a word outside the benchmark's terms.
     outside: float = 0.0
@@ -114,35 +117,74 @@ class Tokens:
         return key[first] // terms, key[first] % terms, count
 
 
-def _tokens(texts: pa.Array, terms: pa.Array) -> Tokens:
-    words = words_of(texts, lower=True)
-    if not len(words.codes):
+def _vocabulary(rows: Iterable) -> pa.Array:
+    """Words of all items."""
+    return words_of(pa.array([r["text"] or "" for r in rows], pa.string()), lower=True).vocabulary
+
+
+def _width(vocabulary: pa.Array) -> str:
+    return "<i2" if len(vocabulary) < 1 << 15 else "<i4"
+
+
+def _coded(docs: DataFrame, vocabulary: pa.Array) -> DataFrame:
+    """doc_id, _key and code: the number in ``vocabulary`` (or -1) of each word of a text, a few bytes a word.
+
+    Texts are taken apart once, whatever the number of blocks and passes.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kind = np.dtype(_width(vocabulary))
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in blocks(batches):
+            words = words_of(block.column("text"), lower=True)
+            place = pc.index_in(words.vocabulary, held.value).fill_null(-1).to_numpy(zero_copy_only=False).astype(kind)
+            offsets = pa.array(words.starts * kind.itemsize, pa.int32())
+            codes = pa.Array.from_buffers(pa.binary(), block.num_rows, [None, offsets.buffers()[1], pa.py_buffer(place[words.codes].tobytes())])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("_key"), codes], names=["doc_id", "_key", "code"])
+    names = "doc_id long, _key long, code binary"
+    path = f"{checkpoint_folder(docs.sparkSession)}/{uuid.uuid4().hex}"
+    docs.select("doc_id", "_key", "text").mapInArrow(code, names).write.parquet(path)
+    held.destroy()  # what needed it is written
+    return docs.sparkSession.read.schema(names).parquet(path)
+
+
+def _tokens(codes: pa.Array, place: np.ndarray, kind: str) -> Tokens:
+    """Words of coded texts; ``place`` holds the benchmark term of each code, and -1 at its end for code -1."""
+    width = np.dtype(kind).itemsize
+    size = pc.binary_length(codes).to_numpy(zero_copy_only=False).astype(np.int64) // width
+    starts = np.concatenate(([0], np.cumsum(size)))
+    if not starts[-1]:
         none = np.zeros(0, np.int64)
-        return Tokens(none, none, words.starts, none)
-    place = pc.index_in(words.vocabulary, terms).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-    term = place[words.codes]
-    size = np.diff(words.starts)
+        return Tokens(none, none, starts, none)
+    _, offsets, data = codes.buffers()
+    first = np.frombuffer(offsets, np.int64 if pa.types.is_large_binary(codes.type) else np.int32)[codes.offset]
+    term = place[np.frombuffer(data, kind, count=starts[-1], offset=first)]
     halves = -(-size // HALF)
     before = np.concatenate(([0], np.cumsum(halves)))
-    within = np.arange(len(term)) - np.repeat(words.starts[:-1], size)
-    return Tokens(term, np.repeat(before[:-1], size) + within // HALF, words.starts, np.repeat(np.arange(len(size)), halves))
+    within = np.arange(len(term)) - np.repeat(starts[:-1], size)
+    return Tokens(term, np.repeat(before[:-1], size) + within // HALF, starts, np.repeat(np.arange(len(size)), halves))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], kind: str) -> Iterator[pa.RecordBatch]:
+    """Coded texts in pieces of about a million words."""
+    return blocks(batches, "code", np.dtype(kind).itemsize << 20)
 
 
 def _frequencies(docs: DataFrame, bench: Benchmark) -> tuple[np.ndarray, int]:
     """Half passages of all texts that hold each term, and their number."""
-    n = len(bench.terms)
-    terms = docs.sparkSession.sparkContext.broadcast(bench.terms)
+    n, kind = len(bench.terms), bench.kind
+    place = docs.sparkSession.sparkContext.broadcast(bench.place)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, halves = np.zeros(n, np.int64), 0
-        for block in blocks(batches):
-            tokens = _tokens(block.column("text"), terms.value)
+        for block in _blocks(batches, kind):
+            tokens = _tokens(block.column("code"), place.value, kind)
             found += np.bincount(tokens.entries(None, n)[1], minlength=n)
             halves += len(tokens.text_of)
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(found[at], halves), pa.int64())], names=["term", "n"])
-    rows = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per benchmark term
-    terms.destroy()
+    rows = docs.select("code").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()  # a row per benchmark term
+    place.destroy()
     out = {r["term"]: r["n"] for r in rows}
     return np.array([out.get(i, 0) for i in range(n)], np.int64), out.get(-1, 0)
 
@@ -174,14 +216,14 @@ def _rows(entries, weight: np.ndarray, space: np.ndarray, size: int = 20_000):
 
 def _product(docs: DataFrame, bench: Benchmark, narrow: np.ndarray) -> np.ndarray:
     """Term-by-term product of all half passages times a narrow matrix, summed over partitions."""
-    n, k = narrow.shape
-    held = docs.sparkSession.sparkContext.broadcast((bench.terms, bench.weight, narrow.astype(np.float32)))
+    (n, k), kind = narrow.shape, bench.kind
+    held = docs.sparkSession.sparkContext.broadcast((bench.place, bench.weight, narrow.astype(np.float32)))
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, weight, space = held.value
+        place, weight, space = held.value
         total = np.zeros((n, k), np.float32)
-        for block in blocks(batches):
-            for _, rows, at, term, value in _rows(_tokens(block.column("text"), terms).entries(weight, n), weight, space):
+        for block in _blocks(batches, kind):
+            for _, rows, at, term, value in _rows(_tokens(block.column("code"), place, kind).entries(weight, n), weight, space):
                 order = np.argsort(term, kind="stable")
                 first, _ = runs(term[order])
                 total[term[order][first]] += np.add.reduceat(value[order][:, None] * rows[at[order]], first, axis=0)
@@ -192,7 +234,7 @@ def _product(docs: DataFrame, bench: Benchmark, narrow: np.ndarray) -> np.ndarra
         total = sum(np.frombuffer(x.as_py(), np.float32).astype(np.float64) for x in parts.column("data"))
         return pa.table({"first": pa.array([key[0].as_py()], pa.int64()), "data": pa.array([total.tobytes()], pa.binary())})
     out = np.zeros((n, k))
-    sums = docs.select("text").mapInArrow(multiply, "first long, data binary").groupBy("first").applyInArrow(add, "first long, data binary")
+    sums = docs.select("code").mapInArrow(multiply, "first long, data binary").groupBy("first").applyInArrow(add, "first long, data binary")
     for r in sums.toLocalIterator():  # benchmark terms x rank, whatever the corpus
         out[r["first"]:r["first"] + TERM_BLOCK] = np.frombuffer(bytes(r["data"]), np.float64).reshape(-1, k)
     held.destroy()
@@ -209,7 +251,7 @@ def _items(bench: Benchmark) -> np.ndarray:
 
 
 def fit(docs: DataFrame, bench: Benchmark, *, rank: int = RANK, seed: int = SEED) -> None:
-    """Weights and latent space of a benchmark over all passages of ``docs`` (text)."""
+    """Weights and latent space of a benchmark over all passages of ``docs`` (code)."""
     found, halves = _frequencies(docs, bench)
     _weigh(bench, found, halves)
     items = _items(bench)
@@ -278,8 +320,8 @@ def _search(held):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bench: Benchmark = held.value
         reader, n = _Reader(bench), len(bench.terms)
-        for block in blocks(batches):
-            tokens = _tokens(block.column("text"), bench.terms)
+        for block in _blocks(batches, bench.kind):
+            tokens = _tokens(block.column("code"), bench.place, bench.kind)
             halves = len(tokens.text_of)
             if not halves:
                 continue
@@ -327,10 +369,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, *, items: int = ITEMS, rank: in
     asked = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("item_id is not null").orderBy("item_id", "text")
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
     spark.createDataFrame([], NAMES).write.parquet(path)
-    for bench in _benchmarks((*asked.toLocalIterator(),), items, max(1, rank - SPARE)):
-        fit(source, bench, rank=rank)
+    rows = (*asked.toLocalIterator(),)
+    coded, words = None, _vocabulary(rows)
+    for bench in _benchmarks(rows, items, max(1, rank - SPARE)):
+        coded = _coded(source, words) if coded is None else coded
+        bench.kind, bench.place = _width(words), np.full(len(words) + 1, -1, np.int64)
+        bench.place[pc.index_in(bench.terms, words).to_numpy(zero_copy_only=False)] = np.arange(len(bench.terms))
+        fit(coded, bench, rank=rank)
         held = spark.sparkContext.broadcast(bench)
-        source.mapInArrow(_search(held), NAMES).write.mode("append").parquet(path)
+        coded.mapInArrow(_search(held), NAMES).write.mode("append").parquet(path)
         held.destroy()  # what needed it is written
     found = spark.read.schema(NAMES).parquet(path)
     best = found.groupBy("doc_id", "_key", "item_id").agg(F.max(F.struct("order_share", "answer_share", "cosine")).alias("x"))

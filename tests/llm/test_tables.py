@@ -229,3 +229,20 @@ def test_leaks_of_more_parts_than_the_latent_space_has_room_for(spark, table):
     bench = spark.createDataFrame(items, "item_id long, text string")
     got = {(x.doc_id, x.item_id) for x in decontaminate.leaks(table(rows), bench).collect()}
     assert want <= got and len(got - want) <= 5
+
+
+def test_leaks_takes_texts_apart_once(spark, table):
+    """Whatever the number of blocks of items and passes over the documents."""
+    r = random.Random(15)
+    items = [(i, " ".join(f"q{i}x{r.randrange(3000)}" for _ in range(30))) for i in range(6)]
+    docs = table([(d, " ".join(f"w{r.randrange(500)}" for _ in range(80)) + " " + items[d % 6][1] * (d < 6), "s") for d in range(40)] + [(50, None, "s"), (51, " \t", "s")])
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.leaks(docs.select("doc_id", "text").mapInArrow(watched, "doc_id long, text string"), bench, items=2)
+    assert {(x.doc_id, x.item_id) for x in got.collect()} == {(d, d) for d in range(6)}
+    assert seen.value == 42
