@@ -200,6 +200,18 @@ def _weigh(bench: Benchmark, found: np.ndarray, halves: int) -> None:
     bench.outside = float(0.25 * weight.max() ** 2)
 
 
+def _sums(key: np.ndarray, value: np.ndarray, of: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct of the sorted ``key``, and for each the sum of its entries' value times row ``of`` of ``rows``.
+
+    A key is one vector by a small matrix; its entries' rows are never written out for all keys at once.
+    """
+    first, count = runs(key)
+    out = np.empty((len(first), rows.shape[1]), rows.dtype)
+    for i, (a, n) in enumerate(zip(first.tolist(), count.tolist(), strict=True)):
+        np.dot(value[a:a + n], rows[of[a:a + n]], out=out[i])
+    return key[first], out
+
+
 def _rows(entries, weight: np.ndarray, space: np.ndarray, size: int = 20_000):
     """Half passages' vectors times ``space``, some at a time: halves, values, and the entries' half index, term and weight."""
     half, term, count = entries
@@ -209,8 +221,7 @@ def _rows(entries, weight: np.ndarray, space: np.ndarray, size: int = 20_000):
         stop = max(start + 1, int(np.searchsorted(first, first[start] + size)))
         a, b = first[start], first[stop] if stop < len(first) else len(half)
         value = (count[a:b] * weight[term[a:b]]).astype(np.float32)
-        yield half[first[start:stop]], np.add.reduceat(value[:, None] * space[term[a:b]], first[start:stop] - a, axis=0), np.repeat(
-            np.arange(stop - start), length[start:stop]), term[a:b], value
+        yield *_sums(half[a:b], value, term[a:b], space), np.repeat(np.arange(stop - start), length[start:stop]), term[a:b], value
         start = stop
 
 
@@ -225,8 +236,8 @@ def _product(docs: DataFrame, bench: Benchmark, narrow: np.ndarray) -> np.ndarra
         for block in _blocks(batches, kind):
             for _, rows, at, term, value in _rows(_tokens(block.column("code"), place, kind).entries(weight, n), weight, space):
                 order = np.argsort(term, kind="stable")
-                first, _ = runs(term[order])
-                total[term[order][first]] += np.add.reduceat(value[order][:, None] * rows[at[order]], first, axis=0)
+                terms, sums = _sums(term[order], value[order], at[order], rows)
+                total[terms] += sums
         some = [i for i in range(0, n, TERM_BLOCK) if total[i:i + TERM_BLOCK].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array([total[i:i + TERM_BLOCK].tobytes() for i in some], pa.binary())], names=["first", "data"])
 

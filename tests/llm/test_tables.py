@@ -231,6 +231,25 @@ def test_leaks_of_more_parts_than_the_latent_space_has_room_for(spark, table):
     assert want <= got and len(got - want) <= 5
 
 
+def test_passages_are_summed_without_a_row_per_entry():
+    import tracemalloc
+
+    import numpy as np
+    r, halves, terms, k = np.random.default_rng(4), 300, 500, 256
+    counts = r.integers(0, 3, (halves, terms))
+    counts[7] = 0  # a half passage without terms
+    half, term = np.nonzero(counts)
+    weight, space = r.random(terms), r.standard_normal((terms, k)).astype(np.float32)
+    tracemalloc.start()
+    got = list(decontaminate._rows((half, term, counts[half, term]), weight, space))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000 * k * 4 < len(half) * k * 4  # a run of entries is 20,000
+    want = (counts * weight) @ space
+    assert np.concatenate([g[0] for g in got]).tolist() == np.unique(half).tolist()
+    assert np.allclose(np.concatenate([g[1] for g in got]), want[np.unique(half)], rtol=1e-3, atol=1e-3)
+
+
 def test_leaks_takes_texts_apart_once(spark, table):
     """Whatever the number of blocks of items and passes over the documents."""
     r = random.Random(15)
