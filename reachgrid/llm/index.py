@@ -31,8 +31,11 @@ END_ID = 0
 SHARD_IDS = 2_000_000
 #: Keys that share a seed, on average.
 BUCKET_KEYS = 4
-#: Pieces of text whose ids a worker keeps from block to block.
-CACHED = 2_000_000
+#: Pieces of text whose ids a worker keeps from block to block, in about 30 MB; the first ones met are mostly the frequent ones.
+CACHED = 600_000
+#: Bytes of text whose pieces are taken apart at once, and of pieces that the library encodes at once (it holds some 100 bytes an id).
+TEXT_BYTES = 4 << 20
+ENCODED_BYTES = 1 << 18
 #: White space in front of a space: there a cut before the space could part what the tokenizer joins.
 MARK = "\x01"
 #: Places where a distinct piece is cut: behind a single line end, in front of white space, and between a letter and punctuation.
@@ -116,9 +119,12 @@ class Encoder:
         self.ids, self.at = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        ids = [x.ids for x in self.tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
-        at = np.concatenate(([0], np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))))
-        return np.fromiter(itertools.chain.from_iterable(ids), np.uint32, at[-1]), at
+        out, many = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for some in blocks([pa.RecordBatch.from_arrays([texts], ["text"])], size=ENCODED_BYTES):
+            ids = [x.ids for x in self.tokenizer.encode_batch_fast(some.column(0).to_pylist(), add_special_tokens=False)]
+            many.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            out.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32, many[-1].sum()))
+        return np.concatenate(out), np.cumsum(np.concatenate(many))
 
     def _parts(self, pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct pieces by way of their parts, and where each piece's begin."""
@@ -138,10 +144,13 @@ class Encoder:
         missing = np.flatnonzero(place < 0)
         new = vocabulary.take(pa.array(missing))
         ids, at = self._encode(new)
-        known, pool, pool_at = pa.concat_arrays([self.known, new]), np.concatenate((self.ids, ids)), np.concatenate((self.at, at[1:] + self.at[-1]))
+        pool, pool_at = np.concatenate((self.ids, ids)), np.concatenate((self.at, at[1:] + self.at[-1]))
         place[missing] = len(self.known) + np.arange(len(missing))
-        if len(known) <= CACHED:
-            self.known, self.ids, self.at = known, pool, pool_at
+        keep = min(len(new), CACHED - len(self.known))
+        if keep > 0:
+            self.known = pa.concat_arrays([self.known, new.slice(0, keep)])
+            self.at = pool_at[:len(self.known) + 1].copy()
+            self.ids = pool[:self.at[-1]].copy()
         place = place[coded.indices.to_numpy()]
         out, out_at = _gathered(pool, pool_at[place], pool_at[place + 1] - pool_at[place])
         return out, out_at[np.concatenate(([0], np.cumsum(count)))]
@@ -215,10 +224,11 @@ def _shards(path: str, size: int):
                 x.tobytes() for x in (keys, copies, seeds, prints, at, many)))
             return pa.RecordBatch.from_arrays([pa.array([v], f.type) for v, f in zip(row, SHARD, strict=True)], schema=SHARD)
         n = 0
-        for block in blocks(_numbered(batches)):
+        for block in blocks(_numbered(batches), size=TEXT_BYTES):
             ids, at = encode(block.column("text"))
             keys, copies = block.column("doc_id").to_numpy(), block.column("copy").to_numpy().astype(np.uint32)
             start = 0
+            pa.default_memory_pool().release_unused()  # what taking the texts apart took, before the next block or another step needs it
             while start < len(keys):
                 stop = max(start + 1, int(np.searchsorted(at[1:], at[start] + size - n, "right")))
                 stop = min(stop, len(keys))

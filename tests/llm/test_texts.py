@@ -177,6 +177,26 @@ def test_encoder_is_exact_on_odd_texts():
             assert ids[at[i]:at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids + [0], t
 
 
+def test_encoder_holds_little_at_once(monkeypatch):
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path(index.VOCABULARY)
+    plain, fast, lots = Tokenizer.from_file(path), index.Encoder(path), []
+
+    class Watched:
+        def encode_batch_fast(self, texts, **options):
+            lots.append(sum(len(t.encode()) for t in texts))
+            return plain.encode_batch_fast(texts, **options)
+    fast.tokenizer = Watched()
+    monkeypatch.setattr(index, "CACHED", 700)
+    texts = [" ".join(f"w{i * 7 % 100003}x{j}" for j in range(40)) for i in range(3000)] + hard_texts(3, 200)
+    for _ in range(2):
+        ids, at = fast(pa.array(texts))
+        for i, t in enumerate(texts[-300:], len(texts) - 300):
+            assert ids[at[i]:at[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids + [0], t
+        assert len(fast.known) == 700 == len(fast.at) - 1 and len(fast.ids) == fast.at[-1]
+    assert sum(lots) > 4 * 300_000 and max(lots) < 300_000
+
+
 def test_index_round_trip(spark, table, edges):
     from tokenizers import Tokenizer
     path = public_tokenizers.path(index.VOCABULARY)
