@@ -1,7 +1,7 @@
 """Token ids in sharded binary files with a minimal perfect hash index.
 
-A shard is one row of the written table: raw little-endian 32-bit ids of consecutive documents, and an
-index over their keys. The index is a hash-and-displace function: a key's bucket has a seed that sends
+A shard is one row of the written table, and a row group by itself: raw little-endian 32-bit ids of consecutive
+documents, and an index over their keys. The index is a hash-and-displace function: a key's bucket has a seed that sends
 each of its keys to a slot of its own, with exactly as many slots as keys. Each slot stores a fingerprint of
 the key, its id offset and its id count. So a lookup costs two hashes, one comparison and one slice, whatever the
 shard's size, and foreign keys are refused by their fingerprint.
@@ -12,14 +12,13 @@ from __future__ import annotations
 import itertools
 import os
 import uuid
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reachgrid.llm.words import blocks, id_and_text, mixed, real_id
@@ -140,7 +139,10 @@ class Encoder:
         count = pc.list_value_length(parts).to_numpy(zero_copy_only=False).astype(np.int64)
         coded = parts.flatten().dictionary_encode()
         vocabulary = coded.dictionary
-        place = pc.index_in(vocabulary, self.known).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        # The kept pieces are looked up among these few and not the other way round, which would hash all the kept ones each time.
+        met = pc.index_in(self.known, vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+        place = np.full(len(vocabulary), -1, np.int64)
+        place[met[met >= 0]] = np.flatnonzero(met >= 0)
         missing = np.flatnonzero(place < 0)
         new = vocabulary.take(pa.array(missing))
         ids, at = self._encode(new)
@@ -182,7 +184,9 @@ class Encoder:
 def _gathered(pool: np.ndarray, where: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The slices ``pool[where:where + many]`` one after another, and where each begins."""
     at = np.concatenate(([0], np.cumsum(many)))
-    return pool[np.repeat(where - at[:-1], many) + np.arange(at[-1])], at
+    source = np.repeat(where - at[:-1], many)
+    source += np.arange(at[-1])
+    return pool[source], at
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -201,6 +205,10 @@ SHARD = pa.schema([("task", pa.int64()), ("shard", pa.int64()), ("first_key", pa
                    ("n_ids", pa.int64()), ("payload", pa.binary()), ("keys", pa.binary()), ("copies", pa.binary()), ("seeds", pa.binary()),
                    ("prints", pa.binary()), ("offsets", pa.binary()), ("lengths", pa.binary())])
 
+#: Parquet's writer looks at sizes every 100 rows by default, so that it would hold all shards of a task, and a reader get them all at once.
+OWN_ROW_GROUP = {"parquet.block.size": "1", "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1",
+                 "parquet.enable.dictionary": "false"}
+
 
 def _hashed(keys: np.ndarray, copies: np.ndarray) -> np.ndarray:
     """The 64-bit key that is looked up: of a document id and the number of its copy."""
@@ -257,7 +265,8 @@ def write_index(docs: DataFrame, tokenizer_path: str, *, shard_ids: int = SHARD_
     # Ranges of one doc_id stay together, so copies are numbered inside their range.
     dealt = rows.repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "_key")
     names = ", ".join(f"{f.name} {'binary' if f.type == pa.binary() else 'long'}" for f in SHARD)
-    dealt.mapInArrow(_shards(tokenizer_path, shard_ids), names).write.option("compression", "zstd").parquet(path)
+    written = dealt.mapInArrow(_shards(tokenizer_path, shard_ids), names).write.option("compression", "zstd")
+    written.options(**OWN_ROW_GROUP).parquet(path)
     return path
 
 
@@ -296,24 +305,42 @@ def _lookup(row: dict, keys: np.ndarray, copies: np.ndarray) -> tuple[np.ndarray
     return hit, at[slot[hit]].astype(np.int64), many[slot[hit]].astype(np.int64)
 
 
-def _digested(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for row in batch.to_pylist():
-            keys, copies = np.frombuffer(row["keys"], np.int64), np.frombuffer(row["copies"], np.uint32)
-            hit, at, many = _lookup(row, keys, copies)
-            if len(hit) != len(keys):
-                raise ValueError(f"shard {row['task']}-{row['shard']}: {len(keys) - len(hit)} of its keys are not in its index")
-            payload = memoryview(row["payload"])
-            crc = [zlib.crc32(payload[4 * a:4 * (a + n)]) for a, n in zip(at.tolist(), many.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(copies.astype(np.int64)), pa.array(at + row["base"]), pa.array(many), pa.array(crc, pa.int64())],
-                                             names=["doc_id", "copy", "start", "n_tokens", "ids_crc32"])
+PLACE = pa.struct([("doc_id", pa.int64()), ("copy", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
+
+
+def _places(task: pa.Array, shard: pa.Array, keys: pa.Array, copies: pa.Array, seeds: pa.Array, prints: pa.Array, offsets: pa.Array, lengths: pa.Array) -> pa.Array:
+    """Where each document of a shard lies in its payload, by the shard's index."""
+    found, ends = [], [0]
+    for i in range(len(task)):
+        row = {"seeds": seeds[i].as_py(), "prints": prints[i].as_py(), "offsets": offsets[i].as_py(), "lengths": lengths[i].as_py()}
+        own, numbers = np.frombuffer(keys[i].as_py(), np.int64), np.frombuffer(copies[i].as_py(), np.uint32)
+        hit, at, many = _lookup(row, own, numbers)
+        if len(hit) != len(own):
+            raise ValueError(f"shard {task[i]}-{shard[i]}: {len(own) - len(hit)} of its keys are not in its index")
+        found.append(np.stack((own, numbers.astype(np.int64), at, many)))
+        ends.append(ends[-1] + len(own))
+    columns = np.concatenate(found, 1) if found else np.zeros((4, 0), np.int64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays([pa.array(c) for c in columns], fields=list(PLACE)))
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, copy, start, n_tokens and ids_crc32 of every document, looked up and read in the written shards."""
+    """doc_id, copy, start, n_tokens and ids_crc32 of every document, looked up and read in the written shards.
+
+    Only the indexes go through Python; payloads are neither shuffled nor handed over. What is broadcast is one row of
+    three numbers a shard.
+    """
     shards = spark.read.parquet(path)
-    rows = shards.join(_starts(shards), ["task", "shard"])
-    out = rows.mapInArrow(_digested, "doc_id long, copy long, start long, n_tokens long, ids_crc32 long")
+    rows = shards.join(F.broadcast(_starts(shards)), ["task", "shard"])
+    places = F.arrow_udf(_places, "array<struct<doc_id: long, copy: long, at: long, n: long>>")
+    rows = rows.select("base", "payload", places("task", "shard", "keys", "copies", "seeds", "prints", "offsets", "lengths").alias("places"))
+
+    def digest(payload: Column, x: Column) -> Column:
+        ids = F.substring(payload, (4 * x["at"] + 1).cast("int"), (4 * x["n"]).cast("int"))
+        return F.struct(x["doc_id"].alias("doc_id"), x["copy"].alias("copy"), (x["at"] + F.col("base")).alias("start"),
+                        x["n"].alias("n_tokens"), F.crc32(ids).alias("ids_crc32"))
+    # As the one entry of an array the payload is taken out of its row once, not once for each document.
+    digests = F.transform(F.array("payload"), lambda p: F.transform("places", lambda x: digest(p, x)))
+    out = rows.select(F.explode(F.flatten(digests)).alias("x")).select("x.*")
     return out.withColumn("doc_id", real_id())
 
 

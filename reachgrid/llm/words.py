@@ -6,7 +6,6 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -69,6 +68,7 @@ class Words:
 
     def hashes(self) -> np.ndarray:
         """64-bit hash of each vocabulary entry, the same in every process."""
+        import pandas as pd  # 24 MB of a worker, which only those that hash words need
         return pd.util.hash_array(self.vocabulary.to_numpy(zero_copy_only=False), categorize=False)
 
 

@@ -197,6 +197,25 @@ def test_encoder_holds_little_at_once(monkeypatch):
     assert sum(lots) > 4 * 300_000 and max(lots) < 300_000
 
 
+def test_shards_are_read_one_by_one(spark, table, edges, tmp_path):
+    import pyarrow.parquet as pq
+    path = index.write_index(table(edges), public_tokenizers.path(index.VOCABULARY), shard_ids=500, folder=str(tmp_path / "shards"))
+    files = [pq.ParquetFile(f).metadata for f in tmp_path.glob("shards/*.parquet")]
+    assert max(m.num_rows for m in files) > 3 and all(m.num_row_groups == m.num_rows for m in files if m.num_rows)
+    plan = index.read_digests(spark, path)._jdf.queryExecution().executedPlan().toString()
+    payload = {x for line in plan.splitlines() if "FileScan" in line for x in re.findall(r"payload#\d+", line)}
+    moved = [line for line in plan.splitlines() if re.search("Exchange|InArrow|EvalPython|EvalArrow|Sort", line)]
+    assert len(payload) == 1 and moved and not any("InArrow" in line or re.search(r"\(.*payload#|\[[^]]*payload#", line) for line in moved)
+    assert "BroadcastHashJoin [task" in plan
+
+
+def test_workers_without_word_hashes_load_no_pandas():
+    import subprocess
+    import sys
+    code = "import sys; from reachgrid.llm import index, jaccard, repeats; assert 'pandas' not in sys.modules"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=index.__file__.rsplit("/reachgrid/", 1)[0])
+
+
 def test_index_round_trip(spark, table, edges):
     from tokenizers import Tokenizer
     path = public_tokenizers.path(index.VOCABULARY)
