@@ -17,7 +17,18 @@ PRIME, STEP, TURN, ROUND, SPREAD = 2_147_483_647, 7919, 104_729, 15_485_863, 48_
 HOME, BLOCK, PACK = 4096, 16_384, 75
 #: Values that a task sends on at once.
 SENT = 4096
-_SENT = np.dtype([("cell", "<i4"), ("perm", "<i4"), ("z", "<f8")])
+#: Cells of a home that one group hands on to blocks (a cell counts for every block); beyond that, one in so many of all.
+ASKED, SHARE = 16_384, 1000
+
+
+def _packed(*columns: np.ndarray) -> bytes:
+    return pa.compress(b"".join(c.tobytes() for c in columns), codec="zstd", asbytes=True)
+
+
+def _unpacked(data: pa.BinaryScalar, n: int, *kinds: str) -> list[np.ndarray]:
+    raw = pa.decompress(data.as_buffer(), n * sum(np.dtype(k).itemsize for k in kinds), codec="zstd")
+    starts = np.cumsum([0, *[n * np.dtype(k).itemsize for k in kinds]])
+    return [np.frombuffer(raw, k, n, at) for k, at in zip(kinds, starts)]
 
 
 def _drawn(fixed: np.ndarray, perm: np.ndarray, salt: int) -> np.ndarray:
@@ -53,56 +64,78 @@ def _sent(permutations: int, seed: int):
                 idx, z = batch.column("idx").to_numpy().astype(np.int64), batch.column("z").to_numpy()
                 perm = np.repeat(np.arange(1, permutations + 1), len(idx))
                 to = sources(np.tile(idx, permutations), perm, batch.column("n")[0].as_py(), seed)
-                to, perm, z = np.concatenate([to, idx]), np.concatenate([perm, np.zeros(len(idx), np.int64)]), np.tile(z, permutations + 1)
-                order = np.argsort(to // HOME, kind="stable")
-                rows = np.empty(len(to), _SENT)
-                rows["cell"], rows["perm"], rows["z"] = (to % HOME)[order], perm[order], z[order]
-                homes, first = np.unique((to // HOME)[order], return_index=True)
-                data = [rows[i:j].tobytes() for i, j in zip(first, [*first[1:], len(rows)])]
-                yield pa.RecordBatch.from_arrays([pa.array(homes), pa.array(data, pa.binary())], ["home", "data"])
+                to, perm = np.concatenate([idx, to]), np.concatenate([np.zeros(len(idx), np.int64), perm])
+                home, cell = to // HOME, to % HOME
+                order = np.argsort((home * (permutations + 1) + perm) * HOME + cell)
+                home, cell, perm, z = home[order], cell[order].astype("<u2"), perm[order].astype("<u4"), z[order % len(idx)]
+                homes, first = np.unique(home, return_index=True)
+                ends = [*first[1:], len(home)]
+                # Differences of sorted numbers are small, so they pack well; they wrap around, and so do their sums.
+                data = [_packed(z[i:j], np.diff(perm[i:j], prepend=perm.dtype.type(0)), np.diff(cell[i:j], prepend=cell.dtype.type(0))) for i, j in zip(first, ends)]
+                yield pa.RecordBatch.from_arrays([pa.array(homes), pa.array(ends - first), pa.array(data, pa.binary())], ["home", "n", "data"])
     return send
 
 
-def _gathered(permutations: int):
-    """All shuffled values of a home's cells, a row for a cell and pack."""
-    def gather(key: tuple, table: pa.Table) -> pa.Table:
-        values, seen = np.zeros((HOME, permutations + 1)), np.zeros(HOME, bool)
-        for data in table.column("data"):
-            rows = np.frombuffer(data.as_buffer(), _SENT)
-            values[rows["cell"], rows["perm"]] = rows["z"]
-            seen[rows["cell"]] = True
-        cells, packs = np.flatnonzero(seen), range(0, permutations + 1, PACK)
-        return pa.table({"idx": np.tile(key[0].as_py() * HOME + cells, len(packs)), "pack": np.repeat(np.arange(len(packs)), len(cells)),
-                         "zs": pa.array([values[c, p:p + PACK].tobytes() for p in packs for c in cells], pa.binary())})
-    return gather
-
-
-def _summed(key: tuple, values: pa.Table, edges: pa.Table) -> pa.Table:
+def _handed(permutations: int):
+    """The shuffled values of a home's cells to the blocks that ask for them, a row for a block and pack."""
+    def hand(key: tuple, sent: pa.Table, asked: pa.Table) -> pa.Table:
+        values = np.zeros((HOME, permutations + 1))
+        for n, data in zip(sent.column("n").to_pylist(), sent.column("data")):
+            z, perm, cell = _unpacked(data, n, "<f8", "<u4", "<u2")
+            values[np.cumsum(cell, dtype=cell.dtype), np.cumsum(perm, dtype=perm.dtype)] = z
+        block, cell = asked.column("block").to_numpy(), asked.column("idx").to_numpy() % HOME
+        order = np.lexsort((cell, block))
+        blocks, first = np.unique(block[order], return_index=True)
+        cells = np.split(cell[order], first[1:]) if len(blocks) else []
+        packs = range(0, permutations + 1, PACK)
+        return pa.table({"at": np.repeat(blocks, len(packs)), "of": np.tile(np.arange(len(packs)), len(blocks)), "home": np.full(len(blocks) * len(packs), key[0].as_py()),
+                         "n": np.repeat(np.array([len(c) for c in cells], np.int64), len(packs)),
+                         "cells": pa.array([_packed(c.astype("<u2")) for c in cells for _ in packs], pa.binary()),
+                         "zs": pa.array([_packed(values[c, p:p + PACK]) for c in cells for p in packs], pa.binary())})
+    return hand
+
+
+def _summed(permutations: int):
     """Sums over a block's edges, one for each shuffle of a pack."""
-    idx = values.column("idx").to_numpy()
-    zs = np.frombuffer(b"".join(values.column("zs").to_pylist()), np.float64).reshape(len(idx), -1) if len(idx) else np.zeros((0, 0))
-    order = np.argsort(idx)
-    at = [order[np.searchsorted(idx, edges.column(c).to_numpy(), sorter=order)] for c in ("i", "o")]
-    total = np.zeros(zs.shape[1])
-    for first in range(0, len(at[0]), 8192):
-        total += np.einsum("ep,ep->p", zs[at[0][first:first + 8192]], zs[at[1][first:first + 8192]])
-    return pa.table({"perm": np.arange(len(total)) + key[1].as_py() * PACK, "cross": total})
+    def add(key: tuple, values: pa.Table, edges: pa.Table) -> pa.Table:
+        pack = key[1].as_py()
+        width = min(PACK, permutations + 1 - pack * PACK)
+        sizes = values.column("n").to_pylist()
+        idx, zs, done = np.empty(sum(sizes), np.int64), np.empty((sum(sizes), width)), 0
+        for home, n, cells, z in zip(values.column("home").to_pylist(), sizes, values.column("cells"), values.column("zs")):
+            idx[done:done + n] = home * HOME + _unpacked(cells, n, "<u2")[0].astype(np.int64)
+            zs[done:done + n] = _unpacked(z, n * width, "<f8")[0].reshape(n, width)
+            done += n
+        order = np.argsort(idx)
+        at = [order[np.searchsorted(idx, edges.column(c).to_numpy(), sorter=order)] for c in ("i", "o")]
+        total = np.zeros(width)
+        for first in range(0, len(at[0]), 8192):
+            total += np.einsum("ep,ep->p", zs[at[0][first:first + 8192]], zs[at[1][first:first + 8192]])
+        return pa.table({"perm": np.arange(width) + pack * PACK, "cross": total})
+    return add
 
 
 def edge_sums(indexed: DataFrame, edges: DataFrame, permutations: int, seed: int = 42) -> DataFrame:
     """(perm, cross): sum over ``edges`` of the product of the values at both ends, in the map (perm 0) and each shuffle.
 
     indexed: (idx, z), idx being 0..n-1. edges: (i, o) in terms of idx. A value finds the cells that get it by the
-    shuffle's inverse, so nothing is asked for; a cell's values go once to every block of cells with an edge to it.
+    shuffle's inverse; a cell's values go once to every block of cells with an edge to it, packed by home and block. No
+    table of values is joined: Spark knows nothing of the size that Python gives it, and would broadcast it. Homes that
+    very many blocks ask for are dealt over groups; there are fewer than ``SHARE`` such, so their list may be broadcast.
     """
     spark = indexed.sparkSession
     rows = indexed.select("idx", F.coalesce("z", F.lit(0.0)).alias("z"), indexed.agg(F.count("*")).scalar().alias("n"))
     rows = rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "idx")
-    sent = rows.mapInArrow(_sent(permutations, seed), "home long, data binary")
-    values = sent.groupBy("home").applyInArrow(_gathered(permutations), "idx long, pack long, zs binary")
+    sent = rows.mapInArrow(_sent(permutations, seed), "home long, n long, data binary")
     blocked = checkpoint(edges.select("i", "o", F.floor(F.col("i") / BLOCK).alias("block")))
-    asked = blocked.select("block", F.explode(F.array("i", "o")).alias("idx")).distinct()
+    asked = checkpoint(blocked.select("block", F.explode(F.array("i", "o")).alias("idx")).distinct()).withColumn("home", F.floor(F.col("idx") / HOME))
+    asks = asked.groupBy("home").agg(F.count("*").alias("asks"))
+    bound = F.greatest(F.lit(ASKED), F.ceil(asks.agg(F.sum("asks")).scalar() / SHARE))
+    hot = F.broadcast(asks.where(F.col("asks") > bound).select("home", F.ceil(F.col("asks") / bound).cast("int").alias("parts")))
+    dealt = sent.join(hot, "home", "left").select("home", "n", "data", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    wanted = asked.join(hot, "home", "left").select("home", "block", "idx", F.coalesce(F.pmod(F.xxhash64("block"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
+    here = dealt.groupBy("home", "part").cogroup(wanted.groupBy("home", "part")).applyInArrow(
+        _handed(permutations), "at long, of long, home long, n long, cells binary, zs binary").groupBy("at", "of")
     packs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(permutations // PACK).cast("bigint"))).alias("pack")
-    here = asked.join(values, "idx").select(F.col("block").alias("at"), F.col("pack").alias("of"), "idx", "zs").groupBy("at", "of")
-    sums = here.cogroup(blocked.select("*", packs).groupBy("block", "pack")).applyInArrow(_summed, "perm long, cross double")
+    sums = here.cogroup(blocked.select("*", packs).groupBy("block", "pack")).applyInArrow(_summed(permutations), "perm long, cross double")
     return sums.groupBy("perm").agg(F.sum("cross").alias("cross"))

@@ -275,8 +275,9 @@ def moran_p_value(values: DataFrame, graph: DataFrame, k: int, permutations: int
     """
     mean = values.agg(F.avg("v")).scalar()
     indexed = checkpoint(row_index(values.select("id", (F.col("v") - mean).alias("z")), "id"))
-    edges = graph.select("id", "other").join(indexed.select("id", F.col("idx").alias("i")), "id").join(
-        indexed.select(F.col("id").alias("other"), F.col("idx").alias("o")), "other").select("i", "o")
+    # A table of numbers is far larger in memory than as a file, by which Spark would broadcast it.
+    edges = graph.select("id", "other").join(indexed.select("id", F.col("idx").alias("i")).hint("merge"), "id").join(
+        indexed.select(F.col("id").alias("other"), F.col("idx").alias("o")).hint("merge"), "other").select("i", "o")
     square = indexed.agg(F.sum(F.col("z") * F.col("z"))).scalar()
     each = checkpoint(edge_sums(indexed.select("idx", "z"), edges, permutations, seed)).select("perm", (F.col("cross") / k / square).alias("i"))
     seen = each.where("perm = 0").select("i").scalar()

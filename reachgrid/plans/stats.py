@@ -17,7 +17,10 @@ SQL_VIEWS["v_total30_85"] = """SELECT c_custkey AS id, coalesce(n, 0) AS acc FRO
 
 
 def static30(d):
-    return d.acc.where("case_id = 'base' and cutoff = 30").select("id", "opportunity", "acc")
+    """Of the base case alone; a filter of ``d.acc`` would make the rows of every case first."""
+    origins = d.table("customer").select(F.col("c_custkey").alias("id"))
+    out = access.accessibility(d.matrix.withColumn("percentile", F.lit(50)), d.opps, origins, SERVICES, [50], [30])
+    return out.select("id", "opportunity", F.col("accessibility").cast("bigint").alias("acc"))
 
 
 def total30(d):
