@@ -147,13 +147,16 @@ def quartile_exclusive(i: int) -> Position:
 
 def group_quantiles(df: DataFrame, groups: Sequence[str], value: str,
                     picks: Mapping[str, Position], *, count: str = "n",
-                    small_domain: bool = False, near: bool | None = None, more: Sequence[Column] = ()) -> DataFrame:
+                    small_domain: bool = False, near: bool | None = None, more: Sequence[Column] = (),
+                    weight: str | None = None) -> DataFrame:
     """Exact order statistics per group; a fractional position interpolates linearly.
 
     ``more`` are further aggregates over the same pass, in terms of the value and of ``_k``, how often it occurs.
+    ``weight`` is a column that says how many rows a row stands for.
     """
     groups = list(groups)
-    held = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("_k"))
+    times = F.sum(weight) if weight else F.count("*")
+    held = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(times.alias("_k"))
     run = running_totals(held, groups, value, {"_cum": F.col("_k")}, small_domain=small_domain, near=near)
     n = F.col("_cum_all")
     v = F.col(value)

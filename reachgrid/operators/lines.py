@@ -7,10 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reachgrid.functions.geo import haversine_m
+from reachgrid.functions.geo import flat_distance, haversine_m
 from reachgrid.functions.scale import group_quantiles, linear, quartile_exclusive
 from reachgrid.operators.sets import mostly_contained
-from reachgrid.operators.spatial import pairs_within
+from reachgrid.operators.spatial import match_segments, pairs_within
 from reachgrid.session import checkpoint
 
 PEAK = (7 * 3600, 9 * 3600)
@@ -163,23 +163,37 @@ def segment_factors(obs: DataFrame, windows: Mapping[str, tuple[int, int]], *, f
     return med.join(ref.select("seg", "ref"), "seg").select("seg", "window", "n", factor.alias("factor"))
 
 
-def way_factors(matches: DataFrame, keys: tuple[str, ...] = ("way_id",)) -> DataFrame:
-    """Length-weighted mean factor of the matched segments per way."""
-    return matches.groupBy(*keys).agg((F.sum(F.col("factor") * F.col("length")) / F.sum("length")).alias("factor"))
+def way_factors(segments: DataFrame, edges: DataFrame, *, corridor: float, max_angle: float) -> DataFrame:
+    """Length-weighted mean factor of the matched segments per way.
+
+    segments: (x1, y1, x2, y2, factor). edges: (way_id, ex1, ey1, ex2, ey2). Equal segments are matched to equal edges
+    once, however many there are of each; a match is that of :func:`match_segments`.
+    """
+    ends = ["ex1", "ey1", "ex2", "ey2"]
+    drawn = segments.groupBy("x1", "y1", "x2", "y2").agg(F.sum("factor").alias("_f"), F.count("*").alias("_n"))
+    found = match_segments(drawn, edges.select(*ends).distinct(), corridor=corridor, max_angle=max_angle)
+    sums = found.groupBy(*ends).agg(F.sum("_f").alias("_f"), F.sum("_n").alias("_n"))
+    # Ways are far larger in memory than as a file, by which Spark would broadcast them.
+    length = flat_distance(F.col("ex1"), F.col("ey1"), F.col("ex2"), F.col("ey2"))
+    held = edges.hint("merge").join(sums, ends).withColumn("_length", length)
+    return held.groupBy("way_id").agg((F.sum(F.col("_f") * F.col("_length")) / F.sum(F.col("_n") * F.col("_length"))).alias("factor"))
 
 
 def fill_ways(ways: DataFrame, direct: DataFrame, radius: float) -> DataFrame:
     """(way_id, factor, source) for every way: own factor, else the median of same-group ways
     within ``radius``, else the group's median, else 1.
 
-    ways: way_id, grp, x, y.
+    ways: way_id, grp, x, y. The median is the same for all ways of a group at one location, so locations are paired,
+    not ways, and equal factors at one location are counted first.
     """
-    have = ways.join(direct, "way_id")
-    need = ways.join(direct, "way_id", "left_anti")
-    near = pairs_within(need, have.select(F.col("way_id").alias("other"), "grp", F.col("x").alias("px"),
-                                          F.col("y").alias("py"), "factor"), radius, on=["grp"])
-    local = group_quantiles(near, ["way_id"], "factor", {"local": linear(0.5)})
-    whole = group_quantiles(have, ["grp"], "factor", {"whole": linear(0.5)}, count="m")
-    out = ways.join(direct, "way_id", "left").join(local, "way_id", "left").join(whole, "grp", "left")
+    own = ways.hint("merge").join(direct.withColumn("_has", F.lit(True)), "way_id", "left")
+    own = checkpoint(own.select("way_id", "grp", "x", "y", "factor", "_has"))  # asked for three times
+    have = own.where("_has").groupBy("grp", F.col("x").alias("px"), F.col("y").alias("py"), "factor").agg(F.count("*").alias("k"))
+    spots = own.where("_has is null").select("grp", "x", "y").distinct()
+    near = pairs_within(spots, have.select("grp", "px", "py").distinct(), radius, on=["grp"]).join(have, ["grp", "px", "py"])
+    local = group_quantiles(near, ["grp", "x", "y"], "factor", {"local": linear(0.5)}, weight="k")
+    whole = group_quantiles(have, ["grp"], "factor", {"whole": linear(0.5)}, count="m", weight="k")
+    local = local.select("grp", "x", "y", F.col("local").alias("_local"))
+    out = own.join(local, ["grp", "x", "y"], "left").join(whole, "grp", "left").withColumn("local", F.when(F.col("_has").isNull(), F.col("_local")))
     source = F.when(F.col("factor").isNotNull(), "direct").when(F.col("local").isNotNull(), "radius").otherwise("class")
     return out.select("way_id", F.coalesce("factor", "local", "whole", F.lit(1.0)).alias("factor"), source.alias("source"))

@@ -230,7 +230,8 @@ def match_segments(segments: DataFrame, edges: DataFrame, *, corridor: float, ma
     mid, tiled = quadtree.dealt(mid, F.col("_mx"), F.col("_my"), long, box, cell, tree)
     near = point_segment_distance(F.col("_mx"), F.col("_my"), x1, y1, x2, y2) <= corridor
     along = angle_gap(bearing180(x1, y1, x2, y2), bearing180(ex1, ey1, ex2, ey2)) <= max_angle
-    return tiled.join(mid, [*quadtree.KEY]).where(near & along).drop(*quadtree.KEY, "_mx", "_my")
+    # Both sides are far larger in memory than as files, by which Spark would broadcast one.
+    return tiled.join(mid.hint("merge"), [*quadtree.KEY]).where(near & along).drop(*quadtree.KEY, "_mx", "_my")
 
 
 def hex_lattice(spark, extent: tuple[float, float, float, float], spacing: float,

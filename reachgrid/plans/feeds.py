@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from reachgrid.functions import values
 from reachgrid.functions.values import whole
 from reachgrid.operators import calls, feeds, lines, spatial
+from reachgrid.plans import spatial as places
 from reachgrid.plans.registry import query
-from reachgrid.plans.spatial import matches, polygons
+from reachgrid.plans.spatial import polygons
 from reachgrid.plans.views import SQL_VIEWS
 
 DATE = "2026-01-25"
@@ -603,8 +604,7 @@ def segment_factors(d):
 
 @query("e23_way_factors", "SELECT way_id, round(sum(factor * len) / sum(len), 6) AS factor FROM v_matches GROUP BY way_id")
 def way_factors(d):
-    length = F.sqrt(F.pow(F.col("ex2") - F.col("ex1"), 2) + F.pow(F.col("ey2") - F.col("ey1"), 2))
-    return lines.way_factors(matches(d).withColumn("length", length)).withColumn("factor", F.round("factor", 6))
+    return lines.way_factors(places.segments(d), places.streets(d), **places.MATCH).withColumn("factor", F.round("factor", 6))
 
 
 @query("e24_fill_ways", """
@@ -619,8 +619,7 @@ def fill_ways(d):
     k = F.col("p_partkey")
     ways = d.table("part").select(k.alias("way_id"), F.when(k % 3 == 0, "major").when(k % 3 == 1, "minor").otherwise("track").alias("grp"),
                                   (k * 7919 % 1000 * 30).alias("x"), (k * 104729 % 1000 * 30).alias("y"))
-    length = F.sqrt(F.pow(F.col("ex2") - F.col("ex1"), 2) + F.pow(F.col("ey2") - F.col("ey1"), 2))
-    direct = lines.way_factors(matches(d).where("way_id % 3 <> 2").withColumn("length", length))
+    direct = lines.way_factors(places.segments(d), places.streets(d).where("way_id % 3 <> 2"), **places.MATCH)
     return lines.fill_ways(ways, direct, 2000).withColumn("factor", F.round("factor", 6))
 
 

@@ -163,8 +163,11 @@ def segments(d):
                                       (y + 1300 - k % 5 * 500).alias("y2"), (0.5 + k % 50 / 100.0).alias("factor"))
 
 
+MATCH = {"corridor": 120, "max_angle": 25}
+
+
 def matches(d):
-    return spatial.match_segments(segments(d), streets(d), corridor=120, max_angle=25)
+    return spatial.match_segments(segments(d), streets(d), **MATCH)
 
 
 @query("c17_match_segments", "SELECT seg_id, way_id FROM v_matches")
