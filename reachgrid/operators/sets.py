@@ -19,9 +19,10 @@ from reachgrid.session import checkpoint
 
 #: A member is heavy when it is in more sets than this and in more than one in so many of all rows.
 LEAST, SHARE = 10_000, 1000
-#: Picks whose candidates are counted in one block and memberships that meet them in one task; picks above ``LARGE`` members go alone.
-PICKS, HELD, LARGE = 8192, 2_000_000, 1000
-#: Pairs of a pick's and a set's membership that are counted at once.
+#: Neighbouring picks that stay together, memberships of picks that are counted in one block (and those of the last picks
+#: beyond it), memberships that meet them in one task; picks above ``LARGE`` members go alone.
+PICKS, ROWS, HELD, LARGE = 256, 1_000_000, 2_000_000, 1000
+#: Memberships of sets that are counted for a pick at once.
 COUNTED = 4_000_000
 
 
@@ -84,42 +85,50 @@ def mostly_contained(picks: DataFrame, members: DataFrame, group: str, member: s
     bound = F.greatest(F.lit(least), F.ceil(counts.agg(F.sum("df")).scalar() / heavy_share)).cast("bigint")
     heavy = counts.where(F.col("df") > bound).select(member, "df", F.ceil(F.col("df") / bound).cast("int").alias("parts"))
     light = counts.where(F.col("df") <= bound)
-    wanted = checkpoint(picks.select(F.col(group).alias("pick")).where("pick is not null").distinct())
-    mine = known.withColumnRenamed(group, "pick").join(wanted, "pick", "left_semi")
-    sizes = mine.groupBy("pick").agg(F.count("*").alias("k"))
+    wanted = picks.select(F.col(group).alias("pick")).where("pick is not null").distinct()
+    sizes = checkpoint(known.groupBy(F.col(group).alias("pick")).agg(F.count("*").alias("k")).join(wanted, "pick", "left_semi"))
+    small = _counted_in_blocks(sizes.where(F.col("k") <= LARGE), known, counts, heavy.select(member, "df"), group, member, share)
+    large = checkpoint(sizes.where(F.col("k") > LARGE))
+    if large.isEmpty():  # else the memberships would be shuffled four times for nothing
+        return small
+    mine = known.withColumnRenamed(group, "pick").join(large, "pick", "left_semi")
     # Rare members first; the hash breaks ties, so that a pick of equally rare members does not ask by all of them.
     order = F.col("df") * (1 << 20) + F.pmod(F.xxhash64(member), F.lit(1 << 20))
     ranked = _counted(mine, heavy, light, member).withColumn("order", order)
     run = running_totals(ranked.groupBy("pick", "order").agg(F.count("*").alias("n")), ["pick"], "order", {"run": F.col("n")})
     need = F.col("k") - F.ceil(F.col("k") * (share * (1 - 1e-12))) + 1
-    limits = run.join(sizes, "pick").where(F.col("run") >= need).groupBy("pick").agg(F.min("order").alias("limit"))
-    asked = checkpoint(ranked.join(limits, "pick").join(sizes, "pick").select(
-        "pick", member, "df", "parts", "k", (F.col("order") <= F.col("limit")).alias("asks")))
-    small = _counted_in_blocks(asked.where(F.col("k") <= LARGE), known, group, member, share)
-    asking = asked.where((F.col("k") > LARGE) & F.col("asks"))
-    asking = asking.select("pick", member, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    limits = run.join(large, "pick").where(F.col("run") >= need).groupBy("pick").agg(F.min("order").alias("limit"))
+    asked = checkpoint(ranked.join(limits, "pick").select("pick", member, "parts", (F.col("order") <= F.col("limit")).alias("asks")))
+    asking = asked.where("asks").select("pick", member, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
     dealt = known.join(F.broadcast(heavy.drop("df")), member, "left")
     dealt = dealt.select(group, member, F.coalesce(F.pmod(F.xxhash64(group), F.col("parts")), F.lit(0)).cast("int").alias("part"))
     found = asking.join(dealt, [member, "part"]).where(F.col("pick") != F.col(group)).select("pick", group).distinct()
-    common = found.join(asked.where(F.col("k") > LARGE).select("pick", member), "pick").join(known, [group, member], "left_semi").groupBy("pick", group).agg(F.count("*").alias("n"))
+    common = found.join(asked.select("pick", member), "pick").join(known, [group, member], "left_semi").groupBy("pick", group).agg(F.count("*").alias("n"))
     ratio = F.col("n") / F.col("k")
-    return common.join(sizes, "pick").where(ratio >= share).select("pick", group, ratio.alias("share")).unionByName(small)
+    return common.join(large, "pick").where(ratio >= share).select("pick", group, ratio.alias("share")).unionByName(small)
 
 
-def _counted_in_blocks(asked: DataFrame, known: DataFrame, group: str, member: str, share: float) -> DataFrame:
+def _counted_in_blocks(sizes: DataFrame, known: DataFrame, counts: DataFrame, heavy: DataFrame, group: str, member: str, share: float) -> DataFrame:
     """(pick, group, share) of small picks: blocks of neighbouring picks meet the memberships of their members.
 
     Most pairs of sets that share a member share too few, so the pairs are counted inside a task and only those
     that hold enough leave it. Sets go to blocks by the members they share; a block's sets are dealt over tasks.
+    A block is as many picks as hold ``ROWS`` members: a set goes to every block that has a member of it, so the
+    fewer blocks the less is sent. Which members of a pick ask is found out in the task, nothing is ranked before.
     """
-    kind = asked.schema["pick"].dataType.simpleString()
-    numbers = row_index(asked.select("pick").distinct(), "pick", name="_no")
-    block = F.floor(F.col("_no") / PICKS).alias("_block")
-    mine = checkpoint(asked.join(numbers, "pick").select(block, "pick", member, "k", (F.col("asks") | F.col("parts").isNull()).alias("paired")))
-    held = known.join(mine.select("_block", member).distinct(), member)
-    shares = held.groupBy("_block").agg(F.ceil(F.count("*") / HELD).alias("_n"))
-    left = mine.join(shares, "_block").select("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_task"), "pick", member, "k", "paired")
-    right = held.join(shares, "_block").select(F.col("_block").alias("_in"), F.pmod(F.xxhash64(group), F.col("_n")).alias("_of"), group, member)
+    kind = sizes.schema["pick"].dataType.simpleString()
+    numbers = row_index(sizes, "pick", name="_no").withColumn("_near", F.floor(F.col("_no") / PICKS))
+    near = numbers.groupBy("_near").agg(F.sum("k").alias("_rows")).withColumn("_all", F.lit(0))
+    run = running_totals(near, ["_all"], "_near", {"_run": F.col("_rows")}).select("_near", F.floor((F.col("_run") - 1) / ROWS).alias("_block"))
+    blocks = numbers.join(run, "_near").select("pick", "_block")
+    # Hash joins of the smaller side, dealt by key: long tables are neither sorted nor broadcast.
+    mine = known.withColumnRenamed(group, "pick").join(blocks.hint("shuffle_hash"), "pick").join(F.broadcast(heavy), member, "left")
+    mine = checkpoint(mine.select("_block", "pick", member, "df"))
+    askers = checkpoint(mine.select("_block", member).distinct())
+    shares = checkpoint(askers.join(counts.withColumnRenamed("df", "_df"), member).groupBy("_block").agg(F.ceil(F.sum("_df") / HELD).alias("_n")))
+    left = mine.join(shares, "_block").select("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_n") - 1)).alias("_task"), "pick", member, "df")
+    held = known.join(askers.hint("shuffle_hash"), member).join(shares, "_block")
+    right = held.select(F.col("_block").alias("_in"), F.pmod(F.xxhash64(group), F.col("_n")).alias("_of"), group, member)
     return left.groupBy("_block", "_task").cogroup(right.groupBy("_in", "_of")).applyInArrow(
         _shares(group, member, share), f"pick {kind}, `{group}` {known.schema[group].dataType.simpleString()}, share double")
 
@@ -128,50 +137,57 @@ def _coded(*columns: pa.ChunkedArray) -> tuple[pa.Array, list[np.ndarray]]:
     """Distinct values of the columns and their places there; -1 where a later column has others."""
     first = columns[0].combine_chunks().dictionary_encode()
     codes = [first.indices.to_numpy()] + [pc.fill_null(pc.index_in(c.combine_chunks(), first.dictionary), -1).to_numpy() for c in columns[1:]]
-    return first.dictionary, [c.astype(np.int64) for c in codes]
+    return first.dictionary, [c.astype(np.int32) for c in codes]
 
 
 def _shares(group: str, member: str, share: float) -> Callable[[tuple, pa.Table, pa.Table], pa.Table]:
-    """Pairs of a block: every pick's paired members bring their sets, members of very many sets are only counted for pairs found."""
+    """Pairs of a block: every pick's paired members bring their sets, members of very many sets are only counted for pairs found.
+
+    A set that holds c of n members holds one of any n - c + 1: light members are paired, and of the heavy ones (those
+    with ``df``) the rarest, as many as that takes.
+    """
     def pairs(key: tuple, asked: pa.Table, held: pa.Table) -> pa.Table:
         _, (at, has) = _coded(asked.column(member), held.column(member))
         picks, (who,) = _coded(asked.column("pick"))
         groups, (set_of,) = _coded(held.column(group))
-        n_sets, k = max(len(groups), 1), np.zeros(len(picks), np.int64)
-        k[who] = asked.column("k").to_numpy()
+        n_sets, k = max(len(groups), 1), np.bincount(who, minlength=len(picks))
         own = pc.fill_null(pc.index_in(picks, groups), -1).to_numpy()
-        by = np.argsort(has, kind="stable")
-        sets = set_of[by]
-        paired = asked.column("paired").to_numpy()
+        enough = np.ceil(k * (share * (1 - 1e-12))).astype(np.int64)
+        df = pc.fill_null(asked.column("df"), 0).to_numpy()
+        order = np.lexsort((at, df, who))  # light members first, then the rarest
+        who, at, df = who[order], at[order], df[order]
+        paired = (df == 0) | (np.arange(len(who)) - (np.cumsum(k) - k)[who] <= (k - enough)[who])
+        del order, df
         marks = np.unique(at[~paired])
         mine, theirs = _marked(who[~paired], at[~paired], len(picks), marks), _marked(set_of, has, n_sets, marks)
-        order = np.flatnonzero(paired)
-        order = order[np.argsort(who[order], kind="stable")]
-        who, starts = who[order], np.searchsorted(has[by], at[order])
-        sizes = np.searchsorted(has[by], at[order], side="right") - starts
-        done, upto = 0, np.cumsum(sizes)
+        unpaired = np.bincount(who[~paired], minlength=len(picks))
+        by = np.argsort(has, kind="stable")
+        sets, has = set_of[by], has[by]
+        del set_of, by
+        who, at = who[paired], at[paired]
+        starts, ends = np.searchsorted(has, at), np.searchsorted(has, at, side="right")
+        bounds, upto = np.searchsorted(who, np.arange(len(picks) + 1)), np.concatenate([[0], np.cumsum(ends - starts)])
         out = []
-        while done < len(who):
-            # Whole picks, as many as make no more than so many pairs; one at least.
-            end = np.searchsorted(upto, (upto[done - 1] if done else 0) + COUNTED, side="right")
-            end = np.searchsorted(who, who[end]) if end < len(who) else end
-            end = max(end, np.searchsorted(who, who[done], side="right"))
-            n, first = sizes[done:end], who[done]
-            steps = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            codes = np.repeat((who[done:end] - first) * n_sets, n) + sets[np.repeat(starts[done:end], n) + steps]
-            if (who[end - 1] - first + 1) * n_sets <= 2 * COUNTED:
-                count = np.bincount(codes)
-                found = np.flatnonzero(count)
-                count = count[found]
+        for p in range(len(picks)):
+            first, last = bounds[p], bounds[p + 1]
+            n, least = upto[last] - upto[first], max(enough[p] - unpaired[p], 1)
+            if 8 * n < n_sets and n <= COUNTED:  # few: sorted, else counted in a place for every set
+                found, count = np.unique(np.concatenate([sets[:0], *(sets[i:j] for i, j in zip(starts[first:last], ends[first:last]))]), return_counts=True)
+                found, count = found[count >= least], count[count >= least]
             else:
-                found, count = np.unique(codes, return_counts=True)
-            a, b = found // n_sets + first, found % n_sets
-            if len(marks):
-                for w in range(mine.shape[1]):
-                    count = count + np.bitwise_count(mine[a, w] & theirs[b, w])
-            enough = (count / k[a] >= share) & (own[a] != b)
-            out.append((a[enough], b[enough], count[enough] / k[a[enough]]))
-            done = end
+                count = np.zeros(n_sets, np.int64)
+                while first < last:
+                    upper = max(np.searchsorted(upto, upto[first] + COUNTED, side="right") - 1, first + 1)
+                    upper = min(upper, last)
+                    count += np.bincount(np.concatenate([sets[i:j] for i, j in zip(starts[first:upper], ends[first:upper])]), minlength=n_sets)
+                    first = upper
+                found = np.flatnonzero(count >= least)
+                count = count[found]
+            if unpaired[p]:
+                count = count + np.bitwise_count(mine[p] & theirs[found]).sum(axis=1)
+            good = (count / k[p] >= share) & (found != own[p])
+            if good.any():
+                out.append((np.full(good.sum(), p), found[good], count[good] / k[p]))
         a, b, ratio = (np.concatenate(c) for c in zip(*out)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
         return pa.table({"pick": picks.take(pa.array(a)), group: groups.take(pa.array(b)), "share": ratio})
     return pairs

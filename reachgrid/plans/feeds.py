@@ -542,7 +542,8 @@ SELECT pick, s.route_id, round(count(*) / any_value(k), 6) AS share FROM m JOIN
 def corridor_of_all_lines(d):
     orders, items = d.table("orders"), d.table("lineitem")
     served = orders.join(items, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("route_id"), F.col("l_suppkey").alias("stop_id"))
-    return lines.corridor(served.select("route_id"), served).withColumn("share", F.round("share", 6))
+    every = orders.select(F.col("o_custkey").alias("route_id"))  # lines without stops hold nothing
+    return lines.corridor(every, served).withColumn("share", F.round("share", 6))
 
 
 _WALK = """w AS (SELECT o.id AS hex_id, t.stop_id, t.mode, round(sqrt(pow(o.x - t.x, 2) + pow(o.y - t.y, 2)), 3) AS d FROM v_origins o JOIN v_line_stops t ON pow(o.x - t.x, 2) + pow(o.y - t.y, 2) <= 1500 * 1500)"""

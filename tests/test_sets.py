@@ -85,3 +85,28 @@ def test_small_picks_in_blocks_and_large_ones_alone(spark, monkeypatch):
             monkeypatch.setattr(sets, name, value)
         got = sets.mostly_contained(served, served, "route_id", "stop_id", 0.4, least=20, heavy_share=20).collect()
         assert {(x.pick, x.route_id): x.share for x in got} == want and len(got) == len(want)
+
+
+def test_memberships_of_small_picks_are_not_ranked(spark, monkeypatch):
+    """Running totals over all memberships were most of what the job wrote; a pick's rarest members are found in its task."""
+    found, seen, totals = memberships(5), [], sets.running_totals
+    monkeypatch.setattr(sets, "running_totals", lambda df, *a, **k: seen.append(df.count()) or totals(df, *a, **k))
+    served = table(spark, found)
+    got = {(x.pick, x.route_id): x.share for x in sets.mostly_contained(served, served, "route_id", "stop_id", 0.5, least=5, heavy_share=50).collect()}
+    assert got == {(p, s): len(found[p] & found[s]) / len(found[p]) for p in found for s in found if s != p and len(found[p] & found[s]) / len(found[p]) >= 0.5}
+    assert max(seen) <= len(found)
+
+
+@pytest.mark.parametrize("rows,picks,held,counted", [(40, 1, 60, 10), (200, 7, 100, 100), (10_000, 256, 10_000, 10_000)])
+def test_blocks_by_their_memberships(spark, monkeypatch, rows, picks, held, counted):
+    """Blocks of few and many memberships, dealt over several tasks, with heavy members; integer names."""
+    r = random.Random(11)
+    found = {i: set(r.sample(range(30), r.randint(1, 12))) | ({99} if i % 4 else set()) | ({98} if i % 3 else set()) for i in range(90)}
+    for name, value in (("ROWS", rows), ("PICKS", picks), ("HELD", held), ("COUNTED", counted)):
+        monkeypatch.setattr(sets, name, value)
+    served = spark.createDataFrame([(p, s) for p, items in found.items() for s in items], "route_id long, stop_id long")
+    asked = spark.createDataFrame([(p,) for p in range(0, 120, 2)], "route_id long")
+    for share in (0.3, 0.6, 1.0):
+        got = sets.mostly_contained(asked, served, "route_id", "stop_id", share, least=15, heavy_share=30).collect()
+        want = {(p, s): len(found[p] & found[s]) / len(found[p]) for p in found if p % 2 == 0 for s in found if s != p and len(found[p] & found[s]) / len(found[p]) >= share}
+        assert {(x.pick, x.route_id): x.share for x in got} == want and len(got) == len(want)
