@@ -224,7 +224,8 @@ def row_index(df: DataFrame, *order: str, name: str = "idx") -> DataFrame:
     sizes = placed.groupBy(pid.alias("_pid")).agg(F.count("*").alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    return (placed.withColumn("_pid", pid).join(starts, "_pid")
+    # A row for a partition; without the hint Spark may broadcast the rows themselves, whose file is small.
+    return (placed.withColumn("_pid", pid).join(F.broadcast(starts), "_pid")
             .select(*df.columns, (F.col("_start") + F.col("_mid").bitwiseAND((1 << 33) - 1)).alias(name)))
 
 

@@ -21,7 +21,7 @@ from reachgrid.session import checkpoint
 LEAST, SHARE = 10_000, 1000
 #: Neighbouring picks that stay together, memberships of picks that are counted in one block (and those of the last picks
 #: beyond it), memberships that meet them in one task; picks above ``LARGE`` members go alone.
-PICKS, ROWS, HELD, LARGE = 256, 1_000_000, 2_000_000, 1000
+PICKS, ROWS, HELD, LARGE = 256, 600_000, 2_000_000, 1000
 #: Memberships of sets that are counted for a pick at once.
 COUNTED = 4_000_000
 
@@ -120,8 +120,8 @@ def _counted_in_blocks(sizes: DataFrame, known: DataFrame, counts: DataFrame, he
     numbers = row_index(sizes, "pick", name="_no").withColumn("_near", F.floor(F.col("_no") / PICKS))
     near = numbers.groupBy("_near").agg(F.sum("k").alias("_rows")).withColumn("_all", F.lit(0))
     run = running_totals(near, ["_all"], "_near", {"_run": F.col("_rows")}).select("_near", F.floor((F.col("_run") - 1) / ROWS).alias("_block"))
-    blocks = numbers.join(run, "_near").select("pick", "_block")
-    # Hash joins of the smaller side, dealt by key: long tables are neither sorted nor broadcast.
+    # Merge joins and hash joins dealt by key: Spark would broadcast a table of numbers, whose file is small.
+    blocks = numbers.hint("merge").join(run, "_near").select("pick", "_block")
     mine = known.withColumnRenamed(group, "pick").join(blocks.hint("shuffle_hash"), "pick").join(F.broadcast(heavy), member, "left")
     mine = checkpoint(mine.select("_block", "pick", member, "df"))
     askers = checkpoint(mine.select("_block", member).distinct())
